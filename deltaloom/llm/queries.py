@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import bpe, html, warc
+from deltaloom.llm import bpe, html, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op3_html_extraction": html.op3_html_extraction,
         "op7_warc": warc.op7_warc,
         "op10_byte_bpe": bpe.op10_byte_bpe,
