@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import bpe, html, simhash, warc
+from deltaloom.llm import bpe, html, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_extraction": html.op3_html_extraction,
         "op7_warc": warc.op7_warc,
         "op10_byte_bpe": bpe.op10_byte_bpe,
