@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import ann, bpe, decontaminate, html, simhash, toxicity, warc
+from deltaloom.llm import ann, bpe, decontaminate, html, packing, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_warc": warc.op7_warc,
         "op8_ann_search": ann.op8_ann_search,
+        "op9_token_packing": packing.op9_token_packing,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
