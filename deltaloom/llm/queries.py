@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import ann, bpe, decontaminate, html, lm, packing, simhash, toxicity, warc
+from deltaloom.llm import ann, bpe, decontaminate, html, lm, packing, simhash, suffixes, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_extraction": html.op3_html_extraction,
+        "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
         "op5_lm_scoring": lm.op5_lm_scoring,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_warc": warc.op7_warc,
