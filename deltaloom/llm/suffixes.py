@@ -350,10 +350,11 @@ def settle(open_texts: DataFrame, total: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(digest, spans, n_removed, n_spans, kept): for each text that loses bytes, once per distinct text.
+    """(digest, spans, n_removed, n_spans, kept, kept_text): for each text that loses bytes, once per distinct text.
 
-    spans are starts and ends of the removed stretches, kept the remaining bytes. Null texts are
-    empty and, like all texts under WIDTH bytes, lose nothing.
+    spans are starts and ends of the removed stretches, kept the remaining bytes; kept_text are its
+    characters, without those that a removed stretch took a part of. Null texts are empty and, like
+    all texts under WIDTH bytes, lose nothing.
     """
     spark = docs.sparkSession
     cut = _Cuts(spark)
@@ -375,7 +376,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for digest, copies, text, sure, at in zip(*(batch.column(c) for c in ("digest", "copies", "text", "sure", "at")), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
                 n = len(data) - WIDTH + 1
@@ -390,11 +391,19 @@ def repeats(docs: DataFrame) -> DataFrame:
                     out[1].append(spans)
                     out[2].append(int(gone.sum()))
                     out[3].append(len(spans) // 2)
-                    out[4].append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), _lists(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["digest", "spans", "n_removed", "n_spans", "kept"])
+                    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    out[4].append(left)
+                    out[5].append(b"".join(_whole_characters(data, spans)).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), _lists(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.string())], ["digest", "spans", "n_removed", "n_spans", "kept", "kept_text"])
 
     rows = held.join(settled, "tid", "left").select("digest", "copies", "text", F.coalesce("sure", F.array().cast("array<int>")).alias("sure"), "at")
-    return rows.mapInArrow(run, "digest string, spans array<int>, n_removed bigint, n_spans bigint, kept binary")
+    return rows.mapInArrow(run, "digest string, spans array<int>, n_removed bigint, n_spans bigint, kept binary, kept_text string")
+
+
+def _whole_characters(data: bytes, spans: np.ndarray) -> Iterator[bytes]:
+    """The stretches between the spans, each without bytes of characters that it only holds a part of."""
+    for a, b in zip([0, *spans[1::2].tolist()], [*spans[0::2].tolist(), len(data)]):
+        yield data[a:b].decode("utf-8", "ignore").encode()
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

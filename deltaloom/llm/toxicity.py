@@ -295,6 +295,22 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores under 0.5; a null text is the empty text. No shuffle."""
+    bounded_batches(docs.sparkSession)
+    names = docs.columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = grammar.automaton()
+        for batch in pieces(batches, "text"):
+            logit = [float(grammar.weights @ features(t, automaton)) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([x < 0 for x in logit], pa.bool_())).select([f"c{i}" for i in range(len(names))])
+
+    kept = rows.mapInArrow(run, rows.drop("text").schema)
+    return kept.toDF(*names)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
