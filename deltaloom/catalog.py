@@ -2,43 +2,267 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Set-valued relations over the tables: name -> (table, {column: source column}).
-RELATIONS = {
-    "RG": ("region", {"r": "r_regionkey", "rn": "r_name"}),
-    "NR": ("nation", {"n": "n_nationkey", "r": "n_regionkey"}),
-    "CN": ("customer", {"c": "c_custkey", "n": "c_nationkey"}),
-    "SN": ("supplier", {"s": "s_suppkey", "n": "s_nationkey"}),
-    "OC": ("orders", {"o": "o_orderkey", "c": "o_custkey"}),
-    "LO": ("lineitem", {"o": "l_orderkey", "p": "l_partkey"}),
-    "LS": ("lineitem", {"p": "l_partkey", "s": "l_suppkey"}),
-    "LOPS": ("lineitem", {"o": "l_orderkey", "p": "l_partkey", "s": "l_suppkey"}),
-    "PB": ("part", {"p": "p_partkey", "b": "p_brand"}),
-    "UE": ("events", {"u": "user_id", "t": "event_type"}),
-}
-_TEXT = {"rn", "b", "t"}
+from deltaloom.operators import lifetimes as lt
+from deltaloom.operators import snapshot as sn
+from deltaloom.plans.model import Query, classify, query
+from deltaloom.sources import tables as src
+from deltaloom.sources import updates as up
+from deltaloom.streaming.microbatch import View
 
+Run = Callable[[SparkSession, str], DataFrame]
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The distinct rows of one relation, keys as bigint."""
-    table, columns = RELATIONS[name]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return rows.select(*[F.col(c).cast("string" if a in _TEXT else "bigint").alias(a) for a, c in columns.items()]).distinct()
+#: Answers over current tables, as atoms and output.
+SNAPSHOTS = [
+    query("scan_project_distinct", "LS(p,s)", "s"),
+    query("natural_join_2", "CN(c,n) OC(o,c)", "n,o"),
+    query("path_join_3", "CN(c,n) OC(o,c) LO(o,p)", "n,p"),
+    query("path_join_4", "NR(n,r) CN(c,n) OC(o,c) LO(o,p)", "r,p"),
+    query("path_join_6", "RG(r,rn) NR(n,r) CN(c,n) OC(o,c) LO(o,p) LS(p,s)", "rn,s"),
+    query("star_join", "OC(o,c) LO(o,p1) LOPS(o,p,s)", "c,p1,s"),
+    query("snowflake_join", "NR(n,r) CN(c,n) OC(o,c) LOPS(o,p,s) PB(p,b)", "r,b,s"),
+    query("self_join_copies", "UE(u,t1) UE(u,t2)", "u,t1,t2"),
+    query("multi_attr_join", "LO(o,p) LOPS(o,p,s)", "o,p,s"),
+    query("semi_join_chain", "RG(r,rn) NR(n,r) CN(c,n) OC(o,c) LO(o,p) LS(p,s)", "r"),
+    query("projection_free_connex", "CN(c,n) OC(o,c) LO(o,p)", "c,n,o"),
+    query("projection_full", "CN(c,n) OC(o,c) LO(o,p)", "c,n,o,p"),
+    query("projection_single_attr", "CN(c,n) OC(o,c) LO(o,p)", "c"),
+    query("non_free_connex_snapshot", "OC(o,c) LO(o,p) LS(p,s)", "c,s"),
+    query("cyclic_snapshot", "CN(c,n) OC(o,c) LOPS(o,p,s) SN(s,n)", "c,s,n"),
+]
+#: The same kind of answers by semi-join reduction.
+REDUCED = [
+    query("yannakakis_path", "NR(n,r) CN(c,n) OC(o,c) LO(o,p)", "r,p"),
+    query("yannakakis_star", "OC(o,c) LO(o,p1) LOPS(o,p,s)", "c,p1,s"),
+    query("yannakakis_existence", "CN(c,n) OC(o,c) LO(o,p) PB(p,b)", "c,n"),
+]
+#: Delta logs over the change logs.
+DELTAS = [
+    query("delta_insert_path", "CN(c,n) OC(o,c)", "n,o"),
+    query("delta_mixed_path", "CN(c,n) OC(o,c) LO(o,p)", "n,p"),
+    query("delta_projection_distinct", "CN(c,n) OC(o,c) LO(o,p)", "n"),
+    query("delta_self_join", "UE(u,t1) UE(u,t2)", "t1,t2"),
+    query("delta_star", "OC(o,c) LO(o,p) LO(o,p2)", "c,p,p2"),
+    query("delta_generalized_root", "CN(c,n) SN(s,n)", "n,s"),
+    query("delta_reinsert", "OC(o,c)", "o,c"),
+    query("delta_non_free_connex", "OC(o,c) LO(o,p) LS(p,s)", "c,s"),
+]
+MULTI = [query("q0", "CN(c,n) OC(o,c)", "n,o"), query("q1", "SN(s,n) NR(n,r)", "r,s"), query("q2", "CN(c,n) OC(o,c) LO(o,p)", "n,p")]
+SHARED_NODE = query("CO", "CN(c,n) OC(o,c)", "n,o")
+SHARING = [query("s0", "CO(n,o) LO(o,p)", "n,p"), query("s1", "CO(x,y) NR(x,z)", "z,y"), query("s2", "CO(a,b)", "a,b")]
+ISOMORPHIC = [query("i0", "UE(u,t) UE(u,v)", "t,v"), query("i1", "UE(k,a) UE(k,b)", "a,b")]
+LIVE = [query("l0", "OC(o,c) LO(o,p)", "c,p"), query("l1", "OC(o,c) CN(c,n)", "o,n"), query("l2", "OC(o,c) LO(o,p) LS(p,s) PB(p,b)", "o,b")]
+CLASSES = [
+    query("path", "R(a,b) S(b,c) T(c,d)", "a,b,c,d"),
+    query("path_prefix", "R(a,b) S(b,c) T(c,d)", "a,b"),
+    query("path_ends", "R(a,b) S(b,c) T(c,d)", "a,d"),
+    query("star", "R(a,b) S(a,c) T(a,d)", "b,c,d"),
+    query("star_hub", "R(a,b) S(a,c) T(a,d)", "a,b,c"),
+    query("triangle", "R(a,b) S(b,c) T(c,a)", "a,b,c"),
+    query("doubled_triangle", "R(a,b) R2(a,b) S(b,c) T(c,a)", "a,b,c"),
+    query("two_parts", "R(a,b) S(c,d)", "a,c"),
+    query("single", "R(a,b)", "a"),
+]
+CLASS_NAMES = ["free_connex", "free_connex", "acyclic", "acyclic", "free_connex", "cyclic", "cyclic", "disconnected", "free_connex"]
+BATCH = 100_000
+STATE_SEQ = 5_500_000
+STREAM = query("stream", "CN(c,n) OC(o,c)", "n,o")
+PIPED_LINES = ["+|KN|1|5|6", "-|KN|1|5|6", "*", "?|KN|1", "+|XX|1", "+", "+|PE|7||x||", "+|ME|3|a"]
+TABLED_LINES = ['1 title 7,"a, b",x', '0 title 7,"a, b",x', "title 8,,y", "noline", "1 title", '1 note 9,"say \\"hi\\" \\\\ \\n",z']
+CSV_LINES = ["a,b", " a , b ", '"a,b",c', '"x \\"y\\"",z', "a,,c", "a,", ""]
+REGISTRY = [("KN", "knows1", 1, [1, 2]), ("KN", "knows2", 1, [2, 1]), ("PE", "person1", 0, [0, 2]), ("ME", "message1", 0, [0, 5])]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def path_join_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cn, oc, lo = (relation(spark, sf_dir, x) for x in ("CN", "OC", "LO"))
-        return cn.join(oc, "c").join(lo, "o").select("n", "p").distinct()
+def _tables(spark: SparkSession, sf_dir: str) -> sn.Tables:
+    return lambda name: src.relation(spark, sf_dir, name)
 
-    return {"path_join_3": path_join_3}
+
+def _logs(spark: SparkSession, sf_dir: str) -> lt.Logs:
+    return lambda name: src.change_log(spark, sf_dir, name)
+
+
+def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
+
+
+def _joined_sql(q: Query, rows: Callable[[str], str] = src.relation_sql, extra: Callable[[int], str] = lambda k: "") -> str:
+    """The natural join of the query's atoms as a FROM clause."""
+    width = {r: len(c) for r, (_, c) in src.RELATIONS.items()}
+    parts = []
+    for k, a in enumerate(sn._in_order(q)):
+        names = list(src.RELATIONS[a.relation][1])[: width[a.relation]]
+        parts.append(f"(SELECT {', '.join(f'{c} AS {x}' for c, x in zip(names, a.attrs, strict=True))}{extra(k)} FROM ({rows(a.relation)}))")
+    return " NATURAL JOIN ".join(parts)
+
+
+def _snapshot_sql(q: Query) -> str:
+    return f"SELECT DISTINCT {', '.join(q.out)} FROM {_joined_sql(q)}"
+
+
+def _lives_sql(name: str) -> str:
+    cols = ", ".join(src.RELATIONS[name][1])
+    return f"SELECT {cols}, seq AS s_, e_ FROM (SELECT *, coalesce(lead(seq) OVER (PARTITION BY {cols} ORDER BY seq), {lt.FOREVER}) AS e_ FROM ({src.change_log_sql(name)})) WHERE op = '+'"
+
+
+def _joined_lives_sql(q: Query) -> str:
+    n = len(q.atoms)
+    s, e = (f"{f}({', '.join(f'{c}{k}' for k in range(n))})" if n > 1 else f"{c}0" for f, c in (("greatest", "s"), ("least", "e")))
+    return f"SELECT * FROM (SELECT DISTINCT {', '.join(q.out)}, {s} AS s_, {e} AS e_ FROM {_joined_sql(q, _lives_sql, lambda k: f', s_ AS s{k}, e_ AS e{k}')}) WHERE s_ < e_"
+
+
+def _delta_sql(q: Query) -> str:
+    y = ", ".join(q.out)
+    return f"""
+WITH j AS ({_joined_lives_sql(q)}),
+f AS (SELECT *, CASE WHEN max(e_) OVER (PARTITION BY {y} ORDER BY s_, e_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s_ THEN 0 ELSE 1 END AS fresh FROM j),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY {y} ORDER BY s_, e_ ROWS UNBOUNDED PRECEDING) AS island FROM f),
+m AS (SELECT {y}, min(s_) AS s_, max(e_) AS e_ FROM i GROUP BY {y}, island)
+SELECT '+' AS op, s_ AS seq, {y} FROM m UNION ALL SELECT '-' AS op, e_ AS seq, {y} FROM m WHERE e_ < {lt.FOREVER}"""
+
+
+def _tagged(queries: list[Query], sql: Callable[[Query], str], first: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS qid, {first}{', '.join(f'{c} AS y{i + 1}' for i, c in enumerate(q.out))} FROM ({sql(q)})" for k, q in enumerate(queries))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> View:
+    """The maintained view after a run over four files of changes."""
+    root = f"{src.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    logs = _logs(spark, sf_dir)
+    parts = []
+    for name in ("CN", "OC"):
+        log = logs(name)
+        cells = [c for c in log.columns if c not in ("op", "seq")]
+        parts.append(log.select(F.lit(name).alias("rel"), F.array(*(F.col(c).cast("string") for c in cells)).alias("cells"), "op", "seq"))
+    changes = src.written(parts[0].unionByName(parts[1]), "changes")
+    bounds = [0, 1_004_000, 5_000_000, 8_000_000, lt.FOREVER]
+    for lo, hi in zip(bounds, bounds[1:]):
+        changes.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    view = View(spark, STREAM, f"{root}/view")
+    source = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    view.start(source).awaitTermination()
+    return view
+
+
+def queries() -> dict[str, Run]:
+    found: dict[str, Run] = {}
+    for q in SNAPSHOTS:
+        found[q.name] = lambda spark, d, q=q: sn.snapshot(_tables(spark, d), q)
+    for q in REDUCED:
+        found[q.name] = lambda spark, d, q=q: sn.reduced(_tables(spark, d), q)
+    for q in DELTAS:
+        found[q.name] = lambda spark, d, q=q: lt.delta_log(_logs(spark, d), q)
+
+    def semi_join_existence(spark: SparkSession, d: str) -> DataFrame:
+        t = _tables(spark, d)
+        return sn.natural_join(t("OC"), t("LO"), "left_semi").select("c").distinct()
+
+    def classified(spark: SparkSession, d: str) -> DataFrame:
+        t = _tables(spark, d)
+        few = t("LO").where("p % 3 = 0")
+        return sn.satisfied(t("OC"), [t("CN").where("n % 2 = 0"), few])
+
+    def nations(spark: SparkSession, d: str) -> DataFrame:
+        t = _tables(spark, d)
+        return sn.generalized([t("CN").where("n < 20"), t("SN").where("n > 4")], ["n"])
+
+    def replay_differences(spark: SparkSession, d: str) -> DataFrame:
+        q, logs = query("r", "CN(c,n) OC(o,c)", "n,o"), _logs(spark, d)
+        a, b = lt.replayed(lt.delta_log(logs, q), STATE_SEQ), lt.state_at(logs, q, STATE_SEQ)
+        return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_different"))
+
+    def broken_log(spark: SparkSession, d: str) -> DataFrame:
+        """Orders' log with repeated inserts of every 11th order and deletes of orders that never were."""
+        log = src.change_log(spark, d, "OC")
+        first = log.where("op = '+' AND o % 11 = 0 AND seq < 4000000")
+        return log.unionByName(first.withColumn("seq", F.expr("seq + 100"))).unionByName(first.select((-F.col("o") - 1).alias("o"), "c", F.lit("-").alias("op"), "seq"))
+
+    def csv_split_cases(spark: SparkSession, d: str) -> DataFrame:
+        return _lines(spark, CSV_LINES).select("line_no", F.array_join(up.csv_fields("value"), "|").alias("fields"), F.size(up.csv_fields("value")).alias("n"))
+
+    found |= {
+        "semi_join_existence": semi_join_existence,
+        "alive_tuples": lambda spark, d: classified(spark, d).where("alive").select("o", "c"),
+        "onhold_tuples": lambda spark, d: classified(spark, d).where("NOT alive").select("o", "c", "n_satisfied"),
+        "key_count": lambda spark, d: src.relation(spark, d, "OC").groupBy("c").agg(F.count(F.lit(1)).alias("n_alive")),
+        "derivation_count": lambda spark, d: sn.derivations(_tables(spark, d), query("d", "CN(c,n) OC(o,c) LO(o,p)", "n,p")),
+        "generalized_alive": lambda spark, d: nations(spark, d).where("alive").select("n"),
+        "generalized_onhold": lambda spark, d: nations(spark, d).where("NOT alive").select("n", "n_children"),
+        "live_view": lambda spark, d: sn.live_view(_tables(spark, d), LIVE[2], 0),
+        "query_set_union": lambda spark, d: sn.query_sets(_tables(spark, d), LIVE, 0),
+        "multi_query": lambda spark, d: sn.many(_tables(spark, d), MULTI),
+        "multi_query_shared": lambda spark, d: sn.shared(_tables(spark, d), SHARED_NODE, SHARING),
+        "isomorphic_queries": lambda spark, d: sn.many(_tables(spark, d), ISOMORPHIC),
+        "annotation_product": lambda spark, d: sn.annotated(_tables(spark, d), query("a", "CN(c,n) OC(o,c)", "n,o"), {"CN": "1 + c % 3", "OC": "1 + o % 5"}),
+        "insert_log": lambda spark, d: lt.formatted(lt.delta_log(_logs(spark, d), DELTAS[0]).where("op = '+'")),
+        "delete_log": lambda spark, d: lt.formatted(lt.delta_log(_logs(spark, d), DELTAS[0]).where("op = '-'")),
+        "delta_delete_path": lambda spark, d: lt.delta_log(_logs(spark, d), DELTAS[1]).where("op = '-'"),
+        "delta_multi_query": lambda spark, d: lt.delta_logs(_logs(spark, d), [DELTAS[0], DELTAS[1], DELTAS[5]]),
+        "state_at_seq": lambda spark, d: lt.state_at(_logs(spark, d), DELTAS[1], STATE_SEQ),
+        "delta_sum_equals_snapshot": replay_differences,
+        "delta_netted_batches": lambda spark, d: lt.netted(lt.delta_log(_logs(spark, d), DELTAS[1]), BATCH),
+        "duplicate_insert_check": lambda spark, d: lt.violations(broken_log(spark, d)).where("violation = 'duplicate_insert'"),
+        "missing_delete_check": lambda spark, d: lt.violations(broken_log(spark, d)).where("violation = 'missing_delete'"),
+        "parse_snb_lines": lambda spark, d: up.decode_piped(_lines(spark, PIPED_LINES)).withColumn("cells", F.array_join("cells", ";")),
+        "parse_job_lines": lambda spark, d: up.decode_tabled(_lines(spark, TABLED_LINES)).withColumn("cells", F.array_join("cells", ";")),
+        "csv_split_cases": csv_split_cases,
+        "fanout_routing": lambda spark, d: up.routed(up.decode_piped(_lines(spark, PIPED_LINES)), REGISTRY).withColumn("values", F.array_join("values", ";", "<none>")),
+        "query_classification": lambda spark, d: spark.createDataFrame([(q.name, classify(q)) for q in CLASSES], "query string, kind string"),
+        "stream_microbatch_total": lambda spark, d: _stream(spark, d).results().select(F.col("n").cast("bigint").alias("n"), F.col("o").cast("bigint").alias("o")),
+        "stream_microbatch_output": lambda spark, d: _stream(spark, d).output().groupBy("op").agg(F.count(F.lit(1)).alias("changes")),
+    }
+    return found
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    text = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS INTEGER)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {text}) AS t({names})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "path_join_3": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS n, l_partkey AS p FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"
+    r = src.relation_sql
+    children = f"WITH oc AS ({r('OC')}), x AS (SELECT o, c, CASE WHEN c IN (SELECT c FROM ({r('CN')}) WHERE n % 2 = 0) THEN 1 ELSE 0 END + CASE WHEN o IN (SELECT o FROM ({r('LO')}) WHERE p % 3 = 0) THEN 1 ELSE 0 END AS n_satisfied FROM oc)"
+    keys = f"WITH k AS (SELECT DISTINCT n, 0 AS side FROM ({r('CN')}) WHERE n < 20 UNION ALL SELECT DISTINCT n, 1 FROM ({r('SN')}) WHERE n > 4), g AS (SELECT n, CAST(count(*) AS INTEGER) AS n_children FROM k GROUP BY n)"
+    co = _snapshot_sql(SHARED_NODE)
+    live = [f"SELECT DISTINCT o, c FROM {_joined_sql(q)}" for q in LIVE]
+    broken = f"WITH l AS ({src.change_log_sql('OC')}), f AS (SELECT * FROM l WHERE op = '+' AND o % 11 = 0 AND seq < 4000000), b AS (SELECT o, c, op, seq FROM l UNION ALL SELECT o, c, op, seq + 100 FROM f UNION ALL SELECT -o - 1, c, '-', seq FROM f), w AS (SELECT *, lag(op) OVER (PARTITION BY o, c ORDER BY seq, op) AS prev FROM b)"
+    formatted = "SELECT op || ' 0 ' || n || ', ' || o AS line FROM ({}) WHERE op = '{}'"
+    found = {q.name: _snapshot_sql(q) for q in [*SNAPSHOTS, *REDUCED]} | {q.name: _delta_sql(q) for q in DELTAS}
+    last = _delta_sql(STREAM)
+    bounds = [0, 1_004_000, 5_000_000, 8_000_000, lt.FOREVER]
+    batch = " ".join(f"WHEN seq < {hi} THEN {k}" for k, hi in enumerate(bounds[1:]))
+    return found | {
+        "semi_join_existence": f"SELECT DISTINCT c FROM ({r('OC')}) WHERE o IN (SELECT o FROM ({r('LO')}))",
+        "alive_tuples": f"{children} SELECT o, c FROM x WHERE n_satisfied = 2",
+        "onhold_tuples": f"{children} SELECT o, c, n_satisfied FROM x WHERE n_satisfied < 2",
+        "key_count": f"SELECT c, count(*) AS n_alive FROM ({r('OC')}) GROUP BY c",
+        "derivation_count": f"SELECT n, p, count(*) AS n_derivations FROM {_joined_sql(query('d', 'CN(c,n) OC(o,c) LO(o,p)', 'n,p'))} GROUP BY n, p",
+        "generalized_alive": f"{keys} SELECT n FROM g WHERE n_children = 2",
+        "generalized_onhold": f"{keys} SELECT n, n_children FROM g WHERE n_children < 2",
+        "live_view": live[2],
+        "query_set_union": f"SELECT o, c, string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) AS qids FROM ({' UNION ALL '.join(f'SELECT o, c, {k} AS qid FROM ({s})' for k, s in enumerate(live))}) GROUP BY o, c",
+        "multi_query": _tagged(MULTI, _snapshot_sql),
+        "multi_query_shared": f"WITH co AS ({co}) SELECT DISTINCT 0 AS qid, co.n AS y1, l.p AS y2 FROM co JOIN ({r('LO')}) l ON l.o = co.o UNION ALL SELECT DISTINCT 1, nr.r, co.o FROM co JOIN ({r('NR')}) nr ON nr.n = co.n UNION ALL SELECT 2, n, o FROM co",
+        "isomorphic_queries": _tagged(ISOMORPHIC, _snapshot_sql),
+        "annotation_product": f"SELECT n, o, CAST((1 + c % 3) * (1 + o % 5) AS DOUBLE) AS ann FROM {_joined_sql(query('a', 'CN(c,n) OC(o,c)', 'n,o'))}",
+        "insert_log": formatted.format(_delta_sql(DELTAS[0]), "+"),
+        "delete_log": formatted.format(_delta_sql(DELTAS[0]), "-"),
+        "delta_delete_path": f"SELECT * FROM ({_delta_sql(DELTAS[1])}) WHERE op = '-'",
+        "delta_multi_query": _tagged([DELTAS[0], DELTAS[1], DELTAS[5]], _delta_sql, "op, seq, "),
+        "state_at_seq": f"SELECT DISTINCT n, p FROM ({_joined_lives_sql(DELTAS[1])}) WHERE s_ <= {STATE_SEQ} AND e_ > {STATE_SEQ}",
+        "delta_sum_equals_snapshot": "SELECT CAST(0 AS BIGINT) AS n_different",
+        "delta_netted_batches": f"SELECT batch, CASE WHEN k > 0 THEN '+' ELSE '-' END AS op, n, p FROM (SELECT seq // {BATCH} AS batch, n, p, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({_delta_sql(DELTAS[1])}) GROUP BY ALL) WHERE k <> 0",
+        "duplicate_insert_check": f"{broken} SELECT o, c, op, seq, 'duplicate_insert' AS violation FROM w WHERE op = '+' AND prev = '+'",
+        "missing_delete_check": f"{broken} SELECT o, c, op, seq, 'missing_delete' AS violation FROM w WHERE op = '-' AND coalesce(prev, '-') = '-'",
+        "parse_snb_lines": _values([(0, "+", "KN", "1;5;6"), (1, "-", "KN", "1;5;6"), (4, "+", "XX", "1"), (6, "+", "PE", "7;;x"), (7, "+", "ME", "3;a")], "line_no, op, tag, cells"),
+        "parse_job_lines": _values([(0, "+", "title", "7;a, b;x"), (1, "-", "title", "7;a, b;x"), (2, "+", "title", "8;null;y"), (5, "+", "note", '9;say "hi" \\ \\n;z')], "line_no, op, tag, cells"),
+        "csv_split_cases": _values([(0, "a|b", 2), (1, "a|b", 2), (2, "a,b|c", 2), (3, 'x "y"|z', 2), (4, "a||c", 3), (5, "a|", 2), (6, "", 0)], "line_no, fields, n"),
+        "fanout_routing": "SELECT line_no, op, relation, CAST(key AS BIGINT) AS key, \"values\", ok FROM (" + _values([(0, "+", "knows1", 5, "5;6", True), (0, "+", "knows2", 5, "6;5", True), (1, "-", "knows1", 5, "5;6", True), (1, "-", "knows2", 5, "6;5", True), (6, "+", "person1", 7, "7;x", True), (7, "+", "message1", 3, "3;<none>", False)], 'line_no, op, relation, key, "values", ok') + ")",
+        "query_classification": _values([(q.name, k) for q, k in zip(CLASSES, CLASS_NAMES, strict=True)], '"query", kind'),
+        "stream_microbatch_total": f"SELECT n, o FROM (SELECT n, o, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({last}) GROUP BY n, o) WHERE k > 0",
+        "stream_microbatch_output": f"SELECT op, count(*) AS changes FROM (SELECT batch, n, o, CASE WHEN k > 0 THEN '+' ELSE '-' END AS op FROM (SELECT CASE {batch} END AS batch, n, o, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({last}) GROUP BY ALL) WHERE k <> 0) GROUP BY op",
     }
