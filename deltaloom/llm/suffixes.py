@@ -303,7 +303,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def settle(open_texts: DataFrame, total: int) -> DataFrame:
-    """(tid, at): the open windows of (tid, text, open, told) that occur twice, start by start, in parts of each text."""
+    """(tid, at): the starts of the open windows of (tid, text, open, told) that occur twice, one row per text.
+
+    Windows go to the bucket of their hash, and those found twice to a bucket of their text, as
+    packed arrays: the rows between are as many as the buckets' pairs, not as the texts' parts.
+    """
     buckets = max(1, -(-total // BUCKET_WINDOWS))
     spec = "bucket int, a binary, b binary, tid binary, at binary"
 
@@ -338,15 +342,28 @@ def settle(open_texts: DataFrame, total: int) -> DataFrame:
         a, b, tid, at = a[order], b[order], tid[order], at[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         hit = (np.r_[same, False] | np.r_[False, same]) & (at >= 0)
-        tid, at = tid[hit], at[hit]
+        return pa.Table.from_batches(packed(tid[hit], at[hit]), schema)
+
+    def packed(tid: np.ndarray, at: np.ndarray) -> list[pa.RecordBatch]:
+        own = (mix(tid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        tid, at = tid[order], at[order]
+        edges = np.searchsorted(own[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(edges))
+        columns = [[x[edges[o] : edges[o + 1]].tobytes() for o in full] for x in (tid, at)]
+        return [pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)]
+
+    def by_text(key: tuple, rows: pa.Table) -> pa.Table:
+        tid, at = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("tid", np.int64), ("at", np.int32)))
         order = np.argsort(tid, kind="stable")
         tid, at = tid[order], at[order]
-        edge = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]]) if len(tid) else np.zeros(0, np.int64)
-        ends = pa.array(np.r_[edge, len(at)].astype(np.int32))
-        return pa.table([pa.array(tid[edge]), pa.ListArray.from_arrays(ends, pa.array(at))], ["tid", "at"])
+        edge = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]])
+        return pa.table([pa.array(tid[edge]), pa.ListArray.from_arrays(pa.array(np.r_[edge, len(at)].astype(np.int32)), pa.array(at))], ["tid", "at"])
 
+    schema = pa.schema([("owner", pa.int32()), ("tid", pa.binary()), ("at", pa.binary())])
     sent = open_texts.select("tid", "text", "open", "told").mapInArrow(emit, spec)
-    return sent.groupBy("bucket").applyInArrow(twice, "tid bigint, at array<int>")
+    found = sent.groupBy("bucket").applyInArrow(twice, "owner int, tid binary, at binary")
+    return found.groupBy("owner").applyInArrow(by_text, "tid bigint, at array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -372,7 +389,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     counts = F.expr("aggregate(sequence(0, size(x) div 2 - 1), 0L, (s, i) -> s + x[2 * i + 1] - x[2 * i])")
     open_ = held.where("size(open) + size(told) > 0")
     total = sum(open_.where(f"size({c}) > 0").select(F.col(c).alias("x")).agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0] for c in ("open", "told"))
-    settled = cut(settle(open_, total), "settled").groupBy("tid").agg(F.flatten(F.collect_list("at")).alias("at"))
+    settled = cut(settle(open_, total), "settled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
