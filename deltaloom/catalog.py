@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaloom.functions.fields import csv_fields
 from deltaloom.operators import lifetimes as lt
 from deltaloom.operators import snapshot as sn
 from deltaloom.plans.model import Query, classify, query
@@ -182,7 +183,7 @@ def queries() -> dict[str, Run]:
         return log.unionByName(first.withColumn("seq", F.expr("seq + 100"))).unionByName(first.select((-F.col("o") - 1).alias("o"), "c", F.lit("-").alias("op"), "seq"))
 
     def csv_split_cases(spark: SparkSession, d: str) -> DataFrame:
-        return _lines(spark, CSV_LINES).select("line_no", F.array_join(up.csv_fields("value"), "|").alias("fields"), F.size(up.csv_fields("value")).alias("n"))
+        return _lines(spark, CSV_LINES).select("line_no", F.array_join(csv_fields("value"), "|").alias("fields"), F.size(csv_fields("value")).alias("n"))
 
     found |= {
         "semi_join_existence": semi_join_existence,

@@ -7,9 +7,11 @@ relations an event tag feeds and which fields they load.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.functions.fields import csv_fields
+
 
 def decode_piped(lines: DataFrame) -> DataFrame:
     """(op, tag, cells) of lines (value): op is + or -; shorter lines and other ops are left out, and so are trailing empty fields."""
@@ -17,27 +19,6 @@ def decode_piped(lines: DataFrame) -> DataFrame:
     return parts.select(*(c for c in lines.columns if c != "value"), F.col("_p")[0].alias("op"), F.col("_p")[1].alias("tag"), F.expr("slice(_p, 3, size(_p))").alias("cells"))
 
 
-def csv_fields(line: str | Column) -> Column:
-    """The fields of a comma-separated line as an array, trimmed.
-
-    Commas inside quotes don't split; inside quotes a backslash escapes a quote or itself and is kept
-    before anything else; the quotes go. An empty or null line has no fields.
-    """
-    line = F.col(line) if isinstance(line, str) else line
-    quoted = r'"(?:\\.|[^"\\])*"'
-    fields = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(rf'((?:{quoted}|[^,"]|"(?!(?:\\.|[^"\\])*"))*),'), F.lit(1))
-
-    def plain(part: Column) -> Column:
-        inner = F.substring(part, 2, F.length(part) - 2)
-        return F.when(part.rlike(rf"^{quoted}$"), F.regexp_replace(inner, r'\\(["\\])', "$1")).otherwise(F.replace(part, F.lit('"'), F.lit("")))
-
-    def field(text: Column) -> Column:
-        parts = F.regexp_extract_all(text, F.lit(rf'{quoted}|[^"]+|"'), F.lit(0))
-        return F.trim(F.array_join(F.transform(parts, plain), ""))
-
-    return F.when(F.length(F.trim(line)) > 0, F.transform(fields, field)).otherwise(F.array().cast("array<string>"))
-
-
 def decode_tabled(lines: DataFrame) -> DataFrame:
     """(op, tag, cells) of lines (value); empty fields become the text 'null', so that they join with each other."""
     line, pattern = F.trim("value"), r"^(?:([01])\s+)?(\S+)\s+(.*)$"

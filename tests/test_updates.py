@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from deltaloom.functions.fields import csv_fields
 from deltaloom.sources import updates as up
 
 
@@ -28,7 +29,7 @@ def test_missing_values_join(spark):
 def test_csv(spark):
     cases = {'ab"c,d"e,f': ["abc,de", "f"], r'"a\"b\\c\n"': [r'a"b\c\n'], r"a\"b"[:2]: ["a\\"], " x ,  y": ["x", "y"], ",": ["", ""], "": []}
     frame = spark.createDataFrame(list(cases.items()), "value string, want array<string>")
-    for r in frame.select("value", "want", up.csv_fields("value").alias("got")).collect():
+    for r in frame.select("value", "want", csv_fields("value").alias("got")).collect():
         assert r.got == r.want, r.value
 
 
