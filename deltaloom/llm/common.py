@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,20 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaloom.sources.tables import shared_dir
+
 #: Rows and bytes of one Arrow batch that a Python worker holds; texts can be long.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="deltaloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
