@@ -47,9 +47,11 @@ MAIN_TAGS = frozenset(("article", "main"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark page furniture, and those that mark the article.
 BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|more-stories|pagination|pager|tags|toolbar|search|comments?|commentlist|reply|replies|disqus|respond|skip|alert|contentinfo|complementary|search|dialog|form)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|more-stories|pagination|pager|tags|toolbar|search|comments?|commentlist|reply|replies|disqus|respond|skip|alert|contentinfo|complementary|search|dialog|form)(?:$|[\s_-])",
     re.I,
 )
+#: Marks that mean furniture of the page, but the headline's place inside an article.
+HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:main|article|articlebody|post|entry|story|content|body-?text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>{RAW_TAGS})\b(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
@@ -78,16 +80,17 @@ class _Open:
     hidden: bool
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
-    """(boilerplate, main, hidden) by the attributes of a tag."""
+def _marks(attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate, main, hidden) by the attributes of a tag; `inside` an article its header is text."""
     boiler = main = hidden = False
     for name, a, b, c in _ATTR.findall(attrs):
         value, name = html.unescape(a or b or c), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         elif name in ("class", "id", "role"):
-            boiler |= bool(BOILER_WORDS.search(value))
-            main |= bool(MAIN_WORDS.search(value))
+            named = bool(MAIN_WORDS.search(value))
+            boiler |= bool(BOILER_WORDS.search(HEADER_WORDS.sub(" ", value) if inside or named else value))
+            main |= named
     return boiler, main and not boiler, hidden
 
 
@@ -161,7 +164,7 @@ def blocks(page: str) -> list[Block]:
         if m["attrs"].endswith("/") and tag not in BLOCK_TAGS:
             continue
         top = stack[-1]
-        boiler, main, hidden = _marks(m["attrs"])
+        boiler, main, hidden = _marks(m["attrs"], top.main)
         is_main = tag in MAIN_TAGS or main
         is_boiler = tag in BOILER_TAGS or boiler and tag not in ("html", "body") or tag == "header" and not top.main
         if tag not in BLOCK_TAGS and not (hidden or is_boiler or tag in HIDDEN_TAGS):
