@@ -261,7 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where(f"toxic IS NOT NULL AND doc_id IS NOT NULL AND {crc_mod('doc_id', FOLDS)} <> 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sample = cut(texts.join(chosen, "doc_id").select("text", "toxic"), "toxic-sample")
+    # at most sample_rows pairs of two numbers: small enough to send to the texts
+    sample = cut(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
     stems = learn_stems(sample)
     grammar = default_grammar({s: k for s, k in stems.items() if not s.startswith("=")})
     grammar.words |= {s[1:]: k for s, k in stems.items() if s.startswith("=")}
