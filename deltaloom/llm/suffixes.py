@@ -46,8 +46,10 @@ CONTEXT = 8
 DEPTH = 9
 #: Bits of the filter of candidate texts, at least and at most.
 BLOOM_BITS = (1 << 20, 1 << 27)
-#: Windows of a bucket, about.
-BUCKET_WINDOWS = 1 << 20
+#: Windows of a bucket, about: what a worker sorts at a time.
+BUCKET_WINDOWS = 1 << 19
+#: Bytes of text that a worker turns into arrays at a time.
+STEP = 2 << 20
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +77,7 @@ def phrase_table(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP):
             bounds, names = [], []
             for t in batch.column("text").to_pylist():
                 data = t.encode("utf-8", "replace")
@@ -313,7 +315,7 @@ def settle(open_texts: DataFrame, total: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP):
             for tid, text, maybe, told in zip(*(batch.column(c) for c in ("tid", "text", "open", "told")), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
                 n = len(data) - WIDTH + 1
@@ -392,7 +394,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     settled = cut(settle(open_, total), "settled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for digest, copies, text, sure, at in zip(*(batch.column(c) for c in ("digest", "copies", "text", "sure", "at")), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
