@@ -134,21 +134,22 @@ def hits(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
 def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """The best segment of an item on a diagonal of a document: (first word in the document, words, matched).
 
-    All that both have on the diagonal counts if IDENTITY of it agrees; else the segment with the
-    largest sum of 1 per match and -4 per mismatch, of which IDENTITY agrees by construction.
+    All that both have on the diagonal counts if IDENTITY of it agrees; else, of the segments of
+    which IDENTITY agrees, one with the most matches, without mismatches at its ends.
     """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
     need = min(MATCHED, len(item))
     if len(same) == len(item) and same.sum() >= max(IDENTITY * len(same), min(need, IDENTITY * len(item))):
         return lo + diagonal, len(same), int(same.sum())
-    cost = IDENTITY / (1 - IDENTITY)
-    sums = np.r_[0, np.cumsum(np.where(same, 1.0, -cost))]
-    least = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - least))
-    start = int(np.argmin(sums[: end + 1]))
-    matched = int(same[start:end].sum())
-    return (lo + diagonal + start, end - start, matched) if matched >= need else None
+    # IDENTITY of a segment agrees if its sum of 1 per match and -cost per mismatch is not negative
+    cost = round(IDENTITY / (1 - IDENTITY), 6)
+    sums, matches = np.r_[0, np.cumsum(np.where(same, 1.0, -cost))], np.r_[0, np.cumsum(same)]
+    # for each end the first start from which the sum is not negative
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(matches - matches[starts]))
+    hits = np.flatnonzero(same[starts[end] : end]) + starts[end]
+    return (lo + diagonal + int(hits[0]), int(hits[-1] - hits[0]) + 1, len(hits)) if len(hits) >= need else None
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

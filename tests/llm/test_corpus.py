@@ -372,6 +372,38 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(odd[1].limit(0), items).isEmpty()
 
 
+def brute_overlap(doc, item):
+    """The most words that agree on a segment of which IDENTITY agrees, over all diagonals."""
+    best = 0
+    for d in range(-len(item), len(doc)):
+        same = [item[k] == doc[k + d] for k in range(max(0, -d), min(len(item), len(doc) - d))]
+        for i in range(len(same)):
+            for j in range(i + 1, len(same) + 1):
+                n = sum(same[i:j])
+                if 5 * n >= 4 * (j - i):
+                    best = max(best, n)
+    return best
+
+
+def test_substituted_parts(spark):
+    """Parts of items with replaced words, against all segments of all diagonals."""
+    rng = random.Random(9)
+    item = [[f"i{k}w{n}" for n in range(60)] for k in range(2)]
+    texts = [[*item[0][:12], *(w if n % 5 else f"no{n}" for n, w in enumerate(item[0][12:27], 0))]]
+    for i in range(60):
+        size, swaps = rng.choice([(20, 2), (20, 3), (20, 4), (30, 4), (30, 5), (30, 6), (16, 3), (15, 3)])
+        at = rng.randrange(60 - size)
+        part = item[i % 2][at : at + size]
+        for k in rng.sample(range(size), swaps):
+            part[k] = f"swap{i}x{k}"
+        texts.append([f"f{i}a", *part, f"f{i}b", f"f{i}c"])
+    items = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(item)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), items).collect()}
+    best = {(i, k): brute_overlap(t, x) for i, t in enumerate(texts) for k, x in enumerate(item)}
+    assert got == {k: n for k, n in best.items() if n >= decontaminate.MATCHED}
+    assert (0, 0) in got and 20 < len(got) < 61
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 
 
