@@ -66,12 +66,10 @@ class Grammar:
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def automaton(self) -> ahocorasick.Automaton:
+        """Spellings with their length, what they are as a whole word, and as the start of a longer one."""
         found = ahocorasick.Automaton()
-        for w, kind in self.stems.items():
-            found.add_word(w, (len(w), kind, False))
-        for w, kind in self.words.items():
-            if w not in self.stems:
-                found.add_word(w, (len(w), kind, True))
+        for w in self.words.keys() | self.stems.keys():
+            found.add_word(w, (len(w), self.words.get(w), self.stems.get(w)))
         found.make_automaton()
         return found
 
@@ -117,12 +115,13 @@ def clause_counts(text: str, automaton: ahocorasick.Automaton) -> Counter:
     """How many clauses of the text match, by index of their reading."""
     low, counts, done = text.lower(), Counter(), -1
     hits: dict[tuple[int, int], dict[str, str]] = {}
-    for end, (length, kind, whole) in automaton.iter(low):
+    for end, (length, word, stem) in automaton.iter(low):
         start = end - length + 1
         if start and low[start - 1].isalpha():
             continue
         m = _WORD.match(low, start)
-        if not m or whole != (m.end() == end + 1):
+        kind = m and (word if m.end() == end + 1 else stem)
+        if not kind:
             continue
         if start >= done:
             left = max((low.rfind(c, 0, start) for c in ".!?;:\n\r"), default=-1) + 1

@@ -206,6 +206,19 @@ def test_toxic_readings():
     assert of("") == of("a clear idiom, trashed") == []
 
 
+def test_words_beside_their_stems():
+    """A spelling that is a whole word and a learned stem matches as either."""
+    grammar = toxicity.default_grammar({"moron": "insult", "kill": "insult", "zorb": "insult"})
+    grammar.words |= {"zorb": "insult"}
+
+    def of(text):
+        return [toxicity.READINGS[k] for k in toxicity.clause_counts(text, grammar.automaton())]
+
+    assert of("what a moron!") == of("what morons!") == of("a moronic idea") == of("a zorb") == of("some zorbs") == ["insult"]
+    assert of("I will kill you") == ["threat_target"] and of("you killjoy") == ["insult_target"]
+    assert of("an oxymoron") == of("a zor") == []
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(2)
     clean = ["".join(rng.choice("aeioukl") for _ in range(5)) for _ in range(200)]
