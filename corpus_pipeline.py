@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import bpe, decontaminate, simhash, suffixes, toxicity
+from deltaloom.llm import bpe, decontaminate, minhash, suffixes, toxicity
 from deltaloom.llm.common import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id; fingerprints link, and texts with 0.8 of their five-word shingles."""
-    found = simhash.similar(docs.where("doc_id IS NOT NULL"))
+    """Of each group the document with the smallest doc_id; texts link that share 0.8 of their five-word shingles."""
+    found = minhash.duplicates(docs.where("doc_id IS NOT NULL"))
     keep = cut(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

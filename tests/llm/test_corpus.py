@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import ann, bpe, components, decontaminate, html, lm, packing, queries, simhash, suffixes, tokens, toxicity, warc
+from deltaloom.llm import ann, bpe, components, decontaminate, html, lm, minhash, packing, queries, simhash, suffixes, tokens, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, ids int, fp string"
@@ -190,6 +190,54 @@ def test_sketches_estimate_similarity():
     assert abs(found[0] - 5986 / 6007) < 0.02 and found[1] == found[2] == 0
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def share(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def brute_similar(texts):
+    """doc -> smallest doc that pairs of equal words or a share of 0.8 reach."""
+    root, sets = {i: i for i in texts}, {i: shingles(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and (sets[a] == sets[b] or share(sets[a], sets[b]) >= 0.8)]
+    for _ in texts:
+        before = dict(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+def spread(words, swaps, tag):
+    """The words with `swaps` of them replaced, evenly spread."""
+    out = list(words)
+    for k in range(swaps):
+        out[(2 * k + 1) * len(words) // (2 * swaps)] = f"{tag}x{k}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_duplicates(spark, odd, monkeypatch, block):
+    """Swaps around 0.8, long texts near it, and groups over the block's size."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts, k = {i: t for i, t in odd[0] if i is not None}, 100
+    for n, swaps in ((50, 1), (100, 2), (200, 4)):
+        for g in range(6):
+            base = [f"n{n}s{swaps}g{g}w{j}" for j in range(n)]
+            for text in (" ".join(base), spread(base, swaps, f"swap{k}")):
+                texts[k], k = text, k + 1
+    base = [f"many{j}" for j in range(200)]
+    for j in range(30):
+        texts[k], k = spread(base, 1 + j % 3, f"own{j}"), k + 1
+    got = {r.doc_id: r.component_id for r in minhash.duplicates(docs_of(spark, texts.items())).collect()}
+    assert got == brute_similar(texts) and len(set(got.values())) < len(got) - 40
+    assert minhash.duplicates(odd[1].where("doc_id IS NOT NULL").limit(0)).isEmpty()
+
+
 # --- 2 -----------------------------------------------------------------------------------------
 
 
