@@ -225,7 +225,7 @@ def test_duplicates(spark, odd, monkeypatch, block):
     """Swaps around 0.8, long texts near it, and groups over the block's size."""
     monkeypatch.setattr(minhash, "BLOCK", block)
     texts, k = {i: t for i, t in odd[0] if i is not None}, 100
-    for n, swaps in ((50, 1), (100, 2), (200, 4)):
+    for n, swaps in ((50, 1), (100, 2), (200, 4), (3000, 60), (3000, 68), (3000, 75)):
         for g in range(6):
             base = [f"n{n}s{swaps}g{g}w{j}" for j in range(n)]
             for text in (" ".join(base), spread(base, swaps, f"swap{k}")):
