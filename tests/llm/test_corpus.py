@@ -238,6 +238,15 @@ def test_duplicates(spark, odd, monkeypatch, block):
     assert minhash.duplicates(odd[1].where("doc_id IS NOT NULL").limit(0)).isEmpty()
 
 
+def test_repeated_lines_are_no_similarity(spark, odd):
+    """Texts of one repeated line and their own words have near fingerprints and stay."""
+    line = "this is the line that all of the pages repeat "
+    rows = [(k, line * 40 + " ".join(f"own{k}w{j}" for j in range(100 + k))) for k in range(20)]
+    docs = docs_of(spark, rows)
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) < 20
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == 20
+
+
 # --- 2 -----------------------------------------------------------------------------------------
 
 
