@@ -1,6 +1,6 @@
 """Exact removal of repeated byte strings by a distributed difference-cover suffix array.
 
-A byte goes if a WIDTH-byte string that covers it starts anywhere else too. Sorting the suffixes at
+A byte goes if a WIDTH-byte string that covers it starts anywhere else too (another width may be given). Sorting the suffixes at
 every byte would move each byte many times over, so suffixes are sorted where the content itself
 says: texts are cut into phrases at local minima of a hash of the next bytes. Equal strings of WIDTH
 bytes hold the same cuts but for GUARD bytes at each end, and so the same sequence of phrases.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deltaloom.llm.common import bounded_batches, cut_at, pieces, remove
+from deltaloom.llm.common import bounded_batches, cut, cut_at, pieces, remove
 from deltaloom.llm.tokens import mix
 
 #: Bytes of a string that must not start at two places.
@@ -72,7 +72,7 @@ def cuts(data: bytes) -> np.ndarray:
     return np.flatnonzero((v < low[:n]) & (v < low[RADIUS + 1 : RADIUS + 1 + n]))
 
 
-def phrase_table(docs: DataFrame) -> DataFrame:
+def phrase_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(digest, n, bounds, names) per row of docs: cuts of the text, and a hash of each phrase between them."""
     bounded_batches(docs.sparkSession)
 
@@ -81,7 +81,7 @@ def phrase_table(docs: DataFrame) -> DataFrame:
             bounds, names = [], []
             for t in batch.column("text").to_pylist():
                 data = t.encode("utf-8", "replace")
-                at = cuts(data) if len(data) >= WIDTH else np.zeros(0, np.int64)
+                at = cuts(data) if len(data) >= width else np.zeros(0, np.int64)
                 ends = at.tolist()
                 bounds.append(at.astype(np.int32))
                 names.append(np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64).view(np.int64))
@@ -186,18 +186,18 @@ def shared_prefixes(runs: DataFrame, cut: _Cuts) -> DataFrame:
     return found.groupBy("tid", "k").agg(F.max("shared").alias("shared"), F.max(echo).alias("echo"))
 
 
-def windows(n: int, bounds: np.ndarray, shared: np.ndarray, echo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(n: int, bounds: np.ndarray, shared: np.ndarray, echo: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sure, open, told): window starts of one text, as booleans.
 
     sure: repeated by shared phrases. open: perhaps repeated. told: sure, and this text speaks for them.
     bounds are the cuts; shared and echo belong to the phrase that begins at each.
     """
-    last = n - WIDTH
+    last = n - width
     sure, maybe, told = np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32)
     m = len(bounds)
     if m:
         k = np.flatnonzero(shared > 0)
-        start, end = bounds[k], np.minimum(bounds[k + shared[k]] - WIDTH, last)
+        start, end = bounds[k], np.minimum(bounds[k + shared[k]] - width, last)
         k, start, end = (x[end >= start] for x in (k, start, end))
         np.add.at(sure, start, 1)
         np.add.at(sure, end + 1, -1)
@@ -212,7 +212,7 @@ def windows(n: int, bounds: np.ndarray, shared: np.ndarray, echo: np.ndarray) ->
     past = a[:-1] + shared + 1
     inside = past < m
     limit = np.full(m + 1, last)
-    limit[:-1][inside] = bounds[past[inside]] - (WIDTH - RADIUS - CONTEXT) - 1
+    limit[:-1][inside] = bounds[past[inside]] - (width - RADIUS - CONTEXT) - 1
     hi = np.minimum(hi, limit)
     ok = hi >= lo
     np.add.at(maybe, lo[ok], 1)
@@ -233,8 +233,8 @@ def _flags(runs: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(out)[:-1] > 0
 
 
-def window_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the WIDTH bytes at each of the positions."""
+def window_hashes(data: bytes, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the `width` bytes at each of the positions."""
     out = []
     b = np.frombuffer(data, np.uint8)
     for table, mul in zip((_A, _B), _MULS):
@@ -244,7 +244,7 @@ def window_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power, inverse = _powers[mul]
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(table[b] * power[: len(b)], out=sums[1:])
-        out.append(mix((sums[at + WIDTH] - sums[at]) * inverse[at]))
+        out.append(mix((sums[at + width] - sums[at]) * inverse[at]))
     return out[0], out[1]
 
 
@@ -252,10 +252,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array(arrays, pa.list_(pa.int32()))
 
 
-def decisions(texts: DataFrame, kept: DataFrame, lengths: DataFrame) -> DataFrame:
+def decisions(texts: DataFrame, kept: DataFrame, lengths: DataFrame, width: int = WIDTH) -> DataFrame:
     """(tid, sure, open, told): stretches of window starts, for texts that have any."""
     per_text = lengths.groupBy("tid").agg(F.collect_list(F.struct("k", "shared", "echo")).alias("l"))
-    joined = texts.where(f"n >= {WIDTH}").select("tid", "n", "bounds").join(kept, "tid", "left").join(per_text, "tid", "left")
+    joined = texts.where(f"n >= {width}").select("tid", "n", "bounds").join(kept, "tid", "left").join(per_text, "tid", "left")
     rows = joined.select("tid", "n", "bounds", "ks", F.col("l.k").alias("k"), F.col("l.shared").alias("shared"), F.col("l.echo").alias("echo"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def decisions(texts: DataFrame, kept: DataFrame, lengths: DataFrame) -> DataFram
                     k = r[4].values.to_numpy()
                     shared[k] = np.maximum(shared[k], r[5].values.to_numpy())
                     echo[k] = r[6].values.to_numpy(zero_copy_only=False)
-                found = windows(r[1].as_py(), bounds, shared, echo)
+                found = windows(r[1].as_py(), bounds, shared, echo, width)
                 if found[0].any() or found[1].any():
                     out[0].append(r[0].as_py())
                     for o, f in zip(out[1:], found):
@@ -280,7 +280,7 @@ def decisions(texts: DataFrame, kept: DataFrame, lengths: DataFrame) -> DataFram
     return rows.mapInArrow(run, "tid bigint, sure array<int>, open array<int>, told array<int>")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
     """(digest, text) of the wanted digests, once each. A bounded Bloom filter keeps most other texts out of the shuffle."""
     spark = docs.sparkSession
     n = wanted.count()
@@ -300,11 +300,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ok &= table.value[at // 62] >> (at % 62) & 1 > 0
             yield batch.filter(pa.array(ok)).select(["digest", "text"])
 
-    rows = _texts(docs).where(f"n >= {WIDTH}").select("digest", "text", *(F.expr(p).alias(f"p{k}") for k, p in enumerate(places)))
+    rows = _texts(docs).where(f"n >= {width}").select("digest", "text", *(F.expr(p).alias(f"p{k}") for k, p in enumerate(places)))
     return rows.mapInArrow(run, "digest string, text string").groupBy("digest").agg(F.first("text").alias("text")).join(wanted.select("digest"), "digest", "left_semi")
 
 
-def settle(open_texts: DataFrame, total: int) -> DataFrame:
+def settle(open_texts: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
     """(tid, at): the starts of the open windows of (tid, text, open, told) that occur twice, one row per text.
 
     Windows go to the bucket of their hash, and those found twice to a bucket of their text, as
@@ -318,11 +318,11 @@ def settle(open_texts: DataFrame, total: int) -> DataFrame:
         for batch in pieces(batches, "text", STEP):
             for tid, text, maybe, told in zip(*(batch.column(c) for c in ("tid", "text", "open", "told")), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
-                n = len(data) - WIDTH + 1
+                n = len(data) - width + 1
                 mine, others = (np.flatnonzero(_flags(x.values.to_numpy(), n)) for x in (maybe, told))
                 at = np.r_[mine, others]
                 if len(at):
-                    a, b = window_hashes(data, at)
+                    a, b = window_hashes(data, at, width)
                     at[len(mine) :] = -1
                     held.append((a, b.astype(np.uint32), np.full(len(at), tid.as_py()), at.astype(np.int32)))
             yield from deal(held)
@@ -368,42 +368,47 @@ def settle(open_texts: DataFrame, total: int) -> DataFrame:
     return found.groupBy("owner").applyInArrow(by_text, "tid bigint, at array<int>")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     """(digest, spans, n_removed, n_spans, kept, kept_text): for each text that loses bytes, once per distinct text.
 
     spans are starts and ends of the removed stretches, kept the remaining bytes; kept_text are its
     characters, without those that a removed stretch took a part of. Null texts are empty and, like
-    all texts under WIDTH bytes, lose nothing.
+    all texts under `width` bytes, lose nothing. With `words`, stretches of fewer words stay unless
+    they have WIDTH bytes. width is over RADIUS + CONTEXT and at most WIDTH, which DEPTH covers.
     """
+    if not RADIUS + CONTEXT < width <= WIDTH:
+        raise ValueError(f"width has to be in {RADIUS + CONTEXT + 1} to {WIDTH}, not {width}")
     spark = docs.sparkSession
     cut = _Cuts(spark)
-    table = phrase_table(docs.select("text")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bounds").alias("bounds"), F.first("names").alias("names"))
-    texts = cut(table.where(f"n >= {WIDTH}").withColumn("tid", F.monotonically_increasing_id()), "phrases")
+    table = phrase_table(docs.select("text"), width).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bounds").alias("bounds"), F.first("names").alias("names"))
+    texts = cut(table.where(f"n >= {width}").withColumn("tid", F.monotonically_increasing_id()), "phrases")
     kept, runs = repeated_runs(texts, cut)
     lengths = cut(shared_prefixes(runs, cut), "shared")
     cut.drop("runs", "names-9", "lengths")
-    found = decisions(texts, kept, lengths)
+    found = decisions(texts, kept, lengths, width)
     whole = texts.select("tid", "digest", "copies")
     marked = cut(whole.join(found, "tid", "left").where("sure IS NOT NULL OR copies > 1"), "decided")
     cut.drop("phrases", "kept", "shared")
-    held = cut(_texts_of(docs.select("text"), marked.select("digest")).join(marked, "digest"), "candidates")
+    held = cut(_texts_of(docs.select("text"), marked.select("digest"), width).join(marked, "digest"), "candidates")
     cut.drop("decided")
     counts = F.expr("aggregate(sequence(0, size(x) div 2 - 1), 0L, (s, i) -> s + x[2 * i + 1] - x[2 * i])")
     open_ = held.where("size(open) + size(told) > 0")
     total = sum(open_.where(f"size({c}) > 0").select(F.col(c).alias("x")).agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0] for c in ("open", "told"))
-    settled = cut(settle(open_, total), "settled")
+    settled = cut(settle(open_, total, width), "settled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", STEP):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for digest, copies, text, sure, at in zip(*(batch.column(c) for c in ("digest", "copies", "text", "sure", "at")), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
-                n = len(data) - WIDTH + 1
+                n = len(data) - width + 1
                 starts = np.ones(n, bool) if copies.as_py() > 1 else _flags(sure.values.to_numpy(), n)
                 if at.is_valid:
                     starts[at.values.to_numpy()] = True
                 edge = _runs_of(starts)
-                gone = _flags(np.where(np.arange(len(edge)) % 2, edge + WIDTH - 1, edge), len(data))
+                gone = _flags(np.where(np.arange(len(edge)) % 2, edge + width - 1, edge), len(data))
+                if words:
+                    gone = _flags(_long_runs(data, _runs_of(gone), words), len(data))
                 if gone.any():
                     spans = _runs_of(gone)
                     out[0].append(digest.as_py())
@@ -419,6 +424,59 @@ def repeats(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "digest string, spans array<int>, n_removed bigint, n_spans bigint, kept binary, kept_text string")
 
 
+def dense_repeats(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """(digest, dense): starts and ends of strings of so many words and under `width` bytes that start at two places.
+
+    They are what repeats() with that width can't see; texts of ordinary words hold few of them.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", STEP):
+            out: tuple[list, ...] = ([], [], [], [])
+            for digest, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data = t.encode("utf-8", "replace")
+                b = np.frombuffer(data, np.uint8)
+                edge = np.flatnonzero(np.diff(np.r_[False, (b != 32) & ((b < 9) | (b > 13)), False]))
+                start, end = edge[0::2], edge[1::2]
+                if len(start) < words:
+                    continue
+                start, end = start[: len(start) - words + 1], end[words - 1 :]
+                for k in np.flatnonzero(end - start < width).tolist():
+                    for o, x in zip(out, (digest, xxhash.xxh3_128_digest(data[start[k] : end[k]]), int(start[k]), int(end[k]))):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.binary(), pa.int32(), pa.int32()))], ["digest", "h", "a", "b"])
+
+    found = cut(_texts(docs.select("text")).select("digest", "text").mapInArrow(run, "digest string, h binary, a int, b int"), "dense")
+    often = found.groupBy("h").count().where("count > 1").select("h")
+    return found.join(often, "h", "left_semi").groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("dense"))
+
+
+def repeated_passages(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """(digest, kept_text) of each text that loses passages: repeats() and dense_repeats() together."""
+    lost = cut(repeats(docs, width, words).select("digest", "spans", "kept_text"), "lost")
+    dense = cut(dense_repeats(docs, width, words), "dense-lost")
+    both = dense.join(lost.select("digest", "spans"), "digest", "left").select("digest", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.expr("flatten(transform(dense, x -> array(x.a, x.b)))").alias("dense"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", STEP):
+            left = []
+            for t, spans, dense_ in zip(*(batch.column(c) for c in ("text", "spans", "dense")), strict=True):
+                data = t.as_py().encode("utf-8", "replace")
+                runs = _runs_of(_flags(np.r_[spans.values.to_numpy(), dense_.values.to_numpy()], len(data)))
+                left.append(b"".join(_whole_characters(data, runs)).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(left, pa.string())], ["digest", "kept_text"])
+
+    again = _texts(docs.select("text")).select("digest", "text").join(both, "digest").mapInArrow(run, "digest string, kept_text string").groupBy("digest").agg(F.first("kept_text").alias("kept_text"))
+    return lost.select("digest", "kept_text").join(dense.select("digest"), "digest", "left_anti").unionByName(again)
+
+
+def _long_runs(data: bytes, runs: np.ndarray, words: int) -> np.ndarray:
+    """The runs of WIDTH bytes or of so many words."""
+    long = [b - a >= WIDTH or len(data[a:b].split()) >= words for a, b in zip(runs[0::2].tolist(), runs[1::2].tolist())]
+    return runs[np.repeat(np.array(long, bool), 2)]
+
+
 def _whole_characters(data: bytes, spans: np.ndarray) -> Iterator[bytes]:
     """The stretches between the spans, each without bytes of characters that it only holds a part of."""
     for a, b in zip([0, *spans[1::2].tolist()], [*spans[0::2].tolist(), len(data)]):

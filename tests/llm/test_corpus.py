@@ -369,6 +369,33 @@ def test_suffix_dedup(spark, odd, tmp_path):
     assert suffixes.repeats(odd[1].limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("width", [80, 200])
+def test_repeats_of_other_widths(spark, width):
+    rng = random.Random(width)
+    parts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (width - 2, width - 1, width, width + 1, 250, 420)]
+    texts = ["".join(rng.choice([rng.choice(parts), "".join(rng.choice("efgh é") for _ in range(rng.randint(1, 200)))]) for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    data = [t.encode() for t in texts]
+    want = {hashlib.sha256(t).hexdigest(): x[1:3] for t, x in zip(data, brute_repeats(data, width)) if x[1]}
+    got = {r.digest: (r.n_removed, r.n_spans) for r in suffixes.repeats(docs_of(spark, enumerate(texts)), width).collect()}
+    assert got == want
+
+
+def test_passages_of_51_words(spark):
+    """Passages of over 50 words but under 400 bytes go; shorter ones stay."""
+    own = lambda k, n: " ".join(f"own{k}w{j}" for j in range(n))
+    long, short = (" ".join(f"{tag}{j:03}" for j in range(n)) for tag, n in (("p", 55), ("q", 45)))
+    rows = [(k, f"{own(k, 60)} {p} {own(k + 100, 60)}") for k, p in enumerate([long, long, short, short])]
+    assert 200 < len(short) < len(long) < 400
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs_of(spark, rows), SF).collect()}
+    assert all("p001" not in out[k] and "p053" not in out[k] and f"own{k}w0" in out[k] and f"own{k + 100}w59" in out[k] for k in (0, 1))
+    assert out[2] == rows[2][1] and out[3] == rows[3][1]
+    rng = random.Random(1)
+    tiny = " ".join(rng.choice("abcdefgh") for _ in range(55))
+    rows += [(4, f"{own(4, 60)} {tiny} {long}"), (5, f"{tiny}\n{own(5, 9)}"), (6, tiny[:99])]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs_of(spark, rows), SF).collect()}
+    assert len(tiny) < 200 and out[4].split() == own(4, 60).split() and out[5] == "\n" + own(5, 9) and out[6] == tiny[:99]
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
