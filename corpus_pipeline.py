@@ -18,7 +18,7 @@ from deltaloom.llm.common import cut
 
 #: Words of a repeated passage that goes, at least, and bytes from which repeats are found; shorter passages of so many words are found apart.
 PASSAGE_WORDS = 51
-PASSAGE_BYTES = 200
+PASSAGE_BYTES = 240
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

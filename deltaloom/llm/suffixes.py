@@ -57,19 +57,25 @@ _MULS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def cuts(data: bytes) -> np.ndarray:
-    """Positions whose hash of the next CONTEXT bytes is less than all others within RADIUS."""
+def radius_for(width: int) -> int:
+    """The least radius whose cuts are so far apart that DEPTH phrases and one more reach past a window; RADIUS for WIDTH."""
+    return -(-(width - 17) // 12)
+
+
+def cuts(data: bytes, radius: int = RADIUS) -> np.ndarray:
+    """Positions whose hash of the next CONTEXT bytes is less than all others within the radius."""
     n = len(data) - CONTEXT + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     b = np.frombuffer(data, np.uint8)
     v = mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, CONTEXT)).view("<u8").ravel())
-    top = np.full(RADIUS, np.iinfo(np.uint64).max)
+    top = np.full(radius, np.iinfo(np.uint64).max)
     low, span = np.r_[top, v, top], 1
-    while span < RADIUS:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    return np.flatnonzero((v < low[:n]) & (v < low[RADIUS + 1 : RADIUS + 1 + n]))
+    while span < radius:
+        step = min(span, radius - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    return np.flatnonzero((v < low[:n]) & (v < low[radius + 1 : radius + 1 + n]))
 
 
 def phrase_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -81,7 +87,7 @@ def phrase_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             bounds, names = [], []
             for t in batch.column("text").to_pylist():
                 data = t.encode("utf-8", "replace")
-                at = cuts(data) if len(data) >= width else np.zeros(0, np.int64)
+                at = cuts(data, radius_for(width)) if len(data) >= width else np.zeros(0, np.int64)
                 ends = at.tolist()
                 bounds.append(at.astype(np.int32))
                 names.append(np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64).view(np.int64))
@@ -192,7 +198,7 @@ def windows(n: int, bounds: np.ndarray, shared: np.ndarray, echo: np.ndarray, wi
     sure: repeated by shared phrases. open: perhaps repeated. told: sure, and this text speaks for them.
     bounds are the cuts; shared and echo belong to the phrase that begins at each.
     """
-    last = n - width
+    last, radius = n - width, radius_for(width)
     sure, maybe, told = np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32)
     m = len(bounds)
     if m:
@@ -207,12 +213,12 @@ def windows(n: int, bounds: np.ndarray, shared: np.ndarray, echo: np.ndarray, wi
         np.add.at(told, end + 1, -1)
     # windows whose first settled cut is a; GUARD bytes at either end of a window settle nothing
     a = np.arange(m + 1)
-    lo = np.maximum(np.r_[0, bounds - RADIUS + 1], 0)
-    hi = np.minimum(np.r_[bounds - RADIUS, last], last)
+    lo = np.maximum(np.r_[0, bounds - radius + 1], 0)
+    hi = np.minimum(np.r_[bounds - radius, last], last)
     past = a[:-1] + shared + 1
     inside = past < m
     limit = np.full(m + 1, last)
-    limit[:-1][inside] = bounds[past[inside]] - (width - RADIUS - CONTEXT) - 1
+    limit[:-1][inside] = bounds[past[inside]] - (width - radius - CONTEXT) - 1
     hi = np.minimum(hi, limit)
     ok = hi >= lo
     np.add.at(maybe, lo[ok], 1)
@@ -374,10 +380,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     spans are starts and ends of the removed stretches, kept the remaining bytes; kept_text are its
     characters, without those that a removed stretch took a part of. Null texts are empty and, like
     all texts under `width` bytes, lose nothing. With `words`, stretches of fewer words stay unless
-    they have WIDTH bytes. width is over RADIUS + CONTEXT and at most WIDTH, which DEPTH covers.
+    they have WIDTH bytes. A smaller width has shorter phrases: radius_for() keeps DEPTH enough.
     """
-    if not RADIUS + CONTEXT < width <= WIDTH:
-        raise ValueError(f"width has to be in {RADIUS + CONTEXT + 1} to {WIDTH}, not {width}")
+    if not 64 <= width <= WIDTH:
+        raise ValueError(f"width has to be in 64 to {WIDTH}, not {width}")
     spark = docs.sparkSession
     cut = _Cuts(spark)
     table = phrase_table(docs.select("text"), width).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bounds").alias("bounds"), F.first("names").alias("names"))

@@ -369,7 +369,7 @@ def test_suffix_dedup(spark, odd, tmp_path):
     assert suffixes.repeats(odd[1].limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("width", [80, 200])
+@pytest.mark.parametrize("width", [80, 240])
 def test_repeats_of_other_widths(spark, width):
     rng = random.Random(width)
     parts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (width - 2, width - 1, width, width + 1, 250, 420)]
