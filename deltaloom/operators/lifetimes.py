@@ -1,8 +1,9 @@
 """Deltas of conjunctive queries from change logs, exactly per update, in one batch job.
 
-A base tuple lives from an insert to the next delete. A joined row lives where all its tuples do. A
-result lives where at least one of its rows does: overlapping and touching lives merge, and the ends
-of what remains are the inserts and deletes that a maintained view would emit, under set semantics.
+A base tuple lives from an insert to the next delete; without one it has no end (null). A joined row
+lives where all its tuples do. A result lives where at least one of its rows does: overlapping and
+touching lives merge, and the ends of what remains are the inserts and deletes that a maintained
+view would emit, under set semantics.
 """
 
 from __future__ import annotations
@@ -10,51 +11,54 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deltaloom.operators.snapshot import _in_order, natural_join
+from deltaloom.operators.snapshot import _in_order, atom_rows, natural_join
 from deltaloom.plans.model import Query
 
-#: The end of what is never deleted.
-FOREVER = 9_000_000_000
 #: Relation name -> its change log: columns, then op ('+' or '-') and seq.
 Logs = Callable[[str], DataFrame]
 
 
 def lives(log: DataFrame) -> DataFrame:
-    """(columns, _start, _end): a row for each insert, up to the tuple's next entry in the log."""
+    """(columns, _start, _end): a row for each insert, up to the tuple's next entry in the log; _end is null if there is none."""
     keys = [c for c in log.columns if c not in ("op", "seq")]
     after = F.lead("seq").over(Window.partitionBy(*keys).orderBy("seq", F.desc("op")))
-    return log.withColumn("_end", F.coalesce(after, F.lit(FOREVER))).where("op = '+'").select(*keys, F.col("seq").alias("_start"), "_end")
+    return log.withColumn("_end", after).where("op = '+'").select(*keys, F.col("seq").alias("_start"), "_end")
+
+
+def _latest() -> Column:
+    """The greatest _end, null if one is."""
+    return F.when(~F.bool_or(F.isnull("_end")), F.max("_end"))
 
 
 def joined_lives(logs: Logs, q: Query) -> DataFrame:
     """(out, _start, _end) of every joined row that lives at all, the longest for each start."""
-    parts = [lives(logs(a.relation)).toDF(*a.attrs, f"_s{k}", f"_e{k}") for k, a in enumerate(_in_order(q))]
-    rows = reduce(natural_join, parts)
-    n = range(len(parts))
-    s = F.greatest(*(f"_s{k}" for k in n)) if len(parts) > 1 else F.col("_s0")
-    e = F.least(*(f"_e{k}" for k in n)) if len(parts) > 1 else F.col("_e0")
-    return rows.select(*q.out, s.alias("_start"), e.alias("_end")).where("_start < _end").groupBy(*q.out, "_start").agg(F.max("_end").alias("_end"))
+    rows = reduce(natural_join, (atom_rows(lambda name: lives(logs(name)), a, f"_s{k}", f"_e{k}") for k, a in enumerate(_in_order(q))))
+    n = range(len(q.atoms))
+    s = F.greatest(*(f"_s{k}" for k in n)) if len(n) > 1 else F.col("_s0")
+    e = F.least(*(f"_e{k}" for k in n)) if len(n) > 1 else F.col("_e0")
+    return rows.select(*q.out, s.alias("_start"), e.alias("_end")).where("_end IS NULL OR _start < _end").groupBy(*q.out, "_start").agg(_latest().alias("_end"))
 
 
 def merged(rows: DataFrame) -> DataFrame:
     """Overlapping and touching intervals [_start, _end) of equal other columns as one."""
     keys = [c for c in rows.columns if c not in ("_start", "_end")]
     order = Window.partitionBy(*keys).orderBy("_start")
-    before = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = rows.withColumn("_new", F.when(before >= F.col("_start"), 0).otherwise(1))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.bool_or(F.isnull("_end")).over(earlier) | (F.max("_end").over(earlier) >= F.col("_start"))
+    fresh = rows.withColumn("_new", F.when(reached, 0).otherwise(1))
     island = fresh.withColumn("_island", F.sum("_new").over(order))
-    return island.groupBy(*keys, "_island").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end")).drop("_island")
+    return island.groupBy(*keys, "_island").agg(F.min("_start").alias("_start"), _latest().alias("_end")).drop("_island")
 
 
 def delta_log(logs: Logs, q: Query) -> DataFrame:
     """(op, seq, out): every result that appears ('+') or goes ('-'), at the update that does it."""
     ends = merged(joined_lives(logs, q))
     sides = F.explode(F.array(F.struct(F.lit("+").alias("op"), F.col("_start").alias("seq")), F.struct(F.lit("-").alias("op"), F.col("_end").alias("seq"))))
-    return ends.select(sides.alias("_d"), *q.out).where(F.col("_d.seq") < FOREVER).select("_d.op", "_d.seq", *q.out)
+    return ends.select(sides.alias("_d"), *q.out).where(F.col("_d.seq").isNotNull()).select("_d.op", "_d.seq", *q.out)
 
 
 def delta_logs(logs: Logs, queries: list[Query]) -> DataFrame:
@@ -68,7 +72,7 @@ def delta_logs(logs: Logs, queries: list[Query]) -> DataFrame:
 
 def state_at(logs: Logs, q: Query, seq: int) -> DataFrame:
     """The results right after the update `seq`."""
-    return joined_lives(logs, q).where((F.col("_start") <= seq) & (F.col("_end") > seq)).select(*q.out).distinct()
+    return joined_lives(logs, q).where((F.col("_start") <= seq) & (F.isnull("_end") | (F.col("_end") > seq))).select(*q.out).distinct()
 
 
 def replayed(deltas: DataFrame, seq: int) -> DataFrame:
@@ -86,12 +90,16 @@ def netted(deltas: DataFrame, batch: int) -> DataFrame:
     return net.select("batch", F.when(F.col("_n") > 0, "+").otherwise("-").alias("op"), *keys)
 
 
+def violation(before: Column) -> Column:
+    """What is wrong with `op` after the op `before` (null: none) of the same tuple, null if nothing."""
+    return F.when((F.col("op") == "+") & (before == "+"), "duplicate_insert").when((F.col("op") == "-") & (F.coalesce(before, F.lit("-")) == "-"), "missing_delete")
+
+
 def violations(log: DataFrame) -> DataFrame:
     """Log rows that a set can't take: an insert of a live tuple, a delete of an absent one."""
     keys = [c for c in log.columns if c not in ("op", "seq")]
-    before = F.lag("op").over(Window.partitionBy(*keys).orderBy("seq", "op"))
-    kind = F.when((F.col("op") == "+") & (before == "+"), "duplicate_insert").when((F.col("op") == "-") & (F.coalesce(before, F.lit("-")) == "-"), "missing_delete")
-    return log.withColumn("violation", kind).where("violation IS NOT NULL")
+    before = F.lag("op").over(Window.partitionBy(*keys).orderBy("seq", F.desc("op")))
+    return log.withColumn("violation", violation(before)).where("violation IS NOT NULL")
 
 
 def formatted(deltas: DataFrame, qid: str | int = 0) -> DataFrame:

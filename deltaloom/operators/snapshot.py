@@ -1,10 +1,10 @@
 """Answers and node states of conjunctive queries over current tables.
 
-Joins are natural joins of DataFrames. `reduced` removes tuples that no result needs by semi-joins
-along the join tree, up and then down, and drops columns and copies at every node; children that
-only restrict are never joined. Which form is faster depends on the data: plain joins let the
-optimizer broadcast small sides, reduction pays where intermediate results are much larger than
-the answer.
+Joins are natural joins of DataFrames. `reduced` goes up the join tree once and reads every atom
+once: a child that offers no output only restricts its parent, by a semi-join; any other hands up
+the distinct values that its parent or the answer needs. Which form is faster depends on the data:
+plain joins let the optimizer broadcast small sides, reduction pays where joined rows are many more
+than the answer.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.plans.model import Atom, Query, join_tree
+from deltaloom.plans.model import Atom, Query, join_tree, rooted
 
 Tables = Callable[[str], DataFrame]
 
 
-def atom_rows(tables: Tables, atom: Atom) -> DataFrame:
-    """The atom's relation with the query's attribute names; a repeated attribute keeps equal rows only."""
+def atom_rows(tables: Tables, atom: Atom, *extra: str) -> DataFrame:
+    """The atom's relation with the query's attribute names; a repeated attribute keeps equal rows only.
+
+    `extra` names the columns that follow the relation's own.
+    """
     names = [f"{a}__{i}" if a in atom.attrs[:i] else a for i, a in enumerate(atom.attrs)]
-    rows = tables(atom.relation).toDF(*names)
+    rows = tables(atom.relation).toDF(*names, *extra)
     for i, a in enumerate(atom.attrs):
         if names[i] != a:
             rows = rows.where(F.col(names[i]) == F.col(a)).drop(names[i])
@@ -61,28 +64,33 @@ def snapshot(tables: Tables, q: Query) -> DataFrame:
     return rows.select(*q.out).distinct()
 
 
-def reduced(tables: Tables, q: Query) -> DataFrame:
-    """The same results by semi-join reduction; cyclic queries take the plain form."""
+def _upward(tables: Tables, q: Query, order: list[tuple[int, int | None]], wanted: set[str]) -> list[DataFrame]:
+    """For each child of the root what it hands up: the distinct attributes that it shares with the root or that are wanted."""
     edges = [set(a.attrs) for a in q.atoms]
+    below: dict[int, list[DataFrame]] = {i: [] for i, _ in order}
+    for i, parent in order[:-1]:
+        rows = _combined(atom_rows(tables, q.atoms[i]), below.pop(i))
+        keep = [c for c in rows.columns if c in edges[parent] or c in wanted]
+        below[parent].append(rows.select(keep).distinct())
+    return below[order[-1][0]]
+
+
+def _combined(rows: DataFrame, children: list[DataFrame]) -> DataFrame:
+    """The rows with what their children hand up; those that only restrict come first."""
+    only = [c for c in children if set(c.columns) <= set(rows.columns)]
+    for c in only:
+        rows = natural_join(rows, c, "left_semi")
+    return reduce(natural_join, (c for c in children if c not in only), rows)
+
+
+def reduced(tables: Tables, q: Query) -> DataFrame:
+    """The same results by reduction along the join tree, from the atom with most of the output; cyclic queries take the plain form."""
+    edges, out = [set(a.attrs) for a in q.atoms], set(q.out)
     tree = join_tree(edges)
     if tree is None:
         return snapshot(tables, q)
-    rows = [atom_rows(tables, a) for a in q.atoms]
-    for i, parent in tree[:-1]:
-        rows[parent] = natural_join(rows[parent], rows[i], "left_semi")
-    for i, parent in reversed(tree[:-1]):
-        rows[i] = natural_join(rows[i], rows[parent], "left_semi")
-    wanted = [edges[i] & set(q.out) for i in range(len(edges))]
-    held = [set(e) for e in edges]
-    for i, parent in tree[:-1]:
-        up = held[i] & edges[parent]
-        if wanted[i] <= edges[parent]:
-            continue
-        keep = sorted(up | wanted[i])
-        rows[parent] = natural_join(rows[parent], rows[i].select(keep).distinct())
-        held[parent] |= set(keep)
-        wanted[parent] |= wanted[i]
-    return rows[tree[-1][0]].select(*q.out).distinct()
+    root = max(range(len(edges)), key=lambda i: len(edges[i] & out))
+    return _combined(atom_rows(tables, q.atoms[root]), _upward(tables, q, rooted(tree, root), out)).select(*q.out).distinct()
 
 
 def many(tables: Tables, queries: list[Query], form: Callable[[Tables, Query], DataFrame] = snapshot) -> DataFrame:
@@ -125,35 +133,46 @@ def derivations(tables: Tables, q: Query) -> DataFrame:
     return rows.groupBy(*q.out).agg(F.count(F.lit(1)).alias("n_derivations"))
 
 
-def live_view(tables: Tables, q: Query, atom: int) -> DataFrame:
-    """The rows of one atom that take part in some result: up and down reduction of the whole tree."""
-    edges = [set(a.attrs) for a in q.atoms]
-    tree = join_tree(edges)
+def _restrictions(tables: Tables, q: Query, atom: int) -> list[DataFrame]:
+    """Distinct keys, one of each of which a row of the atom has to match to take part in some result."""
+    tree = join_tree([set(a.attrs) for a in q.atoms])
     if tree is None:
-        return natural_join(atom_rows(tables, q.atoms[atom]), snapshot(tables, Query(q.name, q.atoms, q.atoms[atom].attrs)), "left_semi")
-    rows = [atom_rows(tables, a) for a in q.atoms]
-    for i, parent in tree[:-1]:
-        rows[parent] = natural_join(rows[parent], rows[i], "left_semi")
-    for i, parent in reversed(tree[:-1]):
-        rows[i] = natural_join(rows[i], rows[parent], "left_semi")
-    return rows[atom]
+        return [snapshot(tables, Query(q.name, q.atoms, tuple(dict.fromkeys(q.atoms[atom].attrs))))]
+    return _upward(tables, q, rooted(tree, atom), set())
+
+
+def live_view(tables: Tables, q: Query, atom: int) -> DataFrame:
+    """The rows of one atom that take part in some result: the tree, hung up at the atom, restricts it."""
+    return _combined(atom_rows(tables, q.atoms[atom]), _restrictions(tables, q, atom))
 
 
 def query_sets(tables: Tables, queries: list[Query], atom: int) -> DataFrame:
-    """Each row of the queries' common atom with the sorted list of queries in which it is live."""
-    parts = [live_view(tables, q, atom).withColumn("qid", F.lit(k)) for k, q in enumerate(queries)]
-    rows = reduce(DataFrame.unionByName, parts)
-    keys = [c for c in rows.columns if c != "qid"]
-    return rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("qid")).cast("array<string>"), ",").alias("qids"))
+    """Each row of the queries' common atom with the sorted list of queries in which it is live; the atom is read once."""
+    rows = atom_rows(tables, queries[0].atoms[atom])
+    keys, live = rows.columns, []
+    for k, q in enumerate(queries):
+        if q.atoms[atom] != queries[0].atoms[atom]:
+            raise ValueError(f"query {q.name}: atom {atom} is not the common one")
+        hits = []
+        for j, child in enumerate(_restrictions(tables, q, atom)):
+            hits.append(f"_hit{k}_{j}")
+            rows = natural_join_left(rows, child, hits[-1])
+        live.append(F.when(reduce(lambda x, y: x & y, (F.col(h).isNotNull() for h in hits), F.lit(True)), F.lit(str(k))))
+    rows = rows.select(*keys, F.array_compact(F.array(*live)).alias("_live")).where("size(_live) > 0")
+    return rows.select(*keys, F.array_join("_live", ",").alias("qids"))
+
+
+def natural_join_left(rows: DataFrame, child: DataFrame, hit: str) -> DataFrame:
+    """The rows with a column that is null where the child has no match; its rows are distinct."""
+    return rows.join(child.withColumn(hit, F.lit(1)), child.columns, "left")
 
 
 def annotated(tables: Tables, q: Query, weights: dict[str, str]) -> DataFrame:
     """Joined rows with ann, the product of the atoms' annotations: a column expression by relation, 1 by default."""
     parts = []
     for k, a in enumerate(_in_order(q)):
-        base = tables(a.relation)
-        named = base.withColumn(f"_w{k}", F.expr(weights.get(a.relation, "1.0D")).cast("double"))
-        parts.append(named.toDF(*a.attrs, f"_w{k}"))
+        weight = F.expr(weights.get(a.relation, "1.0D")).cast("double")
+        parts.append(atom_rows(lambda name, weight=weight: tables(name).withColumn("_weight", weight), a, f"_w{k}"))
     rows = reduce(natural_join, parts)
     product = reduce(lambda x, y: x * y, (F.col(f"_w{k}") for k in range(len(parts))))
     return rows.withColumn("ann", product).select(*q.out, "ann")
