@@ -1,84 +1,200 @@
-"""Maintained answers over a stream of changes, by counting.
-
-Each micro-batch is netted to signed base changes. The joined rows that it adds or removes are
-sum over i of new(1) ⋈ … ⋈ new(i-1) ⋈ delta(i) ⋈ old(i+1) ⋈ …, with the product of the signs. They
-change the number of derivations of each result; a result appears when that number leaves zero and
-goes when it returns. Inside a batch, what appears and vanishes again is netted away.
-
-State is a folder of signed Parquet changes per batch, for base relations and for derivation counts.
-A batch that runs again overwrites its own folder, so replay after a failure changes nothing.
+"""Maintained answers of several queries over a stream of changes, by counting.
+
+Each micro-batch is checked against the base relations, which are sets: an insert of a live tuple or
+a delete of an absent one changes nothing and is kept as a violation. What is left are signed base
+changes. The joined rows that they add or remove are the sum over i of
+new(1) ⋈ … ⋈ new(i-1) ⋈ delta(i) ⋈ old(i+1) ⋈ …, with the product of the signs; only atoms whose
+relation changes have a term. They change the number of derivations of each result; a result appears
+when that number leaves zero and goes when it returns. Inside a batch, what appears and vanishes
+again is netted away.
+
+A query may use an earlier one, by its name, as a relation: such a node is maintained once for all
+that share it.
+
+State is a folder of signed Parquet rows per batch, for each relation and for each query's counts.
+As counting is linear, joins read signed rows as they are: nothing regroups the state, and of it
+only rows that match the batch's go on. Every `fold` batches the folders so far become one. A batch
+that runs again overwrites its own folders, so replay after a failure changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
-from deltaloom.operators.snapshot import _in_order, natural_join
+from deltaloom.operators.lifetimes import formatted, violation
+from deltaloom.operators.snapshot import _in_order, atom_rows, natural_join
 from deltaloom.plans.model import Query
-
-
-class View:
-    """One query, maintained in `root` by batches of changes (rel, cells array<string>, op, seq)."""
-
-    def __init__(self, spark: SparkSession, q: Query, root: str):
-        self.spark, self.q, self.root = spark, q, root
-        self.atoms = _in_order(q)
-
-    def _state(self, spark: SparkSession, name: str, schema: str, before: int) -> DataFrame:
-        """All changes of earlier batches, in one read. A batch is written even if it changes nothing."""
-        paths = [f"{self.root}/{name}/v={b}" for b in range(before)]
+from deltaloom.sources import updates as up
+from deltaloom.sources.tables import remove, rewritten
+
+CELLS = "cells array<string>, _n bigint"
+#: Batches after which the state's folders become one.
+FOLD = 16
+
+
+class Views:
+    """Queries, maintained in `root` by batches of changes (rel, cells array<string>, op, seq)."""
+
+    def __init__(self, spark: SparkSession, queries: list[Query], root: str, fold: int = FOLD):
+        self.spark, self.queries, self.root, self.fold = spark, queries, root, fold
+        nodes = [q.name for q in queries]
+        for k, q in enumerate(queries):
+            if set(nodes[k:]) & {a.relation for a in q.atoms}:
+                raise ValueError(f"query {q.name} uses one that doesn't come before it")
+        self.shared = {n for n in nodes if any(a.relation == n for q in queries for a in q.atoms)}
+        self.bases = sorted({a.relation for q in queries for a in q.atoms} - set(nodes))
+
+    def _state(self, name: str, schema: str, before: int) -> DataFrame:
+        """All signed rows of earlier batches, in one read. A batch is written even if it changes nothing."""
+        spark, folded = self.spark, before // self.fold * self.fold
+        paths = [f"{self.root}/{name}/folded={folded}"] * (folded > 0) + [f"{self.root}/{name}/v={b}" for b in range(folded, before)]
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
-        path = f"{self.root}/{name}/v={batch}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    def apply(self, changes: DataFrame, batch: int) -> DataFrame:
-        """Takes one batch into the state and returns its net output changes (op, out)."""
-        spark, sign = changes.sparkSession, F.when(F.col("op") == "+", 1).otherwise(-1)
-        old = self._state(spark, "base", "rel string, cells array<string>, _n bigint", batch)
-        net = changes.groupBy("rel", "cells").agg(F.sum(sign).cast("bigint").alias("_n")).where("_n <> 0")
-        net = self._write(net, "base", batch)
-        current = old.groupBy("rel", "cells").agg(F.sum("_n").alias("_n")).where("_n <> 0")
-        new = old.unionByName(net).groupBy("rel", "cells").agg(F.sum("_n").alias("_n")).where("_n <> 0")
-
-        def rows(state: DataFrame, k: int) -> DataFrame:
-            a = self.atoms[k]
-            return state.where(F.col("rel") == a.relation).select(*(F.col("cells")[i].alias(c) for i, c in enumerate(a.attrs)), F.col("_n").alias(f"_n{k}"))
-
-        terms, n = [], reduce(lambda x, y: x * y, (F.col(f"_n{k}") for k in range(len(self.atoms))))
-        for i in range(len(self.atoms)):
-            joined = rows(net, i)
-            rest = [rows(new if k < i else current, k) for k in range(len(self.atoms)) if k != i]
+        return rewritten(df, f"{self.root}/{name}/v={batch}")
+
+    def _fold(self, name: str, schema: str, upto: int) -> None:
+        """Sums the rows of all batches before `upto` into one folder; what the last fold read goes, as no batch reads it again."""
+        keys = [c for c in self.spark.createDataFrame([], schema).columns if c != "_n"]
+        now = self._state(name, schema, upto - 1).unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={upto - 1}"))
+        now.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0").write.mode("overwrite").parquet(f"{self.root}/{name}/folded={upto}")
+        for old in [f"folded={upto - 2 * self.fold}", *(f"v={b}" for b in range(upto - 2 * self.fold, upto - self.fold))]:
+            remove(self.spark, f"{self.root}/{name}/{old}")
+
+    def _checked(self, changes: DataFrame, batch: int) -> DataFrame:
+        """The batch's changes with what is wrong with each, and for a tuple's last one the sign of its net change."""
+        states = [self._state(f"base/{name}", CELLS, batch).select(F.lit(name).alias("rel"), "cells", "_n") for name in self.bases]
+        mine = changes.where(F.col("rel").isin(self.bases)).select("rel", "cells", "op", "seq")
+        live = reduce(DataFrame.unionByName, states).join(mine.select("rel", "cells").distinct(), ["rel", "cells"], "left_semi").groupBy("rel", "cells").agg(F.sum("_n").alias("_was"))
+        line = Window.partitionBy("rel", "cells").orderBy("seq", F.desc("op"))
+        rows = mine.join(live, ["rel", "cells"], "left").withColumn("_was", F.coalesce("_was", F.lit(0)) > 0)
+        before = F.coalesce(F.lag("op").over(line), F.when(F.col("_was"), "+"))
+        last = F.lead("op").over(line).isNull()
+        is_ = F.col("op") == "+"
+        sign = F.when(last & is_ & ~F.col("_was"), 1).when(last & ~is_ & F.col("_was"), -1)
+        return rows.select("rel", "cells", "op", "seq", violation(before).alias("violation"), sign.cast("bigint").alias("_n"))
+
+    def apply_all(self, changes: DataFrame, batch: int) -> list[DataFrame]:
+        """Takes one batch into the state and returns each query's net output changes (op, out)."""
+        self.spark = changes.sparkSession
+        checked = self._write(self._checked(changes, batch).where("violation IS NOT NULL OR _n IS NOT NULL"), "checked", batch)
+        nets = {name: self._write(checked.where((F.col("rel") == name) & F.col("_n").isNotNull()).select("cells", "_n"), f"base/{name}", batch) for name in self.bases}
+        moving = {r["rel"] for r in checked.where("_n IS NOT NULL").select("rel").distinct().collect()}
+        out = []
+        for k, q in enumerate(self.queries):
+            moved = self._output(q, k, nets, moving, batch)
+            out.append(moved)
+            if q.name in self.shared:
+                signed = moved.select(F.array(*q.out).alias("cells"), F.when(F.col("op") == "+", 1).otherwise(-1).cast("bigint").alias("_n"))
+                nets[q.name] = self._write(signed, f"base/{q.name}", batch)
+                if not moved.isEmpty():
+                    moving.add(q.name)
+        if (batch + 1) % self.fold == 0:
+            for name in nets:
+                self._fold(f"base/{name}", CELLS, batch + 1)
+            for k in range(len(self.queries)):
+                self._fold(f"counts/{k}", self._schema(k, "_n bigint"), batch + 1)
+        return out
+
+    def _output(self, q: Query, k: int, nets: dict[str, DataFrame], moving: set[str], batch: int) -> DataFrame:
+        """One query's net output changes, after its counts and output are written."""
+        atoms = _in_order(q)
+
+        def rows(i: int, name: str, state: DataFrame) -> DataFrame:
+            width = len(atoms[i].attrs)
+            return atom_rows(lambda _: state.select(*(F.col("cells")[c].alias(f"c{c}") for c in range(width)), "_n"), atoms[i], f"_n{i}")
+
+        terms, n = [], reduce(lambda x, y: x * y, (F.col(f"_n{i}") for i in range(len(atoms))))
+        for i, atom in enumerate(atoms):
+            if atom.relation not in moving:
+                continue
+            joined = rows(i, atom.relation, nets[atom.relation])
+            rest = []
+            for j, other in enumerate(atoms):
+                if j != i:
+                    state = self._state(f"base/{other.relation}", CELLS, batch)
+                    rest.append(rows(j, other.relation, state.unionByName(nets[other.relation]) if j < i else state))
             while rest:
                 nxt = next(r for r in rest if set(r.columns) & set(joined.columns))
                 joined = natural_join(joined, nxt)
                 rest.remove(nxt)
-            terms.append(joined.select(*self.q.out, n.alias("_n")))
-        delta = reduce(DataFrame.unionByName, terms).groupBy(*self.q.out).agg(F.sum("_n").cast("bigint").alias("_n")).where("_n <> 0")
-        delta = self._write(delta, "counts", batch)
-        before = self._state(spark, "counts", self._schema("_n bigint"), batch).join(delta.select(*self.q.out), list(self.q.out), "left_semi").groupBy(*self.q.out).agg(F.sum("_n").alias("_m"))
-        moved = delta.join(before, list(self.q.out), "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+            terms.append(joined.select(*q.out, n.alias("_n")))
+        none = self.spark.createDataFrame([], self._schema(k, "_n bigint"))
+        delta = reduce(DataFrame.unionByName, terms, none).groupBy(*q.out).agg(F.sum("_n").cast("bigint").alias("_n")).where("_n <> 0")
+        delta = self._write(delta, f"counts/{k}", batch)
+        on = list(q.out)
+        before = self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch).join(delta.select(*on), on, "left_semi").groupBy(*on).agg(F.sum("_n").alias("_m"))
+        moved = delta.join(before, on, "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
         op = F.when((F.col("_m") <= 0) & (F.col("_m") + F.col("_n") > 0), "+").when((F.col("_m") > 0) & (F.col("_m") + F.col("_n") <= 0), "-")
-        return self._write(moved.select(op.alias("op"), *self.q.out).where("op IS NOT NULL"), "output", batch)
+        return self._write(moved.select(op.alias("op"), *on).where("op IS NOT NULL"), f"output/{k}", batch)
+
+    def _schema(self, k: int, extra: str) -> str:
+        return ", ".join(f"{c} string" for c in self.queries[k].out) + f", {extra}"
+
+    def results(self, k: int = 0) -> DataFrame:
+        """The current results of query k."""
+        batches = self.spark.read.schema("rel string, v int").parquet(f"{self.root}/checked").inputFiles()
+        upto = max((int(f.rpartition("/v=")[2].split("/")[0]) + 1 for f in batches), default=0)
+        rows = self._state(f"counts/{k}", self._schema(k, "_n bigint"), upto)
+        return rows.groupBy(*self.queries[k].out).agg(F.sum("_n").alias("_n")).where("_n > 0").drop("_n")
+
+    def output(self, k: int = 0) -> DataFrame:
+        """All output changes of query k so far, by batch."""
+        return self.spark.read.schema(f"op string, {self._schema(k, 'v int')}").parquet(f"{self.root}/output/{k}").withColumnRenamed("v", "batch")
 
-    def _schema(self, extra: str) -> str:
-        return ", ".join(f"{c} string" for c in self.q.out) + f", {extra}"
+    def violations(self) -> DataFrame:
+        """All changes so far that a set can't take, by batch."""
+        rows = self.spark.read.schema("rel string, cells array<string>, op string, seq bigint, violation string, v int").parquet(f"{self.root}/checked")
+        return rows.where("violation IS NOT NULL").withColumnRenamed("v", "batch")
 
-    def results(self) -> DataFrame:
-        """The current results."""
-        rows = self.spark.read.schema(self._schema("_n bigint, v int")).parquet(f"{self.root}/counts")
-        return rows.groupBy(*self.q.out).agg(F.sum("_n").alias("_n")).where("_n > 0").drop("_n")
+    def log(self) -> DataFrame:
+        """The formatted lines (line, batch) that start() wrote."""
+        return self.spark.read.schema("value string, v int").text(f"{self.root}/log").toDF("line", "batch")
 
-    def output(self) -> DataFrame:
-        """All output changes so far, by batch."""
-        return self.spark.read.schema(f"op string, {self._schema('v int')}").parquet(f"{self.root}/output").withColumnRenamed("v", "batch")
+    def _take(self, changes: DataFrame, batch: int) -> None:
+        """Applies a batch and writes its output as text lines: sign, query number, values."""
+        for k, moved in enumerate(self.apply_all(changes, batch)):
+            formatted(moved, k).write.mode("overwrite" if k == 0 else "append").text(f"{self.root}/log/v={batch}")
 
     def start(self, changes: DataFrame) -> StreamingQuery:
-        """Maintains the view from a streaming DataFrame until its source has nothing new."""
-        return changes.writeStream.foreachBatch(lambda df, batch: self.apply(df, batch) and None).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        """Maintains the views from a streaming DataFrame until its source has nothing new."""
+        return self._run(changes, self._take)
+
+    def start_text(self, path: str, form: str, registry: up.Registry) -> StreamingQuery:
+        """Maintains the views from text files of update lines, until there are no new ones.
+
+        Lines are numbered on from batch to batch, in the order of file names and positions within
+        each; those that the registry can't load go to `rejected`.
+        """
+
+        def take(lines: DataFrame, batch: int) -> None:
+            self.spark = lines.sparkSession
+            counted = self.spark.read.schema("n bigint").parquet(*(f"{self.root}/lines/v={b}" for b in range(batch))) if batch else None
+            after = counted.agg(F.sum("n")).first()[0] if counted else 0
+            numbered = rewritten(up.numbered(lines, up.DECODERS[form], after), f"{self.root}/decoded")
+            self._write(numbered.agg(F.count(F.lit(1)).alias("n")), "lines", batch)
+            routes = up.routed(numbered, registry)
+            self._write(routes.where("NOT ok"), "rejected", batch)
+            self._take(up.as_changes(routes), batch)
+
+        return self._run(up.placed(self.spark.readStream.text(path)), take)
+
+    def _run(self, source: DataFrame, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
+        return source.writeStream.foreachBatch(take).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+
+
+class View(Views):
+    """One query, maintained as Views are."""
+
+    def __init__(self, spark: SparkSession, q: Query, root: str, fold: int = FOLD):
+        super().__init__(spark, [q], root, fold)
+
+    def apply(self, changes: DataFrame, batch: int) -> DataFrame:
+        """Takes one batch into the state and returns the query's net output changes (op, out)."""
+        return self.apply_all(changes, batch)[0]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from deltaloom.operators import lifetimes as lt
 from deltaloom.plans.model import query
-from deltaloom.streaming.microbatch import View
+from deltaloom.streaming.microbatch import View, Views
 from tests.test_joins import brute
 
 QUERIES = [query("path", "R(x,y) S(y,z) R(z,w)", "x,w"), query("star", "R(a,b) S(a,c)", "b"), query("self", "R(a,b) R(b,c)", "a,c")]
@@ -91,3 +92,78 @@ def test_micro_batches(spark, tmp_path):
         assert got == {("+", *t) for t in after - before} | {("-", *t) for t in before - after}
         before = after
     assert {(int(r.x), int(r.w)) for r in view.results().collect()} == before
+
+
+LATE = 1 << 34
+
+
+def test_seqs_of_any_size(spark):
+    frame = spark.createDataFrame([(1, "+", 5), (1, "-", LATE + 1), (1, "+", LATE + 5), (2, "+", LATE + 5), (2, "-", LATE + 9)], "x int, op string, seq bigint")
+    q = query("one", "R(x)", "x")
+    assert sorted(map(tuple, lt.delta_log(lambda name: frame, q).collect())) == [("+", 5, 1), ("+", LATE + 5, 1), ("+", LATE + 5, 2), ("-", LATE + 1, 1), ("-", LATE + 9, 2)]
+    assert sorted(r.x for r in lt.state_at(lambda name: frame, q, LATE + 7).collect()) == [1, 2]
+
+
+def test_endless_lives_merge(spark):
+    frame = spark.createDataFrame([(1, 0, None), (1, 5, 9), (1, 12, None), (2, 1, 8), (2, 3, None)], "y int, _start bigint, _end bigint")
+    assert sorted(map(tuple, lt.merged(frame).select("y", "_start", "_end").collect())) == [(1, 0, None), (2, 1, None)]
+
+
+LOOP = query("loop", "R(a,a) S(a,b)", "a,b")
+
+
+def loop(state: dict[str, set[tuple]]) -> set[tuple]:
+    return {(a, b) for a, x in state["R"] if a == x for c, b in state["S"] if c == a}
+
+
+def as_changes(spark, part):
+    return spark.createDataFrame([(r, [str(x), str(y)], op, seq) for r, x, y, op, seq in part], "rel string, cells array<string>, op string, seq bigint")
+
+
+def test_repeated_attribute(spark, tmp_path):
+    log = random_log(random.Random(4), 60)
+    frame = spark.createDataFrame(log, "rel string, x int, y int, op string, seq bigint")
+    state: dict[str, set[tuple]] = {"R": set(), "S": set()}
+    before, want = set(), set()
+    for rel, x, y, op, seq in log:
+        (state[rel].add if op == "+" else state[rel].discard)((x, y))
+        after = loop(state)
+        want |= {("+", seq, *r) for r in after - before} | {("-", seq, *r) for r in before - after}
+        before = after
+    assert {tuple(r) for r in lt.delta_log(lambda name: frame.where(F.col("rel") == name).drop("rel"), LOOP).collect()} == want
+    view = View(spark, LOOP, str(tmp_path / "view"))
+    for batch in range(2):
+        view.apply(as_changes(spark, log[batch * 30 : batch * 30 + 30]), batch)
+    assert {(int(r.a), int(r.b)) for r in view.results().collect()} == before
+
+
+def test_views_hold_sets(spark, tmp_path):
+    view = View(spark, query("one", "R(x,y)", "x"), str(tmp_path / "view"))
+    view.apply(as_changes(spark, [("R", 1, 1, "+", 1), ("R", 1, 1, "+", 2), ("R", 2, 2, "-", 3)]), 0)
+    out = view.apply(as_changes(spark, [("R", 1, 1, "+", 4), ("R", 1, 1, "-", 5), ("R", 3, 3, "+", 6), ("R", 9, 9, "-", 7), ("Other", 1, 1, "+", 8)]), 1)
+    assert sorted((r.op, r.x) for r in out.collect()) == [("+", "3"), ("-", "1")]
+    assert [r.x for r in view.results().collect()] == ["3"]
+    assert sorted((r.batch, r.seq, r.violation) for r in view.violations().collect()) == [(0, 2, "duplicate_insert"), (0, 3, "missing_delete"), (1, 4, "duplicate_insert"), (1, 7, "missing_delete")]
+
+
+def test_shared_nodes_and_folds(spark, tmp_path):
+    """Queries over a shared node, with the state folded every second batch, against recomputation."""
+    node, path, ends = query("N", "R(x,y) S(y,z)", "x,z"), query("path", "N(x,z) R(z,w)", "x,w"), query("ends", "N(a,b)", "b")
+    whole = [query("N", "R(x,y) S(y,z)", "x,z"), QUERIES[0], query("ends", "R(x,y) S(y,z)", "z")]
+    views = Views(spark, [node, path, ends], str(tmp_path / "views"), fold=2)
+    log = random_log(random.Random(7), 60)
+    state: dict[str, set[tuple]] = {"R": set(), "S": set()}
+    before: list[set] = [set()] * 3
+    for batch in range(6):
+        part = log[batch * 10 : batch * 10 + 10]
+        out = views.apply_all(as_changes(spark, part), batch)
+        if batch in (3, 4):
+            out = views.apply_all(as_changes(spark, part), batch)
+        for rel, x, y, op, _ in part:
+            (state[rel].add if op == "+" else state[rel].discard)((x, y))
+        after = [brute(state, q) for q in whole]
+        for k in range(3):
+            assert {(r[0], *map(int, r[1:])) for r in out[k].collect()} == {("+", *t) for t in after[k] - before[k]} | {("-", *t) for t in before[k] - after[k]}, (batch, k)
+        before = after
+    for k in range(3):
+        assert {tuple(map(int, r)) for r in views.results(k).collect()} == before[k]
