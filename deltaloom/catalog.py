@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from deltaloom.operators import snapshot as sn
 from deltaloom.plans.model import Query, classify, query
 from deltaloom.sources import tables as src
 from deltaloom.sources import updates as up
-from deltaloom.streaming.microbatch import View
+from deltaloom.streaming.microbatch import View, Views
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -72,11 +73,37 @@ CLASSES = [
 CLASS_NAMES = ["free_connex", "free_connex", "acyclic", "acyclic", "free_connex", "cyclic", "cyclic", "disconnected", "free_connex"]
 BATCH = 100_000
 STATE_SEQ = 5_500_000
+#: Where the oracles' lives end that have no end: beyond any seq.
+NEVER = (1 << 63) - 1
+#: First seq of each micro-batch of the streaming queries.
+BOUNDS = [0, 1_004_000, 5_000_000, 8_000_000]
 STREAM = query("stream", "CN(c,n) OC(o,c)", "n,o")
 PIPED_LINES = ["+|KN|1|5|6", "-|KN|1|5|6", "*", "?|KN|1", "+|XX|1", "+", "+|PE|7||x||", "+|ME|3|a"]
 TABLED_LINES = ['1 title 7,"a, b",x', '0 title 7,"a, b",x', "title 8,,y", "noline", "1 title", '1 note 9,"say \\"hi\\" \\\\ \\n",z']
 CSV_LINES = ["a,b", " a , b ", '"a,b",c', '"x \\"y\\"",z', "a,,c", "a,", ""]
 REGISTRY = [("KN", "knows1", 1, [1, 2]), ("KN", "knows2", 1, [2, 1]), ("PE", "person1", 0, [0, 2]), ("ME", "message1", 0, [0, 5])]
+#: The change logs of CN and OC as update lines: relation -> [(place among lines of one seq, line, condition)], in SQL of both engines.
+#: Some lines are of no known op or tag, end in empty fields, have none, or lack the digit of an insert.
+PIPED_LOG = {
+    "CN": [(0, "op || '|CN|' || CAST(c AS STRING) || '|' || CAST(n AS STRING)", "true")],
+    "OC": [
+        (0, "'?|OC|' || CAST(o AS STRING)", "o % 10 = 4"),
+        (1, "'+|XX|' || CAST(o AS STRING)", "o % 10 = 5"),
+        (2, "op || '|OC|' || CAST(o AS STRING) || '|' || CAST(c AS STRING) || CASE WHEN o % 10 = 3 THEN '||' ELSE '' END", "true"),
+        (3, "'+|OC|x' || CAST(o AS STRING)", "o % 10 = 6"),
+    ],
+}
+_DIGIT = "CASE WHEN op = '-' THEN '0 ' WHEN {0} % 3 = 0 THEN '' ELSE '1 ' END"
+TABLED_LOG = {
+    "CN": [(0, _DIGIT.format("c") + """ || 'CN ' || CAST(c AS STRING) || ', "name, of ' || CAST(c AS STRING) || '",' || CAST(n AS STRING)""", "true")],
+    "OC": [
+        (0, "'1 OC'", "o % 10 = 4"),
+        (1, "'XX ' || CAST(o AS STRING)", "o % 10 = 5"),
+        (2, _DIGIT.format("o") + """ || 'OC ' || CAST(o AS STRING) || ',,"' || CAST(c AS STRING) || '"  '""", "true"),
+    ],
+}
+PIPED_FEEDS = [("OC", "OC", 0, [0, 1]), ("OC", "ORDERS", 0, [1]), ("CN", "CN", 0, [0, 1])]
+TABLED_FEEDS = [("OC", "OC", 0, [0, 2]), ("OC", "GAPS", 0, [1]), ("CN", "CN", 0, [0, 2]), ("CN", "NAMES", 0, [1])]
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> sn.Tables:
@@ -107,7 +134,7 @@ def _snapshot_sql(q: Query) -> str:
 
 def _lives_sql(name: str) -> str:
     cols = ", ".join(src.RELATIONS[name][1])
-    return f"SELECT {cols}, seq AS s_, e_ FROM (SELECT *, coalesce(lead(seq) OVER (PARTITION BY {cols} ORDER BY seq), {lt.FOREVER}) AS e_ FROM ({src.change_log_sql(name)})) WHERE op = '+'"
+    return f"SELECT {cols}, seq AS s_, e_ FROM (SELECT *, coalesce(lead(seq) OVER (PARTITION BY {cols} ORDER BY seq), {NEVER}) AS e_ FROM ({src.change_log_sql(name)})) WHERE op = '+'"
 
 
 def _joined_lives_sql(q: Query) -> str:
@@ -123,30 +150,88 @@ WITH j AS ({_joined_lives_sql(q)}),
 f AS (SELECT *, CASE WHEN max(e_) OVER (PARTITION BY {y} ORDER BY s_, e_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s_ THEN 0 ELSE 1 END AS fresh FROM j),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY {y} ORDER BY s_, e_ ROWS UNBOUNDED PRECEDING) AS island FROM f),
 m AS (SELECT {y}, min(s_) AS s_, max(e_) AS e_ FROM i GROUP BY {y}, island)
-SELECT '+' AS op, s_ AS seq, {y} FROM m UNION ALL SELECT '-' AS op, e_ AS seq, {y} FROM m WHERE e_ < {lt.FOREVER}"""
+SELECT '+' AS op, s_ AS seq, {y} FROM m UNION ALL SELECT '-' AS op, e_ AS seq, {y} FROM m WHERE e_ < {NEVER}"""
 
 
 def _tagged(queries: list[Query], sql: Callable[[Query], str], first: str = "") -> str:
     return " UNION ALL ".join(f"SELECT {k} AS qid, {first}{', '.join(f'{c} AS y{i + 1}' for i, c in enumerate(q.out))} FROM ({sql(q)})" for k, q in enumerate(queries))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> View:
-    """The maintained view after a run over four files of changes."""
-    root = f"{src.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    logs = _logs(spark, sf_dir)
+def _changes(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """The change logs of relations as changes of maintained views."""
     parts = []
-    for name in ("CN", "OC"):
-        log = logs(name)
+    for name in names:
+        log = src.change_log(spark, sf_dir, name)
         cells = [c for c in log.columns if c not in ("op", "seq")]
         parts.append(log.select(F.lit(name).alias("rel"), F.array(*(F.col(c).cast("string") for c in cells)).alias("cells"), "op", "seq"))
-    changes = src.written(parts[0].unionByName(parts[1]), "changes")
-    bounds = [0, 1_004_000, 5_000_000, 8_000_000, lt.FOREVER]
-    for lo, hi in zip(bounds, bounds[1:]):
-        changes.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    view = View(spark, STREAM, f"{root}/view")
-    source = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    view.start(source).awaitTermination()
-    return view
+    return src.written(reduce(DataFrame.unionByName, parts), "changes")
+
+
+def _in_batches(rows: DataFrame) -> list[DataFrame]:
+    """The rows of each micro-batch, by seq."""
+    return [rows.where((F.col("seq") >= lo) & (F.lit(hi).isNull() | (F.col("seq") < F.lit(hi)))) for lo, hi in zip(BOUNDS, [*BOUNDS[1:], None])]
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{src.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(views: Views, changes: DataFrame) -> Views:
+    """The views after their stream has found each batch's files and stopped; it goes on where it stopped."""
+    spark, root = changes.sparkSession, _fresh(changes.sparkSession, "in")
+    for part in _in_batches(changes):
+        part.write.mode("append").parquet(root)
+        views.start(spark.readStream.schema(changes.schema).parquet(root)).awaitTermination()
+    return views
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> View:
+    return _streamed(View(spark, STREAM, _fresh(spark, "view")), _changes(spark, sf_dir, ["CN", "OC"]))
+
+
+def _update_lines(spark: SparkSession, sf_dir: str, lines: dict[str, list[tuple[int, str, str]]]) -> DataFrame:
+    """(seq, place, value): update lines of whole change logs."""
+    parts = []
+    for name, forms in lines.items():
+        log = src.change_log(spark, sf_dir, name)
+        parts += [log.where(cond).select("seq", F.lit(place).alias("place"), F.expr(line).alias("value")) for place, line, cond in forms]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _update_lines_sql(lines: dict[str, list[tuple[int, str, str]]]) -> str:
+    return " UNION ALL ".join(f"SELECT seq, {place} AS place, {line} AS value FROM ({src.change_log_sql(name)}) WHERE {cond}" for name, forms in lines.items() for place, line, cond in forms)
+
+
+def _ingested(spark: SparkSession, sf_dir: str, form: str, lines: dict[str, list[tuple[int, str, str]]], feeds: up.Registry) -> DataFrame:
+    """Writes the lines as text in order, reads them as updates and routes those."""
+    path = _fresh(spark, "lines")
+    _update_lines(spark, sf_dir, lines).orderBy("seq", "place", "value").select("value").write.text(path)
+    return up.routed(up.read_updates(spark, path, form), feeds).withColumn("values", F.array_join("values", ";", "<none>"))
+
+
+def _stream_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formatted log of a view that text files of update lines maintain, by a schema file."""
+    path, schema = _fresh(spark, "lines"), _fresh(spark, "schema")
+    spark.createDataFrame([("\n".join(f"{t},{r},{k},{','.join(map(str, f))}" for t, r, k, f in PIPED_FEEDS) + "\n1  # queries\n0\nCN.0,1\nOC.0,0",)], "value string").write.text(schema)
+    views = Views(spark, [STREAM], _fresh(spark, "view"))
+    for part in _in_batches(_update_lines(spark, sf_dir, PIPED_LOG)):
+        part.orderBy("seq", "place", "value").select("value").write.mode("append").text(path)
+        views.start_text(path, "piped", up.read_schema(spark, schema)[0]).awaitTermination()
+    return views.log()
+
+
+def _stream_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output changes, by batch, of queries that share a node."""
+    views = _streamed(Views(spark, [SHARED_NODE, *SHARING], _fresh(spark, "views")), _changes(spark, sf_dir, ["NR", "CN", "OC", "LO"]))
+    parts = [views.output(k + 1).select(F.lit(k).alias("qid"), "batch", "op", *(F.col(c).cast("bigint").alias(f"y{i + 1}") for i, c in enumerate(q.out))) for k, q in enumerate(SHARING)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _batches_sql(q: Query) -> str:
+    """A query's net output changes by micro-batch."""
+    batch = "CASE " + " ".join(f"WHEN seq >= {lo} THEN {k}" for k, lo in reversed(list(enumerate(BOUNDS)))) + " END"
+    y = ", ".join(q.out)
+    return f"SELECT batch, CASE WHEN k > 0 THEN '+' ELSE '-' END AS op, {y} FROM (SELECT {batch} AS batch, {y}, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({_delta_sql(q)}) GROUP BY ALL) WHERE k <> 0"
 
 
 def queries() -> dict[str, Run]:
@@ -182,6 +267,12 @@ def queries() -> dict[str, Run]:
         first = log.where("op = '+' AND o % 11 = 0 AND seq < 4000000")
         return log.unionByName(first.withColumn("seq", F.expr("seq + 100"))).unionByName(first.select((-F.col("o") - 1).alias("o"), "c", F.lit("-").alias("op"), "seq"))
 
+    def _violated(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
+        """What a view's stream finds wrong with that log."""
+        changes = log.select(F.lit("OC").alias("rel"), F.array(F.col("o").cast("string"), F.col("c").cast("string")).alias("cells"), "op", "seq")
+        found = _streamed(View(spark, query("v", "OC(o,c)", "o"), _fresh(spark, "view")), src.written(changes, "changes")).violations()
+        return found.select(F.col("cells")[0].cast("bigint").alias("o"), F.col("cells")[1].cast("bigint").alias("c"), "op", "seq", "violation")
+
     def csv_split_cases(spark: SparkSession, d: str) -> DataFrame:
         return _lines(spark, CSV_LINES).select("line_no", F.array_join(csv_fields("value"), "|").alias("fields"), F.size(csv_fields("value")).alias("n"))
 
@@ -213,6 +304,12 @@ def queries() -> dict[str, Run]:
         "csv_split_cases": csv_split_cases,
         "fanout_routing": lambda spark, d: up.routed(up.decode_piped(_lines(spark, PIPED_LINES)), REGISTRY).withColumn("values", F.array_join("values", ";", "<none>")),
         "query_classification": lambda spark, d: spark.createDataFrame([(q.name, classify(q)) for q in CLASSES], "query string, kind string"),
+        "delta_replay_state": lambda spark, d: lt.replayed(lt.delta_log(_logs(spark, d), DELTAS[1]), STATE_SEQ),
+        "text_ingest_snb": lambda spark, d: _ingested(spark, d, "piped", PIPED_LOG, PIPED_FEEDS),
+        "text_ingest_job": lambda spark, d: _ingested(spark, d, "tabled", TABLED_LOG, TABLED_FEEDS),
+        "stream_from_text": _stream_from_text,
+        "stream_multi_query": _stream_multi,
+        "stream_violations": lambda spark, d: _violated(spark, d, broken_log(spark, d)),
         "stream_microbatch_total": lambda spark, d: _stream(spark, d).results().select(F.col("n").cast("bigint").alias("n"), F.col("o").cast("bigint").alias("o")),
         "stream_microbatch_output": lambda spark, d: _stream(spark, d).output().groupBy("op").agg(F.count(F.lit(1)).alias("changes")),
     }
@@ -234,8 +331,20 @@ def oracle_sql() -> dict[str, str]:
     formatted = "SELECT op || ' 0 ' || n || ', ' || o AS line FROM ({}) WHERE op = '{}'"
     found = {q.name: _snapshot_sql(q) for q in [*SNAPSHOTS, *REDUCED]} | {q.name: _delta_sql(q) for q in DELTAS}
     last = _delta_sql(STREAM)
-    bounds = [0, 1_004_000, 5_000_000, 8_000_000, lt.FOREVER]
-    batch = " ".join(f"WHEN seq < {hi} THEN {k}" for k, hi in enumerate(bounds[1:]))
+    numbered = "row_number() OVER (ORDER BY seq, place, value) AS seq"
+    piped = f"WITH l AS ({_update_lines_sql(PIPED_LOG)}), p AS (SELECT *, string_split(rtrim(value, '|'), '|') AS p FROM l), k AS (SELECT {numbered}, p[1] AS op, p[2] AS tag, p[3:] AS cells FROM p WHERE len(p) >= 2 AND p[1] IN ('+', '-'))"
+    line = "'^([01] )?([A-Z]+) (.+)$'"
+    tabled = f"WITH l AS ({_update_lines_sql(TABLED_LOG)}), k AS (SELECT {numbered}, CASE WHEN value LIKE '0 %' THEN '-' ELSE '+' END AS op, regexp_extract(value, {line}, 2) AS tag, regexp_extract(value, {line}, 3) AS rest FROM l WHERE regexp_matches(value, {line}))"
+
+    def fed(head: str, parts: list[tuple[str, str, str, list[str]]]) -> str:
+        """The routed rows: for each relation that a tag feeds (tag, relation, key, values)."""
+        shown = {r: " || ';' || ".join(f"coalesce({v}, '<none>')" for v in values) for _, r, _, values in parts}
+        return head + " UNION ALL ".join(f" SELECT op, seq, '{r}' AS relation, TRY_CAST({key} AS BIGINT) AS key, {shown[r]} AS \"values\", TRY_CAST({key} AS BIGINT) IS NOT NULL{''.join(f' AND {v} IS NOT NULL' for v in values)} AS ok FROM k WHERE tag = '{t}'" for t, r, key, values in parts)
+
+    def part(pattern: str, k: int) -> str:
+        return f"regexp_extract(rest, '{pattern}', {k})"
+
+    cn, oc = r'^(\d+), "(.*)",(\d+)$', r'^(\d+),,"(\d+)" *$'
     return found | {
         "semi_join_existence": f"SELECT DISTINCT c FROM ({r('OC')}) WHERE o IN (SELECT o FROM ({r('LO')}))",
         "alive_tuples": f"{children} SELECT o, c FROM x WHERE n_satisfied = 2",
@@ -264,6 +373,12 @@ def oracle_sql() -> dict[str, str]:
         "csv_split_cases": _values([(0, "a|b", 2), (1, "a|b", 2), (2, "a,b|c", 2), (3, 'x "y"|z', 2), (4, "a||c", 3), (5, "a|", 2), (6, "", 0)], "line_no, fields, n"),
         "fanout_routing": "SELECT line_no, op, relation, CAST(key AS BIGINT) AS key, \"values\", ok FROM (" + _values([(0, "+", "knows1", 5, "5;6", True), (0, "+", "knows2", 5, "6;5", True), (1, "-", "knows1", 5, "5;6", True), (1, "-", "knows2", 5, "6;5", True), (6, "+", "person1", 7, "7;x", True), (7, "+", "message1", 3, "3;<none>", False)], 'line_no, op, relation, key, "values", ok') + ")",
         "query_classification": _values([(q.name, k) for q, k in zip(CLASSES, CLASS_NAMES, strict=True)], '"query", kind'),
+        "delta_replay_state": f"SELECT DISTINCT n, p FROM ({_joined_lives_sql(DELTAS[1])}) WHERE s_ <= {STATE_SEQ} AND e_ > {STATE_SEQ}",
+        "text_ingest_snb": fed(piped, [("OC", "OC", "cells[1]", ["cells[1]", "cells[2]"]), ("OC", "ORDERS", "cells[1]", ["cells[2]"]), ("CN", "CN", "cells[1]", ["cells[1]", "cells[2]"])]),
+        "text_ingest_job": fed(tabled, [("OC", "OC", part(oc, 1), [part(oc, 1), part(oc, 2)]), ("OC", "GAPS", part(oc, 1), ["'null'"]), ("CN", "CN", part(cn, 1), [part(cn, 1), part(cn, 3)]), ("CN", "NAMES", part(cn, 1), [part(cn, 2)])]),
+        "stream_from_text": f"SELECT op || ' 0 ' || n || ', ' || o AS line, batch FROM ({_batches_sql(STREAM)})",
+        "stream_multi_query": _tagged([query("s0", "CN(c,n) OC(o,c) LO(o,p)", "n,p"), query("s1", "CN(c,n) OC(o,c) NR(n,r)", "r,o"), query("s2", "CN(c,n) OC(o,c)", "n,o")], _batches_sql, "batch, op, "),
+        "stream_violations": f"{broken} SELECT o, c, op, seq, CASE op WHEN '+' THEN 'duplicate_insert' ELSE 'missing_delete' END AS violation FROM w WHERE op = coalesce(prev, '-')",
         "stream_microbatch_total": f"SELECT n, o FROM (SELECT n, o, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({last}) GROUP BY n, o) WHERE k > 0",
-        "stream_microbatch_output": f"SELECT op, count(*) AS changes FROM (SELECT batch, n, o, CASE WHEN k > 0 THEN '+' ELSE '-' END AS op FROM (SELECT CASE {batch} END AS batch, n, o, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({last}) GROUP BY ALL) WHERE k <> 0) GROUP BY op",
+        "stream_microbatch_output": f"SELECT op, count(*) AS changes FROM ({_batches_sql(STREAM)}) GROUP BY op",
     }
