@@ -1,9 +1,10 @@
-"""Exact removal of repeated byte strings by a distributed difference-cover suffix array.
+"""Exact removal of repeated strings by a distributed difference-cover suffix array.
 
-A byte goes if a WIDTH-byte string that covers it starts anywhere else too (another width may be given). Sorting the suffixes at
-every byte would move each byte many times over, so suffixes are sorted where the content itself
-says: texts are cut into phrases at local minima of a hash of the next bytes. Equal strings of WIDTH
-bytes hold the same cuts but for GUARD bytes at each end, and so the same sequence of phrases.
+A byte goes if a string that covers it starts anywhere else too. Strings are of WIDTH bytes; with
+`words`, those of so many words, from the start of one to the end of another, are looked for in the
+same run. Sorting the suffixes at every byte would move each byte many times over, so suffixes are
+sorted where the content itself says: texts are cut into phrases at local minima of a hash of the
+next bytes. Equal strings hold the same cuts but for a margin at each end, and so the same phrases.
 
 1. Phrases that occur once can't lie inside a repeated string; what stays are runs of repeated ones.
 2. Difference cover modulo 3: at positions 1 and 2 of each run the triples of phrases are sorted
@@ -13,19 +14,22 @@ bytes hold the same cuts but for GUARD bytes at each end, and so the same sequen
    remaining suffixes with the sampled ones.
 3. In each order neighbours' prefixes are compared: the longest prefix, in phrases, that a suffix
    shares with any other, up to DEPTH.
-4. Those lengths settle nearly all windows of WIDTH bytes: repeated for sure where shared phrases
-   span the window, unique where a phrase inside it is not shared. Windows between, at the ends of
-   repeats, are compared themselves, by two independent 64-bit hashes; of the sure windows one of
-   each kind takes part.
+4. Those lengths settle nearly all strings: repeated for sure where shared phrases span them, unique
+   where a phrase inside is not shared. Strings between, at the ends of repeats, are open and are
+   compared by a 64-bit and a 32-bit hash; of the sure strings one of each kind takes part.
 
-Equal texts are one text; a text of WIDTH bytes or more that occurs twice goes whole.
+For the comparison texts are dealt to parts of PART_BYTES. A part sends each hash once, however many
+of its texts hold the string, and gets back those that occur elsewhere: a passage that a third of
+all texts share costs a row per part, not per text.
+
+Equal texts are one text; one that occurs twice loses all its strings.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,9 @@ from pyspark.sql.window import Window
 from deltaloom.llm.common import bounded_batches, cut, cut_at, pieces, remove
 from deltaloom.llm.tokens import mix
 
-#: Bytes of a string that must not start at two places.
+#: Bytes of a string that must not start at two places, and words of a passage that counts as one.
 WIDTH = 400
+PASSAGE_WORDS = 51
 #: A cut is the least of the hashes this far to either side; the hash reads CONTEXT bytes.
 RADIUS = 32
 CONTEXT = 8
@@ -46,54 +51,106 @@ CONTEXT = 8
 DEPTH = 9
 #: Bits of the filter of candidate texts, at least and at most.
 BLOOM_BITS = (1 << 20, 1 << 27)
-#: Windows of a bucket, about: what a worker sorts at a time.
-BUCKET_WINDOWS = 1 << 19
+#: Bytes of text in a part, about, and of the texts whose open strings a bucket compares.
+PART_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
+#: Strings of a text that are looked at together.
+CHUNK = 1 << 18
+#: Open strings that a task holds before it sends them.
+HELD = 1 << 20
 #: Bytes of text that a worker turns into arrays at a time.
 STEP = 2 << 20
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+#: Powers of each multiplier and of its inverse.
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def radius_for(width: int) -> int:
-    """The least radius whose cuts are so far apart that DEPTH phrases and one more reach past a window; RADIUS for WIDTH."""
-    return -(-(width - 17) // 12)
-
-
-def cuts(data: bytes, radius: int = RADIUS) -> np.ndarray:
+def cuts(data: bytes) -> np.ndarray:
     """Positions whose hash of the next CONTEXT bytes is less than all others within the radius."""
     n = len(data) - CONTEXT + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    b = np.frombuffer(data, np.uint8)
+    found = [_cuts_of(data, k, min(n, k + STEP), n) for k in range(0, n, STEP)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _cuts_of(data: bytes, start: int, end: int, n: int) -> np.ndarray:
+    """The cuts from `start` to `end`, of n places in all."""
+    lo, hi = max(0, start - RADIUS), min(n, end + RADIUS)
+    b = np.frombuffer(data, np.uint8)[lo : hi + CONTEXT - 1]
     v = mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, CONTEXT)).view("<u8").ravel())
-    top = np.full(radius, np.iinfo(np.uint64).max)
+    top = np.full(RADIUS, np.iinfo(np.uint64).max)
     low, span = np.r_[top, v, top], 1
-    while span < radius:
-        step = min(span, radius - span)
+    while span < RADIUS:
+        step = min(span, RADIUS - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    return np.flatnonzero((v < low[:n]) & (v < low[radius + 1 : radius + 1 + n]))
+    at = np.flatnonzero((v < low[: len(v)]) & (v < low[RADIUS + 1 : RADIUS + 1 + len(v)])) + lo
+    return at[(at >= start) & (at < end)]
 
 
-def phrase_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(digest, n, bounds, names) per row of docs: cuts of the text, and a hash of each phrase between them."""
+def word_strings(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all strings of so many words; words are runs of bytes other than ASCII white space."""
+    b = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[False, (b != 32) & ((b < 9) | (b > 13)), False]))
+    start, end = edge[0::2], edge[1::2]
+    n = max(0, len(start) - words + 1)
+    return start[:n], end[words - 1 :][:n]
+
+
+def _before(bounds: np.ndarray, at: np.ndarray, side: str) -> np.ndarray:
+    """How many bounds lie before each of the places, which go up; with side "left" those at the place count too."""
+    return np.cumsum(np.bincount(np.searchsorted(at, bounds, side=side), minlength=len(at) + 1))[: len(at)]
+
+
+def settled(bounds: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, phrases) of each string, in order: its first cut that an equal string has too, and the phrases from there to the last such cut."""
+    first = _before(bounds, start + RADIUS, "right")
+    last = _before(bounds, end - RADIUS - CONTEXT, "left") - 1
+    return first, np.maximum(last - first, 0)
+
+
+def least_phrases(n: int, bounds: np.ndarray, width: int, spans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each first cut, and for none, the least phrases that a string with it holds; DEPTH + 1 if there is no string or more."""
+    out = np.full(len(bounds) + 1, DEPTH + 1, np.int64)
+    # as a string moves on, its end does: the first of those with a cut holds the fewest phrases
+    after = np.r_[0, bounds - RADIUS + 1]
+    if n >= width:
+        start = np.maximum(after, 0)
+        start = start[start <= n - width]
+        np.minimum.at(out, *settled(bounds, start, start + width))
+    start, end = spans
+    if len(start):
+        k = np.unique(np.searchsorted(start, after))
+        k = k[k < len(start)]
+        np.minimum.at(out, *settled(bounds, start[k], end[k]))
+    return out
+
+
+def phrase_table(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
+    """(digest, n, bounds, names, least) per row of docs that has any string: cuts of the text, a hash of each phrase between them, least_phrases()."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", STEP):
-            bounds, names = [], []
-            for t in batch.column("text").to_pylist():
+            keep, bounds, names, least = [], [], [], []
+            for k, t in enumerate(batch.column("text").to_pylist()):
                 data = t.encode("utf-8", "replace")
-                at = cuts(data, radius_for(width)) if len(data) >= width else np.zeros(0, np.int64)
+                spans = word_strings(data, words) if words else _NONE
+                if len(data) < width and not len(spans[0]):
+                    continue
+                at = cuts(data)
                 ends = at.tolist()
-                bounds.append(at.astype(np.int32))
+                keep.append(k)
+                bounds.append(at.astype(np.int32).tobytes())
                 names.append(np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(bounds, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.int64()))], ["digest", "n", "bounds", "names"])
+                least.append(least_phrases(len(data), at, width, spans).astype(np.int8).tobytes())
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column("digest"), own.column("n"), pa.array(bounds, pa.binary()), pa.array(names, pa.list_(pa.int64())), pa.array(least, pa.binary())], ["digest", "n", "bounds", "names", "least"])
 
-    return _texts(docs).select("digest", "n", "text").mapInArrow(run, "digest string, n int, bounds array<int>, names array<bigint>")
+    return _texts(docs).select("digest", "n", "text").mapInArrow(run, "digest string, n int, bounds binary, names array<bigint>, least binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -192,39 +249,42 @@ def shared_prefixes(runs: DataFrame, cut: _Cuts) -> DataFrame:
     return found.groupBy("tid", "k").agg(F.max("shared").alias("shared"), F.max(echo).alias("echo"))
 
 
-def windows(n: int, bounds: np.ndarray, shared: np.ndarray, echo: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sure, open, told): window starts of one text, as booleans.
-
-    sure: repeated by shared phrases. open: perhaps repeated. told: sure, and this text speaks for them.
-    bounds are the cuts; shared and echo belong to the phrase that begins at each.
-    """
-    last, radius = n - width, radius_for(width)
-    sure, maybe, told = np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32)
-    m = len(bounds)
-    if m:
-        k = np.flatnonzero(shared > 0)
-        start, end = bounds[k], np.minimum(bounds[k + shared[k]] - width, last)
-        k, start, end = (x[end >= start] for x in (k, start, end))
-        np.add.at(sure, start, 1)
-        np.add.at(sure, end + 1, -1)
-        own = ~echo[k]
-        start, end = start[own], np.minimum(end[own], bounds[k[own] + 1] - 1)
-        np.add.at(told, start, 1)
-        np.add.at(told, end + 1, -1)
-    # windows whose first settled cut is a; GUARD bytes at either end of a window settle nothing
-    a = np.arange(m + 1)
-    lo = np.maximum(np.r_[0, bounds - radius + 1], 0)
-    hi = np.minimum(np.r_[bounds - radius, last], last)
-    past = a[:-1] + shared + 1
-    inside = past < m
-    limit = np.full(m + 1, last)
-    limit[:-1][inside] = bounds[past[inside]] - (width - radius - CONTEXT) - 1
-    hi = np.minimum(hi, limit)
-    ok = hi >= lo
-    np.add.at(maybe, lo[ok], 1)
-    np.add.at(maybe, hi[ok] + 1, -1)
-    sure, maybe, told = (np.cumsum(x)[:-1] > 0 for x in (sure, maybe, told))
-    return sure, maybe & ~sure, told
+@dataclass
+class Phrases:
+    """A text's cuts, and for each the phrases that the suffix there shares with another, and whether an equal suffix speaks for it."""
+
+    bounds: np.ndarray
+    shared: np.ndarray
+    echo: np.ndarray
+
+    def state(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sure, open, told) of each string, as booleans.
+
+        sure: repeated by shared phrases. open: perhaps repeated. told: sure, and this text speaks for it.
+        """
+        m = len(self.bounds)
+        first, phrases = settled(self.bounds, start, end)
+        common = np.r_[self.shared, DEPTH][first]
+        maybe = (phrases <= common) | (common >= DEPTH)
+        if not m:
+            return np.zeros(len(start), bool), maybe, np.zeros(len(start), bool)
+        reach = np.where(self.shared > 0, self.bounds[np.minimum(np.arange(m) + self.shared, m - 1)], -1)
+        at = _before(self.bounds, start, "left") - 1
+        inside = at >= 0
+        sure = inside & (np.maximum.accumulate(reach)[at] >= end)
+        return sure, maybe & ~sure, inside & (reach[at] >= end) & ~self.echo[at]
+
+
+def strings(data: bytes, width: int, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, starts, ends), a bounded number at a time: kind 0 of `width` bytes, kind 1 of `words` words."""
+    last = len(data) - width + 1
+    for k in range(0, last, CHUNK):
+        start = np.arange(k, min(last, k + CHUNK))
+        yield 0, start, start + width
+    if words:
+        start, end = word_strings(data, words)
+        for k in range(0, len(start), CHUNK // 8):
+            yield 1, start[k : k + CHUNK // 8], end[k : k + CHUNK // 8]
 
 
 def _runs_of(flags: np.ndarray) -> np.ndarray:
@@ -232,17 +292,10 @@ def _runs_of(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.r_[False, flags, False])).astype(np.int32)
 
 
-def _flags(runs: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n + 1, np.int32)
-    np.add.at(out, runs[0::2], 1)
-    np.add.at(out, runs[1::2], -1)
-    return np.cumsum(out)[:-1] > 0
-
-
-def window_hashes(data: bytes, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the `width` bytes at each of the positions."""
-    out = []
-    b = np.frombuffer(data, np.uint8)
+def string_hashes(data: bytes, kind: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit hash of each string, whose starts and ends go up."""
+    lo, hi = int(start[0]), int(end[-1])
+    b, out = np.frombuffer(data, np.uint8)[lo:hi], []
     for table, mul in zip((_A, _B), _MULS):
         if mul not in _powers or len(_powers[mul][0]) <= len(b):
             size = max(1 << 16, 2 * len(b))
@@ -250,43 +303,37 @@ def window_hashes(data: bytes, at: np.ndarray, width: int = WIDTH) -> tuple[np.n
         power, inverse = _powers[mul]
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(table[b] * power[: len(b)], out=sums[1:])
-        out.append(mix((sums[at + width] - sums[at]) * inverse[at]))
-    return out[0], out[1]
+        out.append(mix((sums[end - lo] - sums[start - lo]) * inverse[start - lo] + np.uint64(kind)))
+    return out[0], out[1].astype(np.uint32)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array(arrays, pa.list_(pa.int32()))
-
-
-def decisions(texts: DataFrame, kept: DataFrame, lengths: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(tid, sure, open, told): stretches of window starts, for texts that have any."""
+def decisions(texts: DataFrame, kept: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(tid, shared, echo): Phrases of the texts that have any string which isn't unique, packed."""
     per_text = lengths.groupBy("tid").agg(F.collect_list(F.struct("k", "shared", "echo")).alias("l"))
-    joined = texts.where(f"n >= {width}").select("tid", "n", "bounds").join(kept, "tid", "left").join(per_text, "tid", "left")
-    rows = joined.select("tid", "n", "bounds", "ks", F.col("l.k").alias("k"), F.col("l.shared").alias("shared"), F.col("l.echo").alias("echo"))
+    joined = texts.select("tid", "least").join(kept, "tid", "left").join(per_text, "tid", "left")
+    rows = joined.select("tid", "least", "ks", F.col("l.k").alias("k"), F.col("l.shared").alias("shared"), F.col("l.echo").alias("echo"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            none = np.zeros(0, np.int64)
-            for r in zip(*(batch.column(c) for c in ("tid", "n", "bounds", "ks", "k", "shared", "echo")), strict=True):
-                bounds = r[2].values.to_numpy().astype(np.int64)
-                shared, echo = np.zeros(len(bounds), np.int64), np.zeros(len(bounds), bool)
-                shared[r[3].values.to_numpy() if r[3].is_valid else none] = 1
-                if r[4].is_valid:
-                    k = r[4].values.to_numpy()
-                    shared[k] = np.maximum(shared[k], r[5].values.to_numpy())
-                    echo[k] = r[6].values.to_numpy(zero_copy_only=False)
-                found = windows(r[1].as_py(), bounds, shared, echo, width)
-                if found[0].any() or found[1].any():
-                    out[0].append(r[0].as_py())
-                    for o, f in zip(out[1:], found):
-                        o.append(_runs_of(f))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(_lists, out[1:])], ["tid", "sure", "open", "told"])
-
-    return rows.mapInArrow(run, "tid bigint, sure array<int>, open array<int>, told array<int>")
-
-
-def _texts_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+            out: tuple[list, ...] = ([], [], [])
+            for r in zip(*(batch.column(c) for c in ("tid", "least", "ks", "k", "shared", "echo")), strict=True):
+                least = np.frombuffer(r[1].as_py(), np.int8)
+                shared, echo = np.zeros(len(least) - 1, np.int8), np.zeros(len(least) - 1, bool)
+                if r[2].is_valid:
+                    shared[r[2].values.to_numpy()] = 1
+                if r[3].is_valid:
+                    k = r[3].values.to_numpy()
+                    shared[k] = np.maximum(shared[k], r[4].values.to_numpy())
+                    echo[k] = r[5].values.to_numpy(zero_copy_only=False)
+                if ((least <= np.r_[shared, DEPTH]) | (np.r_[shared, 0] >= DEPTH)).any():
+                    for o, x in zip(out, (r[0].as_py(), shared.tobytes(), echo.tobytes())):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["tid", "shared", "echo"])
+
+    return rows.mapInArrow(run, "tid bigint, shared binary, echo binary")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(digest, text) of the wanted digests, once each. A bounded Bloom filter keeps most other texts out of the shuffle."""
     spark = docs.sparkSession
     n = wanted.count()
@@ -306,193 +353,159 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFra
                 ok &= table.value[at // 62] >> (at % 62) & 1 > 0
             yield batch.filter(pa.array(ok)).select(["digest", "text"])
 
-    rows = _texts(docs).where(f"n >= {width}").select("digest", "text", *(F.expr(p).alias(f"p{k}") for k, p in enumerate(places)))
+    rows = _texts(docs).where("n > 0").select("digest", "text", *(F.expr(p).alias(f"p{k}") for k, p in enumerate(places)))
     return rows.mapInArrow(run, "digest string, text string").groupBy("digest").agg(F.first("text").alias("text")).join(wanted.select("digest"), "digest", "left_semi")
 
 
-def settle(open_texts: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
-    """(tid, at): the starts of the open windows of (tid, text, open, told) that occur twice, one row per text.
+def _phrases(row: dict) -> Phrases:
+    return Phrases(np.frombuffer(row["bounds"], np.int32).astype(np.int64), np.frombuffer(row["shared"], np.int8).astype(np.int64), np.frombuffer(row["echo"], bool))
+
+
+def _packed(columns: dict[str, np.ndarray], owner: np.ndarray, name: str) -> pa.RecordBatch:
+    """One row per owner with its entries of each column, as bytes."""
+    order = np.argsort(owner, kind="stable")
+    own, first = np.unique(owner[order], return_index=True)
+    ends = np.r_[first[1:], len(owner)]
+    held = {c: x[order] for c, x in columns.items()}
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in held.values())], [name, *held])
 
-    Windows go to the bucket of their hash, and those found twice to a bucket of their text, as
-    packed arrays: the rows between are as many as the buckets' pairs, not as the texts' parts.
-    """
-    buckets = max(1, -(-total // BUCKET_WINDOWS))
-    spec = "bucket int, a binary, b binary, tid binary, at binary"
+
+def _joined(rows: pa.Table, **kinds: type) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in kinds.items()]
+
+
+def settle(held: DataFrame, buckets: int, width: int, words: int) -> DataFrame:
+    """(part, a, b): hashes of the open strings of each part of `held` that occur twice, packed in rows of one part."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         for batch in pieces(batches, "text", STEP):
-            for tid, text, maybe, told in zip(*(batch.column(c) for c in ("tid", "text", "open", "told")), strict=True):
-                data = text.as_py().encode("utf-8", "replace")
-                n = len(data) - width + 1
-                mine, others = (np.flatnonzero(_flags(x.values.to_numpy(), n)) for x in (maybe, told))
-                at = np.r_[mine, others]
-                if len(at):
-                    a, b = window_hashes(data, at, width)
-                    at[len(mine) :] = -1
-                    held.append((a, b.astype(np.uint32), np.full(len(at), tid.as_py()), at.astype(np.int32)))
-            yield from deal(held)
-            held = []
-
-    def deal(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        if held:
-            a, b, tid, at = (np.concatenate(x) for x in zip(*held))
-            of = (a >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(of, kind="stable")
-            edges = np.searchsorted(of[order], np.arange(buckets + 1))
-            own = np.flatnonzero(np.diff(edges))
-            columns = [[x[order[edges[o] : edges[o + 1]]].tobytes() for o in own] for x in (a, b, tid, at)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "a", "b", "tid", "at"])
+            for row in batch.to_pylist():
+                data, phrases = row["text"].encode("utf-8", "replace"), _phrases(row)
+                for kind, start, end in strings(data, width, words):
+                    _, maybe, told = phrases.state(start, end)
+                    use = maybe | told
+                    if use.any():
+                        a, b = string_hashes(data, kind, start[use], end[use])
+                        waiting.append((np.full(len(a), row["part"], np.int32), a, b, maybe[use].astype(np.uint8)))
+                        if sum(len(x[0]) for x in waiting) > HELD:
+                            yield once(waiting)
+                            waiting = []
+        if waiting:
+            yield once(waiting)
+
+    def once(waiting: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Each hash of a part once; state is 1 if it is open, and 2 more if it occurs twice."""
+        part, a, b, open_ = (np.concatenate(x) for x in zip(*waiting))
+        order = np.lexsort((b, a, part))
+        part, a, b, open_ = part[order], a[order], b[order], open_[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (part[1:] != part[:-1])])
+        many = np.diff(np.r_[first, len(a)]) > 1
+        state = np.maximum.reduceat(open_, first) + 2 * many.astype(np.uint8)
+        a, b, part = a[first], b[first], part[first]
+        return _packed({"part": part, "a": a, "b": b, "state": state.astype(np.uint8)}, (a >> np.uint64(32)).astype(np.int64) % buckets, "bucket")
 
     def twice(key: tuple, rows: pa.Table) -> pa.Table:
-        a, b, tid, at = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("a", np.uint64), ("b", np.uint32), ("tid", np.int64), ("at", np.int32)))
+        part, a, b, state = _joined(rows, part=np.int32, a=np.uint64, b=np.uint32, state=np.uint8)
         order = np.lexsort((b, a))
-        a, b, tid, at = a[order], b[order], tid[order], at[order]
+        part, a, b, state = part[order], a[order], b[order], state[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        hit = (np.r_[same, False] | np.r_[False, same]) & (at >= 0)
-        return pa.Table.from_batches(packed(tid[hit], at[hit]), schema)
-
-    def packed(tid: np.ndarray, at: np.ndarray) -> list[pa.RecordBatch]:
-        own = (mix(tid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        tid, at = tid[order], at[order]
-        edges = np.searchsorted(own[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(edges))
-        columns = [[x[edges[o] : edges[o + 1]].tobytes() for o in full] for x in (tid, at)]
-        return [pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)]
-
-    def by_text(key: tuple, rows: pa.Table) -> pa.Table:
-        tid, at = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("tid", np.int64), ("at", np.int32)))
-        order = np.argsort(tid, kind="stable")
-        tid, at = tid[order], at[order]
-        edge = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]])
-        return pa.table([pa.array(tid[edge]), pa.ListArray.from_arrays(pa.array(np.r_[edge, len(at)].astype(np.int32)), pa.array(at))], ["tid", "at"])
-
-    schema = pa.schema([("owner", pa.int32()), ("tid", pa.binary()), ("at", pa.binary())])
-    sent = open_texts.select("tid", "text", "open", "told").mapInArrow(emit, spec)
-    found = sent.groupBy("bucket").applyInArrow(twice, "owner int, tid binary, at binary")
-    return found.groupBy("owner").applyInArrow(by_text, "tid bigint, at array<int>")
+        hit = (np.r_[same, False] | np.r_[False, same] | (state >= 2)) & (state % 2 == 1)
+        return pa.Table.from_batches([_packed({"a": a[hit], "b": b[hit]}, part[hit], "part")])
+
+    sent = held.select("part", "text", "bounds", "shared", "echo").mapInArrow(emit, "bucket int, part binary, a binary, b binary, state binary")
+    return sent.groupBy("bucket").applyInArrow(twice, "part int, a binary, b binary")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
-    """(digest, spans, n_removed, n_spans, kept, kept_text): for each text that loses bytes, once per distinct text.
+    """(digest, spans, n_removed, n_spans, kept, passages, kept_text): for each text that holds repeated strings, once per distinct text.
 
-    spans are starts and ends of the removed stretches, kept the remaining bytes; kept_text are its
-    characters, without those that a removed stretch took a part of. Null texts are empty and, like
-    all texts under `width` bytes, lose nothing. With `words`, stretches of fewer words stay unless
-    they have WIDTH bytes. A smaller width has shorter phrases: radius_for() keeps DEPTH enough.
+    spans are starts and ends of the stretches that repeated strings of `width` bytes cover, kept the
+    other bytes; passages are the same for strings of `words` words, empty without. kept_text are the
+    characters outside of both, without those that a stretch took a part of. Null texts are empty
+    and, like all texts that are too short for a string, lose nothing.
     """
-    if not 64 <= width <= WIDTH:
-        raise ValueError(f"width has to be in 64 to {WIDTH}, not {width}")
+    if width < 2 * RADIUS + CONTEXT:
+        raise ValueError(f"width has to be {2 * RADIUS + CONTEXT} at least, not {width}")
     spark = docs.sparkSession
     cut = _Cuts(spark)
-    table = phrase_table(docs.select("text"), width).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bounds").alias("bounds"), F.first("names").alias("names"))
-    texts = cut(table.where(f"n >= {width}").withColumn("tid", F.monotonically_increasing_id()), "phrases")
+    table = phrase_table(docs.select("text"), width, words).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "bounds", "names", "least")))
+    texts = cut(table.withColumn("tid", F.monotonically_increasing_id()), "phrases")
     kept, runs = repeated_runs(texts, cut)
     lengths = cut(shared_prefixes(runs, cut), "shared")
     cut.drop("runs", "names-9", "lengths")
-    found = decisions(texts, kept, lengths, width)
-    whole = texts.select("tid", "digest", "copies")
-    marked = cut(whole.join(found, "tid", "left").where("sure IS NOT NULL OR copies > 1"), "decided")
+    found = decisions(texts, kept, lengths)
+    none = F.expr("cast('' AS binary)")
+    whole = texts.select("tid", "digest", "copies", "n", "bounds", F.expr("octet_length(bounds) div 4").alias("m"))
+    marked = whole.join(found, "tid", "left").where("shared IS NOT NULL OR copies > 1")
+    # a text that isn't marked by its phrases has none that is shared
+    zeros = F.expr("unhex(repeat('00', cast(m AS int)))")
+    marked = cut(marked.select("tid", "digest", "copies", "n", "bounds", F.coalesce("shared", zeros, none).alias("shared"), F.coalesce("echo", zeros, none).alias("echo")), "decided")
     cut.drop("phrases", "kept", "shared")
-    held = cut(_texts_of(docs.select("text"), marked.select("digest"), width).join(marked, "digest"), "candidates")
+    total = marked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts, buckets = max(1, -(-total // PART_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    part = F.expr(f"cast(pmod(xxhash64(tid), {parts}) AS int)").alias("part")
+    held = cut(_texts_of(docs.select("text"), marked.select("digest")).join(marked, "digest").select(part, "digest", "copies", "text", "bounds", "shared", "echo"), "candidates")
     cut.drop("decided")
-    counts = F.expr("aggregate(sequence(0, size(x) div 2 - 1), 0L, (s, i) -> s + x[2 * i + 1] - x[2 * i])")
-    open_ = held.where("size(open) + size(told) > 0")
-    total = sum(open_.where(f"size({c}) > 0").select(F.col(c).alias("x")).agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0] for c in ("open", "told"))
-    settled = cut(settle(open_, total, width), "settled")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", STEP):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for digest, copies, text, sure, at in zip(*(batch.column(c) for c in ("digest", "copies", "text", "sure", "at")), strict=True):
-                data = text.as_py().encode("utf-8", "replace")
-                n = len(data) - width + 1
-                starts = np.ones(n, bool) if copies.as_py() > 1 else _flags(sure.values.to_numpy(), n)
-                if at.is_valid:
-                    starts[at.values.to_numpy()] = True
-                edge = _runs_of(starts)
-                gone = _flags(np.where(np.arange(len(edge)) % 2, edge + width - 1, edge), len(data))
-                if words:
-                    gone = _flags(_long_runs(data, _runs_of(gone), words), len(data))
-                if gone.any():
-                    spans = _runs_of(gone)
-                    out[0].append(digest.as_py())
-                    out[1].append(spans)
-                    out[2].append(int(gone.sum()))
-                    out[3].append(len(spans) // 2)
-                    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    out[4].append(left)
-                    out[5].append(b"".join(_whole_characters(data, spans)).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), _lists(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.string())], ["digest", "spans", "n_removed", "n_spans", "kept", "kept_text"])
-
-    rows = held.join(settled, "tid", "left").select("digest", "copies", "text", F.coalesce("sure", F.array().cast("array<int>")).alias("sure"), "at")
-    return rows.mapInArrow(run, "digest string, spans array<int>, n_removed bigint, n_spans bigint, kept binary, kept_text string")
-
-
-def dense_repeats(docs: DataFrame, width: int, words: int) -> DataFrame:
-    """(digest, dense): starts and ends of strings of so many words and under `width` bytes that start at two places.
-
-    They are what repeats() with that width can't see; texts of ordinary words hold few of them.
-    """
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", STEP):
-            out: tuple[list, ...] = ([], [], [], [])
-            for digest, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = t.encode("utf-8", "replace")
-                b = np.frombuffer(data, np.uint8)
-                edge = np.flatnonzero(np.diff(np.r_[False, (b != 32) & ((b < 9) | (b > 13)), False]))
-                start, end = edge[0::2], edge[1::2]
-                if len(start) < words:
-                    continue
-                start, end = start[: len(start) - words + 1], end[words - 1 :]
-                for k in np.flatnonzero(end - start < width).tolist():
-                    for o, x in zip(out, (digest, xxhash.xxh3_128_digest(data[start[k] : end[k]]), int(start[k]), int(end[k]))):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.binary(), pa.int32(), pa.int32()))], ["digest", "h", "a", "b"])
-
-    found = cut(_texts(docs.select("text")).select("digest", "text").mapInArrow(run, "digest string, h binary, a int, b int"), "dense")
-    often = found.groupBy("h").count().where("count > 1").select("h")
-    return found.join(often, "h", "left_semi").groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("dense"))
-
-
-def repeated_passages(docs: DataFrame, width: int, words: int) -> DataFrame:
-    """(digest, kept_text) of each text that loses passages: repeats() and dense_repeats() together."""
-    lost = cut(repeats(docs, width, words).select("digest", "spans", "kept_text"), "lost")
-    dense = cut(dense_repeats(docs, width, words), "dense-lost")
-    both = dense.join(lost.select("digest", "spans"), "digest", "left").select("digest", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.expr("flatten(transform(dense, x -> array(x.a, x.b)))").alias("dense"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", STEP):
-            left = []
-            for t, spans, dense_ in zip(*(batch.column(c) for c in ("text", "spans", "dense")), strict=True):
-                data = t.as_py().encode("utf-8", "replace")
-                runs = _runs_of(_flags(np.r_[spans.values.to_numpy(), dense_.values.to_numpy()], len(data)))
-                left.append(b"".join(_whole_characters(data, runs)).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(left, pa.string())], ["digest", "kept_text"])
-
-    again = _texts(docs.select("text")).select("digest", "text").join(both, "digest").mapInArrow(run, "digest string, kept_text string").groupBy("digest").agg(F.first("kept_text").alias("kept_text"))
-    return lost.select("digest", "kept_text").join(dense.select("digest"), "digest", "left_anti").unionByName(again)
-
-
-def _long_runs(data: bytes, runs: np.ndarray, words: int) -> np.ndarray:
-    """The runs of WIDTH bytes or of so many words."""
-    long = [b - a >= WIDTH or len(data[a:b].split()) >= words for a, b in zip(runs[0::2].tolist(), runs[1::2].tolist())]
-    return runs[np.repeat(np.array(long, bool), 2)]
+    hits = cut(settle(held, buckets, width, words), "hits")
+
+    def run(texts: pa.Table, hits: pa.Table) -> pa.Table:
+        a, b = _joined(hits, a=np.uint64, b=np.uint32)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        out: list[tuple] = []
+        for row in texts.to_pylist():
+            data, phrases = row["text"].encode("utf-8", "replace"), _phrases(row)
+            gone = [np.zeros(len(data) + 1, np.int32) for _ in range(2)]
+            for kind, start, end in strings(data, width, words):
+                sure, maybe, _ = phrases.state(start, end)
+                if row["copies"] > 1:
+                    sure[:] = True
+                elif maybe.any() and len(a):
+                    at = np.flatnonzero(maybe)
+                    x, y = string_hashes(data, kind, start[at], end[at])
+                    near = np.searchsorted(a, x)
+                    hit = np.zeros(len(at), bool)
+                    while (live := (near < len(a)) & ~hit).any():
+                        same = live.copy()
+                        same[live] = a[near[live]] == x[live]
+                        hit[same] = b[near[same]] == y[same]
+                        near = np.where(same, near + 1, len(a))
+                    sure[at[hit]] = True
+                edge = _runs_of(sure)
+                np.add.at(gone[kind], start[edge[0::2]], 1)
+                np.add.at(gone[kind], end[edge[1::2] - 1], -1)
+            spans, passages = (_runs_of(np.cumsum(x)[:-1] > 0) for x in gone)
+            if len(spans) or len(passages):
+                lost = np.cumsum(gone[0] + gone[1])[:-1] > 0
+                left = b"".join(data[i:j] for i, j in _between(spans, len(data)))
+                text = b"".join(_whole_characters(data, _runs_of(lost))).decode()
+                out.append((row["digest"], spans, len(data) - len(left), len(spans) // 2, left, passages, text))
+        columns = list(zip(*out)) or [[]] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    kinds = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.string()]
+    names = ["digest", "spans", "n_removed", "n_spans", "kept", "passages", "kept_text"]
+    grouped = held.groupBy("part").cogroup(hits.groupBy("part"))
+    return grouped.applyInArrow(run, "digest string, spans array<int>, n_removed bigint, n_spans bigint, kept binary, passages array<int>, kept_text string")
+
+
+def _between(spans: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """The stretches between the spans."""
+    yield from zip([0, *spans[1::2].tolist()], [*spans[0::2].tolist(), n])
 
 
 def _whole_characters(data: bytes, spans: np.ndarray) -> Iterator[bytes]:
     """The stretches between the spans, each without bytes of characters that it only holds a part of."""
-    for a, b in zip([0, *spans[1::2].tolist()], [*spans[0::2].tolist(), len(data)]):
+    for a, b in _between(spans, len(data)):
         yield data[a:b].decode("utf-8", "ignore").encode()
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to repeated 400-byte strings."""
+    """What every document loses to repeated 400-byte strings; passage_bytes are those that repeated strings of PASSAGE_WORDS words cover."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lost = repeats(docs).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    covered = F.expr("aggregate(sequence(1, size(passages) div 2), 0L, (s, i) -> s + passages[2 * i - 1] - passages[2 * i - 2])")
+    lost = repeats(docs, words=PASSAGE_WORDS).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.when(F.size("passages") > 0, covered).otherwise(0).alias("passage_bytes"))
     heads = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
     joined = heads.join(lost, "digest", "left")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
+    return joined.select("doc_id", "n_bytes", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), F.coalesce("passage_bytes", F.lit(0)).cast("bigint").alias("passage_bytes"))

@@ -355,20 +355,58 @@ def brute_repeats(texts, width):
     return out
 
 
-def test_suffix_dedup(spark, odd, tmp_path):
+def brute_passages(texts, words):
+    """For each text the bytes that strings of so many words cover which start at two places, as booleans."""
+    spans = []
+    for t in texts:
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        spans.append([(a, b) for (a, _), (_, b) in zip(at, at[words - 1 :])])
+    starts = collections.Counter(t[a:b] for t, own in zip(texts, spans) for a, b in own)
+    out = []
+    for t, own in zip(texts, spans):
+        gone = np.zeros(len(t), bool)
+        for a, b in own:
+            if starts[t[a:b]] > 1:
+                gone[a:b] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("size", [None, 3000])
+def test_suffix_dedup(spark, odd, tmp_path, monkeypatch, size):
+    """One part and bucket, and many of each."""
+    if size:
+        monkeypatch.setattr(suffixes, "PART_BYTES", size)
+        monkeypatch.setattr(suffixes, "BUCKET_BYTES", size)
+        monkeypatch.setattr(suffixes, "CHUNK", 512)
+        monkeypatch.setattr(suffixes, "STEP", 5000)
+        monkeypatch.setattr(suffixes, "HELD", 100)
     rng = random.Random(8)
     rows = list(odd[0])
     parts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (398, 399, 400, 401, 470, 900, 1500)]
-    for k in range(60):
+    parts += [" ".join("".join(rng.choice("ghij") for _ in range(rng.randint(1, most))) for _ in range(n)) for n, most in ((50, 3), (51, 3), (51, 9), (52, 30), (60, 6), (90, 6))]
+    for k in range(90):
         text = "".join(rng.choice([rng.choice(parts), "".join(rng.choice("efgh é") for _ in range(rng.randint(1, 300)))]) for _ in range(rng.randint(1, 5)))
         rows.append((1000 + k, text[rng.randint(0, 60) :]))
+    rows += [(2000 + k, f"own{k} {parts[11]} and{k}") for k in range(60)]
     docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    want = by_rows(zip([i for i, _ in rows], *zip(*brute_repeats([(t or "").encode() for _, t in rows], 400))))
+    data = [(t or "").encode() for _, t in rows]
+    passages = [int(x.sum()) for x in brute_passages(data, suffixes.PASSAGE_WORDS)]
+    want = by_rows(zip([i for i, _ in rows], *zip(*brute_repeats(data, 400)), passages))
     got = suffixes.op4_suffix_array_dedup(spark, str(tmp_path)).collect()
-    assert by_rows((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert by_rows((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.passage_bytes) for r in got) == want
     assert suffixes.repeats(odd[1].limit(0)).isEmpty()
 
 
+def test_cuts_in_steps(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 101, 20000, dtype=np.uint8).tobytes()
+    whole = suffixes.cuts(data)
+    for step in (1, 50, 999):
+        monkeypatch.setattr(suffixes, "STEP", step)
+        assert (suffixes.cuts(data[:3000]) == whole[whole < 2900].tolist() + suffixes.cuts(data[:3000])[(whole < 2900).sum() :].tolist()).all()
+    assert len(suffixes.cuts(b"")) == len(suffixes.cuts(b"abc")) == 0
+
+
 @pytest.mark.parametrize("width", [80, 240])
 def test_repeats_of_other_widths(spark, width):
     rng = random.Random(width)
@@ -668,12 +706,15 @@ def test_near_duplicate_stage(spark, odd):
 
 def test_repeats_stage(spark, odd):
     rows, docs = odd
-    spans = {r.digest: r.spans for r in suffixes.repeats(docs).collect()}
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeats(spark, docs, SF).collect()}
-    for i, t in rows:
-        data = (t or "").encode()
-        cut = [0, *spans.get(hashlib.sha256(data).hexdigest(), []), len(data)]
-        left = "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(cut[0::2], cut[1::2]))
+    data = [(t or "").encode() for _, t in rows]
+    for (i, t), b, gone in zip(rows, data, brute_passages(data, suffixes.PASSAGE_WORDS)):
+        starts = collections.Counter(x[k : k + 400] for x in data for k in range(len(x) - 399)) if i == rows[0][0] else starts
+        for k in range(len(b) - 399):
+            if starts[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False])).tolist()
+        left = "".join(b[x:y].decode("utf-8", "ignore") for x, y in zip([0, *edge[1::2]], [*edge[0::2], len(b)]))
         if i is not None:
             assert (out[i][0] or "") == left and out[i][1] == (None if t is None else len(left))
 
