@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 from deltaloom.llm import bpe, decontaminate, minhash, suffixes, toxicity
 from deltaloom.llm.common import cut
 
-#: Words of a repeated passage that goes, at least, and bytes from which repeats are found; shorter passages of so many words are found apart.
-PASSAGE_WORDS = 51
-PASSAGE_BYTES = 240
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of PASSAGE_WORDS words, or 400 bytes, that repeat; n_chars follows the text. All rows stay."""
-    lost = cut(suffixes.repeated_passages(docs, PASSAGE_BYTES, PASSAGE_WORDS).select(F.col("digest").alias("_digest"), F.col("kept_text").alias("_text")), "lost")
+    """Documents without passages of 51 words, or 400 bytes, that repeat; n_chars follows the text. All rows stay."""
+    lost = cut(suffixes.repeats(docs, words=suffixes.PASSAGE_WORDS).select(F.col("digest").alias("_digest"), F.col("kept_text").alias("_text")), "lost")
     hashed = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     joined = hashed.join(lost, "_digest", "left")
     text = F.coalesce("_text", "text")
