@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round rewires every node's larger neighbours to the smallest node near it, then its smaller
     ones, until nothing changes: O(log^2 n) rounds, each a few joins of the edge list with per-node
-    minima. Rounds are written to the shared folder; self-loops and repeated edges are harmless, rows
+    minima. Each round is written to the shared folder; self-loops and repeated edges are harmless, rows
     with a null end are left out. No edge list reaches the driver.
     """
     spark = edges.sparkSession
@@ -25,16 +25,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     now, path = cut_at(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(now)
-    while True:
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large, large_path = cut_at(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after, after_path = cut_at(small, "small-star")
         remove(spark, path)
-        remove(spark, large_path)
         now, path, last, mark = after, after_path, mark, _mark(after)
         if mark == last:
             break

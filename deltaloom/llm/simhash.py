@@ -231,10 +231,8 @@ def links(fps: DataFrame, radius: int = RADIUS, docs: DataFrame | None = None) -
     while True:
         named = spark.createDataFrame([(i, p, _signed(m)) for i, p, m in paths], "path int, parent int, mask bigint")
         keyed = entries.join(F.broadcast(named), "parent").select("fp", "path", F.xxhash64("path", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
-        keyed, keyed_path = cut_at(keyed, "shards")
         sizes = keyed.groupBy("path", "shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized, sized_path = cut_at(keyed.join(sizes, ["path", "shard"]), "sized")
-        remove(spark, keyed_path)
         last = all(64 - m.bit_count() <= LAST_BITS for _, _, m in paths)
         small = sized if last else sized.where(F.col("n") <= SHARD_NODES)
         found = cut(_stars(small, radius) if docs is None else _similar_stars(small, radius, fps, docs), "stars")
