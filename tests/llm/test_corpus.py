@@ -340,6 +340,69 @@ def test_html_articles(spark):
         assert found[page_id].text == "\n\n".join(x for x in parts if x) and found[page_id].n_chars == len(found[page_id].text)
 
 
+def naive_inherit(found, labels):
+    """Pass two by a scan from each block."""
+    def near(i, same):
+        sides = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(found) and same(found[j]):
+                if labels[j] is not None:
+                    sides.append((abs(i - j), -len(found[j].text), labels[j]))
+                    break
+                j += step
+        return min(sides)[2] if sides else None
+
+    out = []
+    for i, (b, label) in enumerate(zip(found, labels)):
+        if label is None:
+            label = near(i, lambda x: x.section == b.section)
+            if label is None and b.main:
+                label = near(i, lambda x: x.main and not x.boiler)
+                label = True if label is None else label
+            if label is None:
+                label = near(i, lambda x: True)
+        out.append(bool(label))
+    return out
+
+
+def test_html_passes():
+    """Pass one by its rules, pass two against scans, over random blocks."""
+    rng = random.Random(6)
+    for _ in range(300):
+        found, labels, section = [], [], 0
+        for _ in range(rng.randrange(25)):
+            section = rng.choice([section, section, rng.randrange(4)])
+            boiler = rng.random() < 0.15
+            found.append(html.Block("x" * rng.randint(1, 9), 0, section, section == 1, boiler, False))
+            labels.append(False if boiler else rng.choice([True, False, None, None, None]))
+        assert html.inherit(found, labels) == naive_inherit(found, labels)
+    stop, own = "the", "zebra"
+    for words, dense, linked, want in ((40, 20, 0, True), (40, 4, 0, True), (40, 0, 0, False), (40, 20, 90, False), (10, 5, 0, None), (20, 10, 0, True), (20, 2, 0, None)):
+        text = " ".join([stop] * dense + [own] * (words - dense))
+        assert html.classify([html.Block(text, len(text) * linked // 100, 0, False, False, False)]) == [want], (words, dense, linked)
+    assert html.classify([html.Block("© 2020 the site of the", 0, 0, False, False, False), html.Block("x", 0, 0, False, True, False)]) == [False, False]
+
+
+@pytest.mark.parametrize("part", ["<p", "<a ", "<p>ab cd</p>", "<div>", "</x>", '<b "', "<!", "<li>", "<span hidden><div></span>", "<p 'a", "&amp", "<script>", "<![CDATA["])
+def test_html_takes_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html.main_text(part * (400_000 // len(part)))
+    assert time.process_time() - began < 5
+
+
+def test_html_without_marks():
+    """Pages whose elements are all div, without class, id or role: density, length, links and neighbours decide."""
+    found = wanted = both = 0
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|\S+)(?=[\s>])", "", re.sub(r"<(/?)(article|main|nav|aside|footer|header|form|section|p|h1|li|ul)\b[^>]*>", r"<\1div>", page))
+        a, b = (collections.Counter(html.main_text(x).split("\n\n")) for x in (page, bare))
+        wanted, found, both = (n + sum(len(k) * v for k, v in c.items()) for n, c in ((wanted, a), (found, b), (both, a & b)))
+    assert both >= 0.95 * found and both >= 0.95 * wanted
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 
 
