@@ -1,15 +1,18 @@
 """Toxicity by a weighted grammar of composed finite-state transducers.
 
-Words become symbols: insult, threat, target, negation, report, other. Three small transducers read
-a clause's symbols side by side; their product decides what each matched clause is worth:
+The lexicon turns words into symbols: insult, threat, target, negation, report, other. Three small
+transducers rewrite a clause's symbols one after the other, each reading what the one before wrote;
+they are composed into one machine, whose table is built once:
 
-* report: after a verb of saying the rest of the clause is someone else's speech;
-* negation: reaches over the next few words;
-* target: a person is addressed or spoken of in the clause.
+* report: after a verb of saying the rest of the clause is someone else's speech, and insults and
+  threats in it become `reported`;
+* negation: reaches over the next few words, whose insults and threats become `negated`;
+* target: once a person is addressed or spoken of, insults and threats become `insult_target` and
+  `threat_target`; where that comes later in the clause, its final state says so.
 
-An insult or threat is emitted with the product's state, and each clause counts once, by its
-heaviest reading: threat at a target, insult at a target, bare insult, bare threat, negated,
-reported. Documents are scored by the counts of their matched clauses, in a logistic model.
+Each clause counts once, by its heaviest reading: threat at a target, insult at a target, bare
+insult, bare threat, negated, reported. Documents are scored by the counts of their matched clauses,
+in a logistic model.
 
 Words that open with a learned stem are insults too. Stems and weights are learned from a bounded,
 deterministic sample of labelled rows. Texts are searched whole: an automaton finds insult and
@@ -21,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -78,33 +81,55 @@ def default_grammar(stems: dict[str, str] | None = None) -> Grammar:
     return Grammar({w: "insult" for w in INSULTS} | {w: "threat" for w in THREATS}, stems or {})
 
 
-def report(state: int, symbol: str) -> int:
-    """1 once a verb of saying was read."""
-    return 1 if state or symbol == "report" else 0
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+HITS = ("insult", "threat")
+#: A transducer's step: (state, symbol) to the next state and the symbol written. All start in state 0.
+Step = Callable[[int, str], tuple[int, str]]
 
 
-def negation(state: int, symbol: str) -> int:
-    """How many more words the last negation reaches."""
-    return REACH + 1 if symbol == "negation" else max(0, state - 1)
+def report(state: int, symbol: str) -> tuple[int, str]:
+    """State 1 once a verb of saying was read."""
+    return int(state or symbol == "report"), "reported" if state and symbol in HITS else symbol
 
 
-def target(state: int, symbol: str) -> int:
-    """1 once a person was read."""
-    return 1 if state or symbol == "target" else 0
+def negation(state: int, symbol: str) -> tuple[int, str]:
+    """The state is how many more words the last negation reaches."""
+    return REACH if symbol == "negation" else max(0, state - 1), "negated" if state and symbol in HITS else symbol
+
+
+def target(state: int, symbol: str) -> tuple[int, str]:
+    """State 1 once a person was read."""
+    return int(state or symbol == "target"), f"{symbol}_target" if state and symbol in HITS else symbol
+
+
+def compose(*steps: Step) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], str]]:
+    """The table of the machine that runs the transducers in a row, over all states that it can reach."""
+    table, open_ = {}, [(0,) * len(steps)]
+    while open_:
+        states = open_.pop()
+        for symbol in SYMBOLS:
+            after, written = [], symbol
+            for step, state in zip(steps, states, strict=True):
+                state, written = step(state, written)
+                after.append(state)
+            table[states, symbol] = (tuple(after), written)
+            if (tuple(after), SYMBOLS[0]) not in table and tuple(after) != states:
+                open_.append(tuple(after))
+    return table
+
+
+MACHINE = compose(report, negation, target)
 
 
 def reading(symbols: list[str]) -> int | None:
     """The heaviest reading of one clause, as an index into READINGS; None if nothing matches."""
-    aimed = "target" in symbols
-    said = negated = met = 0
-    best = None
+    state, found = (0, 0, 0), set()
     for s in symbols:
-        said, negated, met = report(said, s), negation(negated, s), target(met, s)
-        if s in ("insult", "threat"):
-            name = "reported" if said else "negated" if negated else f"{s}_target" if met or aimed else s
-            k = READINGS.index(name)
-            best = k if best is None else min(best, k)
-    return best
+        state, written = MACHINE[state, s]
+        found.add(written)
+    if state[-1]:
+        found |= {f"{s}_target" for s in HITS if s in found}
+    return next((k for k, name in enumerate(READINGS) if name in found), None)
 
 
 def _symbol(word: str, kinds: dict[str, str]) -> str:
@@ -124,7 +149,7 @@ def clause_counts(text: str, automaton: ahocorasick.Automaton) -> Counter:
         if not kind:
             continue
         if start >= done:
-            left = max((low.rfind(c, 0, start) for c in ".!?;:\n\r"), default=-1) + 1
+            left = max(max(low.rfind(c, max(0, done), start) for c in ".!?;:\n\r") + 1, done)
             right = _CLAUSE_END.search(low, start)
             done = right.start() if right else len(low)
             clause = (left, done)
@@ -312,7 +337,11 @@ def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned outside the held-out fold."""
+    """Toxicity of every document, learned outside the held-out fold: doc_id, held_out, score, predicted.
+
+    Null and empty texts match nothing and get the score of the bias alone; repeated rows keep theirs,
+    a null doc_id counts as the text '' for the fold. Without labels the scores are the prior's.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select("doc_id", F.expr(f"{crc_mod('doc_id', FOLDS)} = 0").alias("held_out"), "score", "predicted")

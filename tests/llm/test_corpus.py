@@ -233,9 +233,9 @@ def test_duplicates(spark, odd, monkeypatch, block):
     base = [f"many{j}" for j in range(200)]
     for j in range(30):
         texts[k], k = spread(base, 1 + j % 3, f"own{j}"), k + 1
-    got = {r.doc_id: r.component_id for r in minhash.duplicates(docs_of(spark, texts.items())).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.duplicates(docs_of(spark, texts.items()).withColumn("row", F.lit(0).cast("bigint"))).collect()}
     assert got == brute_similar(texts) and len(set(got.values())) < len(got) - 40
-    assert minhash.duplicates(odd[1].where("doc_id IS NOT NULL").limit(0)).isEmpty()
+    assert minhash.duplicates(odd[1].where("doc_id IS NOT NULL").limit(0).withColumn("row", F.lit(0).cast("bigint"))).isEmpty()
 
 
 def test_repeated_lines_are_no_similarity(spark, odd):
@@ -263,6 +263,39 @@ def test_toxic_readings():
     assert of("") == of("a clear idiom, trashed") == []
 
 
+def enumerated_reading(symbols):
+    """The heaviest reading, from what surrounds each insult and threat."""
+    found = set()
+    for i, s in enumerate(symbols):
+        if s in ("insult", "threat"):
+            said, near = "report" in symbols[:i], "negation" in symbols[max(0, i - toxicity.REACH) : i]
+            found.add("reported" if said else "negated" if near else f"{s}_target" if "target" in symbols else s)
+    return min(map(toxicity.READINGS.index, found), default=None)
+
+
+def test_machine_against_enumeration():
+    rng = random.Random(4)
+    for _ in range(5000):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(12))]
+        assert toxicity.reading(symbols) == enumerated_reading(symbols), symbols
+
+
+def test_clauses_against_splitting():
+    """Clauses that the automaton finds, against all clauses of the text; and in linear time."""
+    import time
+
+    rng, grammar = random.Random(9), toxicity.default_grammar({"zorb": "insult"})
+    words = ["idiot", "kill", "you", "not", "said", "house", "zorbs", "zorb", "idiots"]
+    kinds = {"idiot": "insult", "kill": "threat", "zorbs": "insult"}
+    for _ in range(500):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "; ", "\n", "!"]) for _ in range(rng.randrange(20)))
+        readings = [enumerated_reading([toxicity._symbol(w, kinds) for w in clause.split()]) for clause in re.split(r"[.!?;:\n\r]", text)]
+        assert toxicity.clause_counts(text, grammar.automaton()) == collections.Counter(r for r in readings if r is not None), text
+    began = time.process_time()
+    assert toxicity.clause_counts("an idiot, " * 10 + "you idiot. " * 100_000, grammar.automaton())[1] == 100_000
+    assert time.process_time() - began < 10
+
+
 def test_words_beside_their_stems():
     """A spelling that is a whole word and a learned stem matches as either."""
     grammar = toxicity.default_grammar({"moron": "insult", "kill": "insult", "zorb": "insult"})
