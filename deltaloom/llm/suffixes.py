@@ -27,7 +27,6 @@ Equal texts are one text; one that occurs twice loses all its strings.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deltaloom.llm.common import bounded_batches, cut, cut_at, pieces, remove
+from deltaloom.llm.common import bounded_batches, cut_at, pieces, release, remove
 from deltaloom.llm.tokens import mix
 
 #: Bytes of a string that must not start at two places, and words of a passage that counts as one.
@@ -166,8 +165,7 @@ class _Cuts:
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         out, self.paths[name] = cut_at(df, name)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        release(self.spark)
         return out
 
     def drop(self, *names: str) -> None:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import cut, new_path
+from deltaloom.llm.common import cut, new_path, release
 
 #: Payloads under this length are never deduplicated into revisit records.
 REVISIT_BYTES = 100
@@ -82,6 +82,7 @@ def write_archive(pages: DataFrame, root: str | None = None, revisit_bytes: int
     """Writes the archive of `pages` (page_id, url, html; other columns are left out) and returns its root."""
     root = root or new_path(pages.sparkSession, "warc")
     payloads(pages).write.option("compression", "zstd").parquet(f"{root}/payloads")
+    release(pages.sparkSession)
     headers(classify(pages, revisit_bytes)).write.option("compression", "zstd").parquet(f"{root}/headers")
     return root
 
@@ -115,19 +116,26 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
 
 
 def verify_archive(spark: SparkSession, root: str) -> DataFrame:
-    """One row per record, with digest and length computed anew from the stored payload.
+    """One row per record, with digest and length computed anew from the bytes of the reconstructed records.
 
-    Payloads are hashed where they lie; the join carries digests only. A record whose payload is
-    missing, or differs from what its header declares, raises.
+    A response's payload is cut out of its record, after the header and before the closing CRLF CRLF;
+    a revisit's is that of the record it refers to. A payload that is missing, or differs from what
+    its header declares, raises.
     """
-    stored = spark.read.parquet(f"{root}/payloads").select(F.col("digest"), F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes"))
-    joined = read_headers(spark, root).join(stored, "digest", "left")
+    start, length = "octet_length(header)", "octet_length(record) - octet_length(header) - 4"
+    payload = F.when(F.col("record_type") == "response", F.expr(f"substring(record, {start} + 1, {length})")).otherwise(F.col("payload"))
+    read = read_records(spark, root).withColumn("whole", payload)
+    found = read.select("page_id", "record_type", "refers_to", "digest", "declared_bytes", F.sha2("whole", 256).alias("payload_digest"), F.octet_length("whole").cast("bigint").alias("payload_bytes"))
     sound = F.col("payload_digest").eqNullSafe(F.col("digest")) & F.col("payload_bytes").eqNullSafe(F.col("declared_bytes"))
-    return joined.select("page_id", "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))).alias("payload_digest"), "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives all of `pages`, reads the archive back, one row per page."""
+    """Archives all of `pages`, reads the records back, one row per page.
+
+    A null html is the empty payload; rows without a page_id and repeated rows are records of their
+    own. Of equal payloads of REVISIT_BYTES or more the smallest page_id is the response.
+    """
     return verify_archive(spark, write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
