@@ -84,22 +84,24 @@ def similar_stars(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) per row of docs (doc_id, text), ids not null.
+    """(doc_id, row, group, component_id) per row of docs (doc_id, text, row), ids not null.
 
     Two texts link if at least SIMILAR of the five-word shingles of both are shared; equal words,
-    in lower case (A-Z), always link. component_id is the smallest doc_id that links reach.
+    in lower case (A-Z), always link. component_id is the smallest doc_id that links reach, group
+    names the component itself, as rows of one id can lie in several. row is a bigint that the
+    caller tells rows apart by; other columns are left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "row", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows = batch.column("text").to_pylist()
             prints = np.array([fingerprint(t) for t in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text_digest(t) for t in rows], pa.binary()), pa.array(prints), pa.array([bands(shingle_set(t)) for t in rows], pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([text_digest(t) for t in rows], pa.binary()), pa.array(prints), pa.array([bands(shingle_set(t)) for t in rows], pa.list_(pa.int64()))], ["doc_id", "row", "digest", "fp", "bands"])
 
-    rows = cut(texts.mapInArrow(named, "doc_id bigint, digest binary, fp bigint, bands array<bigint>"), "named")
+    rows = cut(texts.mapInArrow(named, "doc_id bigint, row bigint, digest binary, fp bigint, bands array<bigint>"), "named")
     one = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -135,4 +137,4 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     rooted = cut(nodes.select("digest", "least", "node").join(connected_components(edges), "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")), "rooted")
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "digest").join(rooted.join(component, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    return rows.select("doc_id", "row", "digest").join(rooted.join(component, "root").select("digest", F.col("root").alias("group"), "component_id"), "digest").drop("digest")
