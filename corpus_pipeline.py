@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the
 last return the columns of their input, whatever further columns it has. Rows without a doc_id can't
-be named in a group or a match and stay; null texts are empty texts. Of rows that share a doc_id one
-stays from the near-duplicate stage on.
+be named in a group or a match and stay; null texts are empty texts. Rows that share a doc_id but not
+a group are all kept.
 """
 
 from __future__ import annotations
@@ -26,10 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id; texts link that share 0.8 of their five-word shingles."""
-    found = minhash.duplicates(docs.where("doc_id IS NOT NULL"))
-    keep = cut(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group the row with the smallest doc_id; texts link that share 0.8 of their five-word shingles.
+
+    Of rows of a group that share that id, the one with the smallest hash of all columns stays.
+    """
+    hashed = docs.withColumn("_row", F.xxhash64(*(f"`{c}`" for c in docs.columns)))
+    found = minhash.duplicates(hashed.where("doc_id IS NOT NULL").select("doc_id", "text", F.col("_row").alias("row")))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.doc_id", F.col("first.row").alias("_row"))
+    named = hashed.join(cut(first, "kept-ids"), ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -62,7 +66,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", encode),
 ]
 
-#: SQL can express neither the grammar nor the encoding; tests hold each stage against brute force.
+#: SQL can express neither the grammar nor the encoding; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
