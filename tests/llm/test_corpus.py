@@ -533,25 +533,42 @@ def test_passages_of_51_words(spark):
 # --- 5 -----------------------------------------------------------------------------------------
 
 
-def test_lm(spark, odd, monkeypatch):
+@pytest.mark.parametrize("shard", [50, 1 << 20])
+def test_lm(spark, odd, monkeypatch, shard):
     monkeypatch.setattr(lm, "BUCKET_BYTES", 20_000)
-    rows, docs = odd
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard)
+    rng = random.Random(2)
+    rows = odd[0] + [(1000 + k, " ".join(rng.choice("abcde") for _ in range(rng.randrange(60)))) for k in range(40)]
+    docs = docs_of(spark, rows).repartition(3)
     train = [(i, t) for i, t in rows if i is not None and i % 4]
     tok = lambda t: [*(t or "").encode().lower().split(), None]
     count = collections.Counter(w for _, t in train for w in tok(t))
     pairs = collections.Counter(p for _, t in train for p in zip([None, *tok(t)], tok(t)))
-    follow, before, kinds = collections.Counter(), collections.Counter(), collections.defaultdict(lambda: np.zeros(4))
-    for (a, b), n in pairs.items():
-        follow[a] += n
-        before[b] += 1
-        kinds[a][min(n, 3)] += 1
-    d = lm._discounts(np.array([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)]))
-    e = lm._discounts(np.array([sum(n == k for n in before.values()) for k in (1, 2, 3, 4)]))
-    back = sum(e[min(n, 3)] for n in before.values()) / len(pairs)
-    low = lambda w: (before[w] - e[min(before[w], 3)]) / len(pairs) + back / (len(count) + 1)
-    prob = lambda a, w: (pairs[a, w] - d[min(pairs[a, w], 3)] + d @ kinds[a] * low(w)) / follow[a] if follow[a] else low(w)
+    triples = collections.Counter(x for _, t in train for x in zip([None, *tok(t)], tok(t), tok(t)[1:]))
+    adjusted = collections.Counter({(a, b): n for (a, b), n in pairs.items() if a is None})
+    adjusted.update((b, c) for _, b, c in triples)
+    before = collections.Counter(b for _, b in pairs)
+    d1, d2, d3 = (lm._discounts(np.array([sum(n == k for n in x.values()) for k in (1, 2, 3, 4)])) for x in (before, adjusted, triples))
+    follow, kinds = collections.Counter(), collections.defaultdict(lambda: np.zeros(4))
+    for counts in (adjusted, triples):
+        for x, n in counts.items():
+            follow[x[:-1]] += n
+            kinds[x[:-1]][min(n, 3)] += 1
+    back = sum(d1[min(n, 3)] for n in before.values()) / len(pairs)
+    low = lambda w: (before[w] - d1[min(before[w], 3)]) / len(pairs) + back / (len(count) + 1)
+
+    def prob(a, w, u=None, first=True):
+        found = low(w)
+        if follow[a,]:
+            found = (adjusted[a, w] - d2[min(adjusted[a, w], 3)] + d2 @ kinds[a,] * found) / follow[a,]
+        if not first and follow[u, a]:
+            n = triples[u, a, w]
+            found = (n - d3[min(n, 3)] + d3 @ kinds[u, a] * found) / follow[u, a]
+        return found
+
     assert math.isclose(sum(low(w) for w in count) + back / (len(count) + 1), 1)
-    assert math.isclose(sum(prob(None, w) for w in [*count, "unknown"]), 1)
+    for context in (dict(a=None), dict(a=b"a"), dict(a=b"a", u=b"b", first=False), dict(a=b"one", u=None, first=False)):
+        assert math.isclose(sum(prob(w=w, **context) for w in [*count, "unknown"]), 1), context
     model = lm.train(docs.where("doc_id % 4 <> 0"))
     total = sum(count.values())
     assert (model.tokens, model.words, model.pairs) == (total, len(count), len(pairs))
@@ -561,9 +578,9 @@ def test_lm(spark, odd, monkeypatch):
     for i, t in rows:
         ws = tok(t)
         fits = [r for r in got[i] if r.n_tokens == len(ws)]
-        want = sum(math.log10(prob(a, w)) for a, w in zip([None, *ws], ws))
+        want = sum(math.log10(prob(a, w, u, k == 0)) for k, (u, a, w) in enumerate(zip([None, None, *ws], [None, *ws], ws)))
         plain = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in ws)
-        assert any(math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.base_score, plain, rel_tol=1e-9) and r.n_known == sum(w in count for w in ws) for r in fits)
+        assert any(math.isclose(r.score, want, rel_tol=1e-6) and math.isclose(r.base_score, plain, rel_tol=1e-9) and r.n_known == sum(w in count for w in ws) for r in fits), (i, want, fits)
     none = lm.train(docs.limit(0))
     assert {r.score for r in lm.score(docs.where("doc_id = 9"), none).collect()} == {0.0}
     assert lm.score(docs.limit(0), model).isEmpty()
