@@ -8,9 +8,10 @@ neighbouring ranges. Two levels use the same idea:
   final. From there the pattern runs again, piece by piece, into the right half until one of its
   ends is also an end of the right half's own pieces. A match depends only on the text that follows
   its start, so all later pieces of the right half are final as well.
-* Tokens of a long piece. Tokens are the encoding of their bytes if and only if every two
+* Tokens of a piece over LEAF_BYTES. Tokens are the encoding of their bytes if and only if every two
   neighbours are the encoding of their own joined bytes. A window around the seam is encoded again
-  and grows until the pair at each of its borders has that property.
+  and grows until the pair at each of its borders has that property. Leaves and windows are encoded
+  by merging the neighbours whose joined bytes have the least rank, until no pair has one.
 
 Decoding concatenates token bytes up the same tree.
 """
@@ -20,8 +21,9 @@ from __future__ import annotations
 import itertools
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +36,34 @@ from deltaloom.llm.common import bounded_batches, pieces
 
 #: Characters of a leaf of the text tree, and bytes of a leaf of a piece's tree.
 LEAF_CHARS = 4096
-LEAF_BYTES = 256
+LEAF_BYTES = 8
+#: Bytes up to which all pairs are looked through for each merge.
+SHORT_BYTES = 48
 #: No alternative of the split pattern looks further than this past the end of its match.
 MARGIN = 4
-#: Encoded pieces that a worker keeps.
-CACHE = 200_000
+#: Encoded pieces that a worker keeps, and encoded leaves and windows.
+CACHE = 400_000
+SMALL_CACHE = 200_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+_NO_RANK = 1 << 62
 #: The end of each piece of a range, and each piece's tokens.
-Node = tuple[list[int], list[list[int]]]
+Node = tuple[list[int], list[tuple[int, ...]]]
 
 
 class _Cache(dict):
-    """Tokens by piece; short pieces are kept, and all are dropped when CACHE are."""
+    """Tokens by key; those of short keys are kept, and all are dropped when there are too many."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, encode: Callable, size: int):
+        self.encode, self.size = encode, size
 
-    def __missing__(self, piece: str) -> list[int]:
-        found = self.codec.of_bytes(piece.encode("utf-8", "replace"))
-        if len(piece) <= 64:
-            if len(self) >= CACHE:
+    def __missing__(self, key: str | bytes) -> tuple[int, ...]:
+        found = self.encode(key)
+        if len(key) <= 32:
+            if len(self) >= self.size:
                 self.clear()
-            self[piece] = found
+            self[key] = found
         return found
 
 
@@ -67,33 +73,73 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         import base64
 
-        import tiktoken
-
         with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
-        self.single = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.cache = _Cache(self)
-
-    def of_bytes(self, piece: bytes) -> list[int]:
+        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.small = _Cache(self.merge, SMALL_CACHE)
+        self.cache = _Cache(lambda piece: self.of_bytes(piece.encode("utf-8", "replace")), CACHE)
+
+    def merge(self, data: bytes) -> tuple[int, ...]:
+        """The tokens of a few bytes: neighbours with the least rank become one, the first of equals, until no pair has a rank."""
+        rank = self.ranks.get
+        if (whole := rank(data)) is not None:
+            return (whole,)
+        if len(data) > SHORT_BYTES:
+            return self._merge_long(data)
+        ends = list(range(len(data) + 1))
+        pairs = [rank(data[i : i + 2], _NO_RANK) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) != _NO_RANK:
+            i = pairs.index(least)
+            del ends[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = rank(data[ends[i - 1] : ends[i + 1]], _NO_RANK)
+            if i < len(pairs):
+                pairs[i] = rank(data[ends[i] : ends[i + 2]], _NO_RANK)
+        return tuple([self.ranks[data[a:b]] for a, b in zip(ends, ends[1:])])
+
+    def _merge_long(self, data: bytes) -> tuple[int, ...]:
+        """The same with a heap of pairs, in n log n steps; end and before lead from the start of a token to its neighbours'."""
+        n, rank = len(data), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            mid = end[i]
+            if mid >= n or mid == 0 or end[mid] != stop:
+                continue
+            end[i], end[mid], before[stop] = stop, 0, i
+            if stop < n and (r := rank(data[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+            if i and (r := rank(data[before[i] : stop])) is not None:
+                heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : end[i]]])
+            i = end[i]
+        return tuple(out)
+
+    def of_bytes(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece, by halves."""
         if len(piece) <= LEAF_BYTES:
-            return self.single(piece)
+            return self.small[piece]
+        if (whole := self.ranks.get(piece)) is not None:
+            return (whole,)
         half = len(piece) // 2
         return self.join_tokens(self.of_bytes(piece[:half]), self.of_bytes(piece[half:]))
 
     def _fits(self, a: int, b: int) -> bool:
-        return self.single(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self.small[self.bytes_of[a] + self.bytes_of[b]] == (a, b)
 
-    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+    def join_tokens(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the joined bytes of two encodings."""
         if not left or not right:
             return left or right
         k, take = 1, self.bytes_of.__getitem__
         while True:
             m, n = min(k, len(left)), min(k, len(right))
-            window = self.single(b"".join(map(take, left[len(left) - m :] + right[:n])))
+            window = self.small[b"".join(map(take, left[len(left) - m :] + right[:n]))]
             before = m == len(left) or self._fits(left[-m - 1], window[0])
             after = n == len(right) or self._fits(window[-1], right[n])
             if before and after:
@@ -155,6 +201,7 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks_path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
     """(id, ids) per row of docs: ids is binary, little-endian unsigned 32-bit; with `decoded`, also its bytes.
 
+    Another `pattern` must not look further than MARGIN characters past the end of a match.
     A null text is the empty text and gives no tokens. Rows are independent: no shuffle, repeated ids
     and rows stay, other columns are left out.
     """
@@ -195,5 +242,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every document."""
+    """Encodes and decodes every document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no tokens and the digest of no bytes; repeated rows and ids stay.
+    """
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -120,6 +120,8 @@ def _tokenizer(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    if max(ranks.values(), default=0) >= 1 << 8 * ID_BYTES:
+        raise ValueError(f"ids of {ranks_path} don't fit into {ID_BYTES} bytes")
     own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     kind = f"<u{ID_BYTES}"
     return lambda text: own.encode_to_numpy(text, disallowed_special=()).astype(kind).tobytes()
@@ -192,5 +194,9 @@ def unpack(packed: DataFrame) -> DataFrame:
 
 
 def op9_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as token ids in packed rows, written and read back."""
+    """Every document as token ids in packed rows, written and read back.
+
+    A null or empty text is its end token alone; repeated rows are packed as often as they occur.
+    Padding and end are the same id: n_tokens and cu_seqlens tell them apart.
+    """
     return write_packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "packed"))

@@ -780,6 +780,23 @@ def test_bpe_tree(monkeypatch, seed):
         assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_bpe_merges():
+    """Leaves and windows of any length, also those of one letter, against the library; long pieces in bearable time."""
+    import time
+
+    codec = bpe.Codec(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(1)
+    for n in range(1500):
+        data = "".join(rng.choice(("ab", "aeinrst ", "a", "é🙂x", "=-")[n % 5]) for _ in range(rng.randint(1, 200))).encode()
+        want = own._encode_single_piece(data)
+        assert list(codec.merge(data)) == want == list(codec.of_bytes(data)), data
+    began = time.process_time()
+    for text in ("a" * 60_000, "ab" * 30_000, "=" * 60_000):
+        assert list(codec.of_bytes(text.encode())) == own._encode_single_piece(text.encode())
+    assert time.process_time() - began < 60
+
+
 def test_bpe(spark, odd):
     rows, docs = odd
     codec = bpe.codec(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
