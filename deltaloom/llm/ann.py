@@ -2,10 +2,11 @@
 
 Vectors are scaled to unit length, so the nearest by angle are the nearest by distance. Coarse
 centroids and codebooks are fitted on a bounded sample; every vector is indexed: its cell, and the
-code of its residual. A query visits its nearest cells. There an asymmetric distance table (query
-residual against every codeword) ranks the cell's codes, and the best are scored exactly on the
-original vectors. Cells meet their queries by shuffle; a large cell is dealt out in chunks, each of
-which sees the cell's queries, so no cell has to fit into one task.
+code of its residual. A query visits its nearest cells, as many as held TARGET of the neighbours of
+queries drawn from the sample. There an asymmetric distance table (query residual against every
+codeword) ranks the cell's codes, and the best are scored exactly on the original vectors. Cells
+meet their queries by shuffle; the vectors of a large cell and its queries are dealt out in chunks,
+and each pair of chunks meets, so neither has to fit into one task.
 
 Equal vectors are one index entry with their smallest ids, as many as an answer can name.
 """
@@ -27,14 +28,18 @@ from deltaloom.llm.common import bounded_batches, cut
 SAMPLE_ROWS = 20_000
 #: Cells grow with the square root of the vectors, within these bounds.
 CELLS = (16, 4096)
-#: Share of the cells that a query visits, and how many at least.
-PROBE_SHARE = 0.6
+#: Share of the sample queries' neighbours that the visited cells have to hold, those queries, and cells that are visited at least.
+TARGET = 0.97
+TRIALS = 400
 MIN_PROBES = 16
 #: Subvectors of a code, and codewords for each.
 SUBVECTORS = 16
 CODEWORDS = 256
-#: Vectors of a cell's chunk, and how many of a chunk's best codes are scored exactly for a query.
+#: Distances that are held at a time.
+STEP = 1 << 20
+#: Vectors of a cell's chunk, queries of one, and how many of a chunk's best codes are scored exactly for a query.
 CHUNK_ROWS = 8192
+CHUNK_QUERIES = 8192
 RERANK = 64
 NEAREST = 5
 
@@ -56,9 +61,14 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     return c
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that makes their largest component about 1: angles are the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows at unit length, without overflow for large components."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -106,6 +116,22 @@ def fit(sample: np.ndarray, cells: int, subvectors: int = SUBVECTORS) -> Index:
     return index
 
 
+def probes_for(index: Index, sample: np.ndarray, seed: int = 0) -> int:
+    """Cells to visit so that TARGET of the sample's own neighbours lie in them; in more vectors neighbours are only nearer."""
+    x = _unit(sample)
+    asked = np.random.default_rng(seed).choice(len(x), min(TRIALS, len(x)), replace=False)
+    order = index.cells(x[asked], len(index.centroids))
+    place = np.argsort(order, axis=1)
+    own = index.cells(x, 1)[:, 0]
+    ranks = []
+    for row, q in enumerate(asked):
+        near = x @ x[q]
+        near[q] = -np.inf
+        ranks.append(place[row, own[np.argsort(-near, kind="stable")[: min(NEAREST, len(x) - 1)]]])
+    found = np.concatenate(ranks)
+    return int(np.clip(np.quantile(found, TARGET) + 1 if len(found) else 0, MIN_PROBES, None))
+
+
 def usable(vector: str | Column) -> Column:
     """True for vectors that take part: not null, not empty, all components finite, not all zero."""
     v = F.col(vector) if isinstance(vector, str) else vector
@@ -121,22 +147,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def search_chunk(index: Index, cell: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, rerank: int, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, entries, cosines): each query's best entries of one chunk."""
-    unit = _unit(q)
+    unit, x = _unit(q), _scaled(x)
     lengths = np.sqrt((x * x).sum(1))
-    rows = np.arange(codes.shape[1])
-    for k in range(0, len(q), 256):
-        tables = index.tables(unit[k : k + 256] - index.centroids[cell])
-        for j, table in enumerate(tables):
-            best = np.arange(len(x))
-            if len(x) > rerank:
-                best = np.argpartition(table[rows, codes].sum(1), rerank - 1)[:rerank]
-            v = q[k + j]
-            cosine = x[best] @ v / (lengths[best] * np.sqrt((v * v).sum()))
-            order = np.argsort(-cosine, kind="stable")[:keep]
-            yield k + j, best[order], cosine[order]
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows: int = SAMPLE_ROWS, probe_share: float = PROBE_SHARE) -> DataFrame:
+    step = max(1, min(STEP // len(x), STEP // (index.books.shape[0] * CODEWORDS), STEP // (min(rerank, len(x)) * x.shape[1])))
+    for k in range(0, len(q), step):
+        v = _scaled(q[k : k + step])
+        if len(x) > rerank:
+            tables = index.tables(unit[k : k + step] - index.centroids[cell])
+            far = np.zeros((len(v), len(x)))
+            for m in range(codes.shape[1]):
+                far += tables[:, m][:, codes[:, m]]
+            best = np.argpartition(far, rerank - 1, axis=1)[:, :rerank]
+        else:
+            best = np.tile(np.arange(len(x)), (len(v), 1))
+        cosine = np.einsum("nrd,nd->nr", x[best], v) / (lengths[best] * np.sqrt((v * v).sum(1))[:, None])
+        order = np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
+        for j in range(len(v)):
+            yield k + j, best[j, order[j]], cosine[j, order[j]]
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row of vectors (vec_id, embedding) where `queries` holds.
 
     Ranks run from 1, nearest first, ties to the smaller vec_id; fewer than k if there are fewer
@@ -159,7 +189,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows:
     sample = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample_rows).toArrow().column("embedding").combine_chunks()
     cells = int(np.clip(2 ** round(np.log2(max(1.0, total) ** 0.5)), *CELLS))
     index = fit(_matrix(sample), cells)
-    probes = max(MIN_PROBES, int(np.ceil(probe_share * cells)))
+    probes = probes_for(index, _matrix(sample))
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +205,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.cells(x, probes).astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
     indexed = cut(entries.select("entry", "ids", "embedding").mapInArrow(assign, "entry bigint, ids array<bigint>, embedding array<double>, cell int, code binary"), "ann-index")
-    counted = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
-    sizes = F.broadcast(spark.createDataFrame(counted.collect(), "cell int, chunks int"))
-    dealt = indexed.join(sizes, "cell").withColumn("chunk", F.expr("cast(pmod(entry, chunks) as int)")).drop("chunks")
     seekers = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "embedding").mapInArrow(visit, "entry bigint, embedding array<double>, cells array<int>")
-    visits = seekers.select("entry", "embedding", F.explode("cells").alias("cell")).join(sizes, "cell").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
+    seekers = cut(seekers, "ann-seekers")
+    visits = seekers.select("entry", "embedding", F.explode("cells").alias("cell"))
+
+    def chunks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    # one row per cell
+    counted = chunks(indexed.select("cell"), CHUNK_ROWS, "chunks").join(chunks(visits.select("cell"), CHUNK_QUERIES, "parts"), "cell")
+    sizes = F.broadcast(spark.createDataFrame(counted.collect(), "cell int, chunks int, parts int"))
+
+    def dealt(rows: DataFrame, own: str, all_: str) -> DataFrame:
+        """Each row in its own chunk, once for every chunk of the other side."""
+        named = {"chunks": "chunk", "parts": "part"}
+        out = rows.join(sizes, "cell").withColumn(named[own], F.expr(f"cast(pmod(entry, {own}) AS int)"))
+        return out.withColumn(named[all_], F.explode(F.expr(f"sequence(0, {all_} - 1)"))).drop("chunks", "parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -193,7 +234,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows:
         columns = list(zip(*out)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], ["entry", "ids", "scores"])
 
-    found = visits.groupBy("cell", "chunk").cogroup(dealt.groupBy("cell", "chunk")).applyInArrow(search, "entry bigint, ids array<bigint>, scores array<double>")
+    on = ["cell", "chunk", "part"]
+    found = dealt(visits, "parts", "chunks").groupBy(*on).cogroup(dealt(indexed, "chunks", "parts").groupBy(*on)).applyInArrow(search, "entry bigint, ids array<bigint>, scores array<double>")
     flat = found.select("entry", F.explode(F.arrays_zip("scores", "ids")).alias("c")).select("entry", F.col("c.scores").alias("score"), F.col("c.ids").alias("vec_id"))
     best = flat.withColumn("n", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     lists = cut(best.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("found")), "ann-found")
@@ -202,5 +244,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows:
 
 
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of every row whose vec_id is divisible by 50, among all other rows."""
+    """The five nearest of every row whose vec_id is divisible by 50, among all other rows: query_id, rank, vec_id, score.
+
+    Null, empty, zero and non-finite vectors and rows without an id take no part; ties go to the
+    smaller vec_id.
+    """
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)

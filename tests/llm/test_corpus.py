@@ -709,6 +709,32 @@ def test_ann(spark):
     assert ann.nearest(vectors.limit(0), F.lit(True)).isEmpty()
 
 
+def test_ann_scores_of_any_size(spark):
+    """Components whose squares leave the range of doubles."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    scale = np.array([1e160, 1e-170, 1.0])[np.arange(60) % 3]
+    vectors = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, scale))], "vec_id bigint, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 15 and all(math.isclose(u[r.query_id] @ u[r.vec_id], r.score, abs_tol=1e-12) for r in got)
+
+
+def test_ann_chunks(spark, monkeypatch):
+    """Cells and queries in many chunks find what they find in one; clusters need few cells."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 16)) * 10
+    x = centre[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").cache()
+    whole = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(vectors, F.col("vec_id") % 10 == 0).collect()}
+    index = ann.fit(x, 64)
+    assert ann.probes_for(index, x) <= 20
+    for name, size in (("CHUNK_ROWS", 50), ("CHUNK_QUERIES", 7), ("STEP", 3000)):
+        monkeypatch.setattr(ann, name, size)
+    found = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(vectors, F.col("vec_id") % 10 == 0).collect()}
+    assert set(found) == set(whole) and sum(found[k] == whole[k] for k in whole) >= 0.98 * len(whole)
+
+
 def test_ann_recall(spark):
     rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY 1").fetchall()
     u = np.array([v for _, v in rows], float)
