@@ -1,20 +1,16 @@
 """SimHash near-duplicates: fingerprints, BK-trees over shards, components.
 
-Two fingerprints within `radius` bits agree on at least two of radius + 2 bit blocks, so every pair
-of blocks gives one shard key and each link lies within a shard. A shard with more than SHARD_NODES
-fingerprints is split by blocks of its remaining free bits, radius + 1 of them, one of which must
-agree; that ends where the free bits alone bound a shard at 2^LAST_BITS fingerprints. So no shard
-grows with the corpus, and no link is lost.
+Two fingerprints within `radius` bits agree on one of radius + 1 bit blocks at least, so each link
+lies within a shard of those that agree on the first bits of a block. Shards share as few bits as
+leave about SHARD_NODES / 4 fingerprints to each. One with more than SHARD_NODES, as near copies make
+them, is split by blocks of its remaining free bits, radius + 1 of them, one of which must agree; that
+ends where the free bits alone bound a shard at 2^LAST_BITS fingerprints. So no shard grows with the
+corpus, and no link is lost.
 
 Each shard holds a BK-tree: a child hangs on its parent at the integer Hamming distance between
 them, and a search follows only the edges within radius of its own distance to the node. Trees are
 sent to their queries by shuffle, since together they grow with the corpus. A shard reports its
 links as stars, one row per fingerprint, never as pairs.
-
-Texts that share most of their five-word shingles can differ in more bits than RADIUS. `similar`
-finds them too: the same trees with a wider radius over fingerprints of word pairs, and a check of
-each hit on sketches of the five-word shingles. Only fingerprints with a hit get a sketch, and only
-shards with one see it.
 """
 
 from __future__ import annotations
@@ -39,17 +35,9 @@ RADIUS = 2
 #: A shard with more fingerprints is split again, unless its free bits bound it.
 SHARD_NODES = 2048
 LAST_BITS = 11
-#: Words of a shingle and differing bits up to which two texts are compared for similarity.
-WIDE_SHINGLE = 2
-WIDE_RADIUS = 7
 #: Similarity of two sets of shingles of so many words, from which their texts link.
 SIMILAR_SHINGLE = 5
 SIMILAR = 0.8
-#: Smallest hashes of a set that are compared; sets that together have no more are compared whole.
-SKETCH = 1024
-#: Pairs that are compared at a time.
-PAIRS = 2048
-_PAD = np.uint32(0xFFFFFFFF)
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int64)
@@ -77,46 +65,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones.ravel() > len(hashes)).tobytes(), "big")
 
 
-def sketch(text: str | None) -> bytes:
-    """The SKETCH smallest distinct hashes of the text's shingles of SIMILAR_SHINGLE words, sorted, 32 bits each."""
-    hashes = _shingle_hashes(text, SIMILAR_SHINGLE)
-    return np.unique(np.minimum(hashes.view(">u4")[:, 0].astype(np.uint32), _PAD - np.uint32(1)))[:SKETCH].tobytes()
-
-
-def _sketch_matrix(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows, filled up with _PAD to the longest."""
-    sizes = np.array([len(x) // 4 for x in sketches])
-    out = np.full((len(sketches), max(1, int(sizes.max(initial=0)))), _PAD)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(sketches), np.uint32)
-    return out
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shared part of each pair of rows' union, among its SKETCH smallest hashes; 0 for two empty rows."""
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both != _PAD
-    same = np.zeros_like(real)
-    same[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real & ~same, axis=1)
-    return (same & (rank <= SKETCH)).sum(axis=1) / np.clip(rank[:, -1], 1, SKETCH)
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int | None = None) -> DataFrame:
-    """(doc_id, fp) per row: fp is the fingerprint as a signed bigint. A null text has none of its words.
-
-    With `wide`, also a fingerprint of shingles of that many words.
-    """
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) per row: fp is the fingerprint as a signed bigint. A null text has none of its words."""
     bounded_batches(docs.sparkSession)
-    widths = {"fp": shingle} | ({"wide": wide} if wide else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            found = [np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64) for n in widths.values()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], ["doc_id", *widths])
+            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed_array(found)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint" + "".join(f", {c} bigint" for c in widths))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def bk_edges(shard: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +128,8 @@ def _unite(star: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return star
 
 
-def shard_stars(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None) -> np.ndarray:
-    """For each row the first row of its shard that links reach from it; rows of a shard are adjacent.
-
-    With sketches, only hits link whose sketches are SIMILAR; rows that are linked already aren't compared.
-    """
+def shard_stars(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each row the first row of its shard that links reach from it; rows of a shard are adjacent."""
     n = len(fps)
     root = np.maximum.accumulate(np.where(np.r_[True, shard[1:] != shard[:-1]], np.arange(n), 0))
     keys, children = bk_edges(shard, fps)
@@ -182,17 +138,7 @@ def shard_stars(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS, sketch
     step = max(64, (1 << 20) // largest)
     for k in range(0, n, step):
         for a, b in bk_search(np.arange(k, min(n, k + step)), root, fps, keys, children, radius):
-            if sketches is None:
-                star = _unite(star, a, b)
-                continue
-            a, b = a[a < b], b[a < b]
-            for j in range(0, len(a), PAIRS):
-                x, y = a[j : j + PAIRS], b[j : j + PAIRS]
-                apart = star[x] != star[y]
-                x, y = x[apart], y[apart]
-                if x.size:
-                    alike = similarity(sketches[x], sketches[y]) >= SIMILAR
-                    star = _unite(star, x[alike], y[alike])
+            star = _unite(star, a, b)
     return star
 
 
@@ -207,10 +153,12 @@ def _signed(x: int) -> int:
 Path = tuple[int, int, int]
 
 
-def first_paths(radius: int) -> list[Path]:
-    """(path, -1, mask of the bits that its shards share): two of radius + 2 blocks."""
-    blocks = _masks(list(range(64)), radius + 2)
-    return [(i, -1, a | b) for i, (a, b) in enumerate(itertools.combinations(blocks, 2))]
+def first_paths(radius: int, total: int) -> list[Path]:
+    """(path, -1, mask of the bits that its shards share): the first bits of each of radius + 1 blocks, for so many fingerprints."""
+    bits = max(0, (4 * total // SHARD_NODES).bit_length())
+    blocks = _masks(list(range(64)), radius + 1)
+    masks = {sum(1 << b for b in [b for b in range(64) if m >> b & 1][:bits]) for m in blocks}
+    return [(i, -1, m) for i, m in enumerate(sorted(masks))]
 
 
 def next_paths(paths: list[Path], crowded: set[int], radius: int) -> list[Path]:
@@ -219,13 +167,9 @@ def next_paths(paths: list[Path], crowded: set[int], radius: int) -> list[Path]:
     return [(i, p, m) for i, (p, m) in enumerate(below)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, docs: DataFrame | None = None) -> DataFrame:
-    """(a, b): star edges between distinct fingerprints (column fp) that connect all within radius.
-
-    With docs, fps (fp, doc_id) names a document for each fingerprint, and only those within radius
-    link whose texts are SIMILAR.
-    """
-    spark, out, paths = fps.sparkSession, None, first_paths(radius)
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): star edges between distinct fingerprints (column fp) that connect all within radius."""
+    spark, out, paths = fps.sparkSession, None, first_paths(radius, fps.count())
     bounded_batches(spark, 50_000)
     entries, used = fps.select("fp", F.lit(-1).alias("parent")), None
     while True:
@@ -235,7 +179,7 @@ def links(fps: DataFrame, radius: int = RADIUS, docs: DataFrame | None = None) -
         sized, sized_path = cut_at(keyed.join(sizes, ["path", "shard"]), "sized")
         last = all(64 - m.bit_count() <= LAST_BITS for _, _, m in paths)
         small = sized if last else sized.where(F.col("n") <= SHARD_NODES)
-        found = cut(_stars(small, radius) if docs is None else _similar_stars(small, radius, fps, docs), "stars")
+        found = cut(_stars(small, radius), "stars")
         out = found if out is None else out.unionByName(found)
         if used:
             remove(spark, used)
@@ -279,39 +223,6 @@ def _stars(shards: DataFrame, radius: int) -> DataFrame:
     return dealt.sortWithinPartitions("shard", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
-def _similar_stars(shards: DataFrame, radius: int, fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stars of hits with SIMILAR sketches: first the rows with hits, then their sketches, then the links."""
-    spark = docs.sparkSession
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, prints, _ in _whole_shards(batches):
-            star = shard_stars(shard, prints, radius)
-            own = np.bincount(star, minlength=len(star))[star] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard[own]), _signed_array(prints[own])], ["shard", "fp"])
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            texts, wanted = batch.column("text").to_pylist(), batch.column("fp").to_numpy().view(np.uint64).tolist()
-            mine = [fingerprint(t, WIDE_SHINGLE) == fp for t, fp in zip(texts, wanted, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("fp").filter(pa.array(mine)), pa.array([sketch(t) for t, ok in zip(texts, mine, strict=True) if ok], pa.binary())], ["fp", "sketch"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, prints, rows in _whole_shards(batches):
-            star = shard_stars(shard, prints, radius, _sketch_matrix(rows.column("sketch").to_pylist()))
-            moved = star != np.arange(len(star))
-            yield pa.RecordBatch.from_arrays([_signed_array(prints[moved]), _signed_array(prints[star[moved]])], ["a", "b"])
-
-    dealt = shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    met = cut(dealt.mapInArrow(hits, "shard bigint, fp bigint"), "hits")
-    bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chosen = cut(fps.join(met.select("fp").distinct(), "fp"), "chosen")
-    found = texts.join(chosen, "doc_id").select("fp", "text").mapInArrow(sketched, "fp bigint, sketch binary")
-    sketches = cut(found.groupBy("fp").agg(F.first("sketch").alias("sketch")), "sketches")
-    again = met.join(sketches, "fp").select("shard", "fp", "sketch").repartition("shard").sortWithinPartitions("shard", "fp")
-    return again.mapInArrow(run, "a bigint, b bigint")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs (doc_id, text; other columns are left out).
 
@@ -326,23 +237,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return _named(prints, nodes, links(nodes.select("fp"), radius))
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) as near_duplicates(), with further links between similar texts.
-
-    Texts also link if at least SIMILAR of the five-word shingles of both (a shorter text is one
-    shingle) are shared, and the fingerprints of their word pairs differ in WIDE_RADIUS bits or less.
-    Up to SKETCH shingles the share is exact, beyond it is that of the SKETCH smallest hashes.
-    """
-    prints = cut(fingerprints(docs, wide=WIDE_SHINGLE), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    wide = cut(prints.groupBy("wide").agg(F.min("fp").alias("owner"), F.min("doc_id").alias("doc_id")), "wide")
-    owner = wide.select("wide", "owner")
-    same = prints.select("fp", "wide").distinct().join(owner, "wide").where("fp <> owner").select(F.col("fp").alias("a"), F.col("owner").alias("b"))
-    near = links(wide.select(F.col("wide").alias("fp"), "doc_id"), WIDE_RADIUS, docs)
-    near = near.join(owner.toDF("a", "fp_a"), "a").join(owner.toDF("b", "fp_b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b")
-    return _named(prints, nodes, links(nodes.select("fp")).unionByName(same).unionByName(near))
-
-
 def _named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each row of prints with the smallest doc_id of its fingerprint's component."""
     roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
@@ -353,6 +247,6 @@ def _named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """Fingerprint and component of every document: doc_id, fingerprint, component_id, as near_duplicates() has them."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -138,58 +138,6 @@ def test_simhash_links_in_split_shards(spark, monkeypatch, nodes):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(k for k, v in got.items() if v == r) for r in set(got.values())}
 
 
-def brute_components(texts):
-    """doc -> smallest doc that links reach: fingerprints within RADIUS, or similar sets of shingles and near wide fingerprints."""
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    ids = sorted(texts)
-    sets, prints = {i: shingles(texts[i]) for i in ids}, {i: (simhash.fingerprint(texts[i], 3), simhash.fingerprint(texts[i], 2)) for i in ids}
-    root = {i: i for i in ids}
-    for _ in ids:
-        before = dict(root)
-        for a in ids:
-            for b in ids:
-                (a3, a2), (b3, b2) = prints[a], prints[b]
-                both = len(sets[a] | sets[b])
-                alike = both and len(sets[a] & sets[b]) / both >= simhash.SIMILAR and (a2 ^ b2).bit_count() <= simhash.WIDE_RADIUS
-                if (a3 ^ b3).bit_count() <= simhash.RADIUS or a2 == b2 or alike:
-                    root[a] = root[b] = min(root[a], root[b])
-        if root == before:
-            break
-    return root
-
-
-def test_similar_texts(spark, odd):
-    rng = random.Random(8)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)]
-    texts, k = {i: t for i, t in odd[0] if i is not None}, 100
-    for n in (40, 150, 400):
-        for _ in range(3):
-            base = [rng.choice(words) for _ in range(n)]
-            for edits in (0, 1, 2, n // 100, n // 40, n // 20):
-                own = list(base)
-                for at in rng.sample(range(n), edits):
-                    own[at] = rng.choice(words)
-                texts[k] = " ".join(own)
-                k += 1
-    want = brute_components(texts)
-    docs = docs_of(spark, [*texts.items(), (100, texts[100]), (None, texts[100])]).repartition(3)
-    got = simhash.similar(docs).collect()
-    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want and len(got) == len(texts) + 2
-    assert len(set(want.values())) < len(texts) - 20
-    assert simhash.similar(docs.limit(0)).isEmpty()
-
-
-def test_sketches_estimate_similarity():
-    text = " ".join(f"w{k}" for k in range(6000))
-    other = text.replace(" w5 ", " x ").replace(" w4000 ", " y z ")
-    a, b, none = simhash._sketch_matrix([simhash.sketch(text), simhash.sketch(other), simhash.sketch(None)])
-    found = simhash.similarity(np.stack([a, a, none]), np.stack([b, none, none]))
-    assert abs(found[0] - 5986 / 6007) < 0.02 and found[1] == found[2] == 0
-
-
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
