@@ -188,5 +188,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and benchmark item that overlap."""
+    """Every document and benchmark item that overlap, as contaminated() has them."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -600,6 +600,22 @@ def test_substituted_parts(spark):
     assert (0, 0) in got and 20 < len(got) < 61
 
 
+def test_exact_matches(spark):
+    """Every document and item that share 13 words in a row are reported, on the whole tables."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    grams = collections.defaultdict(set)
+    for i, t in duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall():
+        w = words(t)
+        for k in range(len(w) - 12):
+            grams[tuple(w[k : k + 13])].add(i)
+    want = set()
+    for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall():
+        w = words(t)
+        want |= {(d, i) for k in range(len(w) - 12) for i in grams.get(tuple(w[k : k + 13]), ())}
+    got = {(r.doc_id, r.item_id) for r in queries.queries()["op6_decontamination"](spark, SF).collect()}
+    assert want and want <= got
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 
 
