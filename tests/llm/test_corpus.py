@@ -839,18 +839,61 @@ def test_repeats_stage(spark, odd):
             assert (out[i][0] or "") == left and out[i][1] == (None if t is None else len(left))
 
 
+def plain_toxic(text, grammar):
+    """Whether a text is toxic, by all its clauses and words."""
+    counts = collections.Counter()
+    for clause in re.split(r"[.!?;:\n\r]", text.lower()):
+        symbols = []
+        for w in re.findall(r"[^\W\d_]+", clause):
+            kind = grammar.words.get(w) or next((k for s, k in grammar.stems.items() if w.startswith(s) and len(w) > len(s)), None)
+            symbols.append(kind or toxicity._symbol(w, {}))
+        counts[enumerated_reading(symbols)] += 1
+    x = [1.0, *(1 + math.log(counts[k]) if counts[k] else 0.0 for k in range(len(toxicity.READINGS)))]
+    return float(grammar.weights @ x) >= 0
+
+
+def plain_repeats(texts):
+    """The texts without the characters that repeated strings of 400 bytes or 51 words cover."""
+    data = [t.encode() for t in texts]
+    starts = collections.Counter(hash(b[k : k + 400]) for b in data for k in range(len(b) - 399))
+    out = []
+    for b, gone in zip(data, brute_passages(data, 51)):
+        for k in range(len(b) - 399):
+            if starts[hash(b[k : k + 400])] > 1:
+                gone[k : k + 400] = True
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False])).tolist()
+        out.append("".join(b[x:y].decode("utf-8", "ignore") for x, y in zip([0, *edge[1::2]], [*edge[0::2], len(b)])))
+    return out
+
+
 def test_pipeline(spark):
-    """Each stage held against its own operator on what the stage before kept."""
+    """Each stage against plain Python, on what the stage before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept, now = [docs.count()], docs
+    grammar = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    words = lambda t: t.encode().lower().split()
+    items = [words(t or "") for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
+    held = {tuple(w[k : k + 13]) for w in items for k in range(len(w) - 12)}
+    before, stages = {r.doc_id: r.text or "" for r in docs.collect()}, []
+    now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, SF).cache()
-        kept.append(now.count())
-        if name == "decontamination":
-            assert decontaminate.contaminated(now, spark.read.parquet(f"{SF}/benchmark.parquet")).isEmpty()
-        if name == "near_duplicates":
-            assert all(r.doc_id == r.component_id for r in simhash.near_duplicates(now).collect())
-    assert kept == sorted(kept, reverse=True) and kept[-1] > 0.5 * kept[0]
+        after = {r.doc_id: r.text or "" for r in now.collect()}
+        assert now.columns == docs.columns and now.count() == len(after)
+        if name == "toxicity":
+            assert after == {i: t for i, t in before.items() if not plain_toxic(t, grammar)}
+        elif name == "near_duplicates":
+            group = brute_similar(before)
+            assert after == {i: t for i, t in before.items() if group[i] == i}
+        elif name == "repeated_passages":
+            assert after == dict(zip(before, plain_repeats(list(before.values()))))
+        else:
+            exact = {i for i, t in before.items() if any(tuple(w[k : k + 13]) in held for w in [words(t)] for k in range(len(w) - 12))}
+            assert exact and not exact & after.keys() and after.items() <= before.items()
+        stages.append(len(after))
+        before = after
+    assert stages == sorted(stages, reverse=True) and stages[-1] > 0.5 * docs.count()
     out = corpus_pipeline.run(spark, SF).collect()
-    assert {(r.doc_id, r.decoded_sha256) for r in out} == {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in now.collect()}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN).ranks, special_tokens={})
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == {i: own.encode_ordinary(t) for i, t in before.items()}
+    assert {(r.doc_id, r.decoded_sha256) for r in out} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in before.items()}
     assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in out)
