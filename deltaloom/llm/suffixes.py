@@ -51,7 +51,7 @@ DEPTH = 9
 #: Bits of the filter of candidate texts, at least and at most.
 BLOOM_BITS = (1 << 20, 1 << 27)
 #: Bytes of text in a part, about, and of the texts whose open strings a bucket compares.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 BUCKET_BYTES = 2 << 20
 #: Strings of a text that are looked at together.
 CHUNK = 1 << 18
