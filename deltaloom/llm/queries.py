@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import ann, bpe, decontaminate, html, lm, packing, simhash, suffixes, toxicity, warc
+from deltaloom.llm import ann, bpe, decontaminate, divergence, fim, html, lm, packing, sharding, simhash, suffixes, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann_search": ann.op8_ann_search,
         "op9_token_packing": packing.op9_token_packing,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_fim": fim.op11_fim,
+        "op12_sharding": sharding.op12_sharding,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE}
+    return {"op7_warc": warc.ORACLE, "op11_fim": fim.ORACLE, "op13_divergence": divergence.ORACLE}
