@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import bounded_batches, cut, pieces
@@ -57,25 +57,36 @@ def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h >> np.uint64(20 * k)) ^ (h << np.uint64(7 * k))) & np.uint64(bits - 1) for k in range(PROBES)]
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, item_pos, words): every seed of every item, with the item's word hashes."""
+def keyed_items(items: DataFrame) -> DataFrame:
+    """(item_key, item_id, text): item_key is a hash of id and text, so rows that share an id but not a text are items of their own."""
+    rows = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.select(F.xxhash64("item_id", "text").alias("item_key"), "*").dropDuplicates(["item_key"])
+
+
+def item_seeds(keyed: DataFrame) -> DataFrame:
+    """(seed, item_key, item_pos): every seed of every keyed item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 4 << 20):
             hashes, offsets = word_hashes(batch.column("text"))
-            ids, words = batch.column("item_id"), [hashes[a:b].view(np.int64) for a, b in zip(offsets, offsets[1:])]
             for m in range(len(MASKS)):
                 at, seed = seeds(hashes, offsets, m)
                 of = np.searchsorted(offsets, at, side="right") - 1
-                for i in np.unique(of):
-                    mine = of == i
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(seed[mine].view(np.int64)), pa.array([ids[i].as_py()] * int(mine.sum()), pa.int64()), pa.array((at[mine] - offsets[i]).astype(np.int32)), pa.array([words[i].tobytes()] * int(mine.sum()), pa.binary())],
-                        ["seed", "item_id", "item_pos", "words"],
-                    )
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column("item_key").take(pa.array(of)), pa.array((at - offsets[of]).astype(np.int32))], ["seed", "item_key", "item_pos"])
+
+    return keyed.select("item_key", "text").mapInArrow(run, "seed bigint, item_key bigint, item_pos int")
 
-    rows = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "seed bigint, item_id bigint, item_pos int, words binary")
+
+def item_words(keyed: DataFrame) -> DataFrame:
+    """(item_key, item_id, item): the word hashes of every keyed item, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 4 << 20):
+            hashes, offsets = word_hashes(batch.column("text"))
+            words = [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("item_key"), batch.column("item_id"), pa.array(words, pa.binary())], ["item_key", "item_id", "item"])
+
+    return keyed.mapInArrow(run, "item_key bigint, item_id bigint, item binary")
 
 
 def bloom(seeds_: DataFrame) -> np.ndarray:
@@ -94,10 +105,15 @@ def bloom(seeds_: DataFrame) -> np.ndarray:
     return out
 
 
+def text_digest() -> Column:
+    """What names the text of a row: a null text is the empty one."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def hits(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
-    """(row_id, doc_id, words, seed, pos): documents with seeds that pass the filter, one row per document.
+    """(row_id, doc_id, text_digest, words, seed, pos): documents with seeds that pass the filter, one row per document.
 
-    seed and pos are arrays. row_id is a hash of id and words: equal rows share it.
+    seed and pos are arrays. row_id is a hash of id and text: equal rows share it.
     """
     table = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
@@ -122,13 +138,14 @@ def hits(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
             words = [hashes[offsets[d] : offsets[d + 1]].tobytes() for d in docs_]
             bounds = pa.array(np.r_[first, len(of)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(words, pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(seed.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array((at - offsets[of]).astype(np.int32)))],
-                ["doc_id", "words", "seed", "pos"],
+                [ids, batch.column("text_digest").take(pa.array(docs_)), pa.array(words, pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(seed.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array((at - offsets[of]).astype(np.int32)))],
+                ["doc_id", "text_digest", "words", "seed", "pos"],
             )
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = rows.mapInArrow(run, "doc_id bigint, words binary, seed array<bigint>, pos array<int>")
-    return found.select(F.xxhash64("doc_id", "words").alias("row_id"), "*")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("text_digest"), text.alias("text"))
+    found = rows.mapInArrow(run, "doc_id bigint, text_digest string, words binary, seed array<bigint>, pos array<int>")
+    return found.select(F.xxhash64("doc_id", "text_digest").alias("row_id"), "*")
 
 
 def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -152,39 +169,49 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return (lo + diagonal + int(hits[0]), int(hits[-1] - hits[0]) + 1, len(hits)) if len(hits) >= need else None
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_pos, n_words, n_matched, item_words), one row per document and item that overlap.
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_digest, item_id, doc_pos, n_words, n_matched, item_words), one row per text of a document and text of an item that overlap.
 
-    Words are lower-cased in A-Z and split at ASCII white space. A pair overlaps if along one
-    diagonal at least MATCHED words agree (all compared words of a shorter item, IDENTITY of them),
-    and IDENTITY of the segment's words do. Null texts are empty; rows without an id and items of
-    fewer than MIN_WORDS words never match; repeated ids count once, by their best overlap.
+    What names candidates are keys and diagonals; the words of both sides join them once they are
+    one row per pair.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    item = cut(item_seeds(items), "item-seeds")
+    keyed = cut(keyed_items(items), "items")
+    item = cut(item_seeds(keyed), "item-seeds")
     found = cut(hits(docs, bloom(item)), "seed-hits")
     flat = found.select("row_id", F.explode(F.arrays_zip("seed", "pos")).alias("h")).select("row_id", F.col("h.seed").alias("seed"), F.col("h.pos").alias("pos"))
-    pairs = flat.join(item.select("seed", "item_id", "item_pos"), "seed").select("row_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    texts = item.groupBy("item_id").agg(F.first("words").alias("item"))
-    lined = pairs.join(texts, "item_id").groupBy("row_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"), F.first("item").alias("item"))
-    whole = lined.join(found.dropDuplicates(["row_id"]).select("row_id", "doc_id", "words"), "row_id")
+    pairs = flat.join(item, "seed").select("row_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    lined = pairs.groupBy("row_id", "item_key").agg(F.collect_list("diagonal").alias("diagonals"))
+    whole = lined.join(item_words(keyed), "item_key").join(found.dropDuplicates(["row_id"]).select("row_id", "doc_id", "text_digest", "words"), "row_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, words, own, diagonals in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "words", "item", "diagonals")), strict=True):
+            for doc_id, digest, item_id, words, own, diagonals in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_digest", "item_id", "words", "item", "diagonals")), strict=True):
                 doc, item_ = np.frombuffer(words, np.uint64), np.frombuffer(own, np.uint64)
                 best = max((x for d in diagonals if (x := aligned(doc, item_, d))), key=lambda x: (x[2], -x[0]), default=None)
                 if best:
-                    out.append((doc_id, item_id, *best, len(item_)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "doc_pos", "n_words", "n_matched", "item_words"])
-
-    checked = whole.select("doc_id", "item_id", "words", "item", "diagonals").mapInArrow(run, "doc_id bigint, item_id bigint, doc_pos int, n_words int, n_matched int, item_words int")
-    best = F.max_by(F.struct("doc_pos", "n_words", "n_matched", "item_words"), F.struct("n_matched", -F.col("doc_pos"), "n_words"))
-    return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.doc_pos", "b.n_words", "b.n_matched", "b.item_words")
+                    out.append((doc_id, digest, item_id, *best, len(item_)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_digest", "item_id", "doc_pos", "n_words", "n_matched", "item_words"])
+
+    return whole.select("doc_id", "text_digest", "item_id", "words", "item", "diagonals").mapInArrow(run, "doc_id bigint, text_digest string, item_id bigint, doc_pos int, n_words int, n_matched int, item_words int")
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, doc_pos, n_words, n_matched, item_words), one row per document and item that overlap.
+
+    Words are lower-cased in A-Z and split at ASCII white space. A pair overlaps if along one
+    diagonal at least MATCHED words agree (all compared words of a shorter item, IDENTITY of them),
+    and IDENTITY of the segment's words do. Null texts are empty; rows without an id and items of
+    fewer than MIN_WORDS words never match. Rows that share an id, of documents or items, are
+    compared text by text and reported once, by their best overlap. Items and documents may be of
+    any length.
+    """
+    best = F.max_by(F.struct("doc_pos", "n_words", "n_matched", "item_words"), F.struct("n_matched", -F.col("doc_pos"), "n_words", "item_words"))
+    return overlaps(docs, items).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.doc_pos", "b.n_words", "b.n_matched", "b.item_words")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

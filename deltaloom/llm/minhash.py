@@ -6,6 +6,9 @@ of ROWS minimum hashes with probability 1 - (1 - SIMILAR^ROWS)^BANDS, which is 0
 candidate pair is decided on both whole sets of shingles, whichever source named it and however long
 its texts are: only a miss of all bands can lose a link, and nothing but similarity makes one.
 
+A link between fingerprints, or an equal one, names the pair of its first texts alone: the texts of a
+SimHash component can be as unlike as many, and its links are few.
+
 Buckets of the same texts are one bucket. A bucket of more than BLOCK texts is dealt to pairs of
 blocks, so that no task holds more than two blocks of one. A text is compared only with those that
 no link has reached yet, so a bucket of like texts takes one pass over its sets.
@@ -83,6 +86,24 @@ def similar_stars(sets: list[np.ndarray]) -> np.ndarray:
     return star
 
 
+def candidate_shards(nodes: DataFrame) -> DataFrame:
+    """(shard, fp), written: texts `fp` that are compared with each other, one shard a task; nodes are (node, fp, bands).
+
+    Equal fingerprints and links name pairs with the first text of a fingerprint, never whole
+    components: as many as there are texts and links.
+    """
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    near = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
+    by_print = same.unionByName(near).select(F.xxhash64(F.lit("fp"), F.least("x", "y"), F.greatest("x", "y")).alias("key"), F.explode(F.array("x", "y")).alias("node")).distinct()
+    members = cut(nodes.select("node", F.explode("bands").alias("key")).unionByName(by_print), "members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who")).where("n > 1")
+    chosen = sizes.groupBy("n", "who").agg(F.min("key").alias("key"))
+    dealt = members.join(chosen, "key").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
+    dealt = dealt.select("node", "key", F.expr("pmod(xxhash64(node), blocks)").alias("b"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("c"))
+    return cut(dealt.select(F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c")).alias("shard"), F.col("node").alias("fp")), "met")
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, row, group, component_id) per row of docs (doc_id, text, row), ids not null.
 
@@ -105,14 +126,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     one = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    reached = connected_components(links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
-    by_print = nodes.select("node", "fp").join(reached, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
-    members = cut(nodes.select("node", F.explode("bands").alias("key")).unionByName(by_print), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who")).where("n > 1")
-    chosen = sizes.groupBy("n", "who").agg(F.min("key").alias("key"))
-    dealt = members.join(chosen, "key").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
-    dealt = dealt.select("node", "key", F.expr("pmod(xxhash64(node), blocks)").alias("b"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("c"))
-    met = cut(dealt.select(F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c")).alias("shard"), F.col("node").alias("fp")), "met")
+    met = candidate_shards(nodes)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

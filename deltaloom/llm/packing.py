@@ -13,6 +13,7 @@ tail a bin.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -124,8 +125,17 @@ def _tokenizer(ranks_path: str, pattern: str):
         raise ValueError(f"ids of {ranks_path} don't fit into {ID_BYTES} bytes")
     own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     kind = f"<u{ID_BYTES}"
-    return lambda text: own.encode_to_numpy(text, disallowed_special=()).astype(kind).tobytes()
 
+    def encode(text: str) -> bytes:
+        if _LONG_SPACE.search(text):
+            return np.frombuffer(bpe.codec(ranks_path, pattern).encode(text), "<u4").astype(kind).tobytes()
+        return own.encode_to_numpy(text, disallowed_special=()).astype(kind).tobytes()
+
+    return encode
+
+
+#: The library's pattern matcher gives up in longer runs of white space; operator 10 takes those texts.
+_LONG_SPACE = re.compile(r"\s{100000}")
 
 _ROW = "bin int, row int, doc_ids array<bigint>, parts array<int>, cu_seqlens array<int>, n_tokens int, input_ids binary, position_ids binary"
 
@@ -196,7 +206,7 @@ def unpack(packed: DataFrame) -> DataFrame:
 def op9_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as token ids in packed rows, written and read back.
 
-    A null or empty text is its end token alone; repeated rows are packed as often as they occur.
+    A null or empty text is its end token alone; texts of any length, and runs of white space of any length, are encoded whole; repeated rows are packed as often as they occur.
     Padding and end are the same id: n_tokens and cu_seqlens tell them apart.
     """
     return write_packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "packed"))
