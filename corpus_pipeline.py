@@ -48,9 +48,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(cut(found.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    """Documents without a passage of a benchmark item; of rows that share an id only those whose own text has one go."""
+    found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    lost = cut(found.select("doc_id", "text_digest").distinct(), "contaminated")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), decontaminate.text_digest().alias("text_digest"), F.struct("*").alias("row"))
+    return rows.join(lost, ["doc_id", "text_digest"], "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
