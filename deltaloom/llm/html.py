@@ -43,7 +43,12 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements whose content is never text of the page.
 HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video head title select button textarea datalist map".split())
-RAW_TAGS = "script|style|noscript|template|svg|math|iframe|textarea|select|title"
+RAW_TAGS = frozenset("script style noscript template iframe textarea title".split())
+#: Elements of other languages: hidden up to their end, if they have one.
+FOREIGN_TAGS = frozenset(("svg", "math"))
+#: Inside a select only these are its own; any other block, and a control, ends it.
+SELECT_TAGS = frozenset("option optgroup hr".split())
+CONTROLS = frozenset("input textarea select".split())
 BOILER_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,13 +60,18 @@ BOILER_WORDS = re.compile(
 #: Marks that mean furniture of the page, but the headline's place inside an article.
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:main|article|articlebody|post|entry|story|content|body-?text)(?:$|[\s_-])", re.I)
+#: Whole names that mark the article: beside them a name counts as furniture only as a whole.
+MAIN_NAMES = re.compile(r"main|content|article|articlebody|hentry|post|entry|story|body-?text|(?:main|article|page|post|entry|story)[_-]?(?:content|body|text)", re.I)
+#: Names that tell a state or a topic of what they stand on, not what it is.
+STATE_NAMES = re.compile(r"(?:category|cat|tag|term|author|type|status|format|has|with|no|is)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off)", re.I)
 
-#: What a tag holds after its name; without an end it runs to the end of the page, as does a quote.
-_REST = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^'\">])*+"
+#: What a tag holds after its name: a quote opens a value only after =. Without an end a tag runs to the end of the page, as does a quote.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>{RAW_TAGS})\b{_REST}(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_REST})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
-    re.S | re.I,
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_REST})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
 )
+_ENDS_OF = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS | FOREIGN_TAGS}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 #: A block that opens so is the notice at the foot of a page.
@@ -90,16 +100,27 @@ class _Open:
 
 
 def _marks(attrs: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(boilerplate, main, hidden) by the attributes of a tag; `inside` an article its header is text."""
-    boiler = main = hidden = False
+    """(boilerplate, main, hidden) by the attributes of a tag; `inside` an article its header is text.
+
+    Names that tell a state count for nothing. Beside a whole name of the article, in class or id,
+    others are furniture only if a whole name says so, not a part of one.
+    """
+    hidden, names, roles = False, [], []
     for name, a, b, c in _ATTR.findall(attrs):
         value, name = html.unescape(a or b or c), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-        elif name in ("class", "id", "role"):
-            named = bool(MAIN_WORDS.search(value))
-            boiler |= bool(BOILER_WORDS.search(HEADER_WORDS.sub(" ", value) if inside or named else value))
-            main |= named
+        elif name in ("class", "id"):
+            names += [x for x in value.split() if not STATE_NAMES.fullmatch(x)]
+        elif name == "role":
+            roles += value.split()
+    main = any(MAIN_WORDS.search(x) for x in names + roles)
+    whole = any(MAIN_NAMES.fullmatch(x) for x in names)
+    boiler = False
+    for x in names + roles:
+        rest = HEADER_WORDS.sub(" ", x) if inside or MAIN_WORDS.search(x) else x
+        found = BOILER_WORDS.search(rest)
+        boiler |= bool(found and (not whole or found.group().strip() == x))
     return boiler, main and not boiler, hidden
 
 
@@ -135,16 +156,28 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        if m["raw"]:
-            continue
         if m["cdata"] is not None:
             add(html.escape(m["cdata"]))
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in _ENDS_OF:
+            if not m["close"] and not (tag in FOREIGN_TAGS and m["attrs"].endswith("/")):
+                end = None if tag in endless else _ENDS_OF[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                    at = len(page) if tag in RAW_TAGS else at
+            continue
+        if open_["select"] > 0 and not m["close"] and (tag in CONTROLS or tag in BLOCK_TAGS and tag not in SELECT_TAGS):
+            close(next(k for k in range(len(stack)) if stack[k].tag == "select"))
+            if tag == "select":
+                continue
         if tag == "a":
             in_link = not m["close"]
         elif tag == "br":
@@ -161,14 +194,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].tag == tag:
                     close(k)
                     break
-                if stack[k].tag in BLOCK_TAGS and tag not in BLOCK_TAGS:
+                if stack[k].tag in BLOCK_TAGS and tag not in BLOCK_TAGS and tag != "select":
                     break
             heading = False if tag in BLOCK_TAGS else heading
             continue
         if tag in BLOCK_TAGS:
             flush()
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if tag not in SELECT_TAGS or open_["select"] <= 0 else ():
                 if stack[k].tag in _ENDS.get(tag, ()) or stack[k].tag == "p":
                     close(k)
                     break

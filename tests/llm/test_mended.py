@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import bpe, decontaminate, minhash, packing, simhash
+from deltaloom.llm import bpe, decontaminate, html, minhash, packing, simhash
 from tests.llm.test_corpus import brute_overlap, docs_of
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +69,41 @@ def test_crowds_of_unlike_texts_are_compared_with_their_links_only(spark):
     sizes = [r["count"] for r in shards.groupBy("shard").count().collect()]
     assert sum(n * (n - 1) // 2 for n in sizes) <= 4 * (len(rows) + links)
     assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == 5000
+
+
+PARAGRAPHS = ["The first paragraph of the article is long enough for all of the rules, and it has the words that such a text has.", "Then there is another one that says more about the matter, with as many of the small words as the first one has."]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = "<nav><a href=/a>One</a> <a href=/b>Two</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<svg-icon></svg-icon><title-bar>Site</title-bar>{MENU}<article>{BODY}</article>",
+        f"<svg/><svg viewBox='0 0 1 1'/>{MENU}<article>{BODY}</article>",
+        f"{MENU}<svg><path d=x><article>{BODY}</article>",
+        f"<a href=x it's>home</a>{MENU}<article>{BODY}</article>",
+        f"<img alt=5\" src=x><p class=a'b></p>{MENU}<article>{BODY}</article>",
+        *(f"{MENU}<article class='{c}'>{BODY}</article>" for c in ("post category-social", "hentry tag-search", "article-content related-post", "story share-enabled", "entry comments-open", "category-menu")),
+        f"{MENU}<div class='entry-content has-sidebar' id='post-12'>{BODY}</div>",
+        f"{MENU}<form><select><option>A<option>B</form><article>{BODY}</article>",
+        f"{MENU}<select name=x><option>A</option><article>{BODY}</article>",
+        f"{MENU}<select><option>A<option>B</select><article>{BODY}</article>",
+        f"{MENU}<select><optgroup label=g><option>A<input name=q><article>{BODY}</article>",
+        f"{MENU}<article>{BODY}</article><textarea>never ends <p>and hides the rest, which is not of the article",
+    ],
+)
+def test_ordinary_markup_keeps_the_article(page):
+    assert html.main_text(page).split("\n\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize("mark", ["class='post comments'", "class=comment-body", "class='related-posts'", "id=site-footer", "class='ad-slot'", "class='newsletter-signup story-list'", "class='story ad'", "role=navigation", "class='article-footer'"])
+def test_furniture_stays_out(mark):
+    assert html.main_text(f"<article>{BODY}</article><div {mark}><p>{PARAGRAPHS[0].replace('first', 'other')}</p></div>").split("\n\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<svg/>", "<select>", "<select><option>x", "<option>", "<a b=", "<a b= = ", "<p class='x", "<textarea>", "<svg-a>", "</select>", "<select><p>"])
+def test_mended_markup_takes_linear_time(part):
+    began = time.process_time()
+    html.main_text(part * (400_000 // len(part)))
+    assert time.process_time() - began < 5
