@@ -1,20 +1,24 @@
 """Toxicity by a weighted grammar of composed finite-state transducers.
 
-The lexicon turns words into symbols: insult, threat, target, negation, report, other. Three small
-transducers rewrite a clause's symbols one after the other, each reading what the one before wrote;
-they are composed into one machine, whose table is built once:
+The lexicon turns words into symbols: insult, threat, person, second person, its object form,
+negation, report, other. Three small transducers rewrite a clause's symbols one after the other,
+each reading what the one before wrote; they are composed into one machine, whose table is built once:
 
 * report: after a verb of saying the rest of the clause is someone else's speech, and insults and
   threats in it become `reported`;
 * negation: reaches over the next few words, whose insults and threats become `negated`;
-* target: once a person is addressed or spoken of, insults and threats become `insult_target` and
-  `threat_target`; where that comes later in the clause, its final state says so.
+* target: once a person is addressed or spoken of, insults become `insult_target`; where that comes
+  later in the clause, its final state says so. A threat with the second person in the few words
+  after it, or with its object form in the few before, becomes `threat_target`.
 
-Each clause counts once, by its heaviest reading: threat at a target, insult at a target, bare
-insult, bare threat, negated, reported. Documents are scored by the counts of their matched clauses,
-in a logistic model.
+Insults and threats use up no reach, so one more of them never takes another out of its context.
 
-Words that open with a learned stem are insults too. Stems and weights are learned from a bounded,
+A clause keeps all of its readings, and each implies the weaker ones (IMPLIED): its weight is the
+sum of theirs. Documents are scored by how many clauses have each reading, in a logistic model whose
+weights are not negative, so that a further insult or threat never lowers a score. A threat at a
+person weighs at least what an insult at one does, as labels may show insults only.
+
+Words that open with a learned stem are insults too, or threats if they stand as threats do. Stems and weights are learned from a bounded,
 deterministic sample of labelled rows. Texts are searched whole: an automaton finds insult and
 threat words, and only clauses that hold one are parsed.
 """
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from deltaloom.llm.common import bounded_batches, crc_mod, cut, pieces
 
@@ -42,18 +47,25 @@ MAX_STEMS = 5_000
 STEM = (4, 8)
 #: Times the gain that chance could reach, from which a stem needs no documents of its own.
 SURE = 4
+#: Share of a stem's toxic documents in which it stands as a threat does, from which it is one.
+THREATENING = 0.8
 FOLDS = 5
 
 INSULTS = "asshole bastard bitch clown creep cretin disgusting dumb dumbass filth freak fool garbage idiot imbecile idiotic jerk loser moron pathetic pig scum stupid trash vermin worthless arschloch dummkopf abschaum trottel dreckskerl connard salaud ordure crétin imbécile estúpido imbécil basura cabrón gilipollas".split()
 THREATS = "kill hurt destroy stab shoot strangle murder hang beat burn töten umbringen vernichten tuer tuerai détruire matar mataré destruir".split()
-TARGETS = frozenset("you your yours u ur yourself he she they him her them these those people du dich dir dein deine ihr euch sie tu te toi ton ta vous votre ils elles tú ti usted ustedes vosotros ellos ellas".split())
-NEGATIONS = frozenset("not no never none neither nor isn aren wasn don doesn didn won wouldn cannot without nicht kein keine nie ohne ne pas jamais sans nunca jamás sin".split())
+#: Persons; those that are addressed, and their object forms, are told apart from the others.
+OBJECTS = frozenset("dich dir euch te toi".split())
+SECONDS = frozenset("you your yours u ur yourself du dein deine ihr ton ta vous votre tu tú ti usted ustedes vosotros".split())
+TARGETS = frozenset("he she they him her them these those people sie ils elles ellos ellas".split())
+NEGATIONS = frozenset("not no never none nobody nothing neither nor isn aren wasn don doesn didn won wouldn cannot without nicht kein keine niemand nie ohne ne pas jamais personne sans nunca jamás nadie sin".split())
 REPORTS = frozenset("said says say saying called calls quoted quote wrote writes reported reportedly claimed sagte sagt schrieb dit disait écrit dijo dice escribió".split())
 #: Words that a negation reaches.
 REACH = 3
 READINGS = ("threat_target", "insult_target", "insult", "threat", "negated", "reported")
-#: Where the weights start, and are drawn to where labels say little: bias, then READINGS.
-PRIOR = np.array([-3.0, 3.5, 4.0, 3.0, 1.0, 0.5, 0.5])
+#: The weaker readings that each implies.
+IMPLIED = {"threat_target": READINGS, "insult_target": ("insult", "negated", "reported"), "insult": ("negated", "reported"), "threat": ("negated", "reported")}
+#: Where the weights start, and are drawn to where labels say little: bias, then what each of READINGS adds to those it implies.
+PRIOR = np.array([-3.0, 0.0, 1.0, 2.5, 0.5, 0.25, 0.25])
 RIDGE = 0.05
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -81,7 +93,7 @@ def default_grammar(stems: dict[str, str] | None = None) -> Grammar:
     return Grammar({w: "insult" for w in INSULTS} | {w: "threat" for w in THREATS}, stems or {})
 
 
-SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+SYMBOLS = ("insult", "threat", "target", "second", "object", "negation", "report", "other")
 HITS = ("insult", "threat")
 #: A transducer's step: (state, symbol) to the next state and the symbol written. All start in state 0.
 Step = Callable[[int, str], tuple[int, str]]
@@ -94,12 +106,27 @@ def report(state: int, symbol: str) -> tuple[int, str]:
 
 def negation(state: int, symbol: str) -> tuple[int, str]:
     """The state is how many more words the last negation reaches."""
-    return REACH if symbol == "negation" else max(0, state - 1), "negated" if state and symbol in HITS else symbol
+    if symbol in (*HITS, "reported"):
+        return state, "negated" if state and symbol in HITS else symbol
+    return REACH if symbol == "negation" else max(0, state - 1), symbol
 
 
 def target(state: int, symbol: str) -> tuple[int, str]:
-    """State 1 once a person was read."""
-    return int(state or symbol == "target"), f"{symbol}_target" if state and symbol in HITS else symbol
+    """The state holds whether a person was read, and how many more words the last threat and the last object form reach."""
+    reach, person = divmod(state, 2)
+    object_, threat = divmod(reach, REACH + 1)
+    addressed = symbol in ("second", "object")
+    written = symbol
+    if symbol == "insult" and person:
+        written = "insult_target"
+    elif symbol == "threat" and object_ or addressed and threat:
+        written = "threat_target"
+    if symbol == "threat":
+        threat = REACH
+    elif symbol not in ("insult", "negated", "reported"):
+        threat, object_ = max(0, threat - 1), REACH if symbol == "object" else max(0, object_ - 1)
+    person = int(person or addressed or symbol == "target")
+    return 2 * (threat + (REACH + 1) * object_) + person, written
 
 
 def compose(*steps: Step) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], str]]:
@@ -121,23 +148,26 @@ def compose(*steps: Step) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int,
 MACHINE = compose(report, negation, target)
 
 
-def reading(symbols: list[str]) -> int | None:
-    """The heaviest reading of one clause, as an index into READINGS; None if nothing matches."""
+def readings(symbols: list[str]) -> frozenset[int]:
+    """All readings of one clause and what they imply, as indices into READINGS."""
     state, found = (0, 0, 0), set()
     for s in symbols:
         state, written = MACHINE[state, s]
         found.add(written)
-    if state[-1]:
-        found |= {f"{s}_target" for s in HITS if s in found}
-    return next((k for k, name in enumerate(READINGS) if name in found), None)
+    if state[-1] % 2 and "insult" in found:
+        found.add("insult_target")
+    return frozenset(READINGS.index(x) for name in found if name in READINGS for x in (name, *IMPLIED.get(name, ())))
 
 
 def _symbol(word: str, kinds: dict[str, str]) -> str:
-    return kinds.get(word) or ("target" if word in TARGETS else "negation" if word in NEGATIONS else "report" if word in REPORTS else "other")
+    return kinds.get(word) or _OTHER_SYMBOLS.get(word, "other")
+
+
+_OTHER_SYMBOLS = {w: kind for kind, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("second", SECONDS), ("object", OBJECTS)) for w in words}
 
 
 def clause_counts(text: str, automaton: ahocorasick.Automaton) -> Counter:
-    """How many clauses of the text match, by index of their reading."""
+    """How many clauses of the text have each reading, by its index."""
     low, counts, done = text.lower(), Counter(), -1
     hits: dict[tuple[int, int], dict[str, str]] = {}
     for end, (length, word, stem) in automaton.iter(low):
@@ -156,9 +186,7 @@ def clause_counts(text: str, automaton: ahocorasick.Automaton) -> Counter:
             hits[clause] = {}
         hits[clause][m.group()] = kind
     for (left, right), kinds in hits.items():
-        k = reading([_symbol(w, kinds) for w in _WORD.findall(low, left, right)])
-        if k is not None:
-            counts[k] += 1
+        counts.update(readings([_symbol(w, kinds) for w in _WORD.findall(low, left, right)]))
     return counts
 
 
@@ -188,7 +216,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _one_of_copies(sample: DataFrame) -> DataFrame:
     """The bounded sample without most of its exact and near copies, which would pass for independent evidence.
 
-    Of rows that agree in one of four minimum hashes of their word triples one stays.
+    Of rows that agree in one of four minimum hashes of their word triples one stays: a toxic one if
+    there is one, then that with the smallest hash of its text.
     """
     words = F.split(F.lower("text"), "[ \\x09-\\x0D]+")
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, 3))))
@@ -197,7 +226,8 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
         out = out.withColumn(f"m{k}", F.array_min(F.transform("h", lambda x, k=k: F.xxhash64(x, F.lit(k)))))
     out = out.drop("w", "h")
     for k in range(4):
-        out = out.dropDuplicates([f"m{k}"])
+        first = Window.partitionBy(f"m{k}").orderBy(F.desc("toxic"), F.xxhash64("text"), "text")
+        out = out.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at")
     return out.select("text", "toxic")
 
 
@@ -216,30 +246,33 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
     return counts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_stems(sample: DataFrame) -> dict[str, str]:
+def learn_stems(sample: DataFrame, max_stems: int = MAX_STEMS) -> dict[str, str]:
     """Stems and whole words that hold far more toxic documents than chance allows.
 
     With n documents, a share q toxic, and a base rate p, chance reaches q with probability at most
-    exp(-n KL(q, p)); that has to stay under 5 % after all stems had their try. Stems are then taken
+    exp(-n KL(q, p)); that has to stay under 5 % after all stems that at least three documents hold
+    had their try. The `max_stems` of most gain are looked at. Stems are then taken
     greedily by the toxic documents that no seed word or earlier stem explains, if those alone beat
     chance: words that only occur beside an insult explain nothing and stay out. Stems whose gain is
     SURE times what chance needs are taken in any case, and a longer stem that explains nearly all
-    of a shorter one takes its place.
+    of a shorter one takes its place. A stem that stands in THREATENING of its toxic documents as
+    threats do is a threat, any other an insult.
     """
     sample = cut(_one_of_copies(sample), "toxic-distinct")
     counts = cut(_stem_counts(sample), "stems")
-    total, (pos, all_) = counts.count(), sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    total, (pos, all_) = counts.where("toxic + clean >= 3").count(), sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     if not pos or pos == all_:
         return {}
-    rate, need = pos / all_, math.log(total) + 3
+    rate, need = pos / all_, math.log(max(1, total)) + 3
     q = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     kl = F.when(F.col("clean") == 0, -F.log(F.lit(rate))).otherwise(q * F.log(q / rate) + (1 - q) * F.log((1 - q) / (1 - rate)))
     good = counts.where((F.col("toxic") >= 3) & (q >= 0.8)).withColumn("gain", (F.col("toxic") + F.col("clean")) * kl).where(F.col("gain") >= need)
-    rows = {r["stem"]: (r["gain"], r["toxic"]) for r in good.orderBy(F.desc("gain"), "stem").limit(MAX_STEMS).collect()}
+    rows = {r["stem"]: (r["gain"], r["toxic"]) for r in good.orderBy(F.desc("gain"), "stem").limit(max_stems).collect()}
     for x in sorted(rows, key=len):
         if any(y != x and y.lstrip("=").startswith(x) and rows[y][1] >= 0.95 * rows[x][1] for y in rows):
             del rows[x]
     held: dict[str, set[int]] = {x: set() for x in rows}
+    threats = Counter()
     explained: set[int] = set()
     automaton = default_grammar().automaton()
     for doc, r in enumerate(_stems_of(sample.where("toxic = 1"), frozenset(rows), automaton).collect()):
@@ -247,12 +280,14 @@ def learn_stems(sample: DataFrame) -> dict[str, str]:
             explained.add(doc)
         for x in r["stems"]:
             held[x].add(doc)
+        threats.update(r["threats"])
     found: dict[str, str] = {}
     while held:
         best = max(held, key=lambda x: (len(held[x] - explained), rows[x], x))
-        fresh = held.pop(best) - explained
+        own = held.pop(best)
+        fresh = own - explained
         if len(fresh) * -math.log(rate) >= need or rows[best][0] >= SURE * need:
-            found[best] = "insult"
+            found[best] = "threat" if threats[best] >= THREATENING * len(own) else "insult"
             explained |= fresh
     return found
 
@@ -262,20 +297,33 @@ def _stem_set(text: str) -> set[str]:
     return {w[:n] for w in words for n in range(STEM[0], STEM[1] + 1) if len(w) > n} | {f"={w}" for w in words if len(w) >= 3}
 
 
+def _threat_stems(text: str, wanted: frozenset[str]) -> set[str]:
+    """The wanted stems of words that stand in a clause where a threat at a person stands."""
+    found: set[str] = set()
+    for clause in _CLAUSE_END.split(text.lower()):
+        words = _WORD.findall(clause)
+        for i, w in enumerate(words):
+            own = _stem_set(w) & wanted
+            if own and (OBJECTS & set(words[max(0, i - REACH) : i]) or (SECONDS | OBJECTS) & set(words[i + 1 : i + 1 + REACH])):
+                found |= own
+    return found
+
+
 def _stems_of(sample: DataFrame, wanted: frozenset[str], seeds: ahocorasick.Automaton) -> DataFrame:
-    """The wanted stems of each text, and whether the seed words already match in it."""
+    """The wanted stems of each text, those that stand as threats, and whether the seed words already match in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()
             found = pa.array([sorted(_stem_set(t) & wanted) for t in texts], pa.list_(pa.string()))
+            threats = pa.array([sorted(_threat_stems(t, frozenset(x))) if x else [] for t, x in zip(texts, found.to_pylist())], pa.list_(pa.string()))
             seeded = pa.array([bool(clause_counts(t, seeds)) for t in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([found, seeded], ["stems", "seeded"])
+            yield pa.RecordBatch.from_arrays([found, threats, seeded], ["stems", "threats", "seeded"])
 
-    return sample.select("text").mapInArrow(run, "stems array<string>, seeded boolean")
+    return sample.select("text").mapInArrow(run, "stems array<string>, threats array<string>, seeded boolean")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_stems: int = MAX_STEMS) -> Grammar:
     """A grammar from labelled documents outside the held-out fold.
 
     The sample is the labelled rows with the smallest hash of doc_id, `sample_rows` at most. A
@@ -287,7 +335,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # at most sample_rows pairs of two numbers: small enough to send to the texts
     sample = cut(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
-    stems = learn_stems(sample)
+    stems = learn_stems(sample, max_stems)
     grammar = default_grammar({s: k for s, k in stems.items() if not s.startswith("=")})
     grammar.words |= {s[1:]: k for s, k in stems.items() if s.startswith("=")}
     rows = _counted(sample, grammar, ["toxic"]).groupBy("toxic", "x").count().collect()

@@ -198,34 +198,56 @@ def test_repeated_lines_are_no_similarity(spark, odd):
 # --- 2 -----------------------------------------------------------------------------------------
 
 
+def strongest(text, grammar):
+    """The first of READINGS that each clause with one has, of all clauses together."""
+    found = toxicity.clause_counts(text, grammar.automaton())
+    return [toxicity.READINGS[min(found)]] if found else []
+
+
 def test_toxic_readings():
     def of(text):
-        return [toxicity.READINGS[k] for k in toxicity.clause_counts(text, toxicity.default_grammar().automaton())]
+        return strongest(text, toxicity.default_grammar())
 
     assert of("You are an idiot") == ["insult_target"]
     assert of("what an IDIOT!") == ["insult"]
-    assert of("this is not an idiot") == ["negated"]
+    assert of("this is not an idiot") == of("nobody is an idiot") == ["negated"]
     assert of("the paper said idiot") == ["reported"]
-    assert of("I will kill you.") == ["threat_target"]
+    assert of("I will kill you.") == of("ich werde dich töten") == of("je vais te tuer") == ["threat_target"]
+    assert of("They kill the process that you started") == of("you can kill it") == ["threat"]
     assert of("idiotic###") == ["insult"]
     assert of("") == of("a clear idiom, trashed") == []
+    both = toxicity.clause_counts("You idiot, I will kill you", toxicity.default_grammar().automaton())
+    assert {toxicity.READINGS[k] for k in both} == set(toxicity.READINGS)
+
+
+def enumerated_readings(symbols):
+    """All readings, from what surrounds each insult and threat, with those that they imply."""
+    found, hits = set(), ("insult", "threat")
 
+    def near(i, step):
+        """Symbols beside i that are within reach, which insults and threats don't use up."""
+        out, left, j = [], toxicity.REACH, i + step
+        while 0 <= j < len(symbols) and left:
+            out.append(symbols[j])
+            left -= symbols[j] not in hits
+            j += step
+        return out
 
-def enumerated_reading(symbols):
-    """The heaviest reading, from what surrounds each insult and threat."""
-    found = set()
     for i, s in enumerate(symbols):
-        if s in ("insult", "threat"):
-            said, near = "report" in symbols[:i], "negation" in symbols[max(0, i - toxicity.REACH) : i]
-            found.add("reported" if said else "negated" if near else f"{s}_target" if "target" in symbols else s)
-    return min(map(toxicity.READINGS.index, found), default=None)
+        if s in hits:
+            said, negated = "report" in symbols[:i], "negation" in near(i, -1)
+            person = s == "insult" and {"target", "second", "object"} & set(symbols)
+            person = person or s == "threat" and ("object" in near(i, -1) or {"second", "object"} & set(near(i, 1)))
+            names = ["reported"] if said else ["negated"] if negated else [s, f"{s}_target"] if person else [s]
+            found |= {x for n in names for x in (n, *toxicity.IMPLIED.get(n, ()))}
+    return frozenset(map(toxicity.READINGS.index, found))
 
 
 def test_machine_against_enumeration():
     rng = random.Random(4)
     for _ in range(5000):
         symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(12))]
-        assert toxicity.reading(symbols) == enumerated_reading(symbols), symbols
+        assert toxicity.readings(symbols) == enumerated_readings(symbols), symbols
 
 
 def test_clauses_against_splitting():
@@ -237,8 +259,8 @@ def test_clauses_against_splitting():
     kinds = {"idiot": "insult", "kill": "threat", "zorbs": "insult"}
     for _ in range(500):
         text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "; ", "\n", "!"]) for _ in range(rng.randrange(20)))
-        readings = [enumerated_reading([toxicity._symbol(w, kinds) for w in clause.split()]) for clause in re.split(r"[.!?;:\n\r]", text)]
-        assert toxicity.clause_counts(text, grammar.automaton()) == collections.Counter(r for r in readings if r is not None), text
+        found = [enumerated_readings([toxicity._symbol(w, kinds) for w in clause.split()]) for clause in re.split(r"[.!?;:\n\r]", text)]
+        assert toxicity.clause_counts(text, grammar.automaton()) == collections.Counter(k for r in found for k in r), text
     began = time.process_time()
     assert toxicity.clause_counts("an idiot, " * 10 + "you idiot. " * 100_000, grammar.automaton())[1] == 100_000
     assert time.process_time() - began < 10
@@ -250,7 +272,7 @@ def test_words_beside_their_stems():
     grammar.words |= {"zorb": "insult"}
 
     def of(text):
-        return [toxicity.READINGS[k] for k in toxicity.clause_counts(text, grammar.automaton())]
+        return strongest(text, grammar)
 
     assert of("what a moron!") == of("what morons!") == of("a moronic idea") == of("a zorb") == of("some zorbs") == ["insult"]
     assert of("I will kill you") == ["threat_target"] and of("you killjoy") == ["insult_target"]
@@ -849,7 +871,7 @@ def plain_toxic(text, grammar):
         for w in re.findall(r"[^\W\d_]+", clause):
             kind = grammar.words.get(w) or next((k for s, k in grammar.stems.items() if w.startswith(s) and len(w) > len(s)), None)
             symbols.append(kind or toxicity._symbol(w, {}))
-        counts[enumerated_reading(symbols)] += 1
+        counts.update(enumerated_readings(symbols))
     x = [1.0, *(1 + math.log(counts[k]) if counts[k] else 0.0 for k in range(len(toxicity.READINGS)))]
     return float(grammar.weights @ x) >= 0
 
