@@ -1,6 +1,6 @@
 """Toxicity by a weighted grammar of composed finite-state transducers.
 
-The lexicon turns words into symbols: insult, threat, person, second person, its object form,
+The lexicon turns words into symbols: insult, threat, slur, person, second person, its object form,
 negation, report, other. Three small transducers rewrite a clause's symbols one after the other,
 each reading what the one before wrote; they are composed into one machine, whose table is built once:
 
@@ -18,7 +18,9 @@ sum of theirs. Documents are scored by how many clauses have each reading, in a
 weights are not negative, so that a further insult or threat never lowers a score. A threat at a
 person weighs at least what an insult at one does, as labels may show insults only.
 
-Words that open with a learned stem are insults too, or threats if they stand as threats do. Stems and weights are learned from a bounded,
+Words that open with a learned stem are slurs, or threats if they stand as threats do. A slur is an
+insult whatever stands before it: its label counts were taken over all contexts, and it may be of a
+language whose negations are not known here. Stems and weights are learned from a bounded,
 deterministic sample of labelled rows. Texts are searched whole: an automaton finds insult and
 threat words, and only clauses that hold one are parsed.
 """
@@ -93,7 +95,7 @@ def default_grammar(stems: dict[str, str] | None = None) -> Grammar:
     return Grammar({w: "insult" for w in INSULTS} | {w: "threat" for w in THREATS}, stems or {})
 
 
-SYMBOLS = ("insult", "threat", "target", "second", "object", "negation", "report", "other")
+SYMBOLS = ("insult", "threat", "slur", "target", "second", "object", "negation", "report", "other")
 HITS = ("insult", "threat")
 #: A transducer's step: (state, symbol) to the next state and the symbol written. All start in state 0.
 Step = Callable[[int, str], tuple[int, str]]
@@ -106,7 +108,7 @@ def report(state: int, symbol: str) -> tuple[int, str]:
 
 def negation(state: int, symbol: str) -> tuple[int, str]:
     """The state is how many more words the last negation reaches."""
-    if symbol in (*HITS, "reported"):
+    if symbol in (*HITS, "slur", "reported"):
         return state, "negated" if state and symbol in HITS else symbol
     return REACH if symbol == "negation" else max(0, state - 1), symbol
 
@@ -116,14 +118,14 @@ def target(state: int, symbol: str) -> tuple[int, str]:
     reach, person = divmod(state, 2)
     object_, threat = divmod(reach, REACH + 1)
     addressed = symbol in ("second", "object")
-    written = symbol
-    if symbol == "insult" and person:
+    written = "insult" if symbol == "slur" else symbol
+    if written == "insult" and person:
         written = "insult_target"
     elif symbol == "threat" and object_ or addressed and threat:
         written = "threat_target"
     if symbol == "threat":
         threat = REACH
-    elif symbol not in ("insult", "negated", "reported"):
+    elif symbol not in ("insult", "slur", "negated", "reported"):
         threat, object_ = max(0, threat - 1), REACH if symbol == "object" else max(0, object_ - 1)
     person = int(person or addressed or symbol == "target")
     return 2 * (threat + (REACH + 1) * object_) + person, written
@@ -197,18 +199,23 @@ def features(text: str, automaton: ahocorasick.Automaton) -> list[float]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression around PRIOR by Newton's method; weights of readings stay at least 0."""
+    """Ridge logistic regression around PRIOR by Newton's method.
+
+    Weights of readings stay at least 0.
+    """
     w = PRIOR.copy()
-    ridge = RIDGE * np.ones(len(w))
-    for _ in range(50):
+    ridge, low = RIDGE * np.ones(len(w)), np.r_[-np.inf, np.zeros(len(w) - 1)]
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + ridge * (w - PRIOR)
         h = (x.T * (p * (1 - p))) @ x + np.diag(ridge)
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        w = w - step
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-6:
+        # weights that press against 0 stay there while the others take the step
+        free = ~((w <= low) & (g > 0))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+        step *= min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
+        before, w = w, np.maximum(w - step, low)
+        if np.abs(w - before).max() < 1e-7:
             break
     return w
 
@@ -253,10 +260,10 @@ def learn_stems(sample: DataFrame, max_stems: int = MAX_STEMS) -> dict[str, str]
     exp(-n KL(q, p)); that has to stay under 5 % after all stems that at least three documents hold
     had their try. The `max_stems` of most gain are looked at. Stems are then taken
     greedily by the toxic documents that no seed word or earlier stem explains, if those alone beat
-    chance: words that only occur beside an insult explain nothing and stay out. Stems whose gain is
+    chance after all stems that passed had their try: words that only occur beside an insult explain nothing and stay out. Stems whose gain is
     SURE times what chance needs are taken in any case, and a longer stem that explains nearly all
     of a shorter one takes its place. A stem that stands in THREATENING of its toxic documents as
-    threats do is a threat, any other an insult.
+    threats do is a threat, any other a slur.
     """
     sample = cut(_one_of_copies(sample), "toxic-distinct")
     counts = cut(_stem_counts(sample), "stems")
@@ -282,12 +289,13 @@ def learn_stems(sample: DataFrame, max_stems: int = MAX_STEMS) -> dict[str, str]
             held[x].add(doc)
         threats.update(r["threats"])
     found: dict[str, str] = {}
+    enough = math.log(max(1, len(held))) + 3
     while held:
         best = max(held, key=lambda x: (len(held[x] - explained), rows[x], x))
         own = held.pop(best)
         fresh = own - explained
-        if len(fresh) * -math.log(rate) >= need or rows[best][0] >= SURE * need:
-            found[best] = "threat" if threats[best] >= THREATENING * len(own) else "insult"
+        if len(fresh) * -math.log(rate) >= enough or rows[best][0] >= SURE * need:
+            found[best] = "threat" if threats[best] >= THREATENING * len(own) else "slur"
             explained |= fresh
     return found
 

@@ -222,7 +222,7 @@ def test_toxic_readings():
 
 def enumerated_readings(symbols):
     """All readings, from what surrounds each insult and threat, with those that they imply."""
-    found, hits = set(), ("insult", "threat")
+    found, hits = set(), ("insult", "threat", "slur")
 
     def near(i, step):
         """Symbols beside i that are within reach, which insults and threats don't use up."""
@@ -235,10 +235,11 @@ def enumerated_readings(symbols):
 
     for i, s in enumerate(symbols):
         if s in hits:
-            said, negated = "report" in symbols[:i], "negation" in near(i, -1)
-            person = s == "insult" and {"target", "second", "object"} & set(symbols)
+            said, negated = s != "slur" and "report" in symbols[:i], s != "slur" and "negation" in near(i, -1)
+            person = s != "threat" and {"target", "second", "object"} & set(symbols)
             person = person or s == "threat" and ("object" in near(i, -1) or {"second", "object"} & set(near(i, 1)))
-            names = ["reported"] if said else ["negated"] if negated else [s, f"{s}_target"] if person else [s]
+            kind = "threat" if s == "threat" else "insult"
+            names = ["reported"] if said else ["negated"] if negated else [kind, f"{kind}_target"] if person else [kind]
             found |= {x for n in names for x in (n, *toxicity.IMPLIED.get(n, ()))}
     return frozenset(map(toxicity.READINGS.index, found))
 
