@@ -57,6 +57,14 @@ DELTAS = [
 MULTI = [query("q0", "CN(c,n) OC(o,c)", "n,o"), query("q1", "SN(s,n) NR(n,r)", "r,s"), query("q2", "CN(c,n) OC(o,c) LO(o,p)", "n,p")]
 SHARED_NODE = query("CO", "CN(c,n) OC(o,c)", "n,o")
 SHARING = [query("s0", "CO(n,o) LO(o,p)", "n,p"), query("s1", "CO(x,y) NR(x,z)", "z,y"), query("s2", "CO(a,b)", "a,b")]
+#: Queries that nobody told what they have in common: customers with their orders, under many names, and twice in one.
+FOUND = [
+    query("f0", "CN(c,n) OC(o,c) LO(o,p)", "n,p"),
+    query("f1", "NR(w,z) OC(y,x) CN(x,w)", "z,y"),
+    query("f2", "OC(b,a) CN(a,d)", "d,b"),
+    query("f3", "RG(r,rn) NR(n,r) CN(k,n) OC(o,k) LO(o,p) LS(p,s)", "r,s"),
+    query("f4", "SN(s,n) LS(p,s) LS(p,t) SN(t,m)", "n,m"),
+]
 ISOMORPHIC = [query("i0", "UE(u,t) UE(u,v)", "t,v"), query("i1", "UE(k,a) UE(k,b)", "a,b")]
 LIVE = [query("l0", "OC(o,c) LO(o,p)", "c,p"), query("l1", "OC(o,c) CN(c,n)", "o,n"), query("l2", "OC(o,c) LO(o,p) LS(p,s) PB(p,b)", "o,b")]
 CLASSES = [
@@ -288,6 +296,7 @@ def queries() -> dict[str, Run]:
         "query_set_union": lambda spark, d: sn.query_sets(_tables(spark, d), LIVE, 0),
         "multi_query": lambda spark, d: sn.many(_tables(spark, d), MULTI),
         "multi_query_shared": lambda spark, d: sn.shared(_tables(spark, d), SHARED_NODE, SHARING),
+        "multi_query_found": lambda spark, d: sn.found_shared(_tables(spark, d), FOUND),
         "isomorphic_queries": lambda spark, d: sn.many(_tables(spark, d), ISOMORPHIC),
         "annotation_product": lambda spark, d: sn.annotated(_tables(spark, d), query("a", "CN(c,n) OC(o,c)", "n,o"), {"CN": "1 + c % 3", "OC": "1 + o % 5"}),
         "insert_log": lambda spark, d: lt.formatted(lt.delta_log(_logs(spark, d), DELTAS[0]).where("op = '+'")),
@@ -357,6 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "query_set_union": f"SELECT o, c, string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) AS qids FROM ({' UNION ALL '.join(f'SELECT o, c, {k} AS qid FROM ({s})' for k, s in enumerate(live))}) GROUP BY o, c",
         "multi_query": _tagged(MULTI, _snapshot_sql),
         "multi_query_shared": f"WITH co AS ({co}) SELECT DISTINCT 0 AS qid, co.n AS y1, l.p AS y2 FROM co JOIN ({r('LO')}) l ON l.o = co.o UNION ALL SELECT DISTINCT 1, nr.r, co.o FROM co JOIN ({r('NR')}) nr ON nr.n = co.n UNION ALL SELECT 2, n, o FROM co",
+        "multi_query_found": _tagged(FOUND, _snapshot_sql),
         "isomorphic_queries": _tagged(ISOMORPHIC, _snapshot_sql),
         "annotation_product": f"SELECT n, o, CAST((1 + c % 3) * (1 + o % 5) AS DOUBLE) AS ann FROM {_joined_sql(query('a', 'CN(c,n) OC(o,c)', 'n,o'))}",
         "insert_log": formatted.format(_delta_sql(DELTAS[0]), "+"),

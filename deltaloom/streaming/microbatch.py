@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from deltaloom.operators.lifetimes import formatted, violation
 from deltaloom.operators.snapshot import _in_order, atom_rows, natural_join
 from deltaloom.plans.model import Query
+from deltaloom.plans.sharing import share
 from deltaloom.sources import updates as up
 from deltaloom.sources.tables import remove, rewritten
 
@@ -50,6 +51,12 @@ class Views:
         self.shared = {n for n in nodes if any(a.relation == n for q in queries for a in q.atoms)}
         self.bases = sorted({a.relation for q in queries for a in q.atoms} - set(nodes))
 
+    @classmethod
+    def sharing(cls, spark: SparkSession, queries: list[Query], root: str, rows: Callable[[str], int] = lambda name: 1, fold: int = FOLD) -> Views:
+        """Views of the queries over nodes that they are found to have in common, which come before them; `rows` tells how large relations are."""
+        nodes, rest = share(queries, rows)
+        return cls(spark, [*nodes, *rest], root, fold)
+
     def _state(self, name: str, schema: str, before: int) -> DataFrame:
         """All signed rows of earlier batches, in one read. A batch is written even if it changes nothing."""
         spark, folded = self.spark, before // self.fold * self.fold
