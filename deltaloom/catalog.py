@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.functions.fields import csv_fields
 from deltaloom.operators import lifetimes as lt
 from deltaloom.operators import snapshot as sn
-from deltaloom.plans.model import Query, classify, query
+from deltaloom.plans.model import Query, query
 from deltaloom.sources import tables as src
 from deltaloom.sources import updates as up
+from deltaloom.streaming.keyed import KeyedView
 from deltaloom.streaming.microbatch import View, Views
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -65,31 +65,23 @@ FOUND = [
     query("f3", "RG(r,rn) NR(n,r) CN(k,n) OC(o,k) LO(o,p) LS(p,s)", "r,s"),
     query("f4", "SN(s,n) LS(p,s) LS(p,t) SN(t,m)", "n,m"),
 ]
+MAINTAINED = [query("m0", "CN(c,n) OC(o,c) LO(o,p)", "n,p"), query("m1", "OC(y,x) CN(x,w) NR(w,z)", "z,y"), query("m2", "OC(b,a) CN(a,d)", "d,b"), query("m3", "LO(u,w) CN(s,t) OC(u,s)", "t,w")]
 ISOMORPHIC = [query("i0", "UE(u,t) UE(u,v)", "t,v"), query("i1", "UE(k,a) UE(k,b)", "a,b")]
 LIVE = [query("l0", "OC(o,c) LO(o,p)", "c,p"), query("l1", "OC(o,c) CN(c,n)", "o,n"), query("l2", "OC(o,c) LO(o,p) LS(p,s) PB(p,b)", "o,b")]
-CLASSES = [
-    query("path", "R(a,b) S(b,c) T(c,d)", "a,b,c,d"),
-    query("path_prefix", "R(a,b) S(b,c) T(c,d)", "a,b"),
-    query("path_ends", "R(a,b) S(b,c) T(c,d)", "a,d"),
-    query("star", "R(a,b) S(a,c) T(a,d)", "b,c,d"),
-    query("star_hub", "R(a,b) S(a,c) T(a,d)", "a,b,c"),
-    query("triangle", "R(a,b) S(b,c) T(c,a)", "a,b,c"),
-    query("doubled_triangle", "R(a,b) R2(a,b) S(b,c) T(c,a)", "a,b,c"),
-    query("two_parts", "R(a,b) S(c,d)", "a,c"),
-    query("single", "R(a,b)", "a"),
-]
-CLASS_NAMES = ["free_connex", "free_connex", "acyclic", "acyclic", "free_connex", "cyclic", "cyclic", "disconnected", "free_connex"]
 BATCH = 100_000
 STATE_SEQ = 5_500_000
 #: Where the oracles' lives end that have no end: beyond any seq.
 NEVER = (1 << 63) - 1
 #: First seq of each micro-batch of the streaming queries.
 BOUNDS = [0, 1_004_000, 5_000_000, 8_000_000]
+#: The same for the lines and parts that a generalized node joins: no batch of theirs is empty.
+OFFERED_BOUNDS = [0, 3_000_100, 6_000_100, 7_000_000]
 STREAM = query("stream", "CN(c,n) OC(o,c)", "n,o")
-PIPED_LINES = ["+|KN|1|5|6", "-|KN|1|5|6", "*", "?|KN|1", "+|XX|1", "+", "+|PE|7||x||", "+|ME|3|a"]
-TABLED_LINES = ['1 title 7,"a, b",x', '0 title 7,"a, b",x', "title 8,,y", "noline", "1 title", '1 note 9,"say \\"hi\\" \\\\ \\n",z']
-CSV_LINES = ["a,b", " a , b ", '"a,b",c', '"x \\"y\\"",z', "a,,c", "a,", ""]
-REGISTRY = [("KN", "knows1", 1, [1, 2]), ("KN", "knows2", 1, [2, 1]), ("PE", "person1", 0, [0, 2]), ("ME", "message1", 0, [0, 5])]
+#: A query over stores kept by key, hung up at its customers, and one at a generalized node, the parts.
+KEYED = query("keyed", "CN(c,n) OC(o,c) SN(s,n)", "n,o")
+OFFERED = query("offered", "LO(o,p) LS(p,s)", "p")
+#: Files of a batch of a stream that is fed in one run.
+FILES = 4
 #: The change logs of CN and OC as update lines: relation -> [(place among lines of one seq, line, condition)], in SQL of both engines.
 #: Some lines are of no known op or tag, end in empty fields, have none, or lack the digit of an insert.
 PIPED_LOG = {
@@ -122,10 +114,6 @@ def _logs(spark: SparkSession, sf_dir: str) -> lt.Logs:
     return lambda name: src.change_log(spark, sf_dir, name)
 
 
-def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
-
-
 def _joined_sql(q: Query, rows: Callable[[str], str] = src.relation_sql, extra: Callable[[int], str] = lambda k: "") -> str:
     """The natural join of the query's atoms as a FROM clause."""
     width = {r: len(c) for r, (_, c) in src.RELATIONS.items()}
@@ -175,9 +163,9 @@ def _changes(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return src.written(reduce(DataFrame.unionByName, parts), "changes")
 
 
-def _in_batches(rows: DataFrame) -> list[DataFrame]:
+def _in_batches(rows: DataFrame, bounds: list[int] = BOUNDS) -> list[DataFrame]:
     """The rows of each micro-batch, by seq."""
-    return [rows.where((F.col("seq") >= lo) & (F.lit(hi).isNull() | (F.col("seq") < F.lit(hi)))) for lo, hi in zip(BOUNDS, [*BOUNDS[1:], None])]
+    return [rows.where((F.col("seq") >= lo) & (F.lit(hi).isNull() | (F.col("seq") < F.lit(hi)))) for lo, hi in zip(bounds, [*bounds[1:], None])]
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
@@ -193,6 +181,27 @@ def _streamed(views: Views, changes: DataFrame) -> Views:
     return views
 
 
+def _keyed(spark: SparkSession, sf_dir: str, q: Query, top: int | tuple[str, ...], bounds: list[int] = BOUNDS) -> KeyedView:
+    """A keyed view after one run over the change logs of its relations, batch by batch; each batch is FILES files."""
+    view, root = KeyedView(spark, q, _fresh(spark, "keyed"), top), _fresh(spark, "in")
+    changes = _changes(spark, sf_dir, sorted({a.relation for a in q.atoms}))
+    for part in _in_batches(changes, bounds):
+        if part.limit(FILES).count() < FILES:
+            raise ValueError(f"a batch of {q.name} has too few changes for {FILES} files")
+        part.repartition(FILES).write.mode("append").parquet(root)
+    view.start(spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES).parquet(root)).awaitTermination()
+    return view
+
+
+def _each_batch(rows: Callable[[int], DataFrame]) -> DataFrame:
+    """What `rows` gives for each batch, with the batch."""
+    return reduce(DataFrame.unionByName, (rows(k).withColumn("batch", F.lit(k)) for k in range(len(BOUNDS))))
+
+
+def _numbers(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select(*(F.col(c).cast("bigint").alias(c) if c in names else F.col(c) for c in rows.columns))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> View:
     return _streamed(View(spark, STREAM, _fresh(spark, "view")), _changes(spark, sf_dir, ["CN", "OC"]))
 
@@ -235,6 +244,21 @@ def _stream_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _stream_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a view's results, at its update, from a stream."""
+    found = _streamed(View(spark, DELTAS[1], _fresh(spark, "view"), exact=True), _changes(spark, sf_dir, ["CN", "OC", "LO"])).exact_log()
+    return _numbers(found.drop("batch"), "n", "p")
+
+
+def _stream_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output changes, by batch, of queries whose common parts are found and maintained once."""
+    views = Views.sharing(spark, MAINTAINED, _fresh(spark, "views"))
+    places = {q.name: k for k, q in enumerate(views.queries)}
+    views = _streamed(views, _changes(spark, sf_dir, ["NR", "CN", "OC", "LO"]))
+    parts = [views.output(places[q.name]).select(F.lit(k).alias("qid"), "batch", "op", *(F.col(c).cast("bigint").alias(f"y{i + 1}") for i, c in enumerate(q.out))) for k, q in enumerate(MAINTAINED)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _batches_sql(q: Query) -> str:
     """A query's net output changes by micro-batch."""
     batch = "CASE " + " ".join(f"WHEN seq >= {lo} THEN {k}" for k, lo in reversed(list(enumerate(BOUNDS)))) + " END"
@@ -242,6 +266,14 @@ def _batches_sql(q: Query) -> str:
     return f"SELECT batch, CASE WHEN k > 0 THEN '+' ELSE '-' END AS op, {y} FROM (SELECT {batch} AS batch, {y}, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({_delta_sql(q)}) GROUP BY ALL) WHERE k <> 0"
 
 
+def _after_batches_sql(sql: Callable[[Callable[[str], str]], str], bounds: list[int] = BOUNDS) -> str:
+    """`sql`, given the relations' contents after each batch, with the batch."""
+    def contents(name: str, seq: int) -> str:
+        return f"SELECT {', '.join(src.RELATIONS[name][1])} FROM ({_lives_sql(name)}) WHERE s_ < {seq} AND e_ >= {seq}"
+
+    return " UNION ALL ".join(f"SELECT {k} AS batch, * FROM ({sql(lambda name, seq=seq: contents(name, seq))})" for k, seq in enumerate([*bounds[1:], NEVER]))
+
+
 def queries() -> dict[str, Run]:
     found: dict[str, Run] = {}
     for q in SNAPSHOTS:
@@ -281,8 +313,17 @@ def queries() -> dict[str, Run]:
         found = _streamed(View(spark, query("v", "OC(o,c)", "o"), _fresh(spark, "view")), src.written(changes, "changes")).violations()
         return found.select(F.col("cells")[0].cast("bigint").alias("o"), F.col("cells")[1].cast("bigint").alias("c"), "op", "seq", "violation")
 
-    def csv_split_cases(spark: SparkSession, d: str) -> DataFrame:
-        return _lines(spark, CSV_LINES).select("line_no", F.array_join(csv_fields("value"), "|").alias("fields"), F.size(csv_fields("value")).alias("n"))
+    def _alive(view: KeyedView) -> DataFrame:
+        return _each_batch(lambda k: view.states(0, k).where("alive").drop("alive", "n_satisfied"))
+
+    def _onhold(view: KeyedView) -> DataFrame:
+        return _each_batch(lambda k: view.states(0, k).where("NOT alive").drop("alive"))
+
+    def _live(view: KeyedView) -> DataFrame:
+        return _each_batch(lambda k: view.live(1, k))
+
+    def _states(view: KeyedView) -> DataFrame:
+        return _each_batch(lambda k: view.states(2, k))
 
     found |= {
         "semi_join_existence": semi_join_existence,
@@ -308,28 +349,25 @@ def queries() -> dict[str, Run]:
         "delta_netted_batches": lambda spark, d: lt.netted(lt.delta_log(_logs(spark, d), DELTAS[1]), BATCH),
         "duplicate_insert_check": lambda spark, d: lt.violations(broken_log(spark, d)).where("violation = 'duplicate_insert'"),
         "missing_delete_check": lambda spark, d: lt.violations(broken_log(spark, d)).where("violation = 'missing_delete'"),
-        "parse_snb_lines": lambda spark, d: up.decode_piped(_lines(spark, PIPED_LINES)).withColumn("cells", F.array_join("cells", ";")),
-        "parse_job_lines": lambda spark, d: up.decode_tabled(_lines(spark, TABLED_LINES)).withColumn("cells", F.array_join("cells", ";")),
-        "csv_split_cases": csv_split_cases,
-        "fanout_routing": lambda spark, d: up.routed(up.decode_piped(_lines(spark, PIPED_LINES)), REGISTRY).withColumn("values", F.array_join("values", ";", "<none>")),
-        "query_classification": lambda spark, d: spark.createDataFrame([(q.name, classify(q)) for q in CLASSES], "query string, kind string"),
         "delta_replay_state": lambda spark, d: lt.replayed(lt.delta_log(_logs(spark, d), DELTAS[1]), STATE_SEQ),
         "text_ingest_snb": lambda spark, d: _ingested(spark, d, "piped", PIPED_LOG, PIPED_FEEDS),
         "text_ingest_job": lambda spark, d: _ingested(spark, d, "tabled", TABLED_LOG, TABLED_FEEDS),
         "stream_from_text": _stream_from_text,
         "stream_multi_query": _stream_multi,
         "stream_violations": lambda spark, d: _violated(spark, d, broken_log(spark, d)),
+        "stream_alive": lambda spark, d: _numbers(_alive(_keyed(spark, d, KEYED, 0)), "c", "n"),
+        "stream_onhold": lambda spark, d: _numbers(_onhold(_keyed(spark, d, KEYED, 0)), "c", "n"),
+        "stream_live": lambda spark, d: _numbers(_live(_keyed(spark, d, KEYED, 0)), "o", "c"),
+        "stream_keyed": lambda spark, d: _numbers(_keyed(spark, d, KEYED, 0).output(), "n", "o"),
+        "stream_generalized": lambda spark, d: _numbers(_states(_keyed(spark, d, OFFERED, ("p",), OFFERED_BOUNDS)), "p"),
+        "stream_exact_log": _stream_exact,
+        "stream_multi_found": _stream_found,
         "stream_microbatch_total": lambda spark, d: _stream(spark, d).results().select(F.col("n").cast("bigint").alias("n"), F.col("o").cast("bigint").alias("o")),
         "stream_microbatch_output": lambda spark, d: _stream(spark, d).output().groupBy("op").agg(F.count(F.lit(1)).alias("changes")),
     }
     return found
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    text = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS INTEGER)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {text}) AS t({names})"
-
-
 def oracle_sql() -> dict[str, str]:
     r = src.relation_sql
     children = f"WITH oc AS ({r('OC')}), x AS (SELECT o, c, CASE WHEN c IN (SELECT c FROM ({r('CN')}) WHERE n % 2 = 0) THEN 1 ELSE 0 END + CASE WHEN o IN (SELECT o FROM ({r('LO')}) WHERE p % 3 = 0) THEN 1 ELSE 0 END AS n_satisfied FROM oc)"
@@ -378,17 +416,19 @@ def oracle_sql() -> dict[str, str]:
         "delta_netted_batches": f"SELECT batch, CASE WHEN k > 0 THEN '+' ELSE '-' END AS op, n, p FROM (SELECT seq // {BATCH} AS batch, n, p, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({_delta_sql(DELTAS[1])}) GROUP BY ALL) WHERE k <> 0",
         "duplicate_insert_check": f"{broken} SELECT o, c, op, seq, 'duplicate_insert' AS violation FROM w WHERE op = '+' AND prev = '+'",
         "missing_delete_check": f"{broken} SELECT o, c, op, seq, 'missing_delete' AS violation FROM w WHERE op = '-' AND coalesce(prev, '-') = '-'",
-        "parse_snb_lines": _values([(0, "+", "KN", "1;5;6"), (1, "-", "KN", "1;5;6"), (4, "+", "XX", "1"), (6, "+", "PE", "7;;x"), (7, "+", "ME", "3;a")], "line_no, op, tag, cells"),
-        "parse_job_lines": _values([(0, "+", "title", "7;a, b;x"), (1, "-", "title", "7;a, b;x"), (2, "+", "title", "8;null;y"), (5, "+", "note", '9;say "hi" \\ \\n;z')], "line_no, op, tag, cells"),
-        "csv_split_cases": _values([(0, "a|b", 2), (1, "a|b", 2), (2, "a,b|c", 2), (3, 'x "y"|z', 2), (4, "a||c", 3), (5, "a|", 2), (6, "", 0)], "line_no, fields, n"),
-        "fanout_routing": "SELECT line_no, op, relation, CAST(key AS BIGINT) AS key, \"values\", ok FROM (" + _values([(0, "+", "knows1", 5, "5;6", True), (0, "+", "knows2", 5, "6;5", True), (1, "-", "knows1", 5, "5;6", True), (1, "-", "knows2", 5, "6;5", True), (6, "+", "person1", 7, "7;x", True), (7, "+", "message1", 3, "3;<none>", False)], 'line_no, op, relation, key, "values", ok') + ")",
-        "query_classification": _values([(q.name, k) for q, k in zip(CLASSES, CLASS_NAMES, strict=True)], '"query", kind'),
         "delta_replay_state": f"SELECT DISTINCT n, p FROM ({_joined_lives_sql(DELTAS[1])}) WHERE s_ <= {STATE_SEQ} AND e_ > {STATE_SEQ}",
         "text_ingest_snb": fed(piped, [("OC", "OC", "cells[1]", ["cells[1]", "cells[2]"]), ("OC", "ORDERS", "cells[1]", ["cells[2]"]), ("CN", "CN", "cells[1]", ["cells[1]", "cells[2]"])]),
         "text_ingest_job": fed(tabled, [("OC", "OC", part(oc, 1), [part(oc, 1), part(oc, 2)]), ("OC", "GAPS", part(oc, 1), ["'null'"]), ("CN", "CN", part(cn, 1), [part(cn, 1), part(cn, 3)]), ("CN", "NAMES", part(cn, 1), [part(cn, 2)])]),
         "stream_from_text": f"SELECT op || ' 0 ' || n || ', ' || o AS line, batch FROM ({_batches_sql(STREAM)})",
         "stream_multi_query": _tagged([query("s0", "CN(c,n) OC(o,c) LO(o,p)", "n,p"), query("s1", "CN(c,n) OC(o,c) NR(n,r)", "r,o"), query("s2", "CN(c,n) OC(o,c)", "n,o")], _batches_sql, "batch, op, "),
         "stream_violations": f"{broken} SELECT o, c, op, seq, CASE op WHEN '+' THEN 'duplicate_insert' ELSE 'missing_delete' END AS violation FROM w WHERE op = coalesce(prev, '-')",
+        "stream_alive": _after_batches_sql(lambda at: f"SELECT c, n FROM ({at('CN')}) WHERE c IN (SELECT c FROM ({at('OC')})) AND n IN (SELECT n FROM ({at('SN')}))"),
+        "stream_onhold": _after_batches_sql(lambda at: f"SELECT * FROM (SELECT c, n, CAST(c IN (SELECT c FROM ({at('OC')})) AS INTEGER) + CAST(n IN (SELECT n FROM ({at('SN')})) AS INTEGER) AS n_satisfied FROM ({at('CN')})) WHERE n_satisfied < 2"),
+        "stream_live": _after_batches_sql(lambda at: f"SELECT o, c FROM ({at('OC')}) WHERE c IN (SELECT c FROM ({at('CN')}) WHERE n IN (SELECT n FROM ({at('SN')})))"),
+        "stream_keyed": _batches_sql(KEYED),
+        "stream_generalized": _after_batches_sql(lambda at: f"SELECT p, CAST(count(*) AS INTEGER) AS n_satisfied, count(*) = 2 AS alive FROM (SELECT DISTINCT p, 0 AS side FROM ({at('LO')}) UNION ALL SELECT DISTINCT p, 1 FROM ({at('LS')})) GROUP BY p", OFFERED_BOUNDS),
+        "stream_exact_log": _delta_sql(DELTAS[1]),
+        "stream_multi_found": _tagged(MAINTAINED, _batches_sql, "batch, op, "),
         "stream_microbatch_total": f"SELECT n, o FROM (SELECT n, o, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({last}) GROUP BY n, o) WHERE k > 0",
         "stream_microbatch_output": f"SELECT op, count(*) AS changes FROM ({_batches_sql(STREAM)}) GROUP BY op",
     }

@@ -40,12 +40,31 @@ def joined_lives(logs: Logs, q: Query) -> DataFrame:
     n = range(len(q.atoms))
     s = F.greatest(*(f"_s{k}" for k in n)) if len(n) > 1 else F.col("_s0")
     e = F.least(*(f"_e{k}" for k in n)) if len(n) > 1 else F.col("_e0")
-    return rows.select(*q.out, s.alias("_start"), e.alias("_end")).where("_end IS NULL OR _start < _end").groupBy(*q.out, "_start").agg(_latest().alias("_end"))
+    return longest(rows.select(*q.out, s.alias("_start"), e.alias("_end")).where("_end IS NULL OR _start < _end"), q)
+
+
+def longest(rows: DataFrame, q: Query) -> DataFrame:
+    """Of lives of one result that start together the longest."""
+    return rows.groupBy(*q.out, "_start").agg(_latest().alias("_end"))
+
+
+#: Bits of seq within which lives merge first, so that no task gets all lives of a result that has very many.
+SLICES = (16, 32)
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """Overlapping and touching intervals [_start, _end) of equal other columns as one."""
+    """Overlapping and touching intervals [_start, _end) of equal other columns as one.
+
+    First those that start in one slice of time, then what is left of them in wider slices, then the
+    few that are left in all.
+    """
     keys = [c for c in rows.columns if c not in ("_start", "_end")]
+    for bits in SLICES:
+        rows = _merged(rows.withColumn("_slice", F.shiftright("_start", bits)), [*keys, "_slice"]).drop("_slice")
+    return _merged(rows, keys)
+
+
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("_start")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.bool_or(F.isnull("_end")).over(earlier) | (F.max("_end").over(earlier) >= F.col("_start"))
@@ -56,9 +75,13 @@ def merged(rows: DataFrame) -> DataFrame:
 
 def delta_log(logs: Logs, q: Query) -> DataFrame:
     """(op, seq, out): every result that appears ('+') or goes ('-'), at the update that does it."""
-    ends = merged(joined_lives(logs, q))
+    return ends_of(merged(joined_lives(logs, q)), q)
+
+
+def ends_of(lives_: DataFrame, q: Query) -> DataFrame:
+    """(op, seq, out): where merged lives begin and end."""
     sides = F.explode(F.array(F.struct(F.lit("+").alias("op"), F.col("_start").alias("seq")), F.struct(F.lit("-").alias("op"), F.col("_end").alias("seq"))))
-    return ends.select(sides.alias("_d"), *q.out).where(F.col("_d.seq").isNotNull()).select("_d.op", "_d.seq", *q.out)
+    return lives_.select(sides.alias("_d"), *q.out).where(F.col("_d.seq").isNotNull()).select("_d.op", "_d.seq", *q.out)
 
 
 def delta_logs(logs: Logs, queries: list[Query]) -> DataFrame:

@@ -6,7 +6,9 @@ changes. The joined rows that they add or remove are the sum over i of
 new(1) ⋈ … ⋈ new(i-1) ⋈ delta(i) ⋈ old(i+1) ⋈ …, with the product of the signs; only atoms whose
 relation changes have a term. They change the number of derivations of each result; a result appears
 when that number leaves zero and goes when it returns. Inside a batch, what appears and vanishes
-again is netted away.
+again is netted away, unless the exact log is kept as well: then the lives of the batch's tuples are
+joined, with one that began earlier open at its start, and one that goes on open at its end, to be
+closed by a later batch. Where the batches' bounds lie makes no difference to that log.
 
 A query may use an earlier one, by its name, as a relation: such a node is maintained once for all
 that share it.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from deltaloom.operators.lifetimes import formatted, violation
+from deltaloom.operators.lifetimes import ends_of, formatted, longest, merged, violation
 from deltaloom.operators.snapshot import _in_order, atom_rows, natural_join
 from deltaloom.plans.model import Query
 from deltaloom.plans.sharing import share
@@ -35,6 +37,8 @@ from deltaloom.sources import updates as up
 from deltaloom.sources.tables import remove, rewritten
 
 CELLS = "cells array<string>, _n bigint"
+#: The start of a life that began before the batch.
+BEFORE = -(1 << 62)
 #: Batches after which the state's folders become one.
 FOLD = 16
 
@@ -42,20 +46,22 @@ FOLD = 16
 class Views:
     """Queries, maintained in `root` by batches of changes (rel, cells array<string>, op, seq)."""
 
-    def __init__(self, spark: SparkSession, queries: list[Query], root: str, fold: int = FOLD):
-        self.spark, self.queries, self.root, self.fold = spark, queries, root, fold
+    def __init__(self, spark: SparkSession, queries: list[Query], root: str, fold: int = FOLD, exact: bool = False):
+        self.spark, self.queries, self.root, self.fold, self.exact = spark, queries, root, fold, exact
         nodes = [q.name for q in queries]
         for k, q in enumerate(queries):
+            if own := {"op", "seq", "v"} & set(q.out):
+                raise ValueError(f"query {q.name}: {sorted(own)} can't be output attributes, the views' tables have columns of that name")
             if set(nodes[k:]) & {a.relation for a in q.atoms}:
                 raise ValueError(f"query {q.name} uses one that doesn't come before it")
         self.shared = {n for n in nodes if any(a.relation == n for q in queries for a in q.atoms)}
         self.bases = sorted({a.relation for q in queries for a in q.atoms} - set(nodes))
 
     @classmethod
-    def sharing(cls, spark: SparkSession, queries: list[Query], root: str, rows: Callable[[str], int] = lambda name: 1, fold: int = FOLD) -> Views:
+    def sharing(cls, spark: SparkSession, queries: list[Query], root: str, rows: Callable[[str], int] = lambda name: 1, fold: int = FOLD, exact: bool = False) -> Views:
         """Views of the queries over nodes that they are found to have in common, which come before them; `rows` tells how large relations are."""
         nodes, rest = share(queries, rows)
-        return cls(spark, [*nodes, *rest], root, fold)
+        return cls(spark, [*nodes, *rest], root, fold, exact)
 
     def _state(self, name: str, schema: str, before: int) -> DataFrame:
         """All signed rows of earlier batches, in one read. A batch is written even if it changes nothing."""
@@ -90,11 +96,19 @@ class Views:
     def apply_all(self, changes: DataFrame, batch: int) -> list[DataFrame]:
         """Takes one batch into the state and returns each query's net output changes (op, out)."""
         self.spark = changes.sparkSession
-        checked = self._write(self._checked(changes, batch).where("violation IS NOT NULL OR _n IS NOT NULL"), "checked", batch)
+        refused = F.when(F.col("rel").isin([q.name for q in self.queries]), "derived_relation").otherwise("unknown_relation")
+        self._write(changes.where(~F.col("rel").isin(self.bases) | F.col("rel").isNull()).select("rel", "cells", "op", "seq", refused.alias("violation")), "refused", batch)
+        found = self._checked(changes, batch)
+        checked = self._write(found if self.exact else found.where("violation IS NOT NULL OR _n IS NOT NULL"), "checked", batch)
+        window = checked.where("violation IS NULL").select("rel", "cells", "op", "seq")
         nets = {name: self._write(checked.where((F.col("rel") == name) & F.col("_n").isNotNull()).select("cells", "_n"), f"base/{name}", batch) for name in self.bases}
         moving = {r["rel"] for r in checked.where("_n IS NOT NULL").select("rel").distinct().collect()}
         out = []
         for k, q in enumerate(self.queries):
+            if self.exact:
+                log = self._write(self._exact(q, k, window, batch), f"exact/{k}", batch)
+                if q.name in self.shared:
+                    window = window.unionByName(log.select(F.lit(q.name).alias("rel"), F.array(*q.out).alias("cells"), "op", "seq"))
             moved = self._output(q, k, nets, moving, batch)
             out.append(moved)
             if q.name in self.shared:
@@ -141,6 +155,46 @@ class Views:
         op = F.when((F.col("_m") <= 0) & (F.col("_m") + F.col("_n") > 0), "+").when((F.col("_m") > 0) & (F.col("_m") + F.col("_n") <= 0), "-")
         return self._write(moved.select(op.alias("op"), *on).where("op IS NOT NULL"), f"output/{k}", batch)
 
+    def _exact(self, q: Query, k: int, window: DataFrame, batch: int) -> DataFrame:
+        """(op, seq, out): every change of one query's results in the batch, at the update that makes it.
+
+        Lives that touch the batch are joined if a tuple of theirs changes in it. A result that has a
+        further derivation, which no change concerns, stays as it is all the time.
+        """
+        atoms, on = _in_order(q), list(q.out)
+        line = Window.partitionBy("rel", "cells").orderBy("seq", F.desc("op"))
+        rows = window.withColumn("_end", F.lead("seq").over(line)).withColumn("_at", F.row_number().over(line))
+        begun = rows.where("op = '-' AND _at = 1").select("rel", "cells", F.lit(BEFORE).alias("_start"), F.col("seq").alias("_end"))
+        changed = begun.unionByName(rows.where("op = '+'").select("rel", "cells", F.col("seq").alias("_start"), "_end"))
+
+        def kept(name: str) -> DataFrame:
+            state = self._state(f"base/{name}", CELLS, batch).groupBy("cells").agg(F.sum("_n").alias("_n")).where("_n > 0").select("cells")
+            held = state.join(window.where(F.col("rel") == name).select("cells"), "cells", "left_anti")
+            return held.select("cells", F.lit(BEFORE).alias("_start"), F.lit(None).cast("bigint").alias("_end"))
+
+        def lives(i: int, which: str) -> DataFrame:
+            name, width = atoms[i].relation, len(atoms[i].attrs)
+            mine = changed.where(F.col("rel") == name).drop("rel")
+            found = mine if which == "changed" else kept(name) if which == "kept" else mine.unionByName(kept(name))
+            return atom_rows(lambda _: found.select(*(F.col("cells")[c].alias(f"c{c}") for c in range(width)), "_start", "_end"), atoms[i], f"_s{i}", f"_e{i}")
+
+        terms, n = [], range(len(atoms))
+        start = F.greatest(*(f"_s{i}" for i in n)) if len(atoms) > 1 else F.col("_s0")
+        end = F.least(*(f"_e{i}" for i in n)) if len(atoms) > 1 else F.col("_e0")
+        for i in n:
+            joined, rest = lives(i, "changed"), [lives(j, "kept" if j < i else "all") for j in n if j != i]
+            while rest:
+                nxt = next(r for r in rest if set(r.columns) & set(joined.columns))
+                joined = natural_join(joined, nxt)
+                rest.remove(nxt)
+            terms.append(joined.select(*on, start.alias("_start"), end.alias("_end")))
+        found = self._write(reduce(DataFrame.unionByName, terms).where("_end IS NULL OR _start < _end"), f"lives/{k}", batch)
+        old = found.groupBy(*on).agg(F.sum(F.when(F.col("_start") == BEFORE, 1).otherwise(0)).alias("_old"))
+        counts = self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch).join(old.select(*on), on, "left_semi").groupBy(*on).agg(F.sum("_n").alias("_m"))
+        alone = old.join(counts, on, "left").where("coalesce(_m, 0) = _old").select(*on)
+        ends = ends_of(merged(longest(found.join(alone, on, "left_semi"), q)), q)
+        return ends.where(F.col("seq") > BEFORE)
+
     def _schema(self, k: int, extra: str) -> str:
         return ", ".join(f"{c} string" for c in self.queries[k].out) + f", {extra}"
 
@@ -160,6 +214,14 @@ class Views:
         rows = self.spark.read.schema("rel string, cells array<string>, op string, seq bigint, violation string, v int").parquet(f"{self.root}/checked")
         return rows.where("violation IS NOT NULL").withColumnRenamed("v", "batch")
 
+    def refused(self) -> DataFrame:
+        """(rel, cells, op, seq, violation, batch): changes of relations that the queries don't read, or that are queries themselves; they change nothing."""
+        return self.spark.read.schema("rel string, cells array<string>, op string, seq bigint, violation string, v int").parquet(f"{self.root}/refused").withColumnRenamed("v", "batch")
+
+    def exact_log(self, k: int = 0) -> DataFrame:
+        """(op, seq, output, batch) of query k: every change of its results, at the update that makes it, if the views keep it."""
+        return self.spark.read.schema(f"op string, seq bigint, {self._schema(k, 'v int')}").parquet(f"{self.root}/exact/{k}").withColumnRenamed("v", "batch")
+
     def log(self) -> DataFrame:
         """The formatted lines (line, batch) that start() wrote."""
         return self.spark.read.schema("value string, v int").text(f"{self.root}/log").toDF("line", "batch")
@@ -199,8 +261,8 @@ class Views:
 class View(Views):
     """One query, maintained as Views are."""
 
-    def __init__(self, spark: SparkSession, q: Query, root: str, fold: int = FOLD):
-        super().__init__(spark, [q], root, fold)
+    def __init__(self, spark: SparkSession, q: Query, root: str, fold: int = FOLD, exact: bool = False):
+        super().__init__(spark, [q], root, fold, exact)
 
     def apply(self, changes: DataFrame, batch: int) -> DataFrame:
         """Takes one batch into the state and returns the query's net output changes (op, out)."""
