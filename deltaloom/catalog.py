@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators import lifetimes as lt
 from deltaloom.operators import snapshot as sn
+from deltaloom.operators.factorised import factorised
 from deltaloom.plans.model import Query, query
 from deltaloom.sources import tables as src
 from deltaloom.sources import updates as up
-from deltaloom.streaming.keyed import KeyedView
+from deltaloom.streaming.keyed import KeyedViews
 from deltaloom.streaming.microbatch import View, Views
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,9 @@ DELTAS = [
 MULTI = [query("q0", "CN(c,n) OC(o,c)", "n,o"), query("q1", "SN(s,n) NR(n,r)", "r,s"), query("q2", "CN(c,n) OC(o,c) LO(o,p)", "n,p")]
 SHARED_NODE = query("CO", "CN(c,n) OC(o,c)", "n,o")
 SHARING = [query("s0", "CO(n,o) LO(o,p)", "n,p"), query("s1", "CO(x,y) NR(x,z)", "z,y"), query("s2", "CO(a,b)", "a,b")]
+#: An order's lines beside each other, with all attributes, and the page of answers that is read.
+SIBLINGS = query("siblings", "OC(o,c) LO(o,p1) LOPS(o,p,s)", "o,c,p1,p,s")
+PAGE = (1000, 500)
 #: Queries that nobody told what they have in common: customers with their orders, under many names, and twice in one.
 FOUND = [
     query("f0", "CN(c,n) OC(o,c) LO(o,p)", "n,p"),
@@ -80,6 +84,8 @@ STREAM = query("stream", "CN(c,n) OC(o,c)", "n,o")
 #: A query over stores kept by key, hung up at its customers, and one at a generalized node, the parts.
 KEYED = query("keyed", "CN(c,n) OC(o,c) SN(s,n)", "n,o")
 OFFERED = query("offered", "LO(o,p) LS(p,s)", "p")
+#: Queries at the same atom, of which none needs more than its columns; customers are users of the same number.
+MEMBERS = [query("k0", "OC(o,c) CN(c,n)", "o,c"), query("k1", "OC(o,c) CN(c,n) SN(s,n)", "o,c"), query("k2", "OC(o,c) UE(c,t)", "o,c")]
 #: Files of a batch of a stream that is fed in one run.
 FILES = 4
 #: The change logs of CN and OC as update lines: relation -> [(place among lines of one seq, line, condition)], in SQL of both engines.
@@ -181,16 +187,16 @@ def _streamed(views: Views, changes: DataFrame) -> Views:
     return views
 
 
-def _keyed(spark: SparkSession, sf_dir: str, q: Query, top: int | tuple[str, ...], bounds: list[int] = BOUNDS) -> KeyedView:
-    """A keyed view after one run over the change logs of its relations, batch by batch; each batch is FILES files."""
-    view, root = KeyedView(spark, q, _fresh(spark, "keyed"), top), _fresh(spark, "in")
-    changes = _changes(spark, sf_dir, sorted({a.relation for a in q.atoms}))
+def _keyed(spark: SparkSession, sf_dir: str, queries: list[Query], tops: list[int | tuple[str, ...]], bounds: list[int] = BOUNDS, sets: bool = False) -> KeyedViews:
+    """Keyed views after one run over the change logs of their relations, batch by batch; each batch is FILES files."""
+    views, root = KeyedViews(spark, queries, _fresh(spark, "keyed"), tops, sets=sets), _fresh(spark, "in")
+    changes = _changes(spark, sf_dir, sorted({a.relation for q in queries for a in q.atoms}))
     for part in _in_batches(changes, bounds):
         if part.limit(FILES).count() < FILES:
-            raise ValueError(f"a batch of {q.name} has too few changes for {FILES} files")
+            raise ValueError(f"a batch of {queries[0].name} has too few changes for {FILES} files")
         part.repartition(FILES).write.mode("append").parquet(root)
-    view.start(spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES).parquet(root)).awaitTermination()
-    return view
+    views.start(spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES).parquet(root)).awaitTermination()
+    return views
 
 
 def _each_batch(rows: Callable[[int], DataFrame]) -> DataFrame:
@@ -313,16 +319,19 @@ def queries() -> dict[str, Run]:
         found = _streamed(View(spark, query("v", "OC(o,c)", "o"), _fresh(spark, "view")), src.written(changes, "changes")).violations()
         return found.select(F.col("cells")[0].cast("bigint").alias("o"), F.col("cells")[1].cast("bigint").alias("c"), "op", "seq", "violation")
 
-    def _alive(view: KeyedView) -> DataFrame:
+    def _alive(view: KeyedViews) -> DataFrame:
         return _each_batch(lambda k: view.states(0, k).where("alive").drop("alive", "n_satisfied"))
 
-    def _onhold(view: KeyedView) -> DataFrame:
+    def _onhold(view: KeyedViews) -> DataFrame:
         return _each_batch(lambda k: view.states(0, k).where("NOT alive").drop("alive"))
 
-    def _live(view: KeyedView) -> DataFrame:
+    def _live(view: KeyedViews) -> DataFrame:
         return _each_batch(lambda k: view.live(1, k))
 
-    def _states(view: KeyedView) -> DataFrame:
+    def _members(view: KeyedViews) -> DataFrame:
+        return _each_batch(view.query_sets)
+
+    def _states(view: KeyedViews) -> DataFrame:
         return _each_batch(lambda k: view.states(2, k))
 
     found |= {
@@ -338,6 +347,9 @@ def queries() -> dict[str, Run]:
         "multi_query": lambda spark, d: sn.many(_tables(spark, d), MULTI),
         "multi_query_shared": lambda spark, d: sn.shared(_tables(spark, d), SHARED_NODE, SHARING),
         "multi_query_found": lambda spark, d: sn.found_shared(_tables(spark, d), FOUND),
+        "factorised_count": lambda spark, d: factorised(_tables(spark, d), SIBLINGS).count(),
+        "factorised_page": lambda spark, d: factorised(_tables(spark, d), SIBLINGS).page(*PAGE),
+        "factorised_expanded": lambda spark, d: factorised(_tables(spark, d), SIBLINGS).expanded(),
         "isomorphic_queries": lambda spark, d: sn.many(_tables(spark, d), ISOMORPHIC),
         "annotation_product": lambda spark, d: sn.annotated(_tables(spark, d), query("a", "CN(c,n) OC(o,c)", "n,o"), {"CN": "1 + c % 3", "OC": "1 + o % 5"}),
         "insert_log": lambda spark, d: lt.formatted(lt.delta_log(_logs(spark, d), DELTAS[0]).where("op = '+'")),
@@ -355,11 +367,12 @@ def queries() -> dict[str, Run]:
         "stream_from_text": _stream_from_text,
         "stream_multi_query": _stream_multi,
         "stream_violations": lambda spark, d: _violated(spark, d, broken_log(spark, d)),
-        "stream_alive": lambda spark, d: _numbers(_alive(_keyed(spark, d, KEYED, 0)), "c", "n"),
-        "stream_onhold": lambda spark, d: _numbers(_onhold(_keyed(spark, d, KEYED, 0)), "c", "n"),
-        "stream_live": lambda spark, d: _numbers(_live(_keyed(spark, d, KEYED, 0)), "o", "c"),
-        "stream_keyed": lambda spark, d: _numbers(_keyed(spark, d, KEYED, 0).output(), "n", "o"),
-        "stream_generalized": lambda spark, d: _numbers(_states(_keyed(spark, d, OFFERED, ("p",), OFFERED_BOUNDS)), "p"),
+        "stream_alive": lambda spark, d: _numbers(_alive(_keyed(spark, d, [KEYED], [0])), "c", "n"),
+        "stream_onhold": lambda spark, d: _numbers(_onhold(_keyed(spark, d, [KEYED], [0])), "c", "n"),
+        "stream_live": lambda spark, d: _numbers(_live(_keyed(spark, d, [KEYED], [0])), "o", "c"),
+        "stream_keyed": lambda spark, d: _numbers(_keyed(spark, d, [KEYED], [0]).output(), "n", "o"),
+        "stream_generalized": lambda spark, d: _numbers(_states(_keyed(spark, d, [OFFERED], [("p",)], OFFERED_BOUNDS)), "p"),
+        "stream_query_sets": lambda spark, d: _numbers(_members(_keyed(spark, d, MEMBERS, [0, 0, 0], sets=True)), "o", "c"),
         "stream_exact_log": _stream_exact,
         "stream_multi_found": _stream_found,
         "stream_microbatch_total": lambda spark, d: _stream(spark, d).results().select(F.col("n").cast("bigint").alias("n"), F.col("o").cast("bigint").alias("o")),
@@ -405,6 +418,9 @@ def oracle_sql() -> dict[str, str]:
         "multi_query": _tagged(MULTI, _snapshot_sql),
         "multi_query_shared": f"WITH co AS ({co}) SELECT DISTINCT 0 AS qid, co.n AS y1, l.p AS y2 FROM co JOIN ({r('LO')}) l ON l.o = co.o UNION ALL SELECT DISTINCT 1, nr.r, co.o FROM co JOIN ({r('NR')}) nr ON nr.n = co.n UNION ALL SELECT 2, n, o FROM co",
         "multi_query_found": _tagged(FOUND, _snapshot_sql),
+        "factorised_count": f"SELECT count(*) AS n FROM {_joined_sql(SIBLINGS)}",
+        "factorised_page": f"SELECT * FROM (SELECT row_number() OVER (ORDER BY o, c, p1, p, s) - 1 AS rank, o, c, p1, p, s FROM {_joined_sql(SIBLINGS)}) WHERE rank >= {PAGE[0]} AND rank < {sum(PAGE)}",
+        "factorised_expanded": _snapshot_sql(SIBLINGS),
         "isomorphic_queries": _tagged(ISOMORPHIC, _snapshot_sql),
         "annotation_product": f"SELECT n, o, CAST((1 + c % 3) * (1 + o % 5) AS DOUBLE) AS ann FROM {_joined_sql(query('a', 'CN(c,n) OC(o,c)', 'n,o'))}",
         "insert_log": formatted.format(_delta_sql(DELTAS[0]), "+"),
@@ -427,6 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_live": _after_batches_sql(lambda at: f"SELECT o, c FROM ({at('OC')}) WHERE c IN (SELECT c FROM ({at('CN')}) WHERE n IN (SELECT n FROM ({at('SN')})))"),
         "stream_keyed": _batches_sql(KEYED),
         "stream_generalized": _after_batches_sql(lambda at: f"SELECT p, CAST(count(*) AS INTEGER) AS n_satisfied, count(*) = 2 AS alive FROM (SELECT DISTINCT p, 0 AS side FROM ({at('LO')}) UNION ALL SELECT DISTINCT p, 1 FROM ({at('LS')})) GROUP BY p", OFFERED_BOUNDS),
+        "stream_query_sets": _after_batches_sql(lambda at: f"SELECT o, c, string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) AS qids FROM (SELECT o, c, unnest(CASE WHEN n IS NULL THEN [] WHEN n IN (SELECT n FROM ({at('SN')})) THEN [0, 1] ELSE [0] END || CASE WHEN c IN (SELECT u FROM ({at('UE')})) THEN [2] ELSE [] END) AS qid FROM ({at('OC')}) LEFT JOIN ({at('CN')}) USING (c)) GROUP BY o, c"),
         "stream_exact_log": _delta_sql(DELTAS[1]),
         "stream_multi_found": _tagged(MAINTAINED, _batches_sql, "batch, op, "),
         "stream_microbatch_total": f"SELECT n, o FROM (SELECT n, o, sum(CASE WHEN op = '+' THEN 1 ELSE -1 END) AS k FROM ({last}) GROUP BY n, o) WHERE k > 0",

@@ -1,6 +1,6 @@
-"""One acyclic query over a stream of changes, all of its state kept by key in Spark's state store.
+"""Acyclic queries over a stream of changes, all of their state kept by key in Spark's state store.
 
-The query's join tree is hung up at an atom, or at a generalized node. A batch goes through a line of
+Each query's join tree is hung up at an atom, or at a generalized node. A batch goes through a line of
 stateful operators, each keyed by what its state is about; a row names the operator and key that it is
 meant for, and all other operators pass it on. A key's state is read and written only when a change
 of the batch concerns it, so a batch costs what it changes, however large the state is.
@@ -18,6 +18,9 @@ of the batch concerns it, so a batch costs what it changes, however large the st
    above needs, with its number of derivations. Other atoms are existence checks: of them there is
    a count for each key and nothing else.
 5. Results, keyed by output row: derivations, and a change where their number leaves or reaches zero.
+6. Where all trees hang at the same atom, Sets on demand, keyed by its tuple: the queries in which it is live.
+
+Several queries go through one line, whose operators take the places of all of them at one height or depth.
 
 Inside a batch what appears and vanishes again is netted. What the operators say is written for each
 batch; a batch that runs again overwrites its own.
@@ -29,7 +32,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +51,29 @@ def _text(values: list) -> str:
     return json.dumps(values, ensure_ascii=False, separators=(",", ":"))
 
 
-def _needs(q: Query, nodes: list[Node]) -> tuple[list[bool], list[tuple[str, ...]]]:
+def _needs(out: list[tuple[str, ...]], nodes: list[Node]) -> tuple[list[bool], list[tuple[str, ...]]]:
     """For each node whether output needs rows of it, and the attributes that it hands up if so."""
     below = [set(n.attrs) for n in nodes]
     for i in sorted(range(len(nodes)), key=lambda i: nodes[i].height):
         below[i] = below[i].union(*(below[c] for c in nodes[i].children))
-    needed = [n.parent is None or bool(set(q.out) & below[i] - set(nodes[n.parent].attrs)) for i, n in enumerate(nodes)]
-    handed = [q.out if n.parent is None else tuple(dict.fromkeys([*(a for a in n.attrs if a in nodes[n.parent].attrs), *(a for a in q.out if a in below[i])])) for i, n in enumerate(nodes)]
+    needed = [n.parent is None or bool(set(out[i]) & below[i] - set(nodes[n.parent].attrs)) for i, n in enumerate(nodes)]
+    handed = [out[i] if n.parent is None else tuple(dict.fromkeys([*(a for a in n.attrs if a in nodes[n.parent].attrs), *(a for a in out[i] if a in below[i])])) for i, n in enumerate(nodes)]
     return needed, handed
 
 
 @dataclass
 class Layout:
-    """Which operator does what for a rooted query; operators are numbered in the order of the line."""
+    """Which operator does what for rooted queries; operators are numbered in the order of the line."""
 
-    q: Query
-    nodes: list[Node]
+    queries: list[Query]
+    tops: list[int | tuple[str, ...]]
     #: Whether live tuples of every node are wanted, not only of those that output needs.
     every: bool
+    #: Whether the queries in which a root's tuple is live are wanted.
+    sets: bool
+    nodes: list[Node] = field(init=False)
+    #: The query of each node.
+    of: list[int] = field(init=False)
     needed: list[bool] = field(init=False)
     handed: list[tuple[str, ...]] = field(init=False)
     kinds: list[str] = field(init=False)
@@ -75,8 +83,15 @@ class Layout:
     joins: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        nodes = self.nodes
-        self.needed, self.handed = _needs(self.q, nodes)
+        nodes, self.of = [], []
+        for k, (q, top) in enumerate(zip(self.queries, self.tops, strict=True)):
+            at = len(nodes)
+            nodes += [replace(n, parent=None if n.parent is None else n.parent + at, children=tuple(c + at for c in n.children)) for n in tree(q, top)]
+            self.of += [k] * (len(nodes) - at)
+        self.nodes = nodes
+        if self.sets and len({n.atom and (n.atom.relation, len(n.attrs)) for n in nodes if n.parent is None}) > 1:
+            raise ValueError("query sets are of one relation's tuples: the trees have to hang at its atoms")
+        self.needed, self.handed = _needs([self.queries[k].out for k in self.of], nodes)
         self.kinds = ["base"]
         for h in range(1, max(n.height for n in nodes) + 1):
             here = [i for i, n in enumerate(nodes) if n.height == h]
@@ -95,7 +110,8 @@ class Layout:
             if self.needed[i] and nodes[i].parent is not None:
                 self.kinds.append("join")
                 self.joins[i] = len(self.kinds) - 1
-        self.kinds.append("results")
+        self.results = len(self.kinds)
+        self.kinds += ["results"] + ["sets"] * self.sets
 
     def watched(self, i: int) -> bool:
         return self.every or self.needed[i]
@@ -141,6 +157,8 @@ class Layout:
     def live(self, i: int, values: list, n: int) -> Iterator[Row]:
         named = dict(zip(self.nodes[i].attrs, values))
         yield self.out("live", i, values, n)
+        if self.sets and self.nodes[i].parent is None:
+            yield self.to(self.results + 1, 0, values, "member", [self.of[i]], n, i)
         for c in self.nodes[i].children:
             if self.watched(c):
                 yield self.to(self.down[c], c, [named[a] for a in self.shared(c)], "count", [c], n, c)
@@ -156,7 +174,7 @@ class Layout:
             return
         values = [named[a] for a in self.handed[i]]
         if self.nodes[i].parent is None:
-            yield self.to(len(self.kinds) - 1, i, values, "row", values, n, i)
+            yield self.to(self.results, i, values, "row", values, n, i)
         else:
             yield self.to(self.joins[i], i, [named[a] for a in self.shared(i)], "right", values, n, i)
 
@@ -378,7 +396,29 @@ class Results(_Operator):
         if before != after:
             _write(self.derivations, after)
         if (before > 0) != (after > 0):
-            yield self.layout.out("result", -1, json.loads(key), 1 if after > 0 else -1)
+            yield self.layout.out("result", self.layout.of[int(place)], json.loads(key), 1 if after > 0 else -1)
+
+
+class Sets(_Operator):
+    """The queries in which a tuple is live; what changes of them is said once a batch."""
+
+    def open(self) -> None:
+        self.members = self.rows("members")
+
+    def take(self, place: str, key: str, rows: Iterator[Row]) -> Iterator[Row]:
+        nets = Counter()
+        for r in rows:
+            nets[r.cells] += r.n
+        before = self.listed()
+        _change(self.members, nets)
+        after = self.listed()
+        if before != after:
+            for found, sign in ((before, -1), (after, 1)):
+                if found:
+                    yield self.layout.out("set", -1, json.loads(key), sign, note=found)
+
+    def listed(self) -> str:
+        return ",".join(map(str, sorted(json.loads(cells)[0] for (cells,) in self.members.keys())))
 
 
 KINDS = {
@@ -389,22 +429,29 @@ KINDS = {
     "offers": Offers,
     "join": Join,
     "results": Results,
+    "sets": Sets,
 }
 
 
-class KeyedView:
-    """One acyclic query, maintained in `root` from changes (rel, cells array<string>, op, seq)."""
+def _most_output(q: Query) -> int:
+    return max(range(len(q.atoms)), key=lambda i: len(set(q.atoms[i].attrs) & set(q.out)))
 
-    def __init__(self, spark: SparkSession, q: Query, root: str, top: int | tuple[str, ...] | None = None, every: bool = False):
-        """`top` is the atom, or the attributes of the generalized node, that the tree hangs at: by default the atom with most of the output."""
-        if top is None:
-            top = max(range(len(q.atoms)), key=lambda i: len(set(q.atoms[i].attrs) & set(q.out)))
-        self.spark, self.q, self.root = spark, q, root
-        self.layout = Layout(q, tree(q, top), every)
+
+class KeyedViews:
+    """Acyclic queries, maintained in `root` from changes (rel, cells array<string>, op, seq).
+
+    Nodes are numbered query by query: a query's atoms in order, then its generalized node if it has one.
+    """
+
+    def __init__(self, spark: SparkSession, queries: list[Query], root: str, tops: list[int | tuple[str, ...] | None] | None = None, every: bool = False, sets: bool = False):
+        """`tops` are the atoms, or the attributes of the generalized nodes, that the trees hang at: by default the atom with most of the output."""
+        tops = [_most_output(q) if top is None else top for q, top in zip(queries, tops or [None] * len(queries), strict=True)]
+        self.spark, self.queries, self.root = spark, queries, root
+        self.layout = Layout(queries, tops, every, sets)
 
     def events(self, changes: DataFrame) -> DataFrame:
-        """The line of operators over a streaming DataFrame of changes; rows of relations that the query lacks are left out."""
-        bases = sorted({a.relation for a in self.q.atoms})
+        """The line of operators over a streaming DataFrame of changes; rows of relations that the queries lack are left out."""
+        bases = sorted({a.relation for q in self.queries for a in q.atoms})
         sign = F.when(F.col("op") == "+", 1).otherwise(-1).cast("bigint")
         cells = F.to_json("cells", {"ignoreNullFields": "false"})
         rows = changes.where(F.col("rel").isin(bases)).select(F.concat(F.lit(f"{BASE}:"), "rel", F.lit(":"), cells).alias("addr"), F.lit("change").alias("what"), F.lit(-1).alias("node"), cells.alias("cells"), sign.alias("n"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("string").alias("note"))
@@ -413,7 +460,7 @@ class KeyedView:
         return rows
 
     def start(self, changes: DataFrame) -> StreamingQuery:
-        """Maintains the query until its source has nothing new; a later start goes on from there."""
+        """Maintains the queries until its source has nothing new; a later start goes on from there."""
 
         def take(rows: DataFrame, batch: int) -> None:
             rows.drop("addr").write.mode("overwrite").parquet(f"{self.root}/events/v={batch}")
@@ -449,13 +496,19 @@ class KeyedView:
         held = self._said("live", upto).where(F.col("node") == node).groupBy("_values").agg(F.sum("n").alias("_n")).where("_n > 0")
         return held.select(*self._columns(self.layout.nodes[node].attrs))
 
-    def output(self) -> DataFrame:
-        """(op, output, batch): all changes of the results so far."""
-        return self._said("result").select(self._op(), *self._columns(self.q.out), "batch")
+    def output(self, k: int = 0) -> DataFrame:
+        """(op, output, batch): all changes of the results of query k so far."""
+        return self._said("result").where(F.col("node") == k).select(self._op(), *self._columns(self.queries[k].out), "batch")
+
+    def results(self, k: int = 0, upto: int | None = None) -> DataFrame:
+        held = self._said("result", upto).where(F.col("node") == k).groupBy("_values").agg(F.sum("n").alias("_n")).where("_n > 0")
+        return held.select(*self._columns(self.queries[k].out))
 
-    def results(self, upto: int | None = None) -> DataFrame:
-        held = self._said("result", upto).groupBy("_values").agg(F.sum("n").alias("_n")).where("_n > 0")
-        return held.select(*self._columns(self.q.out))
+    def query_sets(self, upto: int | None = None) -> DataFrame:
+        """The tuples of the atom that all trees hang at, with the list of queries in which each is live."""
+        held = self._said("set", upto).groupBy("_values", "note").agg(F.sum("n").alias("_n")).where("_n > 0")
+        root = next(n for n in self.layout.nodes if n.parent is None)
+        return held.select(*self._columns(root.attrs), F.col("note").alias("qids"))
 
     def violations(self) -> DataFrame:
         """(rel, cells, op, seq, violation, batch): changes that a set can't take."""
@@ -467,6 +520,18 @@ class KeyedView:
         return self.spark.read.schema(EVENT.replace("addr string, ", "") + ", v int").parquet(f"{self.root}/events").groupBy(F.col("v").alias("batch"), "what").agg(F.count(F.lit(1)).alias("rows"))
 
 
+class KeyedView(KeyedViews):
+    """One query, maintained as KeyedViews are."""
+
+    def __init__(self, spark: SparkSession, q: Query, root: str, top: int | tuple[str, ...] | None = None, every: bool = False):
+        super().__init__(spark, [q], root, [top], every)
+
+
 def latency(query: StreamingQuery) -> list[tuple[int, int, float]]:
     """(batch, rows read, seconds) of the batches that a query has run lately, from its progress reports."""
     return [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000) for p in query.recentProgress if p["numInputRows"]]
+
+
+def state_reads(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, bytes): what the state stores of a query's lately run batches have read."""
+    return [(p["batchId"], sum(o["customMetrics"].get("rocksdbTotalBytesRead", 0) for o in p["stateOperators"])) for p in query.recentProgress if p["numInputRows"]]

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from deltaloom.plans.model import query, tree
-from deltaloom.streaming.keyed import KeyedView, latency
+from deltaloom.streaming.keyed import KeyedView, KeyedViews, latency, state_reads
 from tests.test_deltas import LOOP, loop
 from tests.test_joins import brute
 
@@ -97,7 +97,7 @@ def test_against_recomputation(spark, tmp_path, case):
             else:
                 assert view.live(i, k).isEmpty()
         after = brute({r: state.get(r, set()) for r in "RST"}, q)
-        assert {tuple(r) for r in view.results(k).collect()} == after
+        assert {tuple(r) for r in view.results(0, k).collect()} == after
         assert {(r[0], *r[1:-1]) for r in view.output().where(f"batch = {k}").collect()} == {("+", *t) for t in after - before} | {("-", *t) for t in before - after}
         before = after
     assert sorted((r.rel, tuple(r.cells), r.op, r.seq) for r in view.violations().collect()) == sorted(wrong)
@@ -150,3 +150,36 @@ def test_trees():
     for bad, top in ((query("x", "R(a,b) S(b,c) T(c,a)", "a"), 0), (query("p", "R(a,b) S(c,d)", "a"), 0), (q, ("a", "d"))):
         with pytest.raises(ValueError):
             tree(bad, top)
+
+
+def test_query_sets(spark, tmp_path):
+    """The queries in which each tuple of R is live, after every batch; one line for all three queries."""
+    queries = [query("a", "R(x,y) S(y,z)", "x"), query("b", "R(x,y) T(x,w)", "x,y"), query("c", "R(p,q) S(q,r) T(r,s)", "p,s")]
+    changes = random_changes(random.Random(11), "RST", 90)
+    views = KeyedViews(spark, queries, str(tmp_path / "view"), [0, 0, 0], sets=True)
+    run(spark, views, str(tmp_path / "in"), [changes[45 * k : 45 * k + 45] for k in range(2)])
+    for k in range(2):
+        state, _ = replay(changes[: 45 * k + 45])
+        want = {}
+        for t in state["R"]:
+            own = [n for n, q in enumerate(queries) if brute(state | {"R": {t}}, q)]
+            if own:
+                want[t] = ",".join(map(str, own))
+        assert {(r[0], r[1]): r.qids for r in views.query_sets(k).collect()} == want
+        for n, q in enumerate(queries):
+            assert {tuple(r) for r in views.results(n, k).collect()} == brute(state, q)
+    with pytest.raises(ValueError, match="query sets"):
+        KeyedViews(spark, queries, str(tmp_path / "bad"), [0, 1, 0], sets=True)
+
+
+def test_reads_stay_flat_while_the_state_grows(spark, tmp_path):
+    """A batch of 50 changes reads about as much of a state ten times as large."""
+    read = {}
+    for size in (200, 2000):
+        old = [("S", [str(k), "s"], "+", k) for k in range(size)] + [("R", [f"r{k}", str(k)], "+", size + k) for k in range(size)]
+        new = [("R", [f"n{k}", str(4 * k)], "+", 9000 + k) for k in range(25)] + [("S", [str(4 * k), "s"], "-", 9100 + k) for k in range(25)]
+        view = KeyedView(spark, query("w", "R(a,b) S(b,c)", "a,c"), str(tmp_path / f"view{size}"))
+        found = dict(state_reads(run(spark, view, str(tmp_path / f"in{size}"), [old, new])))
+        read[size] = found[1]
+        assert view.output().where("batch = 1 AND op = '-'").count() == 25
+    assert 0 < read[2000] < 1.5 * read[200]
