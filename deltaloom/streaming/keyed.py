@@ -29,17 +29,24 @@ batch; a batch that runs again overwrites its own.
 from __future__ import annotations
 
 import json
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from deltaloom.plans import model
 from deltaloom.plans.model import Node, Query, tree
 
+#: Operators go to the workers with their code: a stream's runners need not have the library on their path.
+for _module in (model, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: addr is "operator:place:key", or "out:…"; cells is a JSON list; n a sign, count or number of derivations.
 EVENT = "addr string, what string, node int, cells string, n bigint, seq bigint, note string"
