@@ -42,6 +42,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from deltaloom.plans import model
 from deltaloom.plans.model import Node, Query, tree
+from deltaloom.streaming.runs import FOLD, History, latencies, timed
 
 #: Operators go to the workers with their code: a stream's runners need not have the library on their path.
 for _module in (model, sys.modules[__name__]):
@@ -450,11 +451,13 @@ class KeyedViews:
     Nodes are numbered query by query: a query's atoms in order, then its generalized node if it has one.
     """
 
-    def __init__(self, spark: SparkSession, queries: list[Query], root: str, tops: list[int | tuple[str, ...] | None] | None = None, every: bool = False, sets: bool = False):
+    def __init__(self, spark: SparkSession, queries: list[Query], root: str, tops: list[int | tuple[str, ...] | None] | None = None, every: bool = False, sets: bool = False, fold: int = FOLD):
         """`tops` are the atoms, or the attributes of the generalized nodes, that the trees hang at: by default the atom with most of the output."""
         tops = [_most_output(q) if top is None else top for q, top in zip(queries, tops or [None] * len(queries), strict=True)]
         self.spark, self.queries, self.root = spark, queries, root
         self.layout = Layout(queries, tops, every, sets)
+        self.said = History(f"{root}/events", EVENT.replace("addr string, ", ""), fold)
+        self.latency = latencies(root, fold)
 
     def events(self, changes: DataFrame) -> DataFrame:
         """The line of operators over a streaming DataFrame of changes; rows of relations that the queries lack are left out."""
@@ -470,16 +473,20 @@ class KeyedViews:
         """Maintains the queries until its source has nothing new; a later start goes on from there."""
 
         def take(rows: DataFrame, batch: int) -> None:
-            rows.drop("addr").write.mode("overwrite").parquet(f"{self.root}/events/v={batch}")
+            self.said.write(rows.drop("addr"), batch)
+            self.said.folded(rows.sparkSession, batch)
 
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-        return self.events(changes).writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        return self.events(changes).writeStream.outputMode("append").foreachBatch(timed(take, self._changed, self.latency)).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+
+    def _changed(self, spark: SparkSession, batch: int) -> int:
+        return spark.read.schema("what string").parquet(self.said.at(batch)).where("what = 'result'").count()
 
     def _said(self, what: str, upto: int | None = None) -> DataFrame:
-        found = self.spark.read.schema(EVENT.replace("addr string, ", "") + ", v int").parquet(f"{self.root}/events")
+        found = self.said.read(self.spark)
         if upto is not None:
-            found = found.where(F.col("v") <= upto)
-        return found.where(F.col("what") == what).withColumn("_values", F.from_json("cells", "array<string>")).withColumnRenamed("v", "batch")
+            found = found.where(F.col("batch") <= upto)
+        return found.where(F.col("what") == what).withColumn("_values", F.from_json("cells", "array<string>"))
 
     def _columns(self, names: tuple[str, ...]) -> list:
         return [F.col("_values")[k].alias(a) for k, a in enumerate(names)]
@@ -524,14 +531,18 @@ class KeyedViews:
 
     def traffic(self) -> DataFrame:
         """(batch, what, rows): how much each batch said, by kind."""
-        return self.spark.read.schema(EVENT.replace("addr string, ", "") + ", v int").parquet(f"{self.root}/events").groupBy(F.col("v").alias("batch"), "what").agg(F.count(F.lit(1)).alias("rows"))
+        return self.said.read(self.spark).groupBy("batch", "what").agg(F.count(F.lit(1)).alias("rows"))
+
+    def latencies(self) -> DataFrame:
+        """(results, seconds, batch): what each batch changed in all results, and the time from its start until that could be read."""
+        return self.latency.read(self.spark)
 
 
 class KeyedView(KeyedViews):
     """One query, maintained as KeyedViews are."""
 
-    def __init__(self, spark: SparkSession, q: Query, root: str, top: int | tuple[str, ...] | None = None, every: bool = False):
-        super().__init__(spark, [q], root, [top], every)
+    def __init__(self, spark: SparkSession, q: Query, root: str, top: int | tuple[str, ...] | None = None, every: bool = False, fold: int = FOLD):
+        super().__init__(spark, [q], root, [top], every, fold=fold)
 
 
 def latency(query: StreamingQuery) -> list[tuple[int, int, float]]:

@@ -15,8 +15,9 @@ that share it.
 
 State is a folder of signed Parquet rows per batch, for each relation and for each query's counts.
 As counting is linear, joins read signed rows as they are: nothing regroups the state, and of it
-only rows that match the batch's go on. Every `fold` batches the folders so far become one. A batch
-that runs again overwrites its own folders, so replay after a failure changes nothing.
+only rows that match the batch's go on. Every `fold` batches the state's folders so far become one,
+and those of each log since the last fold. A batch that runs again overwrites its own folders, so
+replay after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from deltaloom.operators.lifetimes import ends_of, formatted, longest, merged, violation
@@ -35,12 +37,12 @@ from deltaloom.plans.model import Query
 from deltaloom.plans.sharing import share
 from deltaloom.sources import updates as up
 from deltaloom.sources.tables import remove, rewritten
+from deltaloom.streaming.runs import FOLD, History, latencies, timed
 
 CELLS = "cells array<string>, _n bigint"
 #: The start of a life that began before the batch.
 BEFORE = -(1 << 62)
-#: Batches after which the state's folders become one.
-FOLD = 16
+CHANGE = "rel string, cells array<string>, op string, seq bigint, violation string"
 
 
 class Views:
@@ -56,6 +58,15 @@ class Views:
                 raise ValueError(f"query {q.name} uses one that doesn't come before it")
         self.shared = {n for n in nodes if any(a.relation == n for q in queries for a in q.atoms)}
         self.bases = sorted({a.relation for q in queries for a in q.atoms} - set(nodes))
+        self.histories = {
+            "checked": History(f"{root}/checked", CHANGE, fold, "violation IS NOT NULL"),
+            "refused": History(f"{root}/refused", CHANGE, fold),
+            "latency": latencies(root, fold),
+        }
+        for k in range(len(queries)):
+            self.histories[f"output/{k}"] = History(f"{root}/output/{k}", f"op string, {self._outputs(k)}", fold)
+            if exact:
+                self.histories[f"exact/{k}"] = History(f"{root}/exact/{k}", f"op string, seq bigint, {self._outputs(k)}", fold)
 
     @classmethod
     def sharing(cls, spark: SparkSession, queries: list[Query], root: str, rows: Callable[[str], int] = lambda name: 1, fold: int = FOLD, exact: bool = False) -> Views:
@@ -121,6 +132,12 @@ class Views:
                 self._fold(f"base/{name}", CELLS, batch + 1)
             for k in range(len(self.queries)):
                 self._fold(f"counts/{k}", self._schema(k, "_n bigint"), batch + 1)
+        for name, history in self.histories.items():
+            if name != "latency":
+                history.folded(self.spark, batch)
+        if self.exact and batch:
+            for k in range(len(self.queries)):
+                remove(self.spark, f"{self.root}/lives/{k}/v={batch - 1}")
         return out
 
     def _output(self, q: Query, k: int, nets: dict[str, DataFrame], moving: set[str], batch: int) -> DataFrame:
@@ -195,32 +212,37 @@ class Views:
         ends = ends_of(merged(longest(found.join(alone, on, "left_semi"), q)), q)
         return ends.where(F.col("seq") > BEFORE)
 
+    def _outputs(self, k: int) -> str:
+        return ", ".join(f"{c} string" for c in self.queries[k].out)
+
     def _schema(self, k: int, extra: str) -> str:
-        return ", ".join(f"{c} string" for c in self.queries[k].out) + f", {extra}"
+        return f"{self._outputs(k)}, {extra}"
 
     def results(self, k: int = 0) -> DataFrame:
         """The current results of query k."""
-        batches = self.spark.read.schema("rel string, v int").parquet(f"{self.root}/checked").inputFiles()
-        upto = max((int(f.rpartition("/v=")[2].split("/")[0]) + 1 for f in batches), default=0)
+        upto = self.histories["checked"].batches(self.spark)
         rows = self._state(f"counts/{k}", self._schema(k, "_n bigint"), upto)
         return rows.groupBy(*self.queries[k].out).agg(F.sum("_n").alias("_n")).where("_n > 0").drop("_n")
 
     def output(self, k: int = 0) -> DataFrame:
         """All output changes of query k so far, by batch."""
-        return self.spark.read.schema(f"op string, {self._schema(k, 'v int')}").parquet(f"{self.root}/output/{k}").withColumnRenamed("v", "batch")
+        return self.histories[f"output/{k}"].read(self.spark)
 
     def violations(self) -> DataFrame:
         """All changes so far that a set can't take, by batch."""
-        rows = self.spark.read.schema("rel string, cells array<string>, op string, seq bigint, violation string, v int").parquet(f"{self.root}/checked")
-        return rows.where("violation IS NOT NULL").withColumnRenamed("v", "batch")
+        return self.histories["checked"].read(self.spark).where("violation IS NOT NULL")
 
     def refused(self) -> DataFrame:
         """(rel, cells, op, seq, violation, batch): changes of relations that the queries don't read, or that are queries themselves; they change nothing."""
-        return self.spark.read.schema("rel string, cells array<string>, op string, seq bigint, violation string, v int").parquet(f"{self.root}/refused").withColumnRenamed("v", "batch")
+        return self.histories["refused"].read(self.spark)
 
     def exact_log(self, k: int = 0) -> DataFrame:
         """(op, seq, output, batch) of query k: every change of its results, at the update that makes it, if the views keep it."""
-        return self.spark.read.schema(f"op string, seq bigint, {self._schema(k, 'v int')}").parquet(f"{self.root}/exact/{k}").withColumnRenamed("v", "batch")
+        return self.histories[f"exact/{k}"].read(self.spark)
+
+    def latencies(self) -> DataFrame:
+        """(results, seconds, batch): what each batch of a stream changed in all outputs, and the time from its start until that could be read."""
+        return self.histories["latency"].read(self.spark)
 
     def log(self) -> DataFrame:
         """The formatted lines (line, batch) that start() wrote."""
@@ -244,18 +266,27 @@ class Views:
 
         def take(lines: DataFrame, batch: int) -> None:
             self.spark = lines.sparkSession
-            counted = self.spark.read.schema("n bigint").parquet(*(f"{self.root}/lines/v={b}" for b in range(batch))) if batch else None
-            after = counted.agg(F.sum("n")).first()[0] if counted else 0
+            after = self.spark.read.schema("n bigint").parquet(f"{self.root}/lines/v={batch - 1}").first()[0] if batch else 0
             numbered = rewritten(up.numbered(lines, up.DECODERS[form], after), f"{self.root}/decoded")
-            self._write(numbered.agg(F.count(F.lit(1)).alias("n")), "lines", batch)
+            self._write(numbered.agg((F.count(F.lit(1)) + after).alias("n")), "lines", batch)
+            remove(self.spark, f"{self.root}/lines/v={batch - 2}")
             routes = up.routed(numbered, registry)
-            self._write(routes.where("NOT ok"), "rejected", batch)
+            wrong = self.rejections(routes.schema)
+            wrong.write(routes.where("NOT ok"), batch)
+            wrong.folded(self.spark, batch)
             self._take(up.as_changes(routes), batch)
 
         return self._run(up.placed(self.spark.readStream.text(path)), take)
 
+    def rejections(self, schema: StructType) -> History:
+        """The lines that start_text() couldn't load."""
+        return History(f"{self.root}/rejected", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields), self.fold)
+
+    def _changed(self, spark: SparkSession, batch: int) -> int:
+        return spark.read.schema("op string").parquet(*(f"{self.root}/output/{k}/v={batch}" for k in range(len(self.queries)))).count()
+
     def _run(self, source: DataFrame, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
-        return source.writeStream.foreachBatch(take).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        return source.writeStream.foreachBatch(timed(take, self._changed, self.histories["latency"])).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
 
 
 class View(Views):
