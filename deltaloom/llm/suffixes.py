@@ -13,7 +13,9 @@ next bytes. Equal strings hold the same cuts but for a margin at each end, and s
    three sorted orders, by name alone, by phrase and name, by two phrases and name, merge the
    remaining suffixes with the sampled ones.
 3. In each order neighbours' prefixes are compared: the longest prefix, in phrases, that a suffix
-   shares with any other, up to DEPTH.
+   shares with any other, up to DEPTH. The orders are cut into ranges of all their keys, so that a
+   phrase with which many suffixes begin lies in many tasks; the rows at the borders are compared
+   once more.
 4. Those lengths settle nearly all strings: repeated for sure where shared phrases span them, unique
    where a phrase inside is not shared. Strings between, at the ends of repeats, are open and are
    compared by a 64-bit and a 32-bit hash; of the sure strings one of each kind takes part.
@@ -35,7 +37,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from deltaloom.llm.common import bounded_batches, cut_at, pieces, release, remove
 from deltaloom.llm.tokens import mix
@@ -211,6 +212,68 @@ def _or_end(array: str, index: str) -> str:
     return f"coalesce(get({array}, {index}), 0L)"
 
 
+def _common(rows: pa.RecordBatch) -> np.ndarray:
+    """The phrases that each row's prefix has in common with the next row's, if both are of one order."""
+    prefix, kind = rows.column("prefix"), rows.column("kind").to_numpy()
+    size = prefix.value_lengths().to_numpy()
+    of = np.repeat(np.arange(len(size)), size)
+    names = np.zeros((len(size), DEPTH), np.int64)
+    names[of, np.arange(len(of)) - (np.cumsum(size) - size)[of]] = prefix.flatten().to_numpy()
+    same = names[1:] == names[:-1]
+    length = np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
+    return np.where(kind[1:] == kind[:-1], np.minimum(length, np.minimum(size[1:], size[:-1])), 0)
+
+
+def neighbours(classes: DataFrame) -> DataFrame:
+    """(kind, k0, k1, k2, n, first, shared, edge) of the classes (kind, k0, k1, k2, n, first, prefix) of equal suffixes.
+
+    All orders are sorted as one, in ranges of about the same size, however many suffixes begin with
+    one phrase. Each row is compared with those beside it in its task; the first and the last row of
+    a task keep their prefix as `edge`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row waits for the one after it; `left` is what it shares with the one before
+        last, left, top = None, 0, True
+        for batch in batches:
+            rows = batch if last is None else pa.concat_batches([last, batch])
+            if not rows.num_rows:
+                continue
+            near = np.r_[left, _common(rows), 0]
+            last, left = rows.slice(rows.num_rows - 1), int(near[-2])
+            if rows.num_rows > 1:
+                done = rows.slice(0, rows.num_rows - 1)
+                yield settled_rows(done, np.maximum(near[:-2], near[1:-1]), np.arange(done.num_rows) < top)
+                top = False
+        if last is not None:
+            yield settled_rows(last, np.array([left]), np.array([True]))
+
+    def settled_rows(rows: pa.RecordBatch, near: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        prefix = rows.column("prefix")
+        shared = np.where(rows.column("n").to_numpy() > 1, prefix.value_lengths().to_numpy(), near)
+        edges = pa.array([p if e else None for p, e in zip(prefix, edge.tolist())] if edge.any() else [None] * len(edge), prefix.type)
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("kind", "k0", "k1", "k2", "n", "first")), pa.array(shared.astype(np.int32)), edges], ["kind", "k0", "k1", "k2", "n", "first", "shared", "edge"])
+
+    in_order = classes.repartitionByRange("kind", "k0", "k1", "k2").sortWithinPartitions("kind", "k0", "k1", "k2")
+    return in_order.mapInArrow(run, "kind int, k0 bigint, k1 bigint, k2 bigint, n bigint, first struct<tid: bigint, k: int>, shared int, edge array<bigint>")
+
+
+def over_borders(lengths: DataFrame) -> DataFrame:
+    """Rows of neighbours() anew, without edge, for those that share more with a row of the next or last task.
+
+    The driver gets two rows of each task, of DEPTH phrases at most.
+    """
+    spark, columns = lengths.sparkSession, ["kind", "k0", "k1", "k2", "n", "first", "shared"]
+    rows = lengths.where("edge IS NOT NULL").withColumnRenamed("edge", "prefix").orderBy("kind", "k0", "k1", "k2").toArrow()
+    if not rows.num_rows:
+        return lengths.select(columns).limit(0)
+    near = np.r_[0, _common(rows.combine_chunks().to_batches()[0]), 0]
+    more = np.maximum(near[:-1], near[1:])
+    own = rows.column("shared").to_numpy()
+    gained = rows.set_column(rows.column_names.index("shared"), "shared", pa.array(np.maximum(more, own).astype(np.int32))).filter(pa.array(more > own))
+    return spark.createDataFrame(gained.select(columns).to_pylist(), lengths.select(columns).schema)
+
+
 def shared_prefixes(runs: DataFrame, cut: _Cuts) -> DataFrame:
     """(tid, k, shared, echo) per position of the runs (tid, k, names).
 
@@ -234,14 +297,8 @@ def shared_prefixes(runs: DataFrame, cut: _Cuts) -> DataFrame:
     keyed = spots.select("tid", (F.col("k") + F.col("i")).alias("k"), F.expr("names[i]").alias("k0"), F.expr(f"slice(names, i + 1, {DEPTH})").alias("prefix"), F.explode(F.expr(f"CASE i % 3 WHEN 0 THEN {of[0]} WHEN 1 THEN {of[1]} ELSE {of[2]} END")).alias("o"))
     keyed = keyed.select("tid", "k", "prefix", "k0", "o.kind", "o.k1", "o.k2")
     classes = keyed.groupBy("kind", "k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "k")).alias("first"), F.first("prefix").alias("prefix"))
-    beside = Window.partitionBy("kind", "k0").orderBy("k1", "k2")
-
-    def common(other: str) -> str:
-        return f"CASE WHEN {other} IS NULL THEN 0 ELSE coalesce(nullif(array_position(zip_with(prefix, {other}, (a, b) -> a <=> b), false), 0) - 1, size(prefix)) END"
-
-    lined = classes.withColumn("p", F.lag("prefix").over(beside)).withColumn("q", F.lead("prefix").over(beside))
-    shared = F.expr(f"CASE WHEN n > 1 THEN size(prefix) ELSE greatest({common('p')}, {common('q')}) END").cast("int")
-    lengths = cut(lined.select("kind", "k0", "k1", "k2", "n", "first", shared.alias("shared")), "lengths")
+    lengths = cut(neighbours(classes), "lengths")
+    lengths = lengths.drop("edge").unionByName(over_borders(lengths))
     found = keyed.drop("prefix").join(lengths, ["kind", "k0", "k1", "k2"])
     echo = (F.col("n") > 1) & ((F.col("first.tid") != F.col("tid")) | (F.col("first.k") != F.col("k")))
     return found.groupBy("tid", "k").agg(F.max("shared").alias("shared"), F.max(echo).alias("echo"))

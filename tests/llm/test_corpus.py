@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import ann, bpe, components, decontaminate, html, lm, minhash, packing, queries, simhash, suffixes, tokens, toxicity, warc
+from deltaloom.llm import ann, bpe, common, components, decontaminate, html, lm, minhash, packing, queries, simhash, suffixes, tokens, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, ids int, fp string"
@@ -465,6 +465,38 @@ def test_suffix_dedup(spark, odd, tmp_path, monkeypatch, size):
     assert suffixes.repeats(odd[1].limit(0)).isEmpty()
 
 
+def prefix_in_common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_hot_first_phrase(spark, tasks):
+    """Suffixes of which most begin with one phrase are dealt to many tasks, and none loses its neighbour at a border."""
+    rng = random.Random(tasks)
+    keys = {(kind, 7 if rng.random() < 0.8 else rng.randint(1, 9), *(rng.randint(1, 6) for _ in range(rng.randint(0, 8)))) for _ in range(400) for kind in (0, 1)}
+    # as ranks do, k2 sorts what follows the first phrase
+    rank = {tail: i for i, tail in enumerate(sorted({key[2:] for key in keys}))}
+    rows = [(key[0], key[1], 0, rank[key[2:]], 2 if i % 50 == 0 else 1, (i, i % 5), list(key[1:])) for i, key in enumerate(sorted(keys))]
+    ddl = "kind int, k0 bigint, k1 bigint, k2 bigint, n bigint, first struct<tid: bigint, k: int>, prefix array<bigint>"
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lined = common.cut(suffixes.neighbours(spark.createDataFrame(rows, ddl)), "lined")
+        edges = lined.where("edge IS NOT NULL").count()
+        hot = lined.withColumn("task", F.input_file_name()).where("k0 = 7").groupBy("task").count().agg(F.max("count")).first()[0]
+        every = lined.drop("edge").unionByName(suffixes.over_borders(lined)).groupBy("first").agg(F.max("shared").alias("shared")).collect()
+        assert suffixes.over_borders(lined.limit(0)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert edges <= 2 * tasks and hot < 3 * len(rows) / tasks
+    want = {}
+    for kind, _, _, _, n, first, prefix in rows:
+        others = [prefix_in_common(prefix, r[6]) for r in rows if r[0] == kind and r[5] != first]
+        want[first] = len(prefix) if n > 1 else max(others)
+    assert {tuple(r.first): r.shared for r in every} == want
+
+
 def test_cuts_in_steps(monkeypatch):
     data = np.random.default_rng(1).integers(97, 101, 20000, dtype=np.uint8).tobytes()
     whole = suffixes.cuts(data)
