@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by cosine: inverted file, product-quantised residuals, exact rerank.
 
 Vectors are scaled to unit length, so the nearest by angle are the nearest by distance. Coarse
-centroids and codebooks are fitted on a bounded sample; every vector is indexed: its cell, and the
-code of its residual. A query visits its nearest cells, as many as held TARGET of the neighbours of
-queries drawn from the sample. There an asymmetric distance table (query residual against every
-codeword) ranks the cell's codes, and the best are scored exactly on the original vectors. Cells
-meet their queries by shuffle; the vectors of a large cell and its queries are dealt out in chunks,
-and each pair of chunks meets, so neither has to fit into one task.
+centroids and codebooks are fitted on a bounded sample; every vector is indexed: its cell, the code
+of its residual and how far the code is from it. A query visits its nearest cells, as many as hold
+TARGET of the true neighbours of some of the queries themselves, among all vectors. There an
+asymmetric distance table (query residual against every codeword) gives each code's distance, and
+with the code's error bounds on the vector's: every vector whose lower bound is within what enough
+others surely reach is scored exactly, however many share a code. So in a visited cell nothing is
+missed. Cells meet their queries by shuffle; the vectors of a large cell and its queries are dealt
+out in chunks, and each pair of chunks meets, so neither has to fit into one task.
 
 Equal vectors are one index entry with their smallest ids, as many as an answer can name.
 """
@@ -28,8 +30,8 @@ from deltaloom.llm.common import bounded_batches, cut
 SAMPLE_ROWS = 20_000
 #: Cells grow with the square root of the vectors, within these bounds.
 CELLS = (16, 4096)
-#: Share of the sample queries' neighbours that the visited cells have to hold, those queries, and cells that are visited at least.
-TARGET = 0.97
+#: Share of the trial queries' neighbours that the visited cells have to hold, those queries, and cells that are visited at least.
+TARGET = 0.99
 TRIALS = 400
 MIN_PROBES = 16
 #: Subvectors of a code, and codewords for each.
@@ -37,10 +39,12 @@ SUBVECTORS = 16
 CODEWORDS = 256
 #: Distances that are held at a time.
 STEP = 1 << 20
-#: Vectors of a cell's chunk, queries of one, and how many of a chunk's best codes are scored exactly for a query.
+#: Vectors of a cell's chunk and queries of one.
 CHUNK_ROWS = 8192
 CHUNK_QUERIES = 8192
-RERANK = 64
+#: What rounding may do to distances between unit vectors, and to cosines.
+ROUNDED_FAR = 1e-6
+ROUNDED_COSINE = 1e-12
 NEAREST = 5
 
 
@@ -103,6 +107,11 @@ class Index:
     def encode(self, r: np.ndarray) -> np.ndarray:
         return self.tables(r).argmin(2).astype(np.uint8)
 
+    def errors(self, r: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each residual to what its code stands for."""
+        left = self.split(r) - self.books[np.arange(len(self.books)), codes]
+        return np.sqrt((left * left).sum((1, 2)))
+
 
 def fit(sample: np.ndarray, cells: int, subvectors: int = SUBVECTORS) -> Index:
     """An index over unit vectors like those of the sample."""
@@ -116,20 +125,38 @@ def fit(sample: np.ndarray, cells: int, subvectors: int = SUBVECTORS) -> Index:
     return index
 
 
-def probes_for(index: Index, sample: np.ndarray, seed: int = 0) -> int:
-    """Cells to visit so that TARGET of the sample's own neighbours lie in them; in more vectors neighbours are only nearer."""
-    x = _unit(sample)
+def probes_for(index: Index, x: np.ndarray, seed: int = 0) -> int:
+    """Cells to visit so that TARGET of the neighbours of some rows of x, among all of them, lie in them."""
+    x = _unit(x)
     asked = np.random.default_rng(seed).choice(len(x), min(TRIALS, len(x)), replace=False)
-    order = index.cells(x[asked], len(index.centroids))
-    place = np.argsort(order, axis=1)
-    own = index.cells(x, 1)[:, 0]
-    ranks = []
-    for row, q in enumerate(asked):
-        near = x @ x[q]
-        near[q] = -np.inf
-        ranks.append(place[row, own[np.argsort(-near, kind="stable")[: min(NEAREST, len(x) - 1)]]])
-    found = np.concatenate(ranks)
-    return int(np.clip(np.quantile(found, TARGET) + 1 if len(found) else 0, MIN_PROBES, None))
+    held = Held(x[asked], asked)
+    held.take(index, x, np.arange(len(x)))
+    return visited(index, x[asked], *np.nonzero(held.scores > -np.inf)[:1], held.cells[held.scores > -np.inf])
+
+
+class Held:
+    """The cells of the NEAREST vectors of each trial query, a row with its own entry, among those taken so far."""
+
+    def __init__(self, asked: np.ndarray, own: np.ndarray):
+        self.asked, self.own = asked, own
+        self.scores, self.cells = np.full((len(asked), NEAREST), -np.inf), np.zeros((len(asked), NEAREST), np.int64)
+
+    def take(self, index: Index, x: np.ndarray, entries: np.ndarray) -> None:
+        cells, step = index.cells(x, 1)[:, 0], max(1, STEP // max(1, len(self.asked)))
+        for k in range(0, len(x), step):
+            near = self.asked @ x[k : k + step].T
+            near[self.own[:, None] == entries[None, k : k + step]] = -np.inf
+            scores = np.concatenate([self.scores, near], 1)
+            both = np.concatenate([self.cells, np.broadcast_to(cells[k : k + step], near.shape)], 1)
+            best = np.argpartition(-scores, NEAREST - 1, axis=1)[:, :NEAREST]
+            self.scores, self.cells = np.take_along_axis(scores, best, 1), np.take_along_axis(both, best, 1)
+
+
+def visited(index: Index, asked: np.ndarray, trials: np.ndarray, cells: np.ndarray) -> int:
+    """Cells to visit so that TARGET of the pairs of a trial query and a neighbour's cell are met."""
+    place = np.argsort(index.cells(asked, len(index.centroids)), axis=1)
+    found = place[trials, cells]
+    return int(np.clip(np.ceil(np.quantile(found, TARGET)) + 1 if len(found) else 0, MIN_PROBES, None))
 
 
 def usable(vector: str | Column) -> Column:
@@ -145,25 +172,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search_chunk(index: Index, cell: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, rerank: int, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, entries, cosines): each query's best entries of one chunk."""
+def search_chunk(index: Index, cell: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, errors: np.ndarray, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query row, entries, cosines): each query's best entries of one chunk, ties to the earlier ones."""
     unit, x = _unit(q), _scaled(x)
     lengths = np.sqrt((x * x).sum(1))
-    step = max(1, min(STEP // len(x), STEP // (index.books.shape[0] * CODEWORDS), STEP // (min(rerank, len(x)) * x.shape[1])))
+    step = max(1, min(STEP // len(x), STEP // (index.books.shape[0] * CODEWORDS)))
     for k in range(0, len(q), step):
         v = _scaled(q[k : k + step])
-        if len(x) > rerank:
+        near = np.ones((len(v), len(x)), bool)
+        if len(x) > keep:
             tables = index.tables(unit[k : k + step] - index.centroids[cell])
             far = np.zeros((len(v), len(x)))
             for m in range(codes.shape[1]):
                 far += tables[:, m][:, codes[:, m]]
-            best = np.argpartition(far, rerank - 1, axis=1)[:, :rerank]
-        else:
-            best = np.tile(np.arange(len(x)), (len(v), 1))
-        cosine = np.einsum("nrd,nd->nr", x[best], v) / (lengths[best] * np.sqrt((v * v).sum(1))[:, None])
-        order = np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
+            far = np.sqrt(np.maximum(far, 0))
+            reached = np.partition(far + errors, keep - 1, axis=1)[:, keep - 1 : keep]
+            near = far - errors <= reached + ROUNDED_FAR
+        # the exact check of all codes that may be near: once by blocks, then the best as the score is defined
+        columns = np.flatnonzero(near.any(0))
+        rough = v @ x[columns].T / (lengths[columns] * np.sqrt((v * v).sum(1))[:, None])
+        rough[~near[:, columns]] = -np.inf
+        least = np.partition(rough, -keep, axis=1)[:, -keep] if len(columns) > keep else np.full(len(v), -np.inf)
         for j in range(len(v)):
-            yield k + j, best[j, order[j]], cosine[j, order[j]]
+            best = columns[(rough[j] >= least[j] - ROUNDED_COSINE) & near[j, columns]]
+            cosine = np.einsum("rd,d->r", x[best], v[j]) / (lengths[best] * np.sqrt((v[j] * v[j]).sum()))
+            order = np.argsort(-cosine, kind="stable")[:keep]
+            yield k + j, best[order], cosine[order]
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -189,23 +223,40 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows:
     sample = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample_rows).toArrow().column("embedding").combine_chunks()
     cells = int(np.clip(2 ** round(np.log2(max(1.0, total) ** 0.5)), *CELLS))
     index = fit(_matrix(sample), cells)
-    probes = probes_for(index, _matrix(sample))
     shared = spark.sparkContext.broadcast(index)
+    asking = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "embedding")
+    trials = asking.orderBy(F.xxhash64("embedding", F.lit(1)), "entry").limit(TRIALS).toArrow()
+    probes = MIN_PROBES
+    if trials.num_rows:
+        tried = spark.sparkContext.broadcast((_unit(_matrix(trials.column("embedding").combine_chunks())), trials.column("entry").to_numpy()))
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Held(*tried.value)
+            for batch in batches:
+                if batch.num_rows:
+                    held.take(shared.value, _unit(_matrix(batch.column("embedding"))), batch.column("entry").to_numpy())
+            at, place = np.nonzero(held.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held.scores[at, place]), pa.array(held.cells[at, place].astype(np.int32))], ["trial", "score", "cell"])
+
+        measured = entries.select("entry", "embedding").mapInArrow(measure, "trial int, score double, cell int")
+        true = measured.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score")))).where(F.col("n") <= NEAREST).select("trial", "cell").toArrow()
+        probes = visited(index, tried.value[0], true.column("trial").to_numpy(), true.column("cell").to_numpy())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, shared.value.dim))
             cell = shared.value.cells(x, 1)[:, 0]
-            code = shared.value.encode(x - shared.value.centroids[cell])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], [*batch.schema.names, "cell", "code"])
+            residual = x - shared.value.centroids[cell]
+            code = shared.value.encode(residual)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(shared.value.errors(residual, code))], [*batch.schema.names, "cell", "code", "error"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, shared.value.dim))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.cells(x, probes).astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
-    indexed = cut(entries.select("entry", "ids", "embedding").mapInArrow(assign, "entry bigint, ids array<bigint>, embedding array<double>, cell int, code binary"), "ann-index")
-    seekers = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "embedding").mapInArrow(visit, "entry bigint, embedding array<double>, cells array<int>")
+    indexed = cut(entries.select("entry", "ids", "embedding").mapInArrow(assign, "entry bigint, ids array<bigint>, embedding array<double>, cell int, code binary, error double"), "ann-index")
+    seekers = asking.mapInArrow(visit, "entry bigint, embedding array<double>, cells array<int>")
     seekers = cut(seekers, "ann-seekers")
     visits = seekers.select("entry", "embedding", F.explode("cells").alias("cell"))
 
@@ -225,10 +276,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, sample_rows:
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
+            right = right.take(pa.array(np.argsort([i[0] for i in right.column("ids").to_pylist()], kind="stable")))
             q, x = _matrix(left.column("embedding").combine_chunks()), _matrix(right.column("embedding").combine_chunks())
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
             asking, ids = left.column("entry").to_pylist(), right.column("ids").to_pylist()
-            for row, at, cosine in search_chunk(shared.value, left.column("cell")[0].as_py(), q, x, codes, RERANK, k + 1):
+            for row, at, cosine in search_chunk(shared.value, left.column("cell")[0].as_py(), q, x, codes, right.column("error").to_numpy(), k + 1):
                 found = sorted((-float(c), i) for a, c in zip(at.tolist(), cosine, strict=True) for i in ids[a])[: k + 1]
                 out.append((asking[row], [i for _, i in found], [-c for c, _ in found]))
         columns = list(zip(*out)) or [[], [], []]

@@ -754,6 +754,35 @@ def test_ann_chunks(spark, monkeypatch):
     assert set(found) == set(whole) and sum(found[k] == whole[k] for k in whole) >= 0.98 * len(whole)
 
 
+def _recall(spark, x):
+    """Of the nearest five of every 50th row by brute force, the share that is found."""
+    got = collections.defaultdict(set)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    for r in ann.nearest(vectors, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(len(s)), np.arange(0, len(x), 50)] = -9
+    return np.mean([len(set(np.argsort(-r)[:5].tolist()) & got[50 * k]) / 5 for k, r in enumerate(s)])
+
+
+def test_ann_queries_unlike_the_rows(spark):
+    """Rows lie in tight groups, of whose neighbours a few cells hold all; those of the queries, which lie anywhere, are in many."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    x[::50] = rng.normal(size=(120, 32))
+    assert _recall(spark, x) >= 0.97
+
+
+def test_ann_many_of_one_code(spark, monkeypatch):
+    """Groups of 400 rows for which there are fewer codes than groups."""
+    monkeypatch.setattr(ann, "CELLS", (4, 4))
+    monkeypatch.setattr(ann, "CODEWORDS", 8)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(15, 32))[np.arange(6000) % 15] + 0.001 * rng.normal(size=(6000, 32))
+    assert _recall(spark, x) >= 0.97
+
+
 def test_ann_recall(spark):
     rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY 1").fetchall()
     u = np.array([v for _, v in rows], float)
