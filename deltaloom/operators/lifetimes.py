@@ -35,12 +35,30 @@ def _latest() -> Column:
 
 
 def joined_lives(logs: Logs, q: Query) -> DataFrame:
-    """(out, _start, _end) of every joined row that lives at all, the longest for each start."""
-    rows = reduce(natural_join, (atom_rows(lambda name: lives(logs(name)), a, f"_s{k}", f"_e{k}") for k, a in enumerate(_in_order(q))))
-    n = range(len(q.atoms))
-    s = F.greatest(*(f"_s{k}" for k in n)) if len(n) > 1 else F.col("_s0")
-    e = F.least(*(f"_e{k}" for k in n)) if len(n) > 1 else F.col("_e0")
-    return longest(rows.select(*q.out, s.alias("_start"), e.alias("_end")).where("_end IS NULL OR _start < _end"), q)
+    """(out, _start, _end) of the joined rows that live at all; several lives of one result may overlap.
+
+    Attributes of an atom that neither the output nor another atom has go before it is joined, and the
+    lives of what is left merge: rows that only differ in what nobody asks for are never joined one by
+    one. Those that only a join needed go after it.
+    """
+    atoms, rows = _in_order(q), None
+    for k, atom in enumerate(atoms):
+        own = _needed(atom_rows(lambda name: lives(logs(name)), atom, "_start", "_end"), {*q.out, *(a for other in [*atoms[:k], *atoms[k + 1 :]] for a in other.attrs)})
+        if rows is None:
+            rows = own
+            continue
+        met = natural_join(rows, own.withColumnsRenamed({"_start": "_s", "_end": "_e"}))
+        later = {*q.out, *(a for other in atoms[k + 1 :] for a in other.attrs)}
+        rows = met.select(*(c for c in met.columns if c in later), F.greatest("_start", "_s").alias("_start"), F.least("_end", "_e").alias("_end")).where("_end IS NULL OR _start < _end")
+    return rows.select(*q.out, "_start", "_end").where("_end IS NULL OR _start < _end")
+
+
+def _needed(rows: DataFrame, wanted: set[str]) -> DataFrame:
+    """An atom's lives by its wanted attributes alone, merged if others go."""
+    kept = [c for c in rows.columns if c in wanted]
+    if len(kept) + 2 == len(rows.columns):
+        return rows
+    return merged(rows.where("_end IS NULL OR _start < _end").groupBy(*kept, "_start").agg(_latest().alias("_end")))
 
 
 def longest(rows: DataFrame, q: Query) -> DataFrame:
@@ -50,13 +68,25 @@ def longest(rows: DataFrame, q: Query) -> DataFrame:
 
 #: Bits of seq within which lives merge first, so that no task gets all lives of a result that has very many.
 SLICES = (16, 32)
+#: Lives of equal values in an atom that make a query's results crowded.
+CROWDED = 100_000
+
+
+def crowded(logs: Logs, q: Query) -> bool:
+    """Whether a result may have very many lives: in every atom that holds output attributes, some values of theirs do."""
+    for atom in sorted(q.atoms, key=lambda a: -len(set(a.attrs) & set(q.out))):
+        own = [a for a in dict.fromkeys(atom.attrs) if a in q.out]
+        if own and atom_rows(logs, atom, "op", "seq").where("op = '+'").groupBy(*own).count().where(F.col("count") > CROWDED).isEmpty():
+            return False
+    return True
 
 
 def merged(rows: DataFrame) -> DataFrame:
     """Overlapping and touching intervals [_start, _end) of equal other columns as one.
 
     First those that start in one slice of time, then what is left of them in wider slices, then the
-    few that are left in all.
+    few that are left in all. Each step is a shuffle; delta_log() takes the last alone where no
+    result has very many lives.
     """
     keys = [c for c in rows.columns if c not in ("_start", "_end")]
     for bits in SLICES:
@@ -75,7 +105,8 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def delta_log(logs: Logs, q: Query) -> DataFrame:
     """(op, seq, out): every result that appears ('+') or goes ('-'), at the update that does it."""
-    return ends_of(merged(joined_lives(logs, q)), q)
+    rows = joined_lives(logs, q)
+    return ends_of(merged(longest(rows, q)) if crowded(logs, q) else _merged(rows, list(q.out)), q)
 
 
 def ends_of(lives_: DataFrame, q: Query) -> DataFrame:

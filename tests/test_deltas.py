@@ -167,3 +167,24 @@ def test_shared_nodes_and_folds(spark, tmp_path):
         before = after
     for k in range(3):
         assert {tuple(map(int, r)) for r in views.results(k).collect()} == before[k]
+
+
+def test_what_nobody_asks_for_is_not_joined(spark):
+    """300 tuples of R under the key of 300 of S: one merged life of R's meets each of S's, not 300."""
+    rows = [("S", k, 7, "+", k) for k in range(300)] + [("R", k, 7, "+", 300 + k) for k in range(300)] + [("R", k, 7, "-", 1000 + k) for k in range(300)]
+    frame = spark.createDataFrame(rows, "rel string, x int, y int, op string, seq bigint")
+    logs = lambda name: frame.where(frame.rel == name).drop("rel")
+    q = query("n", "R(a,b) S(c,b)", "b,c")
+    assert lt.joined_lives(logs, q).count() == 300
+    assert {tuple(r) for r in lt.delta_log(logs, q).collect()} == {(op, seq, 7, c) for c in range(300) for op, seq in (("+", 300), ("-", 1299))}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_crowded_results_merge_alike(spark, monkeypatch, limit):
+    monkeypatch.setattr(lt, "CROWDED", limit)
+    log = random_log(random.Random(21), 90)
+    frame = spark.createDataFrame(log, "rel string, x int, y int, op string, seq bigint")
+    logs = lambda name: frame.where(frame.rel == name).drop("rel")
+    for q in QUERIES:
+        assert lt.crowded(logs, q) == (limit == 0)
+        assert {tuple(r) for r in lt.delta_log(logs, q).collect()} == expected(log, q)
