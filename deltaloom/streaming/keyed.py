@@ -5,6 +5,12 @@ stateful operators, each keyed by what its state is about; a row names the opera
 meant for, and all other operators pass it on. A key's state is read and written only when a change
 of the batch concerns it, so a batch costs what it changes, however large the state is.
 
+A group of an operator costs about as much as some calls of its state store. So keys with nothing but
+numbers (Base, States, Offers, Results, Sets) are dealt to buckets, each a group whose state is a map of
+leaves of keys and numbers; rows that an operator only passes on come in buckets as well, and what a group says for
+the log goes on in packs, which are opened after the line's end. Exists and Join list what is under a
+key and have a group for each.
+
 1. Base: keyed by tuple. Base relations are sets: what a set can't take is a violation, the rest the
    tuple's net change.
 2. Upward, for each height: Exists, keyed by join key, counts a child's alive tuples and holds the
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -53,9 +59,15 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 EVENT = "addr string, what string, node int, cells string, n bigint, seq bigint, note string"
 _Event = Row("addr", "what", "node", "cells", "n", "seq", "note")
 BASE = 0
+#: Groups of the keys that have numbers alone, and of the rows that an operator passes on.
+BUCKETS = 512
+#: Entries of a bucket's state, each the keys of one hash: a batch reads and writes those that it changes.
+LEAVES = 32
+#: Rows of a pack.
+PACK = 500
 
 
-def _text(values: list) -> str:
+def _text(values: list | dict) -> str:
     return json.dumps(values, ensure_ascii=False, separators=(",", ":"))
 
 
@@ -144,8 +156,7 @@ class Layout:
     # events
 
     def out(self, what: str, node: int, values: list, n: int, **more) -> Row:
-        cells = _text(values)
-        return _Event(f"out:{zlib.crc32(cells.encode()) % 64}", what, node, cells, n, more.get("seq"), more.get("note"))
+        return _Event("out", what, node, _text(values), n, more.get("seq"), more.get("note"))
 
     def to(self, at: int, place: int, key: list, what: str, values: list, n: int, node: int) -> Row:
         return _Event(f"{at}:{place}:{_text(key)}", what, node, _text(values), n, None, None)
@@ -187,22 +198,55 @@ class Layout:
             yield self.to(self.joins[i], i, [named[a] for a in self.shared(i)], "right", values, n, i)
 
 
+def _packed(rows: list[Row]) -> Row:
+    cells = _text([list(r[1:]) for r in rows])
+    return _Event(f"out:{zlib.crc32(cells.encode())}", "pack", None, cells, None, None, None)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """What the line says: the rows in its packs, without addr."""
+    told = rows.select(F.explode(F.from_json("cells", "array<array<string>>")).alias("_r"))
+    fields = [f.split() for f in EVENT.split(", ")[1:]]
+    return told.select(*(F.col("_r")[k].cast(kind).alias(name) for k, (name, kind) in enumerate(fields)))
+
+
 class _Operator(StatefulProcessor):
     """Takes the rows that are meant for operator `at`, passes all others on."""
 
+    #: Whether a group holds a bucket of keys, not one.
+    bucketed = False
+
     def __init__(self, layout: Layout, at: int):
         self.layout, self.at = layout, at
 
+    def group(self, buckets: int) -> Column:
+        """The group of a row: where it is for this operator a key or a bucket of them, else a bucket of rows to pass on."""
+        addr = F.col("addr")
+        bucket = F.pmod(F.xxhash64("addr"), F.lit(buckets)).cast("string")
+        return F.when(addr.startswith(f"{self.at}:"), F.concat(F.lit(f"{self.at}:"), bucket) if self.bucketed else addr).otherwise(F.concat(F.lit("-:"), bucket))
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        at, _, rest = key[0].partition(":")
-        if at != str(self.at):
+        if key[0].startswith("-:"):
             yield from rows
             return
-        place, _, values = rest.partition(":")
+        told = []
+        for r in self.taken(key[0], rows):
+            if r.addr != "out":
+                yield r
+                continue
+            told.append(r)
+            if len(told) == PACK:
+                yield _packed(told)
+                told = []
+        if told:
+            yield _packed(told)
+
+    def taken(self, addr: str, rows: Iterator[Row]) -> Iterator[Row]:
+        _, place, values = addr.split(":", 2)
         yield from self.take(place, values, rows)
 
     def close(self) -> None:
@@ -235,24 +279,60 @@ def _change(rows, nets: Counter) -> None:
             total = n + (held[0] if held else 0)
             if total:
                 rows.updateValue((cells,), (total,))
-            else:
+            elif held:
                 rows.removeKey((cells,))
 
 
-class Base(_Operator):
+class _Numbers(_Operator):
+    """Keys with `width` numbers each, a bucket's in LEAVES entries; a key whose numbers are all zero is not kept."""
+
+    bucketed = True
+
     def open(self) -> None:
-        self.there = self.number("there")
+        self.held = self.handle.getMapState("held", "leaf string", "numbers string")
 
-    def take(self, place: str, key: str, rows: Iterator[Row]) -> Iterator[Row]:
-        was = live = bool(_read(self.there))
-        values = json.loads(key)
-        for r in sorted(rows, key=lambda r: (r.seq, r.n)):
+    def width(self, place: str) -> int:
+        return 1
+
+    def taken(self, addr: str, rows: Iterator[Row]) -> Iterator[Row]:
+        leaves: dict[str, dict[str, list[Row]]] = {}
+        for r in rows:
+            key = r.addr.partition(":")[2]
+            leaves.setdefault(str(zlib.crc32(key.encode()) % LEAVES), {}).setdefault(key, []).append(r)
+        for leaf, keys in leaves.items():
+            found = self.held.getValue((leaf,))
+            was = json.loads(found[0]) if found else {}
+            now = dict(was)
+            for key, own in keys.items():
+                place, _, values = key.partition(":")
+                before = was.get(key) or [0] * self.width(place)
+                now[key] = after = self.added(place, own, before)
+                if not any(after):
+                    del now[key]
+                yield from self.take(place, json.loads(values), own, before, after)
+            if now and now != was:
+                self.held.updateValue((leaf,), (_text(now),))
+            elif found and not now:
+                self.held.removeKey((leaf,))
+
+    def added(self, place: str, rows: list[Row], before: list[int]) -> list[int]:
+        """The numbers after the rows."""
+        raise NotImplementedError
+
+
+class Base(_Numbers):
+    def added(self, place: str, rows: list[Row], before: list[int]) -> list[int]:
+        rows.sort(key=lambda r: (r.seq, r.n))
+        return [int(rows[-1].n > 0)]
+
+    def take(self, place: str, values: list, rows: list[Row], before: list[int], after: list[int]) -> Iterator[Row]:
+        live = bool(before[0])
+        for r in rows:
             if live == (r.n > 0):
                 yield self.layout.out("violation", -1, values, r.n, seq=r.seq, note=f"{place}:{'duplicate_insert' if live else 'missing_delete'}")
             live = r.n > 0
-        if live == was:
+        if before == after:
             return
-        _write(self.there, int(live))
         n = 1 if live else -1
         for i, node in enumerate(self.layout.nodes):
             if node.atom is None or node.atom.relation != place or len(node.atom.attrs) != len(values):
@@ -315,56 +395,51 @@ class Exists(_Operator):
                     yield from self.tell(edge, json.loads(cells), 1)
 
 
-class States(_Operator):
-    def open(self) -> None:
-        self.there, self.satisfied = self.number("there"), self.number("satisfied")
+class States(_Numbers):
+    """Whether a tuple is there, and how many of its children are satisfied."""
 
-    def take(self, place: str, key: str, rows: Iterator[Row]) -> Iterator[Row]:
-        i, base, more = int(place), 0, 0
-        for r in rows:
-            if r.what == "base":
-                base += r.n
-            else:
-                more += r.n
-        before = (_read(self.there), _read(self.satisfied))
-        after = (before[0] + base, before[1] + more)
+    def width(self, place: str) -> int:
+        return 2
+
+    def added(self, place: str, rows: list[Row], before: list[int]) -> list[int]:
+        base = sum(r.n for r in rows if r.what == "base")
+        return [before[0] + base, before[1] + sum(r.n for r in rows) - base]
+
+    def take(self, place: str, values: list, rows: list[Row], before: list[int], after: list[int]) -> Iterator[Row]:
+        i = int(place)
         if before == after:
             return
-        _write(self.there, after[0])
-        _write(self.satisfied, after[1])
-        values = json.loads(key)
         for (there, n), sign in ((before, -1), (after, 1)):
             if there:
                 yield self.layout.out("state", i, values, sign, note=str(n))
-        full = len(self.layout.nodes[i].children)
-        was, now = before == (1, full), after == (1, full)
-        if was != now:
-            yield from self.layout.alive(i, values, 1 if now else -1)
+        full = [1, len(self.layout.nodes[i].children)]
+        if (before == full) != (after == full):
+            yield from self.layout.alive(i, values, 1 if after == full else -1)
 
 
-class Offers(_Operator):
-    """Keys of a generalized node: which children offer them, by how many tuples."""
+class Offers(_Numbers):
+    """Keys of a generalized node: by how many tuples each child offers them. A key with a null matches nothing."""
 
-    def open(self) -> None:
-        self.children = self.rows("children")
+    def width(self, place: str) -> int:
+        return len(self.layout.nodes[int(place)].children)
 
-    def take(self, place: str, key: str, rows: Iterator[Row]) -> Iterator[Row]:
-        i, values, nets = int(place), json.loads(key), Counter()
+    def added(self, place: str, rows: list[Row], before: list[int]) -> list[int]:
+        after, children = list(before), self.layout.nodes[int(place)].children
         for r in rows:
-            nets[r.cells] += r.n
-        if None in values:
-            return
-        before = sum(1 for _ in self.children.keys())
-        _change(self.children, nets)
-        after = sum(1 for _ in self.children.keys())
-        if before == after:
+            after[children.index(r.node)] += r.n
+        return after
+
+    def take(self, place: str, values: list, rows: list[Row], before: list[int], after: list[int]) -> Iterator[Row]:
+        i = int(place)
+        was, now = (sum(map(bool, numbers)) for numbers in (before, after))
+        if None in values or was == now:
             return
-        for n, sign in ((before, -1), (after, 1)):
+        for n, sign in ((was, -1), (now, 1)):
             if n:
                 yield self.layout.out("state", i, values, sign, note=str(n))
         full = len(self.layout.nodes[i].children)
-        if (before == full) != (after == full):
-            yield from self.layout.alive(i, values, 1 if after == full else -1)
+        if (was == full) != (now == full):
+            yield from self.layout.alive(i, values, 1 if now == full else -1)
 
 
 class Join(_Operator):
@@ -394,39 +469,32 @@ class Join(_Operator):
                 yield from layout.row(parent, after, dict(zip(layout.left(child), left)) | dict(zip(layout.handed[child], right)), n * m)
 
 
-class Results(_Operator):
-    def open(self) -> None:
-        self.derivations = self.number("derivations")
+class Results(_Numbers):
+    def added(self, place: str, rows: list[Row], before: list[int]) -> list[int]:
+        return [before[0] + sum(r.n for r in rows)]
 
-    def take(self, place: str, key: str, rows: Iterator[Row]) -> Iterator[Row]:
-        before = _read(self.derivations)
-        after = before + sum(r.n for r in rows)
-        if before != after:
-            _write(self.derivations, after)
-        if (before > 0) != (after > 0):
-            yield self.layout.out("result", self.layout.of[int(place)], json.loads(key), 1 if after > 0 else -1)
+    def take(self, place: str, values: list, rows: list[Row], before: list[int], after: list[int]) -> Iterator[Row]:
+        if (before[0] > 0) != (after[0] > 0):
+            yield self.layout.out("result", self.layout.of[int(place)], values, 1 if after[0] > 0 else -1)
 
 
-class Sets(_Operator):
+class Sets(_Numbers):
     """The queries in which a tuple is live; what changes of them is said once a batch."""
 
-    def open(self) -> None:
-        self.members = self.rows("members")
+    def width(self, place: str) -> int:
+        return len(self.layout.queries)
 
-    def take(self, place: str, key: str, rows: Iterator[Row]) -> Iterator[Row]:
-        nets = Counter()
+    def added(self, place: str, rows: list[Row], before: list[int]) -> list[int]:
+        after = list(before)
         for r in rows:
-            nets[r.cells] += r.n
-        before = self.listed()
-        _change(self.members, nets)
-        after = self.listed()
+            after[self.layout.of[r.node]] += r.n
+        return after
+
+    def take(self, place: str, values: list, rows: list[Row], before: list[int], after: list[int]) -> Iterator[Row]:
         if before != after:
             for found, sign in ((before, -1), (after, 1)):
-                if found:
-                    yield self.layout.out("set", -1, json.loads(key), sign, note=found)
-
-    def listed(self) -> str:
-        return ",".join(map(str, sorted(json.loads(cells)[0] for (cells,) in self.members.keys())))
+                if any(found):
+                    yield self.layout.out("set", -1, values, sign, note=",".join(str(k) for k, n in enumerate(found) if n))
 
 
 KINDS = {
@@ -451,10 +519,10 @@ class KeyedViews:
     Nodes are numbered query by query: a query's atoms in order, then its generalized node if it has one.
     """
 
-    def __init__(self, spark: SparkSession, queries: list[Query], root: str, tops: list[int | tuple[str, ...] | None] | None = None, every: bool = False, sets: bool = False, fold: int = FOLD):
-        """`tops` are the atoms, or the attributes of the generalized nodes, that the trees hang at: by default the atom with most of the output."""
+    def __init__(self, spark: SparkSession, queries: list[Query], root: str, tops: list[int | tuple[str, ...] | None] | None = None, every: bool = False, sets: bool = False, fold: int = FOLD, buckets: int = BUCKETS):
+        """`tops` are the atoms, or the attributes of the generalized nodes, that the trees hang at: by default the atom with most of the output. A root keeps its number of `buckets`."""
         tops = [_most_output(q) if top is None else top for q, top in zip(queries, tops or [None] * len(queries), strict=True)]
-        self.spark, self.queries, self.root = spark, queries, root
+        self.spark, self.queries, self.root, self.buckets = spark, queries, root, buckets
         self.layout = Layout(queries, tops, every, sets)
         self.said = History(f"{root}/events", EVENT.replace("addr string, ", ""), fold)
         self.latency = latencies(root, fold)
@@ -466,18 +534,29 @@ class KeyedViews:
         cells = F.to_json("cells", {"ignoreNullFields": "false"})
         rows = changes.where(F.col("rel").isin(bases)).select(F.concat(F.lit(f"{BASE}:"), "rel", F.lit(":"), cells).alias("addr"), F.lit("change").alias("what"), F.lit(-1).alias("node"), cells.alias("cells"), sign.alias("n"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("string").alias("note"))
         for at, kind in enumerate(self.layout.kinds):
-            rows = rows.groupBy("addr").transformWithState(KINDS[kind](self.layout, at), EVENT, "Append", "None")
+            operator = KINDS[kind](self.layout, at)
+            rows = rows.withColumn("group", operator.group(self.buckets)).groupBy("group").transformWithState(operator, EVENT, "Append", "None")
         return rows
 
     def start(self, changes: DataFrame) -> StreamingQuery:
-        """Maintains the queries until its source has nothing new; a later start goes on from there."""
+        """Maintains the queries until its source has nothing new; a later start goes on from there.
+
+        Each operator has a task and a store for each partition of its state, which cost half a second a
+        batch even without a change: at first start there are no more of them than cores.
+        """
 
         def take(rows: DataFrame, batch: int) -> None:
-            self.said.write(rows.drop("addr"), batch)
+            self.said.write(unpacked(rows), batch)
             self.said.folded(rows.sparkSession, batch)
 
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-        return self.events(changes).writeStream.outputMode("append").foreachBatch(timed(take, self._changed, self.latency)).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        conf, parts = self.spark.conf, "spark.sql.shuffle.partitions"
+        conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        before = conf.get(parts)
+        conf.set(parts, min(int(before), self.spark.sparkContext.defaultParallelism))
+        try:
+            return self.events(changes).writeStream.outputMode("append").foreachBatch(timed(take, self._changed, self.latency)).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        finally:
+            conf.set(parts, before)
 
     def _changed(self, spark: SparkSession, batch: int) -> int:
         return spark.read.schema("what string").parquet(self.said.at(batch)).where("what = 'result'").count()

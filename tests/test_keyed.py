@@ -7,6 +7,7 @@ import random
 import pytest
 
 from deltaloom.plans.model import query, tree
+from deltaloom.streaming import keyed
 from deltaloom.streaming.keyed import KeyedView, KeyedViews, latency, state_reads
 from tests.test_deltas import LOOP, loop
 from tests.test_joins import brute
@@ -183,3 +184,51 @@ def test_reads_stay_flat_while_the_state_grows(spark, tmp_path):
         read[size] = found[1]
         assert view.output().where("batch = 1 AND op = '-'").count() == 25
     assert 0 < read[2000] < 1.5 * read[200]
+
+
+class Held(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def getMapState(self, *names):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_calls_of_the_state_store_are_fewer_than_changes():
+    """A bucket of 2,000 tuples takes two calls a leaf, and what is said of them goes on in packs."""
+    layout, held = keyed.Layout([query("w", "R(a,b) S(b,c)", "a,c")], [0], False, False), Held()
+    base = keyed.KINDS["base"](layout, 0)
+    base.init(held)
+
+    def fed(op, n):
+        rows = [keyed._Event(f"0:S:{keyed._text([str(k), 's'])}", "change", -1, None, op, k, None) for k in range(n)]
+        said = list(base.handleInputRows(("0:7",), iter(rows), None))
+        return [r for r in said if r.addr.startswith("out:")], [r for r in said if not r.addr.startswith("out:")]
+
+    out, on = fed(1, 2000)
+    assert len(out) == 2000 / keyed.PACK and len(on) == 4000 and held.calls <= 2 * keyed.LEAVES
+    out, on = fed(-1, 1000)
+    assert len(out) == 1000 / keyed.PACK and len(on) == 2000
+    fed(-1, 2000)
+    assert not held
+
+
+def test_no_more_partitions_than_cores(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    view = KeyedView(spark, query("e", "R(a,b) S(b,c)", "b"), str(tmp_path / "view"))
+    last = run(spark, view, str(tmp_path / "in"), [[("R", ["1", "2"], "+", 1), ("S", ["2", "3"], "+", 2)]])
+    assert {o["numShufflePartitions"] for p in last.recentProgress for o in p["stateOperators"]} == {spark.sparkContext.defaultParallelism}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "40" and view.results().count() == 1
