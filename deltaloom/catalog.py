@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from deltaloom.operators import lifetimes as lt
 from deltaloom.operators import snapshot as sn
 from deltaloom.operators.factorised import factorised
-from deltaloom.plans.model import Query, query
+from deltaloom.plans.model import Atom, Query, query
 from deltaloom.sources import tables as src
 from deltaloom.sources import updates as up
 from deltaloom.streaming.keyed import KeyedViews
@@ -44,6 +44,9 @@ REDUCED = [
     query("yannakakis_star", "OC(o,c) LO(o,p1) LOPS(o,p,s)", "c,p1,s"),
     query("yannakakis_existence", "CN(c,n) OC(o,c) LO(o,p) PB(p,b)", "c,n"),
 ]
+#: Queries whose siblings multiply under one key: the attribute they are dealt by, and rows read by a task.
+DEALT = {"star_join": "o", "yannakakis_star": "o"}
+DEALT_ROWS = 250_000
 #: Delta logs over the change logs.
 DELTAS = [
     query("delta_insert_path", "CN(c,n) OC(o,c)", "n,o"),
@@ -280,12 +283,20 @@ def _after_batches_sql(sql: Callable[[Callable[[str], str]], str], bounds: list[
     return " UNION ALL ".join(f"SELECT {k} AS batch, * FROM ({sql(lambda name, seq=seq: contents(name, seq))})" for k, seq in enumerate([*bounds[1:], NEVER]))
 
 
+def _rows_of(spark: SparkSession, sf_dir: str, q: Query) -> Callable[[Atom], DataFrame] | None:
+    """For queries in DEALT their atoms' rows, in tasks whose number grows with the tables."""
+    if q.name not in DEALT:
+        return None
+    rows = src.source_rows(spark, sf_dir, [a.relation for a in q.atoms])
+    return sn.dealt(_tables(spark, sf_dir), DEALT[q.name], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT_ROWS)))
+
+
 def queries() -> dict[str, Run]:
     found: dict[str, Run] = {}
     for q in SNAPSHOTS:
-        found[q.name] = lambda spark, d, q=q: sn.snapshot(_tables(spark, d), q)
+        found[q.name] = lambda spark, d, q=q: sn.snapshot(_tables(spark, d), q, _rows_of(spark, d, q))
     for q in REDUCED:
-        found[q.name] = lambda spark, d, q=q: sn.reduced(_tables(spark, d), q)
+        found[q.name] = lambda spark, d, q=q: sn.reduced(_tables(spark, d), q, _rows_of(spark, d, q))
     for q in DELTAS:
         found[q.name] = lambda spark, d, q=q: lt.delta_log(_logs(spark, d), q)
 

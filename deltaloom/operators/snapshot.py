@@ -5,6 +5,10 @@ once: a child that offers no output only restricts its parent, by a semi-join; a
 the distinct values that its parent or the answer needs. Which form is faster depends on the data:
 plain joins let the optimizer broadcast small sides, reduction pays where joined rows are many more
 than the answer.
+
+Adaptive execution merges shuffled partitions by their bytes. Where siblings under one key multiply,
+a merged partition's joined rows are many times what it reads, and so is the memory of its distinct:
+`dealt` takes such a key and a number of tasks, which stays as it is.
 """
 
 from __future__ import annotations
@@ -34,6 +38,16 @@ def atom_rows(tables: Tables, atom: Atom, *extra: str) -> DataFrame:
     return rows
 
 
+def dealt(tables: Tables, by: str, tasks: int) -> Callable[[Atom], DataFrame]:
+    """Rows of atoms; those that have the attribute are dealt by it to so many tasks, at which their joins stay."""
+
+    def rows(atom: Atom) -> DataFrame:
+        found = atom_rows(tables, atom)
+        return found.repartition(tasks, by) if by in atom.attrs else found
+
+    return rows
+
+
 def _shared(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in right.columns]
 
@@ -59,18 +73,24 @@ def _in_order(q: Query) -> list[Atom]:
     return order
 
 
-def snapshot(tables: Tables, q: Query) -> DataFrame:
-    """All current results: join, project, distinct."""
-    rows = reduce(natural_join, (atom_rows(tables, a) for a in _in_order(q)))
-    return rows.select(*q.out).distinct()
+def _projected(rows: DataFrame, q: Query) -> DataFrame:
+    """The distinct output; relations are sets, so joined rows with all of their attributes are distinct as they are."""
+    found = rows.select(*q.out)
+    return found if set(q.out) == {a for atom in q.atoms for a in atom.attrs} else found.distinct()
+
+
+def snapshot(tables: Tables, q: Query, rows_of: Callable[[Atom], DataFrame] | None = None) -> DataFrame:
+    """All current results: join, project, distinct. `rows_of` gives atoms' rows, as dealt() does."""
+    rows_of = rows_of or (lambda a: atom_rows(tables, a))
+    return _projected(reduce(natural_join, map(rows_of, _in_order(q))), q)
 
 
-def _upward(tables: Tables, q: Query, order: list[tuple[int, int | None]], wanted: set[str]) -> list[DataFrame]:
+def _upward(rows_of: Callable[[Atom], DataFrame], q: Query, order: list[tuple[int, int | None]], wanted: set[str]) -> list[DataFrame]:
     """For each child of the root what it hands up: the distinct attributes that it shares with the root or that are wanted."""
     edges = [set(a.attrs) for a in q.atoms]
     below: dict[int, list[DataFrame]] = {i: [] for i, _ in order}
     for i, parent in order[:-1]:
-        rows = _combined(atom_rows(tables, q.atoms[i]), below.pop(i))
+        rows = _combined(rows_of(q.atoms[i]), below.pop(i))
         keep = [c for c in rows.columns if c in edges[parent] or c in wanted]
         below[parent].append(rows.select(keep).distinct())
     return below[order[-1][0]]
@@ -84,14 +104,15 @@ def _combined(rows: DataFrame, children: list[DataFrame]) -> DataFrame:
     return reduce(natural_join, (c for c in children if c not in only), rows)
 
 
-def reduced(tables: Tables, q: Query) -> DataFrame:
+def reduced(tables: Tables, q: Query, rows_of: Callable[[Atom], DataFrame] | None = None) -> DataFrame:
     """The same results by reduction along the join tree, from the atom with most of the output; cyclic queries take the plain form."""
     edges, out = [set(a.attrs) for a in q.atoms], set(q.out)
     tree = join_tree(edges)
     if tree is None:
-        return snapshot(tables, q)
+        return snapshot(tables, q, rows_of)
+    rows_of = rows_of or (lambda a: atom_rows(tables, a))
     root = max(range(len(edges)), key=lambda i: len(edges[i] & out))
-    return _combined(atom_rows(tables, q.atoms[root]), _upward(tables, q, rooted(tree, root), out)).select(*q.out).distinct()
+    return _projected(_combined(rows_of(q.atoms[root]), _upward(rows_of, q, rooted(tree, root), out)), q)
 
 
 def many(tables: Tables, queries: list[Query], form: Callable[[Tables, Query], DataFrame] = snapshot) -> DataFrame:
@@ -155,7 +176,7 @@ def _restrictions(tables: Tables, q: Query, atom: int) -> list[DataFrame]:
     tree = join_tree([set(a.attrs) for a in q.atoms])
     if tree is None:
         return [snapshot(tables, Query(q.name, q.atoms, tuple(dict.fromkeys(q.atoms[atom].attrs))))]
-    return _upward(tables, q, rooted(tree, atom), set())
+    return _upward(lambda a: atom_rows(tables, a), q, rooted(tree, atom), set())
 
 
 def live_view(tables: Tables, q: Query, atom: int) -> DataFrame:

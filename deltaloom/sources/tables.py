@@ -42,6 +42,11 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.select(*[F.col(c).cast("string" if a in TEXT else "bigint").alias(a) for a, c in columns.items()]).distinct()
 
 
+def source_rows(spark: SparkSession, sf_dir: str, names: list[str]) -> int:
+    """How many rows the tables of some relations have together, by the Parquet files' footers."""
+    return sum(spark.read.parquet(f"{sf_dir}/{RELATIONS[name][0]}.parquet").count() for name in names)
+
+
 def relation_sql(name: str) -> str:
     table, columns = RELATIONS[name]
     return f"SELECT DISTINCT {', '.join(f'CAST({c} AS {'VARCHAR' if a in TEXT else 'BIGINT'}) AS {a}' for a, c in columns.items())} FROM {table}"

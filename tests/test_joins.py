@@ -77,3 +77,29 @@ def test_node_states(spark):
     assert got == {(1, 1): (2, True), (1, 2): (1, False), (2, 1): (1, False)}
     keys = {r.k: r.alive for r in sn.generalized([spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,)], "k int")], ["k"]).collect()}
     assert keys == {1: False, 2: True}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dealt_siblings_keep_their_tasks(spark):
+    """The joins of siblings run in the tasks that the key was dealt to, whatever adaptive execution finds small."""
+    q = query("star", "R(a,b) S(a,c) R(a,d)", "b,c,d")
+    data = {"R": [(k % 4, k) for k in range(12)], "S": [(k % 4, -k) for k in range(8)]}
+    frames = {name: spark.createDataFrame(rows, "x int, y int") for name, rows in data.items()}
+    rows_of = sn.dealt(frames.get, "a", 7)
+    for form in (sn.snapshot, sn.reduced):
+        found = form(frames.get, q, rows_of)
+        assert "hashpartitioning(a" in plan(found) and "7), REPARTITION_BY_NUM" in plan(found)
+        assert sorted(map(tuple, found.collect())) == sorted(brute(data, q))
+
+
+def test_whole_rows_are_not_made_distinct_again(spark):
+    """Joined rows of sets with all of their attributes are distinct: no aggregate holds them."""
+    q = query("full", "R(a,b) S(b,c)", "c,a,b")
+    data = {"R": [(k % 3, k % 4) for k in range(12)], "S": [(k % 4, k) for k in range(8)]}
+    frames = {name: spark.createDataFrame(rows, "x int, y int") for name, rows in data.items()}
+    for form in (sn.snapshot, sn.reduced):
+        assert sorted(map(tuple, form(frames.get, q).collect())) == sorted(brute(data, q))
+    assert "Aggregate" not in plan(sn.snapshot(frames.get, q))
