@@ -34,6 +34,8 @@ class Factorised:
     nodes: list[Node]
     root: int
     rows: DataFrame
+    tables: Tables
+    chunk: int
 
     def _own(self, i: int) -> list[str]:
         """The columns that node i adds to its parent's."""
@@ -70,14 +72,42 @@ class Factorised:
         """All answers."""
         return self._expand(self.rows).select(*self.q.out)
 
+    def _sizes(self) -> DataFrame:
+        """The root's rows with the number of answers behind each (_n), without gathering any."""
+        counts: dict[int, DataFrame] = {}
+        for i in sorted(range(len(self.nodes)), key=lambda i: self.nodes[i].height):
+            node, n = self.nodes[i], F.lit(1).cast("bigint")
+            rows = atom_rows(self.tables, self.q.atoms[i]).select(*node.attrs)
+            for c in node.children:
+                rows = rows.join(counts[c].withColumnRenamed("_n", f"_n{c}"), [a for a in node.attrs if a in self.nodes[c].attrs])
+                n = n * F.col(f"_n{c}")
+            rows = rows.select(*node.attrs, n.alias("_n"))
+            if node.parent is None:
+                return rows
+            counts[i] = rows.groupBy(*(a for a in node.attrs if a in self.nodes[node.parent].attrs)).agg(F.sum("_n").alias("_n"))
+        raise AssertionError("a tree has a root")
+
+    def _below(self, roots: DataFrame) -> list[DataFrame]:
+        """Each node's rows that lie below some of the root's rows, which are few."""
+        found = {self.root: roots}
+        for i in sorted(range(len(self.nodes)), key=lambda i: self.nodes[i].depth):
+            node = self.nodes[i]
+            if node.parent is not None:
+                key = [a for a in node.attrs if a in self.nodes[node.parent].attrs]
+                keys = found[node.parent].select(*key).distinct()
+                rows = atom_rows(self.tables, self.q.atoms[i]).select(*node.attrs)
+                found[i] = rows.join(F.broadcast(keys) if node.depth == 1 else keys, key, "left_semi")
+        return [found[i] for i in range(len(self.nodes))]
+
     def page(self, start: int, size: int) -> DataFrame:
         """The answers with ranks start to start + size - 1, from 0, in the order of the root's columns, then of the others; with `rank`.
 
-        Factorised rows are summed up by range partitions, of which the driver gets one number each;
-        only root rows that the page touches are expanded.
+        Root rows get the number of answers behind each, by counts alone, once. Those are summed up by
+        range partitions, of which the driver gets one number each; only what lies below root rows that
+        the page touches, at most one for each of its ranks, is factorised and expanded.
         """
         roots, others = list(self.nodes[self.root].attrs), [a for a in self.q.out if a not in self.nodes[self.root].attrs]
-        sizes = self.rows.groupBy(*roots).agg(F.sum(self._size(self.root)).alias("_n"))
+        sizes = written(self._sizes(), "factorised-counts")
         ranged = written(sizes.repartitionByRange(*roots).withColumn("_part", F.spark_partition_id()), "factorised-sizes")
         before, wanted = 0, []
         for r in sorted(ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r["_part"]):
@@ -88,7 +118,8 @@ class Factorised:
         upto = Window.partitionBy("_part").orderBy(*roots).rowsBetween(Window.unboundedPreceding, -1)
         first = ranged.join(F.broadcast(chosen), "_part").withColumn("_first", F.col("_base") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
         touched = first.where((F.col("_first") < start + size) & (F.col("_first") + F.col("_n") > start)).select(*roots, "_first")
-        rows = self._expand(self.rows.join(touched, roots))
+        touched = written(touched, "factorised-touched")
+        rows = self._expand(_made(self.nodes, self._below(touched.select(*roots)), self.chunk)).join(F.broadcast(touched), roots)
         own = F.row_number().over(Window.partitionBy(*roots).orderBy(*others)) if others else F.lit(1)
         ranked = rows.withColumn("rank", F.col("_first") + own - 1)
         return ranked.where((F.col("rank") >= start) & (F.col("rank") < start + size)).select("rank", *self.q.out)
@@ -103,13 +134,19 @@ def factorised(tables: Tables, q: Query, root: int = 0, chunk: int = CHUNK) -> F
     if set(q.out) != {a for atom in q.atoms for a in atom.attrs}:
         raise ValueError(f"query {q.name}: factorised answers need all attributes in the output")
     nodes = tree(q, root)
+    rows = _made(nodes, [atom_rows(tables, a).select(*n.attrs) for a, n in zip(q.atoms, nodes, strict=True)], chunk)
+    return Factorised(q, nodes, root, rows, tables, chunk)
+
+
+def _made(nodes: list[Node], rows_of: list[DataFrame], chunk: int) -> DataFrame:
+    """The root's rows with arrays of what lies below, from the rows of each node."""
     made: dict[int, DataFrame] = {}
     for i in sorted(range(len(nodes)), key=lambda i: nodes[i].height):
-        rows = atom_rows(tables, q.atoms[i]).select(*nodes[i].attrs)
+        rows = rows_of[i]
         for c in nodes[i].children:
             rows = rows.join(made[c], [a for a in nodes[i].attrs if a in nodes[c].attrs])
         if nodes[i].parent is None:
-            return Factorised(q, nodes, i, rows)
+            return rows
         key = [a for a in nodes[i].attrs if a in nodes[nodes[i].parent].attrs]
         rest = [a for a in nodes[i].attrs if a not in key] + [f"_{c}" for c in nodes[i].children]
         made[i] = _gathered(rows, key, rest, f"_{i}", chunk)

@@ -52,3 +52,15 @@ def test_empty_and_projected(spark):
     assert f.count().first().n == 0 and f.expanded().isEmpty() and f.page(0, 3).isEmpty()
     with pytest.raises(ValueError, match="all attributes"):
         factorised(lambda name: none, query("e", "R(a,b) S(b,c)", "a,c"))
+
+
+def test_a_page_gathers_only_what_it_touches(spark):
+    """The sizes come from counts; of the children only rows below the page's root rows are gathered."""
+    rows = {"H": [(k, k) for k in range(50)], "R": [(k, j) for k in range(50) for j in range(4)]}
+    frames = {name: spark.createDataFrame(found, "x int, y int") for name, found in rows.items()}
+    f = factorised(frames.__getitem__, query("p", "H(a,h) R(a,b) R(a,c)", "a,h,b,c"))
+    assert "collect_list" not in f._sizes()._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in f._sizes().collect()} == {(k, k, 16) for k in range(50)}
+    touched = spark.createDataFrame([(3, 3), (4, 4)], "a int, h int")
+    assert [r.count() for r in f._below(touched)] == [2, 8, 8]
+    assert [tuple(r) for r in f.page(16 * 3 + 15, 2).orderBy("rank").collect()] == [(63, 3, 3, 3, 3), (64, 4, 4, 0, 0)]
