@@ -47,6 +47,8 @@ REDUCED = [
 #: Queries whose siblings multiply under one key: the attribute they are dealt by, and rows read by a task.
 DEALT = {"star_join": "o", "yannakakis_star": "o"}
 DEALT_ROWS = 250_000
+#: Queries whose last atom's values multiply: the attribute that lists of them are dealt by.
+GATHERED = {"non_free_connex_snapshot": "c"}
 #: Delta logs over the change logs.
 DELTAS = [
     query("delta_insert_path", "CN(c,n) OC(o,c)", "n,o"),
@@ -283,18 +285,29 @@ def _after_batches_sql(sql: Callable[[Callable[[str], str]], str], bounds: list[
     return " UNION ALL ".join(f"SELECT {k} AS batch, * FROM ({sql(lambda name, seq=seq: contents(name, seq))})" for k, seq in enumerate([*bounds[1:], NEVER]))
 
 
+def _dealt_tasks(spark: SparkSession, sf_dir: str, q: Query) -> int:
+    """A number of tasks that grows with the query's tables."""
+    rows = src.source_rows(spark, sf_dir, [a.relation for a in q.atoms])
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT_ROWS))
+
+
 def _rows_of(spark: SparkSession, sf_dir: str, q: Query) -> Callable[[Atom], DataFrame] | None:
     """For queries in DEALT their atoms' rows, in tasks whose number grows with the tables."""
     if q.name not in DEALT:
         return None
-    rows = src.source_rows(spark, sf_dir, [a.relation for a in q.atoms])
-    return sn.dealt(_tables(spark, sf_dir), DEALT[q.name], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT_ROWS)))
+    return sn.dealt(_tables(spark, sf_dir), DEALT[q.name], _dealt_tasks(spark, sf_dir, q))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, q: Query) -> DataFrame:
+    if q.name in GATHERED:
+        return sn.gathered(_tables(spark, sf_dir), q, GATHERED[q.name], _dealt_tasks(spark, sf_dir, q))
+    return sn.snapshot(_tables(spark, sf_dir), q, _rows_of(spark, sf_dir, q))
 
 
 def queries() -> dict[str, Run]:
     found: dict[str, Run] = {}
     for q in SNAPSHOTS:
-        found[q.name] = lambda spark, d, q=q: sn.snapshot(_tables(spark, d), q, _rows_of(spark, d, q))
+        found[q.name] = lambda spark, d, q=q: _snapshot(spark, d, q)
     for q in REDUCED:
         found[q.name] = lambda spark, d, q=q: sn.reduced(_tables(spark, d), q, _rows_of(spark, d, q))
     for q in DELTAS:

@@ -8,7 +8,8 @@ than the answer.
 
 Adaptive execution merges shuffled partitions by their bytes. Where siblings under one key multiply,
 a merged partition's joined rows are many times what it reads, and so is the memory of its distinct:
-`dealt` takes such a key and a number of tasks, which stays as it is.
+`dealt` takes such a key and a number of tasks, which stays as it is. Where the last atom's values are
+what multiplies, `gathered` moves a list of them in place of a row for each.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from deltaloom.plans.model import Atom, Query, join_tree, rooted
 from deltaloom.plans.sharing import share
 
 Tables = Callable[[str], DataFrame]
+#: Values in a list of gathered(), at most.
+LIST = 1_000
 
 
 def atom_rows(tables: Tables, atom: Atom, *extra: str) -> DataFrame:
@@ -85,6 +89,27 @@ def snapshot(tables: Tables, q: Query, rows_of: Callable[[Atom], DataFrame] | No
     return _projected(reduce(natural_join, map(rows_of, _in_order(q))), q)
 
 
+def gathered(tables: Tables, q: Query, by: str, tasks: int, longest: int = LIST) -> DataFrame:
+    """The same results where the last atom has one output attribute that no other has.
+
+    The other atoms' rows meet lists of its values, of at most `longest` each, go with them to the task
+    of their `by`, and are only there unfolded and made distinct, without another shuffle.
+    """
+    *others, last = _in_order(q)
+    rows = reduce(natural_join, (atom_rows(tables, a) for a in others))
+    link = [a for a in dict.fromkeys(last.attrs) if a in rows.columns]
+    own = [a for a in q.out if a in last.attrs and a not in link]
+    if len(own) != 1 or by not in q.out or by in own:
+        raise ValueError(f"query {q.name}: not one attribute of {last} to gather by {by}")
+    values = atom_rows(tables, last).select(*link, *own).distinct()
+    at = F.row_number().over(Window.partitionBy(*link).orderBy(*own)) - 1
+    known = F.collect_list(own[0])
+    lists = values.withColumn("_at", F.floor(at / longest)).groupBy(*link, "_at").agg(F.when(F.bool_or(F.isnull(own[0])), F.array_append(known, F.lit(None))).otherwise(known).alias("_values"))
+    kept = [c for c in rows.columns if c in q.out or c in link]
+    met = natural_join(rows.select(*kept), lists.drop("_at")).select(*(c for c in kept if c in q.out), "_values").repartition(tasks, by)
+    return met.select("*", F.explode("_values").alias(own[0])).select(*q.out).distinct()
+
+
 def _upward(rows_of: Callable[[Atom], DataFrame], q: Query, order: list[tuple[int, int | None]], wanted: set[str]) -> list[DataFrame]:
     """For each child of the root what it hands up: the distinct attributes that it shares with the root or that are wanted."""
     edges = [set(a.attrs) for a in q.atoms]

@@ -103,3 +103,36 @@ def test_whole_rows_are_not_made_distinct_again(spark):
     for form in (sn.snapshot, sn.reduced):
         assert sorted(map(tuple, form(frames.get, q).collect())) == sorted(brute(data, q))
     assert "Aggregate" not in plan(sn.snapshot(frames.get, q))
+
+
+GATHERED = query("gathered", "R(a,b) S(b,c) T(c,d)", "a,d")
+
+
+@pytest.mark.parametrize("longest", [2, 1_000])
+def test_gathered_values(spark, longest):
+    rng = random.Random(longest)
+    data = {name: sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(40)}) for name in "RST"}
+    frames = {name: spark.createDataFrame([*rows, (None, 3), (4, None)], "x int, y int") for name, rows in data.items()}
+    want = {tuple(r) for r in sn.snapshot(frames.get, GATHERED).collect()}
+    found = [tuple(r) for r in sn.gathered(frames.get, GATHERED, "a", 3, longest).collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert (4, None) not in data["T"] and any(d is None for _, d in want) and any(a is None for a, _ in want)
+
+
+def test_gathered_values_are_unfolded_where_they_stay(spark, tmp_path):
+    """The registered query moves a row for each list of values, and none for each value."""
+    from deltaloom import catalog
+
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 4 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(4_000).selectExpr("id % 40 AS l_orderkey", "id % 7 AS l_partkey", "id % 101 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.queries()["non_free_connex_snapshot"](spark, str(tmp_path))
+    assert found.count() == sn.snapshot(catalog._tables(spark, str(tmp_path)), catalog.SNAPSHOTS[13]).count() == 4 * 101
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+def test_gathering_needs_one_value(spark):
+    frames = {n: spark.createDataFrame([(1, 2)], "x int, y int") for n in "RST"}
+    for q, by in ((query("two", "R(a,b) S(b,c)", "a"), "a"), (query("own", "R(a,b) S(b,c)", "a,c"), "c")):
+        with pytest.raises(ValueError, match="not one attribute"):
+            sn.gathered(frames.get, q, by, 2)
