@@ -90,11 +90,12 @@ def merged(rows: DataFrame) -> DataFrame:
     """
     keys = [c for c in rows.columns if c not in ("_start", "_end")]
     for bits in SLICES:
-        rows = _merged(rows.withColumn("_slice", F.shiftright("_start", bits)), [*keys, "_slice"]).drop("_slice")
-    return _merged(rows, keys)
+        rows = merged_at_once(rows.withColumn("_slice", F.shiftright("_start", bits)), [*keys, "_slice"]).drop("_slice")
+    return merged_at_once(rows, keys)
 
 
-def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+def merged_at_once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for keys none of which has very many intervals: one shuffle."""
     order = Window.partitionBy(*keys).orderBy("_start")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.bool_or(F.isnull("_end")).over(earlier) | (F.max("_end").over(earlier) >= F.col("_start"))
@@ -106,7 +107,7 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
 def delta_log(logs: Logs, q: Query) -> DataFrame:
     """(op, seq, out): every result that appears ('+') or goes ('-'), at the update that does it."""
     rows = joined_lives(logs, q)
-    return ends_of(merged(longest(rows, q)) if crowded(logs, q) else _merged(rows, list(q.out)), q)
+    return ends_of(merged(longest(rows, q)) if crowded(logs, q) else merged_at_once(rows, list(q.out)), q)
 
 
 def ends_of(lives_: DataFrame, q: Query) -> DataFrame:

@@ -55,8 +55,8 @@ def relation_sql(name: str) -> str:
 def change_log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The relation's columns with op and seq: the log whose replay gives its contents over time."""
     rows = relation(spark, sf_dir, name)
-    each = F.explode(F.filter(F.array(*(F.when(F.expr(cond), F.struct(F.lit(op).alias("op"), F.expr(f"CAST({seq} AS BIGINT)").alias("seq"))) for op, seq, cond in CHANGES[name])), lambda x: x.isNotNull()))
-    return rows.select("*", each.alias("_c")).select(*rows.columns, "_c.op", "_c.seq")
+    each = F.explode(F.array(*(F.when(F.expr(cond), F.struct(F.lit(op).alias("op"), F.expr(f"CAST({seq} AS BIGINT)").alias("seq"))) for op, seq, cond in CHANGES[name])))
+    return rows.select("*", each.alias("_c")).where("_c IS NOT NULL").select(*rows.columns, "_c.op", "_c.seq")
 
 
 def change_log_sql(name: str) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from deltaloom.operators.lifetimes import ends_of, formatted, longest, merged, violation
+from deltaloom.operators.lifetimes import CROWDED, ends_of, formatted, longest, merged, merged_at_once, violation
 from deltaloom.operators.snapshot import _in_order, atom_rows, natural_join
 from deltaloom.plans.model import Query
 from deltaloom.plans.sharing import share
@@ -42,9 +42,22 @@ from deltaloom.streaming.runs import FOLD, History, latencies, timed
 CELLS = "cells array<string>, _n bigint"
 #: The start of a life that began before the batch.
 BEFORE = -(1 << 62)
+#: Rows that are sent to all tasks.
+FEW = 100_000
 CHANGE = "rel string, cells array<string>, op string, seq bigint, violation string"
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def _changed(taken: DataFrame) -> DataFrame:
+    """(cells, _start, _end): the lives that begin or end with a batch's changes of one relation."""
+    begins = F.col("op") == "+"
+    lives = taken.where(begins | ((F.col("op") == "-") & F.col("_first")))
+    return lives.select("cells", F.when(begins, F.col("seq")).otherwise(BEFORE).alias("_start"), F.when(begins, F.col("_after")).otherwise(F.col("seq")).alias("_end"))
+
+
 class Views:
     """Queries, maintained in `root` by batches of changes (rel, cells array<string>, op, seq)."""
 
@@ -91,18 +104,33 @@ class Views:
         for old in [f"folded={upto - 2 * self.fold}", *(f"v={b}" for b in range(upto - 2 * self.fold, upto - self.fold))]:
             remove(self.spark, f"{self.root}/{name}/{old}")
 
+    def _matching(self, state: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+        """The state's rows that have a match: few rows are sent to the state, for many it goes whole to where they are brought together."""
+        return state.join(F.broadcast(rows.select(*on)), on, "left_semi") if _few(rows) else state
+
     def _checked(self, changes: DataFrame, batch: int) -> DataFrame:
-        """The batch's changes with what is wrong with each, and for a tuple's last one the sign of its net change."""
-        states = [self._state(f"base/{name}", CELLS, batch).select(F.lit(name).alias("rel"), "cells", "_n") for name in self.bases]
+        """The batch's changes with what is wrong with each, and for a tuple's last one the sign of its net change.
+
+        The state's rows of a tuple come before its changes, in one shuffle and sort, by a hash first as
+        that is quick to compare. With the exact log, changes that a set can take also have the seq of the
+        tuple's next one, and whether they are its first.
+        """
         mine = changes.where(F.col("rel").isin(self.bases)).select("rel", "cells", "op", "seq")
-        live = reduce(DataFrame.unionByName, states).join(mine.select("rel", "cells").distinct(), ["rel", "cells"], "left_semi").groupBy("rel", "cells").agg(F.sum("_n").alias("_was"))
-        line = Window.partitionBy("rel", "cells").orderBy("seq", F.desc("op"))
-        rows = mine.join(live, ["rel", "cells"], "left").withColumn("_was", F.coalesce("_was", F.lit(0)) > 0)
+        states = reduce(DataFrame.unionByName, [self._state(f"base/{name}", CELLS, batch).select(F.lit(name).alias("rel"), "cells", "_n") for name in self.bases])
+        live = self._matching(states, mine, ["rel", "cells"])
+        both = mine.withColumn("_new", F.lit(True)).unionByName(live.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        line = Window.partitionBy("_hash", "rel", "cells").orderBy("_new", "seq", F.desc("op"))
+        rows = both.withColumn("_hash", F.xxhash64("rel", "cells")).withColumn("_was", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) > 0)
         before = F.coalesce(F.lag("op").over(line), F.when(F.col("_was"), "+"))
         last = F.lead("op").over(line).isNull()
         is_ = F.col("op") == "+"
         sign = F.when(last & is_ & ~F.col("_was"), 1).when(last & ~is_ & F.col("_was"), -1)
-        return rows.select("rel", "cells", "op", "seq", violation(before).alias("violation"), sign.cast("bigint").alias("_n"))
+        found = rows.withColumns({"violation": violation(before), "_n": sign.cast("bigint")}).where("_new")
+        if not self.exact:
+            return found.select("rel", "cells", "op", "seq", "violation", "_n")
+        after = F.expr("lead(IF(violation IS NULL, seq, NULL)) IGNORE NULLS OVER (PARTITION BY _hash, rel, cells ORDER BY _new, seq, op DESC)")
+        taken = F.count(F.when(F.isnull("violation"), 1)).over(line.rowsBetween(Window.unboundedPreceding, -1))
+        return found.select("rel", "cells", "op", "seq", "violation", "_n", after.alias("_after"), (taken == 0).alias("_first"))
 
     def apply_all(self, changes: DataFrame, batch: int) -> list[DataFrame]:
         """Takes one batch into the state and returns each query's net output changes (op, out)."""
@@ -111,15 +139,18 @@ class Views:
         self._write(changes.where(~F.col("rel").isin(self.bases) | F.col("rel").isNull()).select("rel", "cells", "op", "seq", refused.alias("violation")), "refused", batch)
         found = self._checked(changes, batch)
         checked = self._write(found if self.exact else found.where("violation IS NOT NULL OR _n IS NOT NULL"), "checked", batch)
-        window = checked.where("violation IS NULL").select("rel", "cells", "op", "seq")
+        taken = checked.where("violation IS NULL")
         nets = {name: self._write(checked.where((F.col("rel") == name) & F.col("_n").isNotNull()).select("cells", "_n"), f"base/{name}", batch) for name in self.bases}
-        moving = {r["rel"] for r in checked.where("_n IS NOT NULL").select("rel").distinct().collect()}
+        kinds = checked.groupBy("rel").agg(F.bool_or(F.isnotnull("_n")).alias("moves"), F.bool_or(F.isnull("violation")).alias("changes")).collect()
+        moving = {r["rel"] for r in kinds if r["moves"]}
+        changed = {r["rel"]: _changed(taken.where(F.col("rel") == r["rel"])) for r in kinds if r["changes"]} if self.exact else {}
         out = []
         for k, q in enumerate(self.queries):
             if self.exact:
-                log = self._write(self._exact(q, k, window, batch), f"exact/{k}", batch)
-                if q.name in self.shared:
-                    window = window.unionByName(log.select(F.lit(q.name).alias("rel"), F.array(*q.out).alias("cells"), "op", "seq"))
+                log = self._write(self._exact(q, k, changed, batch), f"exact/{k}", batch)
+                if q.name in self.shared and not log.isEmpty():
+                    line = Window.partitionBy("cells").orderBy("seq", F.desc("op"))
+                    changed[q.name] = _changed(log.select(F.array(*q.out).alias("cells"), "op", "seq").select("*", F.lead("seq").over(line).alias("_after"), (F.row_number().over(line) == 1).alias("_first")))
             moved = self._output(q, k, nets, moving, batch)
             out.append(moved)
             if q.name in self.shared:
@@ -167,50 +198,52 @@ class Views:
         delta = reduce(DataFrame.unionByName, terms, none).groupBy(*q.out).agg(F.sum("_n").cast("bigint").alias("_n")).where("_n <> 0")
         delta = self._write(delta, f"counts/{k}", batch)
         on = list(q.out)
-        before = self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch).join(delta.select(*on), on, "left_semi").groupBy(*on).agg(F.sum("_n").alias("_m"))
+        before = self._matching(self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch), delta, on).groupBy(*on).agg(F.sum("_n").alias("_m"))
         moved = delta.join(before, on, "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
         op = F.when((F.col("_m") <= 0) & (F.col("_m") + F.col("_n") > 0), "+").when((F.col("_m") > 0) & (F.col("_m") + F.col("_n") <= 0), "-")
         return self._write(moved.select(op.alias("op"), *on).where("op IS NOT NULL"), f"output/{k}", batch)
 
-    def _exact(self, q: Query, k: int, window: DataFrame, batch: int) -> DataFrame:
+    def _exact(self, q: Query, k: int, changed: dict[str, DataFrame], batch: int) -> DataFrame:
         """(op, seq, out): every change of one query's results in the batch, at the update that makes it.
 
-        Lives that touch the batch are joined if a tuple of theirs changes in it. A result that has a
-        further derivation, which no change concerns, stays as it is all the time.
+        Lives that touch the batch are joined if a tuple of theirs changes in it; `changed` holds, of the
+        relations that change, the lives that begin or end in it. A result that has a further derivation,
+        which no change concerns, stays as it is all the time.
         """
         atoms, on = _in_order(q), list(q.out)
-        line = Window.partitionBy("rel", "cells").orderBy("seq", F.desc("op"))
-        rows = window.withColumn("_end", F.lead("seq").over(line)).withColumn("_at", F.row_number().over(line))
-        begun = rows.where("op = '-' AND _at = 1").select("rel", "cells", F.lit(BEFORE).alias("_start"), F.col("seq").alias("_end"))
-        changed = begun.unionByName(rows.where("op = '+'").select("rel", "cells", F.col("seq").alias("_start"), "_end"))
 
         def kept(name: str) -> DataFrame:
             state = self._state(f"base/{name}", CELLS, batch).groupBy("cells").agg(F.sum("_n").alias("_n")).where("_n > 0").select("cells")
-            held = state.join(window.where(F.col("rel") == name).select("cells"), "cells", "left_anti")
+            held = state.join(changed[name].where(F.col("_start") == BEFORE).select("cells"), "cells", "left_anti") if name in changed else state
             return held.select("cells", F.lit(BEFORE).alias("_start"), F.lit(None).cast("bigint").alias("_end"))
 
-        def lives(i: int, which: str) -> DataFrame:
+        def lives(i: int, which: str, start: str = "_s", end: str = "_e") -> DataFrame:
             name, width = atoms[i].relation, len(atoms[i].attrs)
-            mine = changed.where(F.col("rel") == name).drop("rel")
-            found = mine if which == "changed" else kept(name) if which == "kept" else mine.unionByName(kept(name))
-            return atom_rows(lambda _: found.select(*(F.col("cells")[c].alias(f"c{c}") for c in range(width)), "_start", "_end"), atoms[i], f"_s{i}", f"_e{i}")
-
-        terms, n = [], range(len(atoms))
-        start = F.greatest(*(f"_s{i}" for i in n)) if len(atoms) > 1 else F.col("_s0")
-        end = F.least(*(f"_e{i}" for i in n)) if len(atoms) > 1 else F.col("_e0")
-        for i in n:
-            joined, rest = lives(i, "changed"), [lives(j, "kept" if j < i else "all") for j in n if j != i]
+            found = changed[name] if which == "changed" else kept(name)
+            if which == "all" and name in changed:
+                found = found.unionByName(changed[name])
+            return atom_rows(lambda _: found.select(*(F.col("cells")[c].alias(f"c{c}") for c in range(width)), "_start", "_end"), atoms[i], start, end)
+
+        terms = []
+        for i, atom in enumerate(atoms):
+            if atom.relation not in changed:
+                continue
+            joined, rest = lives(i, "changed", "_start", "_end"), [j for j in range(len(atoms)) if j != i]
             while rest:
-                nxt = next(r for r in rest if set(r.columns) & set(joined.columns))
-                joined = natural_join(joined, nxt)
+                nxt = next(j for j in rest if set(atoms[j].attrs) & set(joined.columns))
                 rest.remove(nxt)
-            terms.append(joined.select(*on, start.alias("_start"), end.alias("_end")))
-        found = self._write(reduce(DataFrame.unionByName, terms).where("_end IS NULL OR _start < _end"), f"lives/{k}", batch)
-        old = found.groupBy(*on).agg(F.sum(F.when(F.col("_start") == BEFORE, 1).otherwise(0)).alias("_old"))
-        counts = self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch).join(old.select(*on), on, "left_semi").groupBy(*on).agg(F.sum("_n").alias("_m"))
-        alone = old.join(counts, on, "left").where("coalesce(_m, 0) = _old").select(*on)
-        ends = ends_of(merged(longest(found.join(alone, on, "left_semi"), q)), q)
-        return ends.where(F.col("seq") > BEFORE)
+                met = natural_join(joined, lives(nxt, "kept" if nxt < i else "all"))
+                wanted = {*on, *(a for j in rest for a in atoms[j].attrs)}
+                joined = met.select(*(c for c in met.columns if c in wanted), F.greatest("_start", "_s").alias("_start"), F.least("_end", "_e").alias("_end")).where("_end IS NULL OR _start < _end")
+            terms.append(joined.select(*on, "_start", "_end"))
+        none = self.spark.createDataFrame([], self._schema(k, "_start bigint, _end bigint"))
+        found = self._write(reduce(DataFrame.unionByName, terms, none).where("_end IS NULL OR _start < _end"), f"lives/{k}", batch)
+        old = found.where(F.col("_start") == BEFORE).groupBy(*on).agg(F.count(F.lit(1)).alias("_old"))
+        counts = self._matching(self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch), found, on).groupBy(*on).agg(F.sum("_n").alias("_m"))
+        further = counts.join(old, on, "left").where("_m > coalesce(_old, 0)").select(*on)
+        own = found.join(further, on, "left_anti")
+        many = not _few(found) and all(not found.groupBy(*keys).count().where(F.col("count") > CROWDED).isEmpty() for keys in [*([c] for c in on), on])
+        return ends_of(merged(longest(own, q)) if many else merged_at_once(own, on), q).where(F.col("seq") > BEFORE)
 
     def _outputs(self, k: int) -> str:
         return ", ".join(f"{c} string" for c in self.queries[k].out)

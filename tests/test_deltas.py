@@ -188,3 +188,29 @@ def test_crowded_results_merge_alike(spark, monkeypatch, limit):
     for q in QUERIES:
         assert lt.crowded(logs, q) == (limit == 0)
         assert {tuple(r) for r in lt.delta_log(logs, q).collect()} == expected(log, q)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_views_over_few_and_many_rows(spark, tmp_path, monkeypatch, few):
+    """The exact log and the results, whether a batch's rows are sent to the state or brought together with it."""
+    from deltaloom.streaming import microbatch
+
+    monkeypatch.setattr(microbatch, "FEW", few)
+    monkeypatch.setattr(microbatch, "CROWDED", 2)
+    log = random_log(random.Random(31), 60)
+    again = [("R", 1, 1, "+", seq) for seq in (61, 62)] + [("R", 1, 1, "-", 63)]
+    view = View(spark, QUERIES[0], str(tmp_path / "view"), exact=True)
+    for batch in range(3):
+        view.apply(as_changes(spark, log[batch * 20 : batch * 20 + 20] + (again if batch == 2 else [])), batch)
+    assert {(r[0], r[1], *map(int, r[2:-1])) for r in view.exact_log().collect() if r.seq <= 60} == expected(log, QUERIES[0])
+
+
+def test_a_batch_is_shuffled_once_to_be_checked(spark, tmp_path, monkeypatch):
+    """Changes and the state's rows of their tuples meet in one exchange and one sort."""
+    from deltaloom.streaming import microbatch
+
+    monkeypatch.setattr(microbatch, "FEW", 0)
+    view = View(spark, query("one", "R(x,y)", "x"), str(tmp_path / "view"), exact=True)
+    view.apply(as_changes(spark, [("R", 1, 1, "+", 1)]), 0)
+    plan = view._checked(as_changes(spark, [("R", 1, 1, "-", 2)]), 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
