@@ -370,7 +370,7 @@ def queries() -> dict[str, Run]:
         "query_set_union": lambda spark, d: sn.query_sets(_tables(spark, d), LIVE, 0),
         "multi_query": lambda spark, d: sn.many(_tables(spark, d), MULTI),
         "multi_query_shared": lambda spark, d: sn.shared(_tables(spark, d), SHARED_NODE, SHARING),
-        "multi_query_found": lambda spark, d: sn.found_shared(_tables(spark, d), FOUND),
+        "multi_query_found": lambda spark, d: sn.found_shared(_tables(spark, d), FOUND, rows=lambda name: src.source_rows(spark, d, [name])),
         "factorised_count": lambda spark, d: factorised(_tables(spark, d), SIBLINGS).count(),
         "factorised_page": lambda spark, d: factorised(_tables(spark, d), SIBLINGS).page(*PAGE),
         "factorised_expanded": lambda spark, d: factorised(_tables(spark, d), SIBLINGS).expanded(),

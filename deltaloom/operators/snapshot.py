@@ -158,17 +158,17 @@ def shared(tables: Tables, node: Query, queries: list[Query]) -> DataFrame:
     return many(lambda name: rows if name == node.name else tables(name), queries)
 
 
-def found_shared(tables: Tables, queries: list[Query], nodes_of: Callable[[list[Query], Callable[[str], int]], tuple[list[Query], list[Query]]] = share) -> DataFrame:
+def found_shared(tables: Tables, queries: list[Query], nodes_of: Callable[[list[Query], Callable[[str], int]], tuple[list[Query], list[Query]]] = share, rows: Callable[[str], int] | None = None) -> DataFrame:
     """Results of several queries, as many() has them; what they have in common is found, evaluated once and written.
 
-    Relations are counted once each, for the choice of what to share. Each node is read by all that
-    use it, and may itself use earlier ones.
+    For the choice of what to share relations are counted once each, unless `rows` tells about how large
+    they are. Each node is read by all that use it, and may itself use earlier ones.
     """
     from deltaloom.sources.tables import written
 
     done: dict[str, DataFrame] = {}
     at = lambda name: done[name] if name in done else tables(name)
-    nodes, rest = nodes_of(queries, lambda name: tables(name).count())
+    nodes, rest = nodes_of(queries, rows or (lambda name: tables(name).count()))
     for n in nodes:
         done[n.name] = written(snapshot(at, n), n.name)
     return many(at, rest)
