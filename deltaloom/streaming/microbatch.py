@@ -105,8 +105,11 @@ class Views:
             remove(self.spark, f"{self.root}/{name}/{old}")
 
     def _matching(self, state: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
-        """The state's rows that have a match: few rows are sent to the state, for many it goes whole to where they are brought together."""
-        return state.join(F.broadcast(rows.select(*on)), on, "left_semi") if _few(rows) else state
+        """The state's rows that have a match. Few rows are sent to the state; one that is smaller than the batch goes whole to where they are brought together."""
+        keys = rows.select(*on)
+        if _few(rows):
+            return state.join(F.broadcast(keys), on, "left_semi")
+        return state.join(keys.distinct(), on, "left_semi") if state.count() > rows.count() else state
 
     def _checked(self, changes: DataFrame, batch: int) -> DataFrame:
         """The batch's changes with what is wrong with each, and for a tuple's last one the sign of its net change.

@@ -214,3 +214,14 @@ def test_a_batch_is_shuffled_once_to_be_checked(spark, tmp_path, monkeypatch):
     view.apply(as_changes(spark, [("R", 1, 1, "+", 1)]), 0)
     plan = view._checked(as_changes(spark, [("R", 1, 1, "-", 2)]), 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
+
+
+def test_a_larger_state_stays_where_it_is(spark, tmp_path, monkeypatch):
+    """Of a state that is larger than the batch only rows that match go on; a smaller one has no join."""
+    from deltaloom.streaming import microbatch
+
+    monkeypatch.setattr(microbatch, "FEW", 0)
+    view = View(spark, query("one", "R(x,y)", "x"), str(tmp_path / "view"))
+    state, one = spark.range(50).withColumnRenamed("id", "k"), spark.range(7, 8).withColumnRenamed("id", "k")
+    assert [r.k for r in view._matching(state, one, ["k"]).collect()] == [7]
+    assert view._matching(one, state, ["k"]).collect() == one.collect()
