@@ -164,14 +164,19 @@ def _tagged(queries: list[Query], sql: Callable[[Query], str], first: str = "")
     return " UNION ALL ".join(f"SELECT {k} AS qid, {first}{', '.join(f'{c} AS y{i + 1}' for i, c in enumerate(q.out))} FROM ({sql(q)})" for k, q in enumerate(queries))
 
 
-def _changes(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+def _unwritten(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """The change logs of relations as changes of maintained views."""
     parts = []
     for name in names:
         log = src.change_log(spark, sf_dir, name)
         cells = [c for c in log.columns if c not in ("op", "seq")]
         parts.append(log.select(F.lit(name).alias("rel"), F.array(*(F.col(c).cast("string") for c in cells)).alias("cells"), "op", "seq"))
-    return src.written(reduce(DataFrame.unionByName, parts), "changes")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _changes(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """The same, written and read back."""
+    return src.written(_unwritten(spark, sf_dir, names), "changes")
 
 
 def _in_batches(rows: DataFrame, bounds: list[int] = BOUNDS) -> list[DataFrame]:
@@ -184,14 +189,32 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 
 def _streamed(views: Views, changes: DataFrame) -> Views:
-    """The views after their stream has found each batch's files and stopped; it goes on where it stopped."""
-    spark, root = changes.sparkSession, _fresh(changes.sparkSession, "in")
-    for part in _in_batches(changes):
-        part.write.mode("append").parquet(root)
-        views.start(spark.readStream.schema(changes.schema).parquet(root)).awaitTermination()
+    """The views after their stream has found each batch's files and stopped; it goes on where it stopped.
+
+    All changes are written once, to a folder for each batch, which is moved to where the stream looks.
+    """
+    spark = changes.sparkSession
+    root, apart = _fresh(spark, "in"), _fresh(spark, "apart")
+    _apart(changes, apart)
+    for k in range(len(BOUNDS)):
+        if not src.moved(spark, f"{apart}/_batch={k}", f"{root}/{k}"):
+            spark.createDataFrame([], changes.schema).write.parquet(f"{root}/{k}")
+        views.start(spark.readStream.schema(changes.schema).option("recursiveFileLookup", "true").parquet(root)).awaitTermination()
     return views
 
 
+def _apart(rows: DataFrame, path: str) -> None:
+    """Writes rows to a folder for each micro-batch, by seq; a task has a file open for each, so that it need not sort."""
+    spark, most = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    batch = reduce(lambda found, k: F.when(F.col("seq") >= BOUNDS[k], k).otherwise(found), range(1, len(BOUNDS)), F.lit(0))
+    before = spark.conf.get(most)
+    spark.conf.set(most, len(BOUNDS))
+    try:
+        rows.withColumn("_batch", batch).write.partitionBy("_batch").parquet(path)
+    finally:
+        spark.conf.set(most, before)
+
+
 def _keyed(spark: SparkSession, sf_dir: str, queries: list[Query], tops: list[int | tuple[str, ...]], bounds: list[int] = BOUNDS, sets: bool = False) -> KeyedViews:
     """Keyed views after one run over the change logs of their relations, batch by batch; each batch is FILES files."""
     views, root = KeyedViews(spark, queries, _fresh(spark, "keyed"), tops, sets=sets), _fresh(spark, "in")
@@ -214,7 +237,7 @@ def _numbers(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> View:
-    return _streamed(View(spark, STREAM, _fresh(spark, "view")), _changes(spark, sf_dir, ["CN", "OC"]))
+    return _streamed(View(spark, STREAM, _fresh(spark, "view")), _unwritten(spark, sf_dir, ["CN", "OC"]))
 
 
 def _update_lines(spark: SparkSession, sf_dir: str, lines: dict[str, list[tuple[int, str, str]]]) -> DataFrame:
@@ -250,14 +273,14 @@ def _stream_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output changes, by batch, of queries that share a node."""
-    views = _streamed(Views(spark, [SHARED_NODE, *SHARING], _fresh(spark, "views")), _changes(spark, sf_dir, ["NR", "CN", "OC", "LO"]))
+    views = _streamed(Views(spark, [SHARED_NODE, *SHARING], _fresh(spark, "views")), _unwritten(spark, sf_dir, ["NR", "CN", "OC", "LO"]))
     parts = [views.output(k + 1).select(F.lit(k).alias("qid"), "batch", "op", *(F.col(c).cast("bigint").alias(f"y{i + 1}") for i, c in enumerate(q.out))) for k, q in enumerate(SHARING)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _stream_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of a view's results, at its update, from a stream."""
-    found = _streamed(View(spark, DELTAS[1], _fresh(spark, "view"), exact=True), _changes(spark, sf_dir, ["CN", "OC", "LO"])).exact_log()
+    found = _streamed(View(spark, DELTAS[1], _fresh(spark, "view"), exact=True), _unwritten(spark, sf_dir, ["CN", "OC", "LO"])).exact_log()
     return _numbers(found.drop("batch"), "n", "p")
 
 
@@ -265,7 +288,7 @@ def _stream_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output changes, by batch, of queries whose common parts are found and maintained once."""
     views = Views.sharing(spark, MAINTAINED, _fresh(spark, "views"))
     places = {q.name: k for k, q in enumerate(views.queries)}
-    views = _streamed(views, _changes(spark, sf_dir, ["NR", "CN", "OC", "LO"]))
+    views = _streamed(views, _unwritten(spark, sf_dir, ["NR", "CN", "OC", "LO"]))
     parts = [views.output(places[q.name]).select(F.lit(k).alias("qid"), "batch", "op", *(F.col(c).cast("bigint").alias(f"y{i + 1}") for i, c in enumerate(q.out))) for k, q in enumerate(MAINTAINED)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -340,7 +363,7 @@ def queries() -> dict[str, Run]:
     def _violated(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
         """What a view's stream finds wrong with that log."""
         changes = log.select(F.lit("OC").alias("rel"), F.array(F.col("o").cast("string"), F.col("c").cast("string")).alias("cells"), "op", "seq")
-        found = _streamed(View(spark, query("v", "OC(o,c)", "o"), _fresh(spark, "view")), src.written(changes, "changes")).violations()
+        found = _streamed(View(spark, query("v", "OC(o,c)", "o"), _fresh(spark, "view")), changes).violations()
         return found.select(F.col("cells")[0].cast("bigint").alias("o"), F.col("cells")[1].cast("bigint").alias("c"), "op", "seq", "violation")
 
     def _alive(view: KeyedViews) -> DataFrame:

@@ -94,3 +94,15 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path, if it is there, through Spark's file system layer."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def moved(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a path, through Spark's file system layer; false if there is none."""
+    at, goal = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return False
+    fs.mkdirs(goal.getParent())
+    if not fs.rename(at, goal):
+        raise OSError(f"{path} can't be renamed to {to}")
+    return True

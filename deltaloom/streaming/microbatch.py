@@ -105,11 +105,15 @@ class Views:
             remove(self.spark, f"{self.root}/{name}/{old}")
 
     def _matching(self, state: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
-        """The state's rows that have a match. Few rows are sent to the state; one that is smaller than the batch goes whole to where they are brought together."""
+        """The state's rows that have a match, by a hash first. Few rows are sent to the state; one that is smaller than the batch goes whole to where they are brought together."""
         keys = rows.select(*on)
         if _few(rows):
             return state.join(F.broadcast(keys), on, "left_semi")
-        return state.join(keys.distinct(), on, "left_semi") if state.count() > rows.count() else state
+        size = state.count()
+        if size == 0 or size <= rows.count():
+            return state
+        by = F.hash(*on).alias("_hash")
+        return state.select("*", by).join(keys.distinct().select("*", by), ["_hash", *on], "left_semi").drop("_hash")
 
     def _checked(self, changes: DataFrame, batch: int) -> DataFrame:
         """The batch's changes with what is wrong with each, and for a tuple's last one the sign of its net change.
@@ -123,7 +127,7 @@ class Views:
         live = self._matching(states, mine, ["rel", "cells"])
         both = mine.withColumn("_new", F.lit(True)).unionByName(live.withColumn("_new", F.lit(False)), allowMissingColumns=True)
         line = Window.partitionBy("_hash", "rel", "cells").orderBy("_new", "seq", F.desc("op"))
-        rows = both.withColumn("_hash", F.xxhash64("rel", "cells")).withColumn("_was", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) > 0)
+        rows = both.withColumn("_hash", F.hash("rel", "cells")).withColumn("_was", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) > 0)
         before = F.coalesce(F.lag("op").over(line), F.when(F.col("_was"), "+"))
         last = F.lead("op").over(line).isNull()
         is_ = F.col("op") == "+"
@@ -144,8 +148,8 @@ class Views:
         checked = self._write(found if self.exact else found.where("violation IS NOT NULL OR _n IS NOT NULL"), "checked", batch)
         taken = checked.where("violation IS NULL")
         nets = {name: self._write(checked.where((F.col("rel") == name) & F.col("_n").isNotNull()).select("cells", "_n"), f"base/{name}", batch) for name in self.bases}
-        kinds = checked.groupBy("rel").agg(F.bool_or(F.isnotnull("_n")).alias("moves"), F.bool_or(F.isnull("violation")).alias("changes")).collect()
-        moving = {r["rel"] for r in kinds if r["moves"]}
+        kinds = checked.groupBy("rel").agg(F.count("_n").alias("moves"), F.bool_or(F.isnull("violation")).alias("changes")).collect()
+        moving = {r["rel"]: r["moves"] for r in kinds if r["moves"]}
         changed = {r["rel"]: _changed(taken.where(F.col("rel") == r["rel"])) for r in kinds if r["changes"]} if self.exact else {}
         out = []
         for k, q in enumerate(self.queries):
@@ -159,8 +163,8 @@ class Views:
             if q.name in self.shared:
                 signed = moved.select(F.array(*q.out).alias("cells"), F.when(F.col("op") == "+", 1).otherwise(-1).cast("bigint").alias("_n"))
                 nets[q.name] = self._write(signed, f"base/{q.name}", batch)
-                if not moved.isEmpty():
-                    moving.add(q.name)
+                if n := moved.count():
+                    moving[q.name] = n
         if (batch + 1) % self.fold == 0:
             for name in nets:
                 self._fold(f"base/{name}", CELLS, batch + 1)
@@ -174,8 +178,13 @@ class Views:
                 remove(self.spark, f"{self.root}/lives/{k}/v={batch - 1}")
         return out
 
-    def _output(self, q: Query, k: int, nets: dict[str, DataFrame], moving: set[str], batch: int) -> DataFrame:
-        """One query's net output changes, after its counts and output are written."""
+    def _output(self, q: Query, k: int, nets: dict[str, DataFrame], moving: dict[str, int], batch: int) -> DataFrame:
+        """One query's net output changes, after its counts and output are written.
+
+        Counts so far that are fewer than the tuples that change (`moving`, by relation) are summed in the
+        aggregation that the joined rows need anyway; more than that are read for what changes, if that is
+        little, and else meet it in one aggregation.
+        """
         atoms = _in_order(q)
 
         def rows(i: int, name: str, state: DataFrame) -> DataFrame:
@@ -197,15 +206,23 @@ class Views:
                 joined = natural_join(joined, nxt)
                 rest.remove(nxt)
             terms.append(joined.select(*q.out, n.alias("_n")))
-        none = self.spark.createDataFrame([], self._schema(k, "_n bigint"))
-        delta = reduce(DataFrame.unionByName, terms, none).groupBy(*q.out).agg(F.sum("_n").cast("bigint").alias("_n")).where("_n <> 0")
-        delta = self._write(delta, f"counts/{k}", batch)
-        on = list(q.out)
-        before = self._matching(self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch), delta, on).groupBy(*on).agg(F.sum("_n").alias("_m"))
-        moved = delta.join(before, on, "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+        none, on = self.spark.createDataFrame([], self._schema(k, "_n bigint")), list(q.out)
+        joined = reduce(DataFrame.unionByName, terms, none)
+        before = self._state(f"counts/{k}", self._schema(k, "_n bigint"), batch)
+        if before.count() <= sum(moving.get(name, 0) for name in {a.relation for a in atoms}):
+            moved = self._write(self._summed(joined, before, on), f"counts/{k}", batch)
+        else:
+            delta = self._write(joined.groupBy(*on).agg(F.sum("_n").cast("bigint").alias("_n")).where("_n <> 0"), f"counts/{k}", batch)
+            moved = self._summed(delta, self._matching(before, delta, on) if _few(delta) else before, on)
         op = F.when((F.col("_m") <= 0) & (F.col("_m") + F.col("_n") > 0), "+").when((F.col("_m") > 0) & (F.col("_m") + F.col("_n") <= 0), "-")
         return self._write(moved.select(op.alias("op"), *on).where("op IS NOT NULL"), f"output/{k}", batch)
 
+    @staticmethod
+    def _summed(rows: DataFrame, before: DataFrame, on: list[str]) -> DataFrame:
+        """(on, _n, _m): what rows change in all, if anything, and what was before, in one shuffle."""
+        both = rows.select(*on, "_n", F.lit(0).cast("bigint").alias("_m")).unionByName(before.select(*on, F.lit(0).cast("bigint").alias("_n"), F.col("_n").alias("_m")))
+        return both.groupBy(*on).agg(F.sum("_n").cast("bigint").alias("_n"), F.sum("_m").cast("bigint").alias("_m")).where("_n <> 0")
+
     def _exact(self, q: Query, k: int, changed: dict[str, DataFrame], batch: int) -> DataFrame:
         """(op, seq, out): every change of one query's results in the batch, at the update that makes it.
 

@@ -225,3 +225,36 @@ def test_a_larger_state_stays_where_it_is(spark, tmp_path, monkeypatch):
     state, one = spark.range(50).withColumnRenamed("id", "k"), spark.range(7, 8).withColumnRenamed("id", "k")
     assert [r.k for r in view._matching(state, one, ["k"]).collect()] == [7]
     assert view._matching(one, state, ["k"]).collect() == one.collect()
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_counts_smaller_and_larger_than_a_batch(spark, tmp_path, monkeypatch, few):
+    """Net changes, whether the counts so far are summed with the joined rows, met in one aggregation or read for a few; some batches run twice."""
+    from deltaloom.streaming import microbatch
+
+    monkeypatch.setattr(microbatch, "FEW", few)
+    log, view = random_log(random.Random(12), 90), View(spark, QUERIES[0], str(tmp_path / "view"), fold=3)
+    state: dict[str, set[tuple]] = {"R": set(), "S": set()}
+    before: set[tuple] = set()
+    for batch, (lo, hi) in enumerate([(0, 5), (5, 40), (40, 43), (43, 44), (44, 90)]):
+        for _ in range(1 + batch % 2):
+            out = view.apply(as_changes(spark, log[lo:hi]), batch)
+        for rel, x, y, op, _ in log[lo:hi]:
+            (state[rel].add if op == "+" else state[rel].discard)((x, y))
+        after = brute(state, QUERIES[0])
+        assert {(r.op, int(r.x), int(r.w)) for r in out.collect()} == {("+", *t) for t in after - before} | {("-", *t) for t in before - after}
+        before = after
+    assert {(int(r.x), int(r.w)) for r in view.results().collect()} == before
+
+
+def test_counts_meet_what_changes_in_one_shuffle(spark, tmp_path, monkeypatch):
+    """A batch's joined rows, what they change and the counts so far take one exchange by result: a state no larger than the batch isn't joined."""
+    from deltaloom.streaming import microbatch
+
+    monkeypatch.setattr(microbatch, "FEW", 0)
+    view, plans = View(spark, query("one", "R(x,y)", "x"), str(tmp_path / "view")), {}
+    write = view._write
+    monkeypatch.setattr(view, "_write", lambda df, name, batch: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), write(df, name, batch))[1])
+    for batch in range(2):
+        view.apply(as_changes(spark, [("R", batch, k, "+", 10 * batch + k) for k in range(5)]), batch)
+    assert plans["counts/0"].count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning" not in plans["output/0"] and "Join" not in plans["output/0"]
