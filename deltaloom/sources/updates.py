@@ -7,6 +7,7 @@ relations an event tag feeds and which fields they load.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deltaloom.functions.fields import csv_fields, stripped
+from deltaloom.sources.tables import rewritten, shared_dir
 
 #: (tag, relation, key field, loaded fields) for each relation that a tag feeds.
 Registry = list[tuple[str, str, int, list[int]]]
@@ -55,23 +57,24 @@ def placed(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def numbered(lines: DataFrame, decode: Callable[[DataFrame], DataFrame], after: int = 0) -> DataFrame:
+def numbered(lines: DataFrame, decode: Callable[[DataFrame], DataFrame], path: str, after: int = 0) -> DataFrame:
     """Decoded lines with seq: 1 more for each line that the decoder takes, in the order of file name and position.
 
-    Only the number of lines per block is brought together, one row for each; lines are counted
-    within their block. `after` is the number of those that came before.
+    A task counts the lines that it decodes, which are written to `path` with that count: those of a
+    block follow each other there, so its first one and their number tell all of theirs. No lines are
+    brought together, only a row for each block. `after` is the number of those that came before.
     """
-    rows = decode(lines.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rewritten(decode(lines).withColumn("_at", F.monotonically_increasing_id()), f"{path}/lines")
     before = Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*_SPLIT).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy(*_SPLIT).orderBy("_at"))
-    out = rows.withColumn("_own", own).join(blocks.select(*_SPLIT, "_before"), _SPLIT)
-    return out.withColumn("seq", (F.lit(after) + F.col("_before") + F.col("_own")).cast("bigint")).drop("_at", "_own", "_before", *_SPLIT)
+    blocks = rows.groupBy(*_SPLIT).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    shift = F.lit(after + 1) + F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")
+    shifts = rewritten(blocks.select(*_SPLIT, shift.cast("bigint").alias("_shift")), f"{path}/blocks")
+    return rows.join(F.broadcast(shifts), _SPLIT).withColumn("seq", F.col("_at") + F.col("_shift")).drop("_at", "_shift", *_SPLIT)
 
 
 def read_updates(spark: SparkSession, path: str, form: str) -> DataFrame:
     """(op, tag, cells, seq) of the update lines in a text file or folder; form is a key of DECODERS."""
-    return numbered(placed(spark.read.text(path)), DECODERS[form])
+    return numbered(placed(spark.read.text(path)), DECODERS[form], f"{shared_dir(spark)}/decoded-{uuid.uuid4().hex}")
 
 
 def read_schema(spark: SparkSession, path: str) -> tuple[Registry, Outputs]:

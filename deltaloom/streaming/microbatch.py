@@ -320,7 +320,7 @@ class Views:
         def take(lines: DataFrame, batch: int) -> None:
             self.spark = lines.sparkSession
             after = self.spark.read.schema("n bigint").parquet(f"{self.root}/lines/v={batch - 1}").first()[0] if batch else 0
-            numbered = rewritten(up.numbered(lines, up.DECODERS[form], after), f"{self.root}/decoded")
+            numbered = up.numbered(lines, up.DECODERS[form], f"{self.root}/decoded", after)
             self._write(numbered.agg((F.count(F.lit(1)) + after).alias("n")), "lines", batch)
             remove(self.spark, f"{self.root}/lines/v={batch - 2}")
             routes = up.routed(numbered, registry)

@@ -105,3 +105,12 @@ def test_schema_file(spark, tmp_path):
 def test_query_file():
     text = "2\n\n2\n1 0 2 1 2\n2 3 2 2 3\n2 1 3\n\n1\n5 0 1 9\n1 9\n"
     assert read_queries(text, {0: "R", 3: "S"}) == [query("q0", "R(a1,a2) S(a2,a3)", "a1,a3"), query("q1", "R(a9)", "a9")]
+
+
+def test_lines_are_numbered_where_they_lie(spark, tmp_path):
+    """No lines are shuffled or sorted to be numbered: only blocks are counted together."""
+    (tmp_path / "a.txt").write_text("+|T|1\n?|T|2\n-|T|3\n")
+    found = up.read_updates(spark, str(tmp_path / "a.txt"), "piped")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    assert sorted((r.seq, r.op, r.cells) for r in found.collect()) == [(1, "+", ["1"]), (2, "-", ["3"])]
