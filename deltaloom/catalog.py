@@ -265,8 +265,10 @@ def _stream_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, schema = _fresh(spark, "lines"), _fresh(spark, "schema")
     spark.createDataFrame([("\n".join(f"{t},{r},{k},{','.join(map(str, f))}" for t, r, k, f in PIPED_FEEDS) + "\n1  # queries\n0\nCN.0,1\nOC.0,0",)], "value string").write.text(schema)
     views = Views(spark, [STREAM], _fresh(spark, "view"))
-    for part in _in_batches(_update_lines(spark, sf_dir, PIPED_LOG)):
-        part.orderBy("seq", "place", "value").select("value").write.mode("append").text(path)
+    apart = _fresh(spark, "apart")
+    _apart(_update_lines(spark, sf_dir, PIPED_LOG), apart)
+    for k in range(len(BOUNDS)):
+        spark.read.parquet(apart).where(F.col("_batch") == k).orderBy("seq", "place", "value").select("value").write.mode("append").text(path)
         views.start_text(path, "piped", up.read_schema(spark, schema)[0]).awaitTermination()
     return views.log()
 

@@ -42,3 +42,13 @@ def test_changes_of_relations_are_not_kept_apart(spark):
     before = set(shared.glob("changes-*"))
     catalog._stream(spark, "/root/testdata/sf0.001").results().select(F.count(F.lit(1))).collect()
     assert set(shared.glob("changes-*")) == before
+
+
+def test_change_logs_are_read_once_for_text(spark, tmp_path, monkeypatch):
+    """The lines of all batches are made from the tables once; each batch is sorted from what was written."""
+    plans, write = [], catalog._apart
+    monkeypatch.setattr(catalog, "_apart", lambda rows, path: (plans.append(path), write(rows, path)))
+    made = spark.createDataFrame([("+|CN|1|2", 1, 0), ("+|OC|3|1", 1_000_003, 0), ("-|OC|3|1", 5_000_003, 0)], "value string, seq bigint, place int")
+    monkeypatch.setattr(catalog, "_update_lines", lambda *a: made)
+    found = catalog._stream_from_text(spark, "").collect()
+    assert sorted((r.batch, r.line) for r in found) == [(0, "+ 0 2, 3"), (2, "- 0 2, 3")] and len(plans) == 1
