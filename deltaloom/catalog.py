@@ -47,8 +47,9 @@ REDUCED = [
 #: Queries whose siblings multiply under one key: the attribute they are dealt by, and rows read by a task.
 DEALT = {"star_join": "o", "yannakakis_star": "o"}
 DEALT_ROWS = 250_000
-#: Queries whose last atom's values multiply: the attribute that lists of them are dealt by.
-GATHERED = {"non_free_connex_snapshot": "c"}
+#: Queries whose last atom's values multiply: the attribute that lists of them are dealt by, and those that relations are.
+GATHERED = {"non_free_connex_snapshot": "c", "delta_non_free_connex": "c"}
+GATHERED_BY = {"OC": "o", "LO": "o", "LS": "p"}
 #: Delta logs over the change logs.
 DELTAS = [
     query("delta_insert_path", "CN(c,n) OC(o,c)", "n,o"),
@@ -325,10 +326,16 @@ def _rows_of(spark: SparkSession, sf_dir: str, q: Query) -> Callable[[Atom], Dat
 
 def _snapshot(spark: SparkSession, sf_dir: str, q: Query) -> DataFrame:
     if q.name in GATHERED:
-        return sn.gathered(_tables(spark, sf_dir), q, GATHERED[q.name], _dealt_tasks(spark, sf_dir, q))
+        return sn.gathered(lambda name: src.relation(spark, sf_dir, name, GATHERED_BY[name]), q, GATHERED[q.name], _dealt_tasks(spark, sf_dir, q))
     return sn.snapshot(_tables(spark, sf_dir), q, _rows_of(spark, sf_dir, q))
 
 
+def _delta(spark: SparkSession, sf_dir: str, q: Query) -> DataFrame:
+    if q.name in GATHERED:
+        return lt.gathered_log(lambda name: src.change_log(spark, sf_dir, name, GATHERED_BY[name]), q, GATHERED[q.name], _dealt_tasks(spark, sf_dir, q))
+    return lt.delta_log(_logs(spark, sf_dir), q)
+
+
 def queries() -> dict[str, Run]:
     found: dict[str, Run] = {}
     for q in SNAPSHOTS:
@@ -336,7 +343,7 @@ def queries() -> dict[str, Run]:
     for q in REDUCED:
         found[q.name] = lambda spark, d, q=q: sn.reduced(_tables(spark, d), q, _rows_of(spark, d, q))
     for q in DELTAS:
-        found[q.name] = lambda spark, d, q=q: lt.delta_log(_logs(spark, d), q)
+        found[q.name] = lambda spark, d, q=q: _delta(spark, d, q)
 
     def semi_join_existence(spark: SparkSession, d: str) -> DataFrame:
         t = _tables(spark, d)

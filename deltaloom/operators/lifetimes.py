@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deltaloom.operators.snapshot import _in_order, atom_rows, natural_join
+from deltaloom.operators.packed import logged, packed
+from deltaloom.operators.snapshot import LIST, WHOLE, _gathering, _in_order, atom_rows, natural_join
 from deltaloom.plans.model import Query
 
 #: Relation name -> its change log: columns, then op ('+' or '-') and seq.
@@ -110,6 +111,26 @@ def delta_log(logs: Logs, q: Query) -> DataFrame:
     return ends_of(merged(longest(rows, q)) if crowded(logs, q) else merged_at_once(rows, list(q.out)), q)
 
 
+def gathered_log(logs: Logs, q: Query, by: str, tasks: int, longest: int = LIST) -> DataFrame:
+    """delta_log() where the output is `by` and one attribute that the last atom alone has, both whole numbers.
+
+    The other atoms' lives meet lists of the last one's, as bytes, and go with them to the task of
+    their `by`; lives of pairs are there for the first time, a few customers' at a time, and merged.
+    """
+    *others, last = _in_order(q)
+    rows = joined_lives(logs, Query(q.name, tuple(others), tuple(dict.fromkeys(a for x in others for a in x.attrs if a in {*q.out, *last.attrs}))))
+    link, own = _gathering(q, rows, last, by)
+    found = atom_rows(lambda name: lives(logs(name)), last, "_start", "_end")
+    types = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *found.schema.fields]}
+    if {*q.out} != {by, own} or not {types[by], types[own]} <= WHOLE:
+        raise ValueError(f"query {q.name}: not two whole numbers")
+    found = found.select(*link, F.struct("_end", "_start", F.col(own).cast("bigint").alias("_own")).alias("_life"))
+    at = F.row_number().over(Window.partitionBy(*link).orderBy("_life")) - 1
+    lists = found.withColumn("_at", F.floor(at / longest)).groupBy(*link, "_at").agg(F.sort_array(F.collect_list("_life")).alias("_l")).select(*link, F.col("_l._own").alias("_o"), F.col("_l._start").alias("_s"), F.col("_l._end").alias("_e"))
+    met = natural_join(rows, packed(lists, ["_o", "_s", "_e"], "_list")).select(by, "_start", "_end", "_list").repartition(tasks, by).sortWithinPartitions(by)
+    return logged(met, by, own, "_list", q.out).withColumn(own, F.col(own).cast(types[own]))
+
+
 def ends_of(lives_: DataFrame, q: Query) -> DataFrame:
     """(op, seq, out): where merged lives begin and end."""
     sides = F.explode(F.array(F.struct(F.lit("+").alias("op"), F.col("_start").alias("seq")), F.struct(F.lit("-").alias("op"), F.col("_end").alias("seq"))))

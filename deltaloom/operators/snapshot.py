@@ -27,6 +27,8 @@ from deltaloom.plans.sharing import share
 Tables = Callable[[str], DataFrame]
 #: Values in a list of gathered(), at most.
 LIST = 1_000
+#: Types whose lists move as bytes.
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 
 def atom_rows(tables: Tables, atom: Atom, *extra: str) -> DataFrame:
@@ -97,17 +99,23 @@ def gathered(tables: Tables, q: Query, by: str, tasks: int, longest: int = LIST)
     """
     *others, last = _in_order(q)
     rows = reduce(natural_join, (atom_rows(tables, a) for a in others))
+    link, own = _gathering(q, rows, last, by)
+    values = atom_rows(tables, last).select(*link, own).distinct()
+    at = F.row_number().over(Window.partitionBy(*link).orderBy(own)) - 1
+    known = F.collect_list(own)
+    lists = values.withColumn("_at", F.floor(at / longest)).groupBy(*link, "_at").agg(F.when(F.bool_or(F.isnull(own)), F.array_append(known, F.lit(None))).otherwise(known).alias("_values"))
+    kept = [c for c in rows.columns if c in q.out or c in link]
+    met = natural_join(rows.select(*kept), lists.drop("_at")).select(*(c for c in kept if c in q.out), "_values").repartition(tasks, by)
+    return met.select("*", F.explode("_values").alias(own)).select(*q.out).distinct()
+
+
+def _gathering(q: Query, rows: DataFrame, last: Atom, by: str) -> tuple[list[str], str]:
+    """What the last atom shares with the others' rows, and the one output attribute that it alone has."""
     link = [a for a in dict.fromkeys(last.attrs) if a in rows.columns]
     own = [a for a in q.out if a in last.attrs and a not in link]
     if len(own) != 1 or by not in q.out or by in own:
         raise ValueError(f"query {q.name}: not one attribute of {last} to gather by {by}")
-    values = atom_rows(tables, last).select(*link, *own).distinct()
-    at = F.row_number().over(Window.partitionBy(*link).orderBy(*own)) - 1
-    known = F.collect_list(own[0])
-    lists = values.withColumn("_at", F.floor(at / longest)).groupBy(*link, "_at").agg(F.when(F.bool_or(F.isnull(own[0])), F.array_append(known, F.lit(None))).otherwise(known).alias("_values"))
-    kept = [c for c in rows.columns if c in q.out or c in link]
-    met = natural_join(rows.select(*kept), lists.drop("_at")).select(*(c for c in kept if c in q.out), "_values").repartition(tasks, by)
-    return met.select("*", F.explode("_values").alias(own[0])).select(*q.out).distinct()
+    return link, own[0]
 
 
 def _upward(rows_of: Callable[[Atom], DataFrame], q: Query, order: list[tuple[int, int | None]], wanted: set[str]) -> list[DataFrame]:

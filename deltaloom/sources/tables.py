@@ -35,11 +35,12 @@ CHANGES = {
 }
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The distinct rows of one relation, keys as bigint."""
+def relation(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """The distinct rows of one relation, keys as bigint; dealt by one of them, a join on it needs no other shuffle."""
     table, columns = RELATIONS[name]
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return rows.select(*[F.col(c).cast("string" if a in TEXT else "bigint").alias(a) for a, c in columns.items()]).distinct()
+    rows = rows.select(*[F.col(c).cast("string" if a in TEXT else "bigint").alias(a) for a, c in columns.items()])
+    return (rows.repartition(by) if by else rows).distinct()
 
 
 def source_rows(spark: SparkSession, sf_dir: str, names: list[str]) -> int:
@@ -52,9 +53,9 @@ def relation_sql(name: str) -> str:
     return f"SELECT DISTINCT {', '.join(f'CAST({c} AS {'VARCHAR' if a in TEXT else 'BIGINT'}) AS {a}' for a, c in columns.items())} FROM {table}"
 
 
-def change_log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def change_log(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
     """The relation's columns with op and seq: the log whose replay gives its contents over time."""
-    rows = relation(spark, sf_dir, name)
+    rows = relation(spark, sf_dir, name, by)
     each = F.explode(F.array(*(F.when(F.expr(cond), F.struct(F.lit(op).alias("op"), F.expr(f"CAST({seq} AS BIGINT)").alias("seq"))) for op, seq, cond in CHANGES[name])))
     return rows.select("*", each.alias("_c")).where("_c IS NOT NULL").select(*rows.columns, "_c.op", "_c.seq")
 
