@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from deltaloom.operators.packed import packed, united
 from deltaloom.plans.model import Atom, Query, join_tree, rooted
 from deltaloom.plans.sharing import share
 
@@ -94,18 +95,24 @@ def snapshot(tables: Tables, q: Query, rows_of: Callable[[Atom], DataFrame] | No
 def gathered(tables: Tables, q: Query, by: str, tasks: int, longest: int = LIST) -> DataFrame:
     """The same results where the last atom has one output attribute that no other has.
 
-    The other atoms' rows meet lists of its values, of at most `longest` each, go with them to the task
-    of their `by`, and are only there unfolded and made distinct, without another shuffle.
+    The other atoms' rows meet lists of its values, of at most `longest` each and whole numbers as bytes,
+    go with them to the task of their `by`, and are only there unfolded and made distinct, without another shuffle.
     """
     *others, last = _in_order(q)
     rows = reduce(natural_join, (atom_rows(tables, a) for a in others))
     link, own = _gathering(q, rows, last, by)
-    values = atom_rows(tables, last).select(*link, own).distinct()
+    found = atom_rows(tables, last)
+    values, whole = found.select(*link, own), found.schema[own].dataType.simpleString()
+    values = values if set(found.columns) == {*link, own} else values.distinct()
     at = F.row_number().over(Window.partitionBy(*link).orderBy(own)) - 1
-    known = F.collect_list(own)
-    lists = values.withColumn("_at", F.floor(at / longest)).groupBy(*link, "_at").agg(F.when(F.bool_or(F.isnull(own)), F.array_append(known, F.lit(None))).otherwise(known).alias("_values"))
+    bytes_ = whole in WHOLE and set(q.out) == {by, own} and rows.schema[by].dataType.simpleString() in WHOLE
+    known = F.sort_array(F.collect_list(F.col(own).cast("bigint") if bytes_ else F.col(own)))
+    lists = values.withColumn("_at", F.floor(at / longest)).groupBy(*link, "_at").agg(F.when(F.bool_or(F.isnull(own)), F.array_append(known, F.lit(None))).otherwise(known).alias("_values")).drop("_at")
     kept = [c for c in rows.columns if c in q.out or c in link]
-    met = natural_join(rows.select(*kept), lists.drop("_at")).select(*(c for c in kept if c in q.out), "_values").repartition(tasks, by)
+    met = natural_join(rows.select(*kept), packed(lists, ["_values"], "_values") if bytes_ else lists)
+    met = met.drop(*(c for c in kept if c not in q.out)).repartition(tasks, by)
+    if bytes_:
+        return united(met.sortWithinPartitions(by), by, "_values").select(by, F.explode(F.col("_values").cast(f"array<{whole}>")).alias(own)).select(*q.out)
     return met.select("*", F.explode("_values").alias(own)).select(*q.out).distinct()
 
 

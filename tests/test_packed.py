@@ -83,7 +83,7 @@ def shuffled(spark, frame):
     return total() - before
 
 
-@pytest.mark.parametrize("name", ["delta_non_free_connex"])
+@pytest.mark.parametrize("name", ["non_free_connex_snapshot", "delta_non_free_connex"])
 def test_joined_rows_move_with_a_list(spark, tmp_path, name):
     """24,000 joined pairs of customer and part meet 100 suppliers each: about a quarter of a byte is moved for each of these (before 1 and 3 bytes)."""
     spark.range(6_000).selectExpr("id AS o_orderkey", "id % 600 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
