@@ -15,7 +15,7 @@ from deltaloom.operators.factorised import factorised
 from deltaloom.plans.model import Atom, Query, query
 from deltaloom.sources import tables as src
 from deltaloom.sources import updates as up
-from deltaloom.streaming.keyed import KeyedViews
+from deltaloom.streaming.levels import LevelViews
 from deltaloom.streaming.microbatch import View, Views
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -87,13 +87,11 @@ BOUNDS = [0, 1_004_000, 5_000_000, 8_000_000]
 #: The same for the lines and parts that a generalized node joins: no batch of theirs is empty.
 OFFERED_BOUNDS = [0, 3_000_100, 6_000_100, 7_000_000]
 STREAM = query("stream", "CN(c,n) OC(o,c)", "n,o")
-#: A query over stores kept by key, hung up at its customers, and one at a generalized node, the parts.
+#: A query with states of its nodes, hung up at its customers, and one at a generalized node, the parts.
 KEYED = query("keyed", "CN(c,n) OC(o,c) SN(s,n)", "n,o")
 OFFERED = query("offered", "LO(o,p) LS(p,s)", "p")
 #: Queries at the same atom, of which none needs more than its columns; customers are users of the same number.
 MEMBERS = [query("k0", "OC(o,c) CN(c,n)", "o,c"), query("k1", "OC(o,c) CN(c,n) SN(s,n)", "o,c"), query("k2", "OC(o,c) UE(c,t)", "o,c")]
-#: Files of a batch of a stream that is fed in one run.
-FILES = 4
 #: The change logs of CN and OC as update lines: relation -> [(place among lines of one seq, line, condition)], in SQL of both engines.
 #: Some lines are of no known op or tag, end in empty fields, have none, or lack the digit of an insert.
 PIPED_LOG = {
@@ -175,62 +173,41 @@ def _unwritten(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _changes(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    """The same, written and read back."""
-    return src.written(_unwritten(spark, sf_dir, names), "changes")
-
-
-def _in_batches(rows: DataFrame, bounds: list[int] = BOUNDS) -> list[DataFrame]:
-    """The rows of each micro-batch, by seq."""
-    return [rows.where((F.col("seq") >= lo) & (F.lit(hi).isNull() | (F.col("seq") < F.lit(hi)))) for lo, hi in zip(bounds, [*bounds[1:], None])]
-
-
 def _fresh(spark: SparkSession, name: str) -> str:
     return f"{src.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _streamed(views: Views, changes: DataFrame) -> Views:
+def _streamed(views: Views, changes: DataFrame, bounds: list[int] = BOUNDS) -> Views:
     """The views after their stream has found each batch's files and stopped; it goes on where it stopped.
 
     All changes are written once, to a folder for each batch, which is moved to where the stream looks.
     """
     spark = changes.sparkSession
     root, apart = _fresh(spark, "in"), _fresh(spark, "apart")
-    _apart(changes, apart)
-    for k in range(len(BOUNDS)):
+    _apart(changes, apart, bounds)
+    for k in range(len(bounds)):
         if not src.moved(spark, f"{apart}/_batch={k}", f"{root}/{k}"):
             spark.createDataFrame([], changes.schema).write.parquet(f"{root}/{k}")
         views.start(spark.readStream.schema(changes.schema).option("recursiveFileLookup", "true").parquet(root)).awaitTermination()
     return views
 
 
-def _apart(rows: DataFrame, path: str) -> None:
+def _apart(rows: DataFrame, path: str, bounds: list[int] = BOUNDS) -> None:
     """Writes rows to a folder for each micro-batch, by seq; a task has a file open for each, so that it need not sort."""
     spark, most = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
-    batch = reduce(lambda found, k: F.when(F.col("seq") >= BOUNDS[k], k).otherwise(found), range(1, len(BOUNDS)), F.lit(0))
+    batch = reduce(lambda found, k: F.when(F.col("seq") >= bounds[k], k).otherwise(found), range(1, len(bounds)), F.lit(0))
     before = spark.conf.get(most)
-    spark.conf.set(most, len(BOUNDS))
+    spark.conf.set(most, len(bounds))
     try:
         rows.withColumn("_batch", batch).write.partitionBy("_batch").parquet(path)
     finally:
         spark.conf.set(most, before)
 
 
-def _keyed(spark: SparkSession, sf_dir: str, queries: list[Query], tops: list[int | tuple[str, ...]], bounds: list[int] = BOUNDS, sets: bool = False) -> KeyedViews:
-    """Keyed views after one run over the change logs of their relations, batch by batch; each batch is FILES files."""
-    views, root = KeyedViews(spark, queries, _fresh(spark, "keyed"), tops, sets=sets), _fresh(spark, "in")
-    changes = _changes(spark, sf_dir, sorted({a.relation for q in queries for a in q.atoms}))
-    for part in _in_batches(changes, bounds):
-        if part.limit(FILES).count() < FILES:
-            raise ValueError(f"a batch of {queries[0].name} has too few changes for {FILES} files")
-        part.repartition(FILES).write.mode("append").parquet(root)
-    views.start(spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES).parquet(root)).awaitTermination()
-    return views
-
-
-def _each_batch(rows: Callable[[int], DataFrame]) -> DataFrame:
-    """What `rows` gives for each batch, with the batch."""
-    return reduce(DataFrame.unionByName, (rows(k).withColumn("batch", F.lit(k)) for k in range(len(BOUNDS))))
+def _levels(spark: SparkSession, sf_dir: str, queries: list[Query], tops: list[int | tuple[str, ...]], bounds: list[int] = BOUNDS, sets: bool = False) -> LevelViews:
+    """Views with states of their nodes, after a stream of the change logs of their relations, batch by batch."""
+    views = LevelViews(spark, queries, _fresh(spark, "levels"), tops, sets=sets)
+    return _streamed(views, _unwritten(spark, sf_dir, sorted({a.relation for q in queries for a in q.atoms})), bounds)
 
 
 def _numbers(rows: DataFrame, *names: str) -> DataFrame:
@@ -375,20 +352,7 @@ def queries() -> dict[str, Run]:
         found = _streamed(View(spark, query("v", "OC(o,c)", "o"), _fresh(spark, "view")), changes).violations()
         return found.select(F.col("cells")[0].cast("bigint").alias("o"), F.col("cells")[1].cast("bigint").alias("c"), "op", "seq", "violation")
 
-    def _alive(view: KeyedViews) -> DataFrame:
-        return _each_batch(lambda k: view.states(0, k).where("alive").drop("alive", "n_satisfied"))
-
-    def _onhold(view: KeyedViews) -> DataFrame:
-        return _each_batch(lambda k: view.states(0, k).where("NOT alive").drop("alive"))
-
-    def _live(view: KeyedViews) -> DataFrame:
-        return _each_batch(lambda k: view.live(1, k))
-
-    def _members(view: KeyedViews) -> DataFrame:
-        return _each_batch(view.query_sets)
-
-    def _states(view: KeyedViews) -> DataFrame:
-        return _each_batch(lambda k: view.states(2, k))
+    batches = list(range(len(BOUNDS)))
 
     found |= {
         "semi_join_existence": semi_join_existence,
@@ -423,12 +387,12 @@ def queries() -> dict[str, Run]:
         "stream_from_text": _stream_from_text,
         "stream_multi_query": _stream_multi,
         "stream_violations": lambda spark, d: _violated(spark, d, broken_log(spark, d)),
-        "stream_alive": lambda spark, d: _numbers(_alive(_keyed(spark, d, [KEYED], [0])), "c", "n"),
-        "stream_onhold": lambda spark, d: _numbers(_onhold(_keyed(spark, d, [KEYED], [0])), "c", "n"),
-        "stream_live": lambda spark, d: _numbers(_live(_keyed(spark, d, [KEYED], [0])), "o", "c"),
-        "stream_keyed": lambda spark, d: _numbers(_keyed(spark, d, [KEYED], [0]).output(), "n", "o"),
-        "stream_generalized": lambda spark, d: _numbers(_states(_keyed(spark, d, [OFFERED], [("p",)], OFFERED_BOUNDS)), "p"),
-        "stream_query_sets": lambda spark, d: _numbers(_members(_keyed(spark, d, MEMBERS, [0, 0, 0], sets=True)), "o", "c"),
+        "stream_alive": lambda spark, d: _numbers(_levels(spark, d, [KEYED], [0]).states_after(0, batches).where("alive").drop("alive", "n_satisfied"), "c", "n"),
+        "stream_onhold": lambda spark, d: _numbers(_levels(spark, d, [KEYED], [0]).states_after(0, batches).where("NOT alive").drop("alive"), "c", "n"),
+        "stream_live": lambda spark, d: _numbers(_levels(spark, d, [KEYED], [0]).live_after(1, batches), "o", "c"),
+        "stream_keyed": lambda spark, d: _numbers(_levels(spark, d, [KEYED], [0]).output(), "n", "o"),
+        "stream_generalized": lambda spark, d: _numbers(_levels(spark, d, [OFFERED], [("p",)], OFFERED_BOUNDS).states_after(2, batches), "p"),
+        "stream_query_sets": lambda spark, d: _numbers(_levels(spark, d, MEMBERS, [0, 0, 0], sets=True).query_sets_after(batches), "o", "c"),
         "stream_exact_log": _stream_exact,
         "stream_multi_found": _stream_found,
         "stream_microbatch_total": lambda spark, d: _stream(spark, d).results().select(F.col("n").cast("bigint").alias("n"), F.col("o").cast("bigint").alias("o")),

@@ -22,7 +22,7 @@ replay after a failure changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,15 +139,19 @@ class Views:
         taken = F.count(F.when(F.isnull("violation"), 1)).over(line.rowsBetween(Window.unboundedPreceding, -1))
         return found.select("rel", "cells", "op", "seq", "violation", "_n", after.alias("_after"), (taken == 0).alias("_first"))
 
-    def apply_all(self, changes: DataFrame, batch: int) -> list[DataFrame]:
-        """Takes one batch into the state and returns each query's net output changes (op, out)."""
-        self.spark = changes.sparkSession
+    def _taken(self, changes: DataFrame, batch: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """Writes what is refused of a batch, what is wrong with its changes, and each relation's net changes (cells, _n); gives the last two."""
         refused = F.when(F.col("rel").isin([q.name for q in self.queries]), "derived_relation").otherwise("unknown_relation")
         self._write(changes.where(~F.col("rel").isin(self.bases) | F.col("rel").isNull()).select("rel", "cells", "op", "seq", refused.alias("violation")), "refused", batch)
         found = self._checked(changes, batch)
         checked = self._write(found if self.exact else found.where("violation IS NOT NULL OR _n IS NOT NULL"), "checked", batch)
+        return checked, {name: self._write(checked.where((F.col("rel") == name) & F.col("_n").isNotNull()).select("cells", "_n"), f"base/{name}", batch) for name in self.bases}
+
+    def apply_all(self, changes: DataFrame, batch: int) -> list[DataFrame]:
+        """Takes one batch into the state and returns each query's net output changes (op, out)."""
+        self.spark = changes.sparkSession
+        checked, nets = self._taken(changes, batch)
         taken = checked.where("violation IS NULL")
-        nets = {name: self._write(checked.where((F.col("rel") == name) & F.col("_n").isNotNull()).select("cells", "_n"), f"base/{name}", batch) for name in self.bases}
         kinds = checked.groupBy("rel").agg(F.count("_n").alias("moves"), F.bool_or(F.isnull("violation")).alias("changes")).collect()
         moving = {r["rel"]: r["moves"] for r in kinds if r["moves"]}
         changed = {r["rel"]: _changed(taken.where(F.col("rel") == r["rel"])) for r in kinds if r["changes"]} if self.exact else {}
@@ -165,18 +169,22 @@ class Views:
                 nets[q.name] = self._write(signed, f"base/{q.name}", batch)
                 if n := moved.count():
                     moving[q.name] = n
+        self._folded(nets, batch)
+        if self.exact and batch:
+            for k in range(len(self.queries)):
+                remove(self.spark, f"{self.root}/lives/{k}/v={batch - 1}")
+        return out
+
+    def _folded(self, names: Iterable[str], batch: int) -> None:
+        """To be called after each batch: folds the states of relations by name, the counts and the logs if it is the last of its `fold` ones."""
         if (batch + 1) % self.fold == 0:
-            for name in nets:
+            for name in names:
                 self._fold(f"base/{name}", CELLS, batch + 1)
             for k in range(len(self.queries)):
                 self._fold(f"counts/{k}", self._schema(k, "_n bigint"), batch + 1)
         for name, history in self.histories.items():
             if name != "latency":
                 history.folded(self.spark, batch)
-        if self.exact and batch:
-            for k in range(len(self.queries)):
-                remove(self.spark, f"{self.root}/lives/{k}/v={batch - 1}")
-        return out
 
     def _output(self, q: Query, k: int, nets: dict[str, DataFrame], moving: dict[str, int], batch: int) -> DataFrame:
         """One query's net output changes, after its counts and output are written.
