@@ -102,7 +102,7 @@ def test_existence_atoms_are_not_joined(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/views/counts/0/v=0").collect()[0]["_n"] == 1
 
 
-@pytest.mark.parametrize("name", ["stream_alive", "stream_generalized", "stream_keyed", "stream_live", "stream_onhold"])
+@pytest.mark.parametrize("name", ["stream_alive", "stream_generalized", "stream_keyed", "stream_live", "stream_onhold", "stream_query_sets"])
 def test_registered_queries_call_no_python_for_a_change(spark, monkeypatch, name):
     """A batch of the registered streams is joins and aggregations of columns: no operator takes its changes one by one."""
     monkeypatch.setattr(keyed._Operator, "handleInputRows", None)
